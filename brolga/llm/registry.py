@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 from brolga.llm.decontaminate import OP10_SQL, op10_decontaminate
+from brolga.llm.language import op2_language
+from brolga.llm.packing import op7_pack
 from brolga.llm.simhash import op3_simhash
+from brolga.llm.wavelet import op5_wavelet
 
 QUERIES = {
+    "op2_language": op2_language,
     "op3_simhash": op3_simhash,
+    "op5_wavelet": op5_wavelet,
+    "op7_pack": op7_pack,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLES = {"op10_decontaminate": OP10_SQL}
