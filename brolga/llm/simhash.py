@@ -196,20 +196,23 @@ def _fingerprints(texts: pd.Series) -> pd.Series:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row (doc_id, fp, component_id) for each row of docs.
+    """One row (doc_id, text_hash, fp, component, component_id) for each row of docs.
 
-    fp is the fingerprint as a signed long, component_id the least doc_id reachable over links of at most 4 bits. Null,
-    empty and blank texts have fingerprint 0 and are linked like any other. Repeated rows stay; rows with a null doc_id
-    keep it and take the component_id of their fingerprint (null if no row of the component has an id).
+    fp is the fingerprint as a signed long, component a number of the rows linked over steps of at most 4 bits (a
+    fingerprint among them), component_id their least doc_id, text_hash xxhash64(text). Null, empty and blank texts have
+    fingerprint 0 and are linked like any other. Repeated rows stay; rows with a null doc_id keep it and take the
+    component_id of their component (null if no row of it has an id).
     Copies are folded to one fingerprint before any comparison, and only fingerprints travel.
     """
-    prints = materialize(docs.select("doc_id", F.pandas_udf(_fingerprints, "long")("text").alias("fp")))
+    told = F.pandas_udf(_fingerprints, "long")("text")
+    prints = materialize(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), told.alias("fp")))
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     linked = components(links(distinct.select("fp").repartition("fp")))
-    of = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = of.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    of = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left")
+    of = of.select("fp", "first", F.coalesce("root", "fp").alias("component"))
+    least = of.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = of.join(least, "component").select("fp", "component", "component_id")
+    return prints.join(named, "fp").select("doc_id", "text_hash", "fp", "component", "component_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
