@@ -8,7 +8,6 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +24,8 @@ LEVELS, CELLS = 96, 128
 #: Frequent words whose exact counts are broadcast for the base score; the others are joined.
 HEAD = 1 << 18
 BLOCK, BUCKET = 1 << 19, 1 << 19
+#: Letters whose words are named together.
+LETTERS = 1 << 19
 #: What stands for the end of a text, and before its first word.
 END = 0x0E4D
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -37,10 +38,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def tokens(text: str | None) -> np.ndarray:
-    """XXH64 of each word, A-Z in lower case, and END."""
-    own = text.encode().lower().split() if text else []
-    return np.fromiter((*map(xxhash.xxh64_intdigest, own), END), np.uint64, len(own) + 1)
+_WORD = np.ones(256, bool)
+_WORD[[0x20, *range(0x09, 0x0E)]] = False
+_powers: list[np.ndarray] = [np.ones(1, np.uint64)]
+
+
+def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit names of the words of texts, A-Z in lower case, with END after each text's last; and each text's first token.
+
+    A name is a hash of all bytes of its word, worked out for all words together.
+    """
+    data = [(t or "").encode().lower() for t in texts]
+    raw = np.frombuffer(b" ".join(data) + b" ", np.uint8)
+    inside = _WORD[raw]
+    first = np.flatnonzero(inside & ~np.r_[False, inside[:-1]])
+    size = np.flatnonzero(~inside & np.r_[False, inside[:-1]]) - first
+    if len(size) and size.max() > len(_powers[0]):
+        power = np.full(2 * int(size.max()), _A)
+        power[0] = 1
+        _powers[0] = np.cumprod(power, dtype=np.uint64)
+    start = np.cumsum(size) - size
+    letters = raw[inside].astype(np.uint64) + np.uint64(1)
+    letters *= _powers[0][np.arange(len(letters)) - np.repeat(start, size)]
+    names = mix(np.add.reduceat(letters, start)) if len(start) else np.zeros(0, np.uint64)
+    ends = np.searchsorted(first, np.cumsum([len(d) + 1 for d in data]))
+    names = np.insert(names, ends, np.uint64(END))
+    return names, np.r_[0, ends[:-1]] + np.arange(len(texts))
 
 
 def pairs(names: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -59,15 +82,25 @@ def level(count: np.ndarray, least: int) -> np.ndarray:
     return np.where(count < least, 0, 1 + np.floor(np.log(np.maximum(count, least) / least) / np.log(BASE) + 1e-9)).astype(np.int64)
 
 
+def _middles(least: int) -> np.ndarray:
+    levels = np.arange(1, 400.0)
+    low = np.ceil(least * BASE ** (levels - 1) - 1e-9)
+    high = np.maximum(np.ceil(least * BASE**levels - 1e-9) - 1, low)
+    return np.r_[0.0, (low + high) / 2]
+
+
+_MIDDLE = {least: _middles(least) for least in set(LEAST.values())}
+
+
 def count_of(levels: np.ndarray, least: int) -> np.ndarray:
     """The middle of the counts that a level stands for; 0 for level 0."""
-    low = np.ceil(least * BASE ** (levels - 1.0) - 1e-9)
-    high = np.maximum(np.ceil(least * BASE**levels.astype(float) - 1e-9) - 1, low)
-    return np.where(levels > 0, (low + high) / 2, 0.0)
+    return _MIDDLE[least][levels]
 
 
-def _bit(ids: np.ndarray, lev: np.ndarray, j: int, size: np.ndarray) -> np.ndarray:
-    return mix(ids * _A + lev.astype(np.uint64) * _B + np.uint64(j + 1)) % size
+def _bit(hashed: np.ndarray, j: int, size: np.ndarray) -> np.ndarray:
+    """The j-th place, below size, of what was hashed once: half of the hash as start, half as step."""
+    low = np.uint64(0xFFFFFFFF)
+    return (((hashed >> np.uint64(32)) + np.uint64(j) * (hashed & low | np.uint64(1)) & low) * size) >> np.uint64(32)
 
 
 @dataclass
@@ -81,15 +114,16 @@ class Filter:
     data: np.ndarray
 
     def levels(self, ids: np.ndarray) -> np.ndarray:
-        out, live, lev = np.zeros(len(ids), np.int64), np.arange(len(ids)), 1
+        out = np.zeros(len(ids), np.int64)
         bucket = (ids >> np.uint64(self.shift)).astype(np.int64)
+        live = np.flatnonzero(self.size[bucket] > 0)
+        seed, start, size, lev = ids[live] * _A, self.start[bucket[live]], self.size[bucket[live]], 1
         while len(live):
-            b = bucket[live]
-            live, b = live[self.size[b] > 0], b[self.size[b] > 0]
+            hashed, still = mix(seed + np.uint64(lev * int(_B) % (1 << 64))), np.arange(len(live))
             for j in range(HASHES):
-                at = _bit(ids[live], np.full(len(live), lev), j, self.size[b]) + self.start[b]
-                yes = (self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-                live, b = live[yes], b[yes]
+                at = _bit(hashed[still], j, size[still]) + start[still]
+                still = still[(self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+            live, seed, start, size = live[still], seed[still], start[still], size[still]
             out[live] = lev
             lev += 1
         return out
@@ -104,10 +138,9 @@ def segment(ids: np.ndarray, count: np.ndarray, least: int, bits: float) -> np.n
     ids = np.repeat(ids, lev)
     steps = np.arange(len(ids)) - np.repeat(np.cumsum(lev) - lev, lev) + 1
     size = np.uint64(-(-int(len(ids) * bits) // 8) * 8)
-    out = np.zeros(int(size), bool)
+    out, hashed = np.zeros(int(size), bool), mix(ids * _A + steps.astype(np.uint64) * _B)
     for j in range(HASHES):
-        if len(ids):
-            out[_bit(ids, steps, j, size).astype(np.int64)] = True
+        out[_bit(hashed, j, size).astype(np.int64)] = True
     return np.packbits(out, bitorder="little")
 
 
@@ -123,23 +156,33 @@ def _collect(segments: DataFrame, least: int, shift: int, buckets: int) -> Filte
 
 def _blocks(batches: Iterator[pa.RecordBatch], column: int, block: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """(rows as lists, tokens of them all, first token of each) for about `block` tokens at a time."""
-    rows, parts, size = [], [], 0
+    rows, texts, names, first, size = [], [], [], [], 0
 
-    def out():
-        sizes = np.array([len(p) for p in parts])
-        return rows, np.concatenate(parts), np.cumsum(sizes) - sizes
+    def name() -> int:
+        nonlocal texts
+        new, at = tokens(texts)
+        first.append(at + sum(map(len, names)))
+        names.append(new)
+        texts = []
+        return len(new)
 
+    letters = 0
     for batch in batches:
         others = [batch[k].to_pylist() for k in range(batch.num_columns) if k != column]
         for k, text in enumerate(batch[column]):
             rows.append([o[k] for o in others])
-            parts.append(tokens(text.as_py()))
-            size += len(parts[-1])
+            texts.append(text.as_py())
+            letters += len(texts[-1] or "") + 8
+            if letters < LETTERS:
+                continue
+            letters, size = 0, size + name()
             if size >= block:
-                yield out()
-                rows, parts, size = [], [], 0
+                yield rows, np.concatenate(names), np.concatenate(first)
+                rows, names, first, size = [], [], [], 0
+    if texts:
+        name()
     if rows:
-        yield out()
+        yield rows, np.concatenate(names), np.concatenate(first)
 
 
 @dataclass

@@ -76,7 +76,18 @@ def test_odd_rows(spark):
     assert len(small.words.data) + len(small.pairs.data) < 64 * 8
     model, counts = fit(d.limit(0))
     assert score(d, model, counts).count() == 6 and score(d.limit(0), model, counts).count() == 0
-    assert tokens(None).tolist() == [END] and len(pairs(tokens("a b"), np.array([0]))) == 3
+    assert tokens([None])[0].tolist() == [END] and len(pairs(*tokens(["a b"]))) == 3
+
+
+def test_names():
+    texts = ["A b", None, "", " b\x0bÄ a\x1c x", "a" * 3000 + " a"]
+    names, first = tokens(texts)
+    own = [split(t) for t in texts]
+    flat = [t for o in own for t in o]
+    assert len(names) == len(flat) and first.tolist() == [sum(map(len, own[:k])) for k in range(len(own))]
+    known = {}
+    assert all(known.setdefault(t, n) == n for t, n in zip(flat, names.tolist())) and len(set(known.values())) == len(known) and known[None] == END
+    assert tokens([])[0].tolist() == []
 
 
 def test_query(spark, sf):
