@@ -2,5 +2,12 @@
 
 from __future__ import annotations
 
+from brolga.plans import diarization, evaluation, frames, windows
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for module in (frames, windows, evaluation, diarization):
+    for name, (query, sql) in module.ALL.items():
+        QUERIES[name] = query
+        if sql:
+            ORACLES[name] = sql
