@@ -135,7 +135,7 @@ def split_list_column(df: DataFrame, column: str, n: int, prefix: str) -> DataFr
 
 
 def list_package(spark: SparkSession, path: str, token: str = r"(\d{3})") -> DataFrame:
-    """(path, ext, clip_index) of all files below a folder; contents are not read."""
+    """(path, ext, clip_index) of all files below a folder; contents are not read, empty files do not show."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
     return files.select("path", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("ext"), F.regexp_extract("path", token + r"[^/]*$", 1).try_cast("int").alias("clip_index"))
 
