@@ -196,3 +196,42 @@ def capture_windows(observations: DataFrame) -> DataFrame:
         return pd.DataFrame([(pdf.file_index.iloc[0], *r) for r in rows], columns=cols)
 
     return observations.select("file_index", *SEEN).groupBy("file_index").applyInPandas(one, CAPTURED)
+
+
+def discards(spans: DataFrame, seed: DataFrame, least: int = 2000) -> DataFrame:
+    """spans (file_index, start_ms, end_ms) with why they are left out: over a seed span, or too short; null if kept."""
+    from brolga.operators.diarize import coverage
+
+    rows = coverage(spans, seed, ["file_index"])
+    why = F.when(F.col("covered_ms") > 0, "seed overlap").when(F.col("end_ms") - F.col("start_ms") < least, "too short")
+    return rows.withColumn("why", why).drop("covered_ms")
+
+
+def anchored(spans: DataFrame, seed: str = "s_target", anti: str | None = "s_interviewer", least: float = 0.78, most: float = 0.50, margin: float = 0.15) -> DataFrame:
+    """spans with reason: 'accepted', or the first bound that their scores fail."""
+    far = F.when(F.col(anti) > most, "anti").when(F.col(seed) - F.col(anti) < margin, "margin") if anti else F.lit(None).cast("string")
+    return spans.withColumn("reason", F.coalesce(F.when(F.col(seed) < least, "seed"), far, F.lit("accepted")))
+
+
+def pool_warnings(pools: DataFrame, rise: float = 0.05, most: float = 0.05) -> DataFrame:
+    """pools (file_index, variance) with rising, against the file before, and wide."""
+    before = F.lag("variance").over(W.partitionBy("pool").orderBy("file_index"))
+    return pools.withColumns({"rising": F.coalesce(F.col("variance") - before > rise, F.lit(False)), "wide": F.col("variance") > most})
+
+
+def seed_checks(spans: DataFrame, least: int = 3000, open_share: float = 0.20) -> DataFrame:
+    """Seed spans (start_ms, end_ms, click_ms, other_open) with the first thing wrong with them, or 'ok'."""
+    why = (
+        F.when((F.col("click_ms") < F.col("start_ms")) | (F.col("click_ms") >= F.col("end_ms")), "click outside")
+        .when(F.col("end_ms") - F.col("start_ms") < least, "too short")
+        .when(F.col("other_open") > open_share, "other mouth open")
+        .otherwise("ok")
+    )
+    return spans.withColumn("check", why)
+
+
+def grow_pools(scores: DataFrame, least: float = 0.55) -> DataFrame:
+    """By file, what the pools hold after it: how many vectors and how long, over all files so far."""
+    taken = scores.where(F.col("sim") >= least).groupBy("file_index").agg(F.count("*").alias("n"), F.sum("duration_ms").alias("ms"))
+    so_far = W.orderBy("file_index").rowsBetween(W.unboundedPreceding, 0)
+    return taken.select("file_index", F.sum("n").over(so_far).alias("n"), F.sum("ms").over(so_far).alias("ms"))

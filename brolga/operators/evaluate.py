@@ -269,3 +269,13 @@ def loso_summary(aucs: DataFrame) -> DataFrame:
         .otherwise("SUBJECT-SPECIFIC")
     )
     return s.withColumn("verdict", verdict)
+
+
+def labelled_windows(windows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Windows of recordings on the clock of their clip, without baseline clips and clips that have no labels.
+
+    windows: (subject, clip, window_id, start_ms); labels: (subject, clip). The baseline is a subject's lowest clip.
+    """
+    clip, subject = W.partitionBy("subject", "clip"), W.partitionBy("subject")
+    rows = windows.withColumns({"local_ms": F.col("start_ms") - F.min("start_ms").over(clip), "_base": F.min("clip").over(subject)})
+    return rows.where("clip <> _base").drop("_base").join(labels.select("subject", "clip").distinct(), ["subject", "clip"], "left_semi")

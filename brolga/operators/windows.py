@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from brolga.functions.exprs import entropy, regularised, weighted_max, weighted_mean, weighted_min, weighted_var
+from brolga.functions.exprs import cosine, entropy, regularised, weighted_max, weighted_mean, weighted_min, weighted_var
 
 KEY = ["recording_id", "file_index"]
 
@@ -219,3 +219,20 @@ def chunk_plan(durations: DataFrame, longest: int = 60_000, overlap: int = 2_000
     return rows.withColumn("end_ms", F.least(F.col("start_ms") + longest, F.col("duration_ms")))
 
 
+
+
+def acoustic_block(latents: DataFrame, on: list[str], size: float = 2000.0, stride: float = 1000.0) -> DataFrame:
+    """Windows of latents (on, center_ms, latent): spread (root of the squared sample variances of the numbers), mean cosine step.
+
+    Both are null under two latents; steps are taken inside a window.
+    """
+    t = F.col("center_ms")
+    first = F.greatest(F.lit(0), F.floor((t - size) / stride) + 1)
+    rows = latents.withColumn("k", F.explode(F.sequence(first, F.floor(t / stride))))
+    inside = W.partitionBy(*on, "k").orderBy("center_ms")
+    before = F.lag("latent").over(inside)
+    steps = rows.withColumn("step", F.when(before.isNotNull(), 1 - cosine(F.col("latent"), before))).groupBy(*on, "k").agg(F.count("*").alias("n"), F.avg("step").alias("step"))
+    parts = rows.select(*on, "k", F.posexplode("latent").alias("d", "x")).groupBy(*on, "k", "d").agg(F.var_samp("x").alias("v"))
+    spread = parts.groupBy(*on, "k").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("spread"))
+    out = steps.join(spread, [*on, "k"])
+    return out.select(*on, "k", "n", F.when(F.col("n") > 1, F.col("spread")).alias("spread"), "step")

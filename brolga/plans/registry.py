@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from brolga.plans import diarization, evaluation, frames, windows
+from brolga.plans import diarization, evaluation, frames, more, windows
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for module in (frames, windows, evaluation, diarization):
+for module in (frames, windows, evaluation, diarization, more):
     for name, (query, sql) in module.ALL.items():
         QUERIES[name] = query
         if sql:
