@@ -18,12 +18,14 @@ from brolga.llm.common import materialize, table
 BASE = 1.25
 LEAST = {1: 1, 2: 2}
 #: Bits and hash functions for each n-gram and level; the filter never grows beyond MOST_BYTES (then with fewer bits each).
-BITS, HASHES, MOST_BYTES = 12, 6, 256 << 20
+BITS, HASHES, MOST_BYTES = 12, 4, 256 << 20
 #: Levels of a word told apart in how far what follows it is trusted, and cells of log2 ratios that are counted for that.
 LEVELS, CELLS = 96, 128
 #: Frequent words whose exact counts are broadcast for the base score; the others are joined.
 HEAD = 1 << 18
-BLOCK, BUCKET = 1 << 19, 1 << 19
+BLOCK, BUCKET = 1 << 20, 1 << 19
+#: High levels that a worker remembers.
+KNOWN = 1 << 19
 #: Letters whose words are named together.
 LETTERS = 1 << 19
 #: What stands for the end of a text, and before its first word.
@@ -112,22 +114,41 @@ class Filter:
     start: np.ndarray
     size: np.ndarray
     data: np.ndarray
+    #: Names at high levels, which take most probes, in order, and their levels: what a worker has found so far.
+    known: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
     def levels(self, ids: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(ids), np.int64)
-        bucket = (ids >> np.uint64(self.shift)).astype(np.int64)
-        live = np.flatnonzero(self.size[bucket] > 0)
-        seed, start, size, lev = ids[live] * _A, self.start[bucket[live]], self.size[bucket[live]], 1
+        out, live, lev = np.zeros(len(ids), np.int64), np.argsort(ids), 1  # in order, so that probes stay in one part at a time
+        bucket = (ids[live] >> np.uint64(self.shift)).astype(np.int64)
+        some = self.size[bucket] > 0
+        live, bucket = live[some], bucket[some]
+        seed, start, size = ids[live] * _A, self.start[bucket], self.size[bucket]
         while len(live):
-            hashed, still = mix(seed + np.uint64(lev * int(_B) % (1 << 64))), np.arange(len(live))
+            hashed = mix(seed + np.uint64(lev * int(_B) % (1 << 64)))
             for j in range(HASHES):
-                at = _bit(hashed[still], j, size[still]) + start[still]
-                still = still[(self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
-            live, seed, start, size = live[still], seed[still], start[still], size[still]
+                at = _bit(hashed, j, size) + start
+                yes = (self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                live, seed, start, size, hashed = live[yes], seed[yes], start[yes], size[yes], hashed[yes]
             out[live] = lev
             lev += 1
         return out
 
+    def levels_again(self, ids: np.ndarray) -> np.ndarray:
+        """levels(ids), for names of which many come again and again."""
+        names, found = self.known
+        at = np.minimum(np.searchsorted(names, ids), max(len(names) - 1, 0))
+        hit = names[at] == ids if len(names) else np.zeros(len(ids), bool)
+        out = np.zeros(len(ids), np.int64)
+        out[hit] = found[at[hit]]
+        new = np.flatnonzero(~hit)
+        out[new] = self.levels(ids[new])
+        high = new[out[new] > 2]
+        if len(high) and len(names) + len(high) <= KNOWN:
+            names, found = np.r_[names, ids[high]], np.r_[found, out[high]]
+            order = np.argsort(names)
+            self.known = names[order], found[order]
+        return out
+
     def counts(self, ids: np.ndarray) -> np.ndarray:
         return count_of(self.levels(ids), self.least)
 
@@ -197,7 +218,7 @@ class Model:
     def parts(self, names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
         """For each token: its count, the level and count of the token before it, the count of both together."""
         code, kind = pd.factorize(names)
-        lev = self.words.levels(single(kind))
+        lev = self.words.levels_again(single(kind))
         end = self.words.levels(single(np.array([END], np.uint64)))
         lev = lev[code]
         past = np.r_[end, lev[:-1]]
