@@ -9,7 +9,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brolga.llm.common import table
+from brolga.llm.common import table, worker_cache
 
 WINDOW = 10
 #: The test strings are searched in blocks of about this many words, so that what is broadcast stays small.
@@ -84,6 +84,7 @@ def build(items: list[tuple[int | None, str | None]], window: int) -> list[WuMan
 
 def _search(tables: Broadcast):
     def search(texts: pd.Series) -> pd.DataFrame:
+        worker_cache("decontaminate")
         counts, hits, ids = [], [], []
         for text in texts:
             text = words(text)

@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brolga.llm.common import table
+from brolga.llm.common import release, small_batches, table, worker_cache
 
 ORDER = 4
 #: Labelled rows of a language that the models are fitted on (about; all, if there are fewer). Every tenth calibrates.
@@ -24,7 +24,7 @@ EVIDENCE = 50
 UNKNOWN = "und"
 _SPACE = 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_CHARS = 1 << 20
+_CHARS = 1 << 18
 
 
 def _power(n: int) -> np.uint64:
@@ -32,15 +32,13 @@ def _power(n: int) -> np.uint64:
     return np.uint64(pow(int(_MIX), n, 1 << 64))
 
 
-_letters: list[np.ndarray] = []
-
-
 def _letter_table() -> np.ndarray:
-    if not _letters:
+    kept = worker_cache("language")
+    if not kept:
         points = np.arange(0x110000, dtype=np.uint32)
         points[[not chr(i).isalpha() for i in range(0x110000)]] = _SPACE
-        _letters.append(points)
-    return _letters[0]
+        kept["letters"] = points
+    return kept["letters"]
 
 
 def letters(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -200,6 +198,7 @@ def fit(labelled: DataFrame, order: int = ORDER, rows: int = ROWS) -> Models:
     with under 20 such rows takes those of all, and nothing is rejected if these are under 20. Labels are taken to be few.
     """
     spark = labelled.sparkSession
+    small_batches(spark)
     known = labelled.select("text", "lang").where("text is not null and lang is not null")
     sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
     if not sizes:
@@ -243,6 +242,7 @@ def _predict(sent: Broadcast):
                 off = low > mean + bound * np.sqrt(base + slope / np.maximum(n, 1))
             names = np.array(model.languages, object)[best]
             out.append(pd.DataFrame({"lang": names, "score": 1 / weight.sum(1), "bits": low, "n": n, "rejected": off}))
+        release()
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"lang": [], "score": [], "bits": [], "n": [], "rejected": []})
 
     return F.pandas_udf(predict, "struct<lang string, score double, bits double, n long, rejected boolean>")

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brolga.llm.common import table
+from brolga.llm.common import table, worker_cache
 
 #: License texts and the short notices that stand for them, by SPDX identifier.
 TEMPLATES = {
@@ -147,13 +147,11 @@ class Scanner:
         return [row for _, (_, row) in sorted(best.items())]
 
 
-_scanners: list[Scanner] = []
-
-
 def _scan(texts: pd.Series) -> pd.Series:
-    if not _scanners:
-        _scanners.append(Scanner())
-    return pd.Series([_scanners[0].scan(t) for t in texts])
+    kept = worker_cache("licences")
+    if not kept:
+        kept["scanner"] = Scanner()
+    return pd.Series([kept["scanner"].scan(t) for t in texts])
 
 
 def scan_licences(docs: DataFrame) -> DataFrame:

@@ -12,12 +12,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brolga.llm.common import table
+from brolga.llm.common import table, worker_cache
 
 WINDOW = 35
 ROUNDS = 3
 #: Words that one task names and compares at a time.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -133,6 +133,7 @@ def _name(window: int, block: int):
             yield rows(np.flatnonzero(again), np.full(len(starts), FOUND), keys.view(np.uint64), False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("recompress")
         key, parts, size, digest = [], [], 0, xxhash.xxh64_intdigest
         for batch in batches:
             for k, text in zip(batch[0].to_pylist(), batch[1]):

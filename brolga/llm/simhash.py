@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brolga.llm.common import components, materialize, table
+from brolga.llm.common import components, materialize, table, worker_cache
 
 SHINGLE = 4
 SEED = 42
@@ -44,22 +44,25 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def _remainder(word: np.ndarray) -> np.ndarray:
+    for bit in range(22, 10, -1):
+        word = word ^ np.where(word >> bit & 1, np.int32(_GENERATOR << (bit - 11)), np.int32(0))
+    return word
+
+
 class Golay:
     """The perfect [23,12] code: any word lies within 3 bits of exactly one codeword, whose top 12 bits are its index."""
 
     def __init__(self):
-        remainder = np.arange(1 << 23, dtype=np.int32)
-        for bit in range(22, 10, -1):
-            remainder ^= np.where(remainder >> bit & 1, np.int32(_GENERATOR << (bit - 11)), np.int32(0))
-        #: Syndrome of the parts of a word: the code is linear, so the syndromes of parts add up.
-        self.low, self.high = remainder[: 1 << 12].copy(), remainder[:: 1 << 12].copy()
         patterns = [sum(1 << b for b in bits) for k in range(6) for bits in combinations(range(23), k)]
         errors = np.array(patterns, np.int32)
-        weight = np.bitwise_count(errors).astype(np.int32)
-        order = np.lexsort((weight, remainder[errors]))
+        weight, syndrome = np.bitwise_count(errors).astype(np.int32), _remainder(errors)
+        order = np.lexsort((weight, syndrome))
         #: Error patterns of up to 5 bits by syndrome, lightest first: from a word they lead to the codewords near it.
         self.errors, self.weight = errors[order], weight[order]
-        self.start = np.searchsorted(remainder[errors][order], np.arange(2049))
+        self.start = np.searchsorted(syndrome[order], np.arange(2049))
+        #: Syndromes of the parts of a word: the code is linear, so they add up.
+        self.low, self.high = _remainder(np.arange(1 << 12, dtype=np.int32)), _remainder(np.arange(1 << 11, dtype=np.int32) << 12)
 
     def near(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row of word, index of codeword, bits beyond 3) of each codeword within 5 bits of a word, the nearest one first."""
@@ -70,9 +73,6 @@ class Golay:
         return row, (word[row] ^ self.errors[at]) >> 11, np.maximum(self.weight[at] - 3, 0)
 
 
-_golay: list[Golay] = []
-
-
 def keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, key, own) of the keys of fingerprints: two that differ in up to 4 bits share a key that is own to one of them.
 
@@ -81,9 +81,10 @@ def keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     side is within 3 + e bits of the other, so every fingerprint takes as further keys the codewords of two segments that
     lie at most 2 bits beyond 3 together; only those greater than the own key are needed, as the other side has the rest.
     """
-    if not _golay:
-        _golay.append(Golay())
-    near = [_golay[0].near(((fingerprints >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int32)) for at, n in SEGMENTS]
+    kept = worker_cache("simhash")
+    if not kept:
+        kept["code"] = Golay()
+    near = [kept["code"].near(((fingerprints >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int32)) for at, n in SEGMENTS]
     rows, found, owned = [], [], []
     for k, (a, b) in enumerate(combinations(range(len(SEGMENTS)), 2)):
         (row_a, code_a, over_a), (row_b, code_b, over_b) = near[a], near[b]

@@ -8,6 +8,8 @@ from itertools import repeat
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
+from brolga.llm.common import worker_cache
+
 #: A byte-level pre-tokenizer never joins what stands on both sides of such a border, so chunks can be encoded alone.
 _CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: White space about which regular expression engines differ: texts with it are encoded whole.
@@ -16,7 +18,7 @@ _UNSURE = re.compile("[\x1c-\x1f\x85 ᠎ -‏ -  -⁯　﻿]")
 _LETTERS, _NUMBERS, _LATIN = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe", "ɐ"
 _PIECE = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+")
 #: What a worker remembers: so many words with what touches them, so many pieces of the pre-tokenizer, none longer than this.
-WORDS, PIECES, LONGEST = 300_000, 400_000, 48
+WORDS, PIECES, LONGEST = 250_000, 300_000, 48
 
 
 def _byte_letters() -> dict[int, str]:
@@ -36,15 +38,15 @@ class Rough(Exception):
 class Words(dict):
     """ids by word as it stands between two spaces, or at the start of a line without the space before it."""
 
-    def __init__(self, lead: str, chunk):
+    def __init__(self, lead: str, chunk, most: int):
         super().__init__()
-        self.lead, self.chunk = lead, chunk
+        self.lead, self.chunk, self.most = lead, chunk, most
 
     def __missing__(self, word: str) -> bytes:
         if not word or word[0].isspace() or word[-1].isspace():
             raise Rough
         ids = self.chunk(self.lead + word)
-        if len(self) < WORDS and len(word) <= LONGEST:
+        if len(self) < self.most and len(word) <= LONGEST:
             self[word] = ids
         return ids
 
@@ -59,7 +61,7 @@ class Encoder:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.pieces: dict[str, bytes] = {}
-        self.first, self.later = Words("", self.chunk), Words(" ", self.chunk)
+        self.first, self.later = Words("", self.chunk, WORDS // 5), Words(" ", self.chunk, WORDS)
 
     def whole(self, text: str) -> bytes:
         return b"".join(map(int.to_bytes, self.tokenizer.encode(text, add_special_tokens=False).ids, repeat(4), repeat("little")))
@@ -95,11 +97,9 @@ class Encoder:
             return b"".join(map(self.chunk, _CHUNK.findall(text)))
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """The worker's own encoder for a tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    kept = worker_cache("tokens")
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from brolga.llm.common import materialize, table
+from brolga.llm.common import materialize, small_batches, table
 from brolga.llm.decontaminate import decontaminate
 from brolga.llm.language import fit, held_out, predict
 from brolga.llm.packing import pack
@@ -17,6 +17,7 @@ from brolga.llm.simhash import near_duplicates
 
 def _wrapped(docs: DataFrame) -> DataFrame:
     """Documents as (doc_id, text, _doc): whatever other columns they have, an operator's own cannot clash with them."""
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text", F.struct(*docs.columns).alias("_doc"))
 
 
