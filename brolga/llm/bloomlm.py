@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
+import pyarrow.compute as pc
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from brolga.llm.common import materialize, table
 #: A count c >= least is kept as level 1 + floor(log(c / least) / log(BASE)).
 BASE = 1.25
 LEAST = {1: 1, 2: 2}
-#: Bits and hash functions for each n-gram and level; the filter never grows beyond MOST_BYTES (then with fewer bits each).
+#: Bits and hash functions for each n-gram and level; filters of more than MOST_BYTES are not broadcast, but asked by shuffle.
 BITS, HASHES, MOST_BYTES = 12, 4, 256 << 20
 #: Levels of a word told apart in how far what follows it is trusted, and cells of log2 ratios that are counted for that.
 LEVELS, CELLS = 96, 128
@@ -28,6 +29,8 @@ BLOCK, BUCKET = 1 << 19, 1 << 19
 KNOWN = 1 << 19
 #: Letters whose words are named together.
 LETTERS = 1 << 19
+#: Letters of the texts that share the answers of filters asked by shuffle.
+SHARE = 1 << 22
 #: What stands for the end of a text, and before its first word.
 END = 0x0E4D
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -165,6 +168,34 @@ def segment(ids: np.ndarray, count: np.ndarray, least: int, bits: float) -> np.n
     return np.packbits(out, bitorder="little")
 
 
+@dataclass
+class Answers:
+    """Levels of names, as the filters said where they lie."""
+
+    least: int
+    ids: np.ndarray
+    found: np.ndarray
+
+    def levels(self, ids: np.ndarray) -> np.ndarray:
+        return self.found[np.searchsorted(self.ids, ids)]
+
+    levels_again = levels
+
+    def counts(self, ids: np.ndarray) -> np.ndarray:
+        return count_of(self.levels(ids), self.least)
+
+
+def _pack(ids: np.ndarray) -> bytes:
+    return ids.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    ids = np.zeros((len(raw), 8), np.uint8)
+    ids[:, :6] = raw
+    return ids.view("<u8").ravel()
+
+
 def _collect(segments: DataFrame, least: int, shift: int, buckets: int) -> Filter:
     rows = segments.toArrow().sort_by("bucket")
     size = np.zeros(buckets, np.uint64)
@@ -210,10 +241,12 @@ def _blocks(batches: Iterator[pa.RecordBatch], column: int, block: int) -> Itera
 class Model:
     tokens: int
     kinds: int
-    words: Filter
-    pairs: Filter
+    words: Filter | Answers
+    pairs: Filter | Answers
     #: By level of the word before: the weight of the counts of pairs beside that of single words.
     trust: np.ndarray
+    #: Filters too large to broadcast, as a written table (least, bucket, data); then words and pairs are empty.
+    shelf: DataFrame | None = None
 
     def parts(self, names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
         """For each token: its count, the level and count of the token before it, the count of both together."""
@@ -254,6 +287,134 @@ def trusts(n: np.ndarray, rounds: int = 50) -> np.ndarray:
     return trust
 
 
+def _numbered(letters: int):
+    """Rows with the block of about so many letters, of their partition, that they belong to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, size = TaskContext.get().partitionId() << 40, 0
+        for batch in batches:
+            length = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 8
+            past = size + np.cumsum(length) - length
+            size += int(length.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(before + past // letters), *batch.columns], ["block", *batch.schema.names])
+
+    return run
+
+
+def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Stretches of rows that are equal in all of names."""
+    for batch in batches:
+        same = np.zeros(max(batch.num_rows - 1, 0), bool)
+        for x in names:
+            value = batch[x].to_numpy()
+            same |= value[1:] != value[:-1]
+        cut = np.r_[0, np.flatnonzero(same) + 1, batch.num_rows].tolist()
+        yield from (batch.slice(a, b - a) for a, b in zip(cut[:-1], cut[1:], strict=True) if b > a)
+
+
+def _asks(shift: int):
+    """What the texts of a block ask of each bucket of the filters: rows (least, bucket, block, data), names of 6 bytes."""
+
+    def put(block: int, texts: list) -> Iterator[pa.RecordBatch]:
+        names, first = tokens(texts)
+        for least, ids in ((LEAST[1], single(np.append(np.unique(names), np.uint64(END)))), (LEAST[2], pairs(names, first))):
+            ids = np.unique(ids)
+            bucket = (ids >> np.uint64(shift)).astype(np.int32)
+            cut = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(ids)].tolist()
+            data = pa.array([_pack(ids[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+            n = len(cut) - 1
+            yield pa.record_batch({"least": np.full(n, least, np.int32), "bucket": bucket[cut[:-1]], "block": np.full(n, block), "data": data})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, texts = None, []
+        for part in _groups(batches, ["block"]):
+            block = part["block"][0].as_py()
+            if block != last and texts:
+                yield from put(last, texts)
+                texts = []
+            last = block
+            texts += part["text"].to_pylist()
+        if texts:
+            yield from put(last, texts)
+
+    return run
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by bucket, its filter (block null) before what is asked of it; gives (block, least, data, found)."""
+    at, own = None, None
+    for part in _groups(batches, ["least", "bucket"]):
+        here = part["least"][0].as_py(), part["bucket"][0].as_py()
+        if here != at:
+            at, own = here, None
+        if part["block"][0].as_py() is None:
+            data = np.frombuffer(part["data"][0].as_py(), np.uint8)
+            own = Filter(here[0], 48, np.zeros(1, np.uint64), np.array([8 * len(data)], np.uint64), data)
+            part = part.slice(1)
+        if not part.num_rows:
+            continue
+        data = part["data"].to_pylist()
+        ids, cut = _unpack(b"".join(data)), np.cumsum([len(x) // 6 for x in data])[:-1]
+        found = own.levels(ids) if own else np.zeros(len(ids), np.int64)
+        told = pa.array([x.astype("<u2").tobytes() for x in np.split(found, cut)], pa.binary())
+        yield pa.RecordBatch.from_arrays([part["block"], part["least"], part["data"], told], ["block", "least", "data", "found"])
+
+
+def _asked(rows: DataFrame, model: Model, letters: int) -> DataFrame:
+    """rows, with text, in blocks sorted so that each begins with the answers of the filters to what it asks.
+
+    A block asks for each of its names once, by shuffle to the bucket that knows it, and the answers go back in a second
+    one; so no task holds more than one bucket's filter and a block's names, however large the corpus is.
+    """
+    buckets = len(model.words.size)
+    shift = 48 - (buckets.bit_length() - 1)
+    schema = "block long, " + ", ".join(f"{n} {t}" for n, t in rows.dtypes)
+    own = materialize(rows.mapInArrow(_numbered(letters), schema))
+    asks = own.select("block", "text").mapInArrow(_asks(shift), "least int, bucket int, block long, data binary")
+    asks = asks.unionByName(model.shelf.withColumn("block", F.lit(None).cast("long")))
+    dealt = asks.repartition("least", "bucket").sortWithinPartitions("least", "bucket", F.asc_nulls_first("block"))
+    told = dealt.mapInArrow(_answers, "block long, least int, data binary, found binary")
+    both = told.unionByName(own, allowMissingColumns=True).select("block", "least", "data", "found", *rows.columns)
+    return both.repartition("block").sortWithinPartitions("block", F.asc_nulls_last("least"))
+
+
+def _told(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[Model, list, np.ndarray, np.ndarray]]:
+    """(model with the answers, rows as lists, tokens, first tokens) for each block of _asked."""
+    last, answers, rows, texts = None, [], [], []
+
+    def put():
+        held = {}
+        for least in LEAST.values():
+            ids = np.concatenate([np.zeros(0, np.uint64), *(_unpack(x) for k, x, _ in answers if k == least)])
+            found = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, "<u2").astype(np.int64) for k, _, x in answers if k == least)])
+            order = np.argsort(ids, kind="stable")
+            held[least] = Answers(least, ids[order], found[order])
+        return replace(model, words=held[LEAST[1]], pairs=held[LEAST[2]]), rows, *tokens(texts)
+
+    for part in _groups(batches, ["block"]):
+        block = part["block"][0].as_py()
+        if block != last and rows:
+            yield put()
+        if block != last:
+            last, answers, rows, texts = block, [], [], []
+        others = [part[k].to_pylist() for k in range(4, part.num_columns) if part.schema.names[k] != "text"]
+        for k, (least, data, found, text) in enumerate(zip(*(part[x].to_pylist() for x in ("least", "data", "found", "text")), strict=True)):
+            if least is not None:
+                answers.append((least, data, found))
+            else:
+                rows.append([o[k] for o in others])
+                texts.append(text)
+    if rows:
+        yield put()
+
+
+def _scored(batches: Iterator[pa.RecordBatch], model: Model, column: int, asked: bool) -> Iterator[tuple[Model, list, np.ndarray, np.ndarray]]:
+    if asked:
+        yield from _told(batches, model)
+    else:
+        yield from ((model, *x) for x in _blocks(batches, column, BLOCK))
+
+
 def _held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
 
@@ -263,8 +424,9 @@ def fit(texts: DataFrame, most_bytes: int = MOST_BYTES, bucket: int = BUCKET) ->
 
     Words are counted by hash in Spark. Pairs of neighbours go, 48 bits each, to buckets by their leading bits, where they
     are counted and become that bucket's part of the filter at once; those seen once are left to the single words. Buckets
-    follow the corpus in number, so each stays small. Only the finished filters come to the driver, never more than
-    most_bytes: beyond, all n-grams share what there is, with fewer bits each and so more false counts, none left out.
+    follow the corpus in number, so each stays small. Finished filters of up to most_bytes come to the driver and are
+    broadcast; larger ones stay a written table, and texts ask them by shuffle (_asked). The filters and so the scores are
+    the same either way, BITS for each n-gram and level.
     How far pairs are trusted is set last, in one more pass that scores each training token without itself.
     """
 
@@ -330,40 +492,42 @@ def fit(texts: DataFrame, most_bytes: int = MOST_BYTES, bucket: int = BUCKET) ->
 
     said = texts.select("text").mapInArrow(neighbours, "bucket int, ids binary").repartition("bucket").sortWithinPartitions("bucket")
     kept = counts.select("h", "n").mapInArrow(bucketed, "bucket int, h long, n long").repartition("bucket").sortWithinPartitions("bucket")
-    bits = min(BITS, 8 * most_bytes / 2 / max(1, total.v * 2))
-    one = kept.mapInArrow(built(counted, LEAST[1], bits), "bucket int, data binary")
+    one = materialize(kept.mapInArrow(built(counted, LEAST[1], BITS), "bucket int, data binary"))
     two = materialize(said.mapInArrow(built(packed, LEAST[2], BITS), "bucket int, data binary"))
-    size = two.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
-    if size > most_bytes / 2:
-        two = said.mapInArrow(built(packed, LEAST[2], BITS * most_bytes / 2 / size), "bucket int, data binary")
+    size = sum(x.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0] for x in (one, two))
+    shelf = None
+    if size > most_bytes:
+        shelf = one.withColumn("least", F.lit(LEAST[1])).union(two.withColumn("least", F.lit(LEAST[2])))
+        one, two = one.limit(0), two.limit(0)
     model = Model(total.n, total.v, _collect(one, LEAST[1], shift, buckets), _collect(two, LEAST[2], shift, buckets), np.zeros(LEVELS))
     sent = texts.sparkSession.sparkContext.broadcast(model)
+    model.shelf = shelf
+    asked = shelf is not None
+    texts = _asked(texts.select("text"), model, SHARE) if asked else texts.select("text")
 
     def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(LEVELS * CELLS, np.int64)
-        for _, names, first in _blocks(batches, 0, BLOCK):
-            past, cell = sent.value.left_out(names, first)
+        for own, _, names, first in _scored(batches, sent.value, 0, asked):
+            past, cell = own.left_out(names, first)
             n += np.bincount(past * CELLS + cell, minlength=len(n))
         yield pa.record_batch({"cell": np.flatnonzero(n), "n": n[n > 0]})
 
-    cells = texts.select("text").mapInArrow(ratios, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    cells = texts.mapInArrow(ratios, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     n = np.zeros(LEVELS * CELLS)
     n[cells.cell.to_numpy(np.int64)] = cells.n
     model.trust = trusts(n.reshape(LEVELS, CELLS))
     return model, counts
 
 
-def _apply(sent: Broadcast, head: Broadcast):
+def _apply(sent: Broadcast, head: Broadcast, asked: bool):
     schema = pa.schema(
         [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]
         + [("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         model, (frequent, logs), row = sent.value, head.value, TaskContext.get().partitionId() << 40
-        for rows, names, first in _blocks(batches, 2, BLOCK):
+        for model, rows, names, first in _scored(batches, model, 2, asked):
             n = np.diff(np.r_[first, len(names)])
             doc = np.repeat(np.arange(len(rows)), n)
             score = np.bincount(doc, model.log10(names, first), len(rows))
@@ -403,11 +567,12 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, head: int = HEAD) ->
     total = model.tokens + model.kinds + 1
     names = frequent["h"].to_numpy().view(np.uint64)
     order = np.argsort(names)
-    sent = spark.sparkContext.broadcast(model)
+    sent, asked = spark.sparkContext.broadcast(replace(model, shelf=None)), model.shelf is not None
     known = spark.sparkContext.broadcast((names[order], np.log10((frequent["n"].to_numpy()[order] + 1) / total)))
+    docs = docs.select("doc_id", "held_out", "text")
     first = materialize(
-        docs.select("doc_id", "held_out", "text").mapInArrow(
-            _apply(sent, known),
+        (_asked(docs, model, SHARE) if asked else docs).mapInArrow(
+            _apply(sent, known, asked),
             "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, times array<int>",
         )
     )

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 
+from brolga.llm import bloomlm
 from brolga.llm.bloomlm import CELLS, END, LEVELS, Filter, count_of, fit, level, op4_bloomlm, pairs, score, segment, tokens, trusts
 
 
@@ -101,3 +102,16 @@ def test_query(spark, sf):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[r.doc_id], *w[:3]) and abs(r.base_score - w[3]) < 1e-6 * abs(w[3])
     held = [r for r in rows if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_filters_too_large_to_broadcast_score_the_same(spark, monkeypatch):
+    rnd = np.random.default_rng(11)
+    texts = [" ".join(f"w{x}" for x in rnd.zipf(1.3, 400).clip(1, 3000)) for _ in range(60)] + [None, "", "x y " * 3000]
+    d = spark.createDataFrame([(k, t, k % 5 == 0) for k, t in enumerate(texts)], "doc_id long, text string, held_out boolean").repartition(3)
+    got = []
+    for most, share in ((1 << 28, 1), (64, 1 << 22), (64, 3000)):
+        monkeypatch.setattr(bloomlm, "SHARE", share)
+        model, counts = fit(d.where("not held_out"), most_bytes=most, bucket=1000)
+        assert (model.shelf is None) == (most > 64)
+        got.append((model.trust.tolist(), sorted(map(tuple, score(d, model, counts).collect()))))
+    assert len(got[0][1]) == len(texts) and got[0] == got[1] == got[2]
