@@ -415,6 +415,23 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model, column: int, asked:
         yield from ((model, *x) for x in _blocks(batches, column, BLOCK))
 
 
+def _neighbours(shift: int, buckets: int, block: int = BLOCK):
+    """Pairs of each block of tokens as rows (bucket, ids, n): the ids of a bucket, each once, and how often each stands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, names, first in _blocks(batches, 0, block):
+            ids, n = np.unique(pairs(names, first), return_counts=True)
+            cut = np.searchsorted(ids, np.arange(buckets, dtype=np.uint64) << np.uint64(shift))
+            cut = np.r_[cut, len(ids)]
+            packed, times = _pack(ids), n.astype("<u4").tobytes()
+            b = np.flatnonzero(np.diff(cut))
+            of = [(cut[k], cut[k + 1]) for k in b.tolist()]
+            data = [pa.array([x[w * i : w * j] for i, j in of], pa.binary()) for x, w in ((packed, 6), (times, 4))]
+            yield pa.record_batch({"bucket": b.astype(np.int32), "ids": data[0], "n": data[1]})
+
+    return run
+
+
 def _held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
 
@@ -422,8 +439,8 @@ def _held_out() -> Column:
 def fit(texts: DataFrame, most_bytes: int = MOST_BYTES, bucket: int = BUCKET) -> tuple[Model, DataFrame]:
     """The model of all texts (column text) and the exact counts (h, n) of their tokens as a written table.
 
-    Words are counted by hash in Spark. Pairs of neighbours go, 48 bits each, to buckets by their leading bits, where they
-    are counted and become that bucket's part of the filter at once; those seen once are left to the single words. Buckets
+    Words are counted by hash in Spark. Pairs of neighbours go, each once from a block of tokens with its count there, to
+    buckets by their leading bits, where they are added up and become that bucket's part of the filter at once; those seen once are left to the single words. Buckets
     follow the corpus in number, so each stays small. Finished filters of up to most_bytes come to the driver and are
     broadcast; larger ones stay a written table, and texts ask them by shuffle (_asked). The filters and so the scores are
     the same either way, BITS for each n-gram and level.
@@ -440,15 +457,6 @@ def fit(texts: DataFrame, most_bytes: int = MOST_BYTES, bucket: int = BUCKET) ->
     power = max(6, int(np.ceil(np.log2(max(1, total.n / bucket)))))
     shift, buckets = 48 - power, 1 << power
 
-    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, names, first in _blocks(batches, 0, BLOCK):
-            ids, n = np.unique(pairs(names, first), return_counts=True)
-            ids = np.repeat(ids, np.minimum(n, 255) if n.max() < 256 else n)
-            cut = np.searchsorted(ids, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(shift))
-            packed = ids.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-            b = np.flatnonzero(np.diff(cut))
-            yield pa.record_batch({"bucket": b.astype(np.int32), "ids": pa.array([packed[6 * cut[k] : 6 * cut[k + 1]] for k in b.tolist()], pa.binary())})
-
     def built(of_rows, least: int, bits: float):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: dict[int, list] = {}
@@ -471,11 +479,8 @@ def fit(texts: DataFrame, most_bytes: int = MOST_BYTES, bucket: int = BUCKET) ->
         return run
 
     def packed(batch: pa.RecordBatch):
-        for k, data in zip(batch["bucket"].to_pylist(), batch["ids"]):
-            raw = np.frombuffer(data.as_py(), np.uint8).reshape(-1, 6)
-            ids = np.zeros((len(raw), 8), np.uint8)
-            ids[:, :6] = raw
-            yield k, (ids.view("<u8").ravel(), np.ones(len(ids), np.int64))
+        for k, data, n in zip(batch["bucket"].to_pylist(), batch["ids"], batch["n"]):
+            yield k, (_unpack(data.as_py()), np.frombuffer(n.as_py(), "<u4"))
 
     def counted(batch: pa.RecordBatch):
         b = batch["bucket"].to_numpy()
@@ -490,7 +495,7 @@ def fit(texts: DataFrame, most_bytes: int = MOST_BYTES, bucket: int = BUCKET) ->
             ids = single(batch["h"].to_numpy().view(np.uint64))
             yield pa.record_batch({"bucket": (ids >> np.uint64(shift)).astype(np.int32), "h": batch["h"], "n": batch["n"]})
 
-    said = texts.select("text").mapInArrow(neighbours, "bucket int, ids binary").repartition("bucket").sortWithinPartitions("bucket")
+    said = texts.select("text").mapInArrow(_neighbours(shift, buckets), "bucket int, ids binary, n binary").repartition("bucket").sortWithinPartitions("bucket")
     kept = counts.select("h", "n").mapInArrow(bucketed, "bucket int, h long, n long").repartition("bucket").sortWithinPartitions("bucket")
     one = materialize(kept.mapInArrow(built(counted, LEAST[1], BITS), "bucket int, data binary"))
     two = materialize(said.mapInArrow(built(packed, LEAST[2], BITS), "bucket int, data binary"))

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from brolga.llm import bloomlm
 from brolga.llm.bloomlm import CELLS, END, LEVELS, Filter, count_of, fit, level, op4_bloomlm, pairs, score, segment, tokens, trusts
@@ -115,3 +116,12 @@ def test_filters_too_large_to_broadcast_score_the_same(spark, monkeypatch):
         assert (model.shelf is None) == (most > 64)
         got.append((model.trust.tolist(), sorted(map(tuple, score(d, model, counts).collect()))))
     assert len(got[0][1]) == len(texts) and got[0] == got[1] == got[2]
+
+
+def test_hot_pair_is_sent_once_from_a_block():
+    texts = pa.record_batch({"text": ["a b", "x " * 100000, "a b"]})
+    rows = [r for b in bloomlm._neighbours(42, 64)(iter([texts])) for r in b.to_pylist()]
+    ids = np.concatenate([bloomlm._unpack(r["ids"]) for r in rows])
+    n = np.concatenate([np.frombuffer(r["n"], "<u4") for r in rows])
+    want = Counter(p for t in ("a b", "x " * 100000, "a b") for p in pairs(*tokens([t])).tolist())
+    assert len(ids) == len(want) == 6 and dict(zip(ids.tolist(), n.tolist())) == want and all(i >> 42 == r["bucket"] for r in rows for i in bloomlm._unpack(r["ids"]).tolist())
