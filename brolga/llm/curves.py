@@ -50,23 +50,32 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _keys(size: int, largest: float, usual: float, curves: int, dims: int, bits: int):
-    """Rows (curve, key, id, q) of (id, q, v). The longest vector bounds all: one more dimension makes candidates equally
-    long, so that the nearest are those of the largest inner product; queries have 0 there."""
+def _keys(size: int, longest: dict[int, float], small: set[int], curves: int, dims: int, bits: int):
+    """Rows (curve, key, id, q) of (id, q, v, r). Candidates of a range r of norms have curves of their own, on which its
+    longest vector bounds them: one more dimension makes them equally long, so that the nearest are those of the largest
+    inner product. Queries lie on the curves of all ranges, as long as the candidates there, with 0 in that dimension.
+    Ranges in small need one curve only."""
+    first = {r: k * curves for k, r in enumerate(sorted(longest))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rnd = np.random.default_rng(SEED)
         bases = [(np.linalg.qr(rnd.normal(size=(size + 1, min(dims, size + 1))))[0], rnd.random(min(dims, size + 1))) for _ in range(curves)]
-        reach = 3.5 * usual / np.sqrt(size + 1)
+        reach = 3.5 / np.sqrt(size + 1)
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                q, v = part["q"].to_numpy(zero_copy_only=False), _matrix(part["v"])
-                more = np.where(q, 0.0, np.sqrt(np.maximum(0.0, largest**2 - (v**2).sum(1))))
-                v = np.c_[v, more]
+                q, v, r = part["q"].to_numpy(zero_copy_only=False), _matrix(part["v"]), part["r"].to_numpy()
+                norm = np.sqrt((v**2).sum(1))
+                most = np.where(q, norm, [longest[k] for k in r.tolist()])
+                v = v / most[:, None]
+                v = np.c_[v, np.where(q, 0.0, np.sqrt(np.maximum(0.0, 1 - (norm / most) ** 2)))]
+                here = {k: np.flatnonzero(q | (r == k)) for k in longest if q.any() or (r == k).any()}
                 for c, (basis, shift) in enumerate(bases):
                     cells = (np.clip((v @ basis / reach + 1) / 2, 0, 1) + shift) / 2 * ((1 << bits) - 1)
-                    yield pa.record_batch({"curve": np.full(len(q), c, np.int32), "key": hilbert(cells, bits), "id": part["id"], "q": q})
+                    key = hilbert(cells, bits)
+                    for k, own in here.items():
+                        if not c or k not in small:
+                            yield pa.record_batch({"curve": np.full(len(own), first[k] + c, np.int32), "key": key[own], "id": part["id"].take(pa.array(own)), "q": q[own]})
 
     return run
 
@@ -137,7 +146,8 @@ def search(
     null vec_id. Repeated rows count once. Copies of a vector are one point with its k+1 smallest ids, which is all that
     can be asked for, so a large group of copies neither fills a block nor hides other vectors.
 
-    Candidates are those in the block of a query and the two beside it on each curve. Blocks hold `block` distinct vectors
+    Vectors lie in ranges of norms, each twice the one before, so a long vector only shapes the curves of its own range.
+    Candidates are, in each range, those in the block of a query and the two beside it on each curve. Blocks hold `block` distinct vectors
     whatever their number is, so work grows with the vectors; to keep the recall for more vectors, take more curves.
     """
     ok = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
@@ -151,15 +161,17 @@ def search(
     size = sizes.n
     known = known.where(F.size("v") == size).groupBy("id", "v").agg(F.max("q").alias("q"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    length = known.agg(F.max(norm).alias("most"), F.sqrt(F.avg(norm * norm)).alias("usual")).first()
 
     first = known.withColumn("n", F.row_number().over(W.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1)
     points = materialize(first.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("id", F.col("ids")[0]))
     by = known.where("q").groupBy("v").agg(F.min("id").alias("qid"))
     queries = known.where("q").join(by, "v").select(F.col("id").alias("query_id"), "qid")
-    rows = materialize(points.select("id", F.lit(False).alias("q"), "v").union(by.select("qid", F.lit(True), "v")))
+    rows = points.select("id", F.lit(False).alias("q"), "v").union(by.select("qid", F.lit(True), "v"))
+    rows = materialize(rows.withColumn("r", F.floor(F.log2(norm)).cast("int")))
+    ranges = rows.where("not q").groupBy("r").agg(F.max(norm).alias("most"), F.count("*").alias("n")).collect()
+    small = {x.r for x in ranges if x.n <= block}
 
-    keys = rows.mapInArrow(_keys(size, length.most, length.usual, curves, dims, bits), "curve int, key long, id long, q boolean")
+    keys = rows.mapInArrow(_keys(size, {x.r: x.most for x in ranges}, small, curves, dims, bits), "curve int, key long, id long, q boolean")
     dealt = keys.repartitionByRange("curve", "key", "id").sortWithinPartitions("curve", "key", "q", "id")
     places = materialize(dealt.mapInArrow(_places, "part int, curve int, id long, q boolean, local long"))
     counts = places.groupBy("part", "curve").agg(F.max("local").alias("n"))
@@ -168,7 +180,7 @@ def search(
     at = places.join(F.broadcast(counts), ["part", "curve"]).withColumn("block", F.floor((F.col("past") + F.col("local") - F.when(F.col("q"), 0).otherwise(1)) / block))
     near = F.when(F.col("q"), F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).otherwise(F.array("block"))
     at = at.select("curve", F.explode(near).alias("block"), "id", "q")
-    seen = at.join(rows, ["id", "q"]).select("curve", "block", "q", "id", "v").repartition("curve", "block").sortWithinPartitions("curve", "block", "q")
+    seen = at.join(rows.drop("r"), ["id", "q"]).select("curve", "block", "q", "id", "v").repartition("curve", "block").sortWithinPartitions("curve", "block", "q")
     found = seen.mapInArrow(_rank(k + 1), "q long, id long, score double").groupBy("q", "id").agg(F.max("score").alias("score"))
 
     def top(by: str, other: str, n: int):

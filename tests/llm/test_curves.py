@@ -64,3 +64,18 @@ def test_query_recall(spark):
     want, got = brute(rows, lambda i: i % 20 == 0), found(op6_curves(spark, sf))
     assert got.keys() == want.keys()
     assert np.mean([len({i for i, _ in want[q]} & {i for i, _ in got[q]}) / 20 for q in want]) >= 0.9
+
+
+def recall(want, got):
+    assert got.keys() == want.keys()
+    return np.mean([len({i for i, _ in want[q]} & {i for i, _ in got[q]}) / len(want[q]) for q in want])
+
+
+def test_norms_far_apart_lose_little(spark):
+    rnd = np.random.default_rng(12)
+    x = rnd.normal(size=(40, 8))[rnd.integers(0, 40, 3000)] + 0.3 * rnd.normal(size=(3000, 8))
+    x[7] *= 1000
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)]
+    want = brute(rows, lambda i: i % 20 == 0)
+    got = found(search(spark.createDataFrame(rows, COLUMNS).repartition(6), F.col("vec_id") % 20 == 0, curves=24, dims=4, block=60))
+    assert recall(want, got) > 0.9
