@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -14,9 +15,13 @@ from pyspark.sql import functions as F
 from brolga.llm.common import materialize, table
 
 NEAREST = 20
-#: Curves, projected dimensions and bits of each, vectors of a block; a query sees its own block and both beside it.
+#: Curves, projected dimensions and bits of each, vectors of a block; a query sees its own block and some on both sides.
 CURVES, DIMS, BITS, BLOCK = 28, 6, 10, 800
 SEED = 7
+#: Queries that are answered by brute force too, and the share of those answers that the curves have to find.
+SAMPLE, SURE = 256, 0.95
+#: Rows of a block after which its queries so far are answered.
+HELD = 1 << 16
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -129,12 +134,32 @@ def _rank(k: int):
                     yield from best(held)
                     held = []
                 held.append(batch.slice(a, b - a))
+            if sum(b.num_rows for b in held) > HELD and held[-1]["q"][-1].as_py():  # candidates come first
+                yield from best(held)
+                held = [own for b in held if (own := b.filter(pc.invert(b["q"]))).num_rows]
         if held:
             yield from best(held)
 
     return run
 
 
+def _brute(ids: np.ndarray, asked: np.ndarray, k: int):
+    """Rows (q, id, score): for each vector asked the k best of a task's candidates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, own = np.zeros((len(asked), 0)), np.zeros((len(asked), 0), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                best = np.c_[best, asked @ _matrix(part["v"]).T]
+                own = np.c_[own, np.broadcast_to(part["id"].to_numpy(), (len(asked), part.num_rows))]
+                order = np.lexsort((own, -best), axis=1)[:, :k]
+                best, own = np.take_along_axis(best, order, 1), np.take_along_axis(own, order, 1)
+        yield pa.record_batch({"q": np.repeat(ids, own.shape[1]), "id": own.ravel(), "score": best.ravel()})
+
+    return run
+
+
 def search(
     vectors: DataFrame, asked, k: int = NEAREST, curves: int = CURVES, dims: int = DIMS, bits: int = BITS, block: int = BLOCK
 ) -> DataFrame:
@@ -147,8 +172,10 @@ def search(
     can be asked for, so a large group of copies neither fills a block nor hides other vectors.
 
     Vectors lie in ranges of norms, each twice the one before, so a long vector only shapes the curves of its own range.
-    Candidates are, in each range, those in the block of a query and the two beside it on each curve. Blocks hold `block` distinct vectors
-    whatever their number is, so work grows with the vectors; to keep the recall for more vectors, take more curves.
+    Candidates are, in each range, those in the block of a query, of `block` distinct vectors, and in those beside it on each
+    curve: one on both sides at first. SAMPLE queries are answered by brute force too; while the curves find less than SURE
+    of those answers, twice as many blocks on both sides are seen, and where that would be more work than to compare all
+    vectors, all blocks of one curve.
     """
     ok = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     known = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.coalesce(asked, F.lit(False)).alias("q")).where(
@@ -169,25 +196,44 @@ def search(
     rows = points.select("id", F.lit(False).alias("q"), "v").union(by.select("qid", F.lit(True), "v"))
     rows = materialize(rows.withColumn("r", F.floor(F.log2(norm)).cast("int")))
     ranges = rows.where("not q").groupBy("r").agg(F.max(norm).alias("most"), F.count("*").alias("n")).collect()
-    small = {x.r for x in ranges if x.n <= block}
-
-    keys = rows.mapInArrow(_keys(size, {x.r: x.most for x in ranges}, small, curves, dims, bits), "curve int, key long, id long, q boolean")
-    dealt = keys.repartitionByRange("curve", "key", "id").sortWithinPartitions("curve", "key", "q", "id")
-    places = materialize(dealt.mapInArrow(_places, "part int, curve int, id long, q boolean, local long"))
-    counts = places.groupBy("part", "curve").agg(F.max("local").alias("n"))
-    past = F.sum("n").over(W.partitionBy("curve").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
-    counts = counts.select("part", "curve", F.coalesce(past, F.lit(0)).alias("past"))
-    at = places.join(F.broadcast(counts), ["part", "curve"]).withColumn("block", F.floor((F.col("past") + F.col("local") - F.when(F.col("q"), 0).otherwise(1)) / block))
-    near = F.when(F.col("q"), F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).otherwise(F.array("block"))
-    at = at.select("curve", F.explode(near).alias("block"), "id", "q")
-    seen = at.join(rows.drop("r"), ["id", "q"]).select("curve", "block", "q", "id", "v").repartition("curve", "block").sortWithinPartitions("curve", "block", "q")
-    found = seen.mapInArrow(_rank(k + 1), "q long, id long, score double").groupBy("q", "id").agg(F.max("score").alias("score"))
+    if not ranges:
+        return vectors.sparkSession.createDataFrame([], schema)
+    longest, most = {x.r: x.most for x in ranges}, sum(x.n for x in ranges)
+    best = W.partitionBy("q").orderBy(F.desc("score"), "id")
+    tried = rows.where("q").orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(SAMPLE).select("id", "v").toArrow().combine_chunks()
+    ids, asked_v = tried["id"].to_numpy(), _matrix(tried["v"].combine_chunks()) if len(tried) else np.zeros((0, size))
+    real = rows.where("not q").mapInArrow(_brute(ids, asked_v, k + 1), "q long, id long, score double")
+    real = materialize(real.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).select("q", "id"))
+    wanted, wide, lines = real.count(), 1, curves
+
+    def places_on(lines: int) -> DataFrame:
+        small = {x.r for x in ranges if x.n <= block}
+        keys = rows.mapInArrow(_keys(size, longest, small, lines, dims, bits), "curve int, key long, id long, q boolean")
+        dealt = keys.repartitionByRange("curve", "key", "id").sortWithinPartitions("curve", "key", "q", "id")
+        places = materialize(dealt.mapInArrow(_places, "part int, curve int, id long, q boolean, local long"))
+        counts = places.groupBy("part", "curve").agg(F.max("local").alias("n"))
+        past = F.sum("n").over(W.partitionBy("curve").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+        counts = counts.select("part", "curve", F.coalesce(past, F.lit(0)).alias("past"))
+        return places.join(F.broadcast(counts), ["part", "curve"]).withColumn("block", F.floor((F.col("past") + F.col("local") - F.when(F.col("q"), 0).otherwise(1)) / block))
+
+    places = places_on(lines)
+    while True:
+        near = F.when(F.col("q"), F.sequence(F.greatest(F.lit(0), F.col("block") - wide), F.col("block") + wide)).otherwise(F.array("block"))
+        at = places.select("curve", F.explode(near).alias("block"), "id", "q")
+        seen = at.join(rows.drop("r"), ["id", "q"]).select("curve", "block", "q", "id", "v").repartition("curve", "block").sortWithinPartitions("curve", "block", "q")
+        found = seen.mapInArrow(_rank(k + 1), "q long, id long, score double").groupBy("q", "id").agg(F.max("score").alias("score"))
+        found = materialize(found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n"))
+        if wide > most // block or found.join(real, ["q", "id"]).count() >= SURE * wanted:
+            break
+        wide *= 2
+        if lines * (2 * wide + 1) * block > 2 * most:
+            lines, wide = 1, most // block + 1
+            places = places_on(lines)
 
     def top(by: str, other: str, n: int):
         return F.row_number().over(W.partitionBy(by).orderBy(F.desc("score"), other)), n
 
-    place, n = top("q", "id", k + 1)
-    found = found.withColumn("n", place).where(F.col("n") <= n).join(points.select("id", "ids"), "id")
+    found = found.join(points.select("id", "ids"), "id")
     found = found.select(F.col("q").alias("qid"), F.explode("ids").alias("vec_id"), "score")
     place, n = top("qid", "vec_id", k + 1)
     found = found.withColumn("n", place).where(F.col("n") <= n).drop("n")

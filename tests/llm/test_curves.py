@@ -79,3 +79,13 @@ def test_norms_far_apart_lose_little(spark):
     want = brute(rows, lambda i: i % 20 == 0)
     got = found(search(spark.createDataFrame(rows, COLUMNS).repartition(6), F.col("vec_id") % 20 == 0, curves=24, dims=4, block=60))
     assert recall(want, got) > 0.9
+
+
+def test_window_grows_with_the_vectors(spark):
+    rnd = np.random.default_rng(13)
+    for n, curves in ((3000, 3), (6000, 3), (6000, 40)):
+        x = rnd.normal(size=(n, 12)).astype(np.float32)
+        rows = [(i, v.tolist()) for i, v in enumerate(x)]
+        want = brute(rows, lambda i: i % 50 == 0)
+        got = found(search(spark.createDataFrame(rows, COLUMNS).repartition(6), F.col("vec_id") % 50 == 0, curves=curves, dims=4, block=20))
+        assert recall(want, got) >= 0.9
