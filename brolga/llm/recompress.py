@@ -18,6 +18,8 @@ WINDOW = 35
 ROUNDS = 3
 #: Words that one task names and compares at a time.
 BLOCK = 1 << 19
+#: One document of so many is looked at for anchors with more than a block of windows.
+SHARE = 64
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -101,7 +103,15 @@ ASK, TELL, FOUND = 0, 1, 2
 _OUT = pa.schema([("h", pa.int64()), ("kind", pa.int8()), ("key", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("w", pa.binary())])
 
 
-def _name(window: int, block: int):
+def _split(h: np.ndarray, w: np.ndarray, hot: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """Anchors h of windows with hashes w, those in hot (sorted) renamed by the hash into so many parts."""
+    if not len(hot):
+        return h
+    at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+    return np.where(hot[at] == h, mix(h + (w % parts[at] + np.uint64(1)) * _B), h)
+
+
+def _name(window: int, block: int, hot: np.ndarray, parts_of: np.ndarray):
     def put(key: list[int], parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         names = np.concatenate(parts)
         sizes = np.array([len(p) for p in parts])
@@ -111,6 +121,7 @@ def _name(window: int, block: int):
         if not len(starts):
             return
         h, w = anchors(names, doc, window)[starts], window_hashes(names, window)[starts]
+        h = _split(h, w, hot, parts_of)
         _, first, of, n = np.unique(w, return_index=True, return_inverse=True, return_counts=True)
         again = n[of] > 1
         asks = np.zeros(len(starts), bool)
@@ -198,15 +209,28 @@ def _verify(window: int, block: int):
     return run
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+def _sent(keyed: DataFrame, window: int, block: int, share: int) -> DataFrame:
+    """What _name sends of (key, text), under anchors that no more than about a block of windows share."""
+
+    def named(docs: DataFrame, *hot: np.ndarray) -> DataFrame:
+        return docs.mapInArrow(_name(window, block, *hot), "h long, kind byte, key long, at int, n int, w binary")
+
+    few = named(keyed.where(F.pmod("key", F.lit(share)) == 0), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    many = few.where(F.col("kind") != FOUND).groupBy("h").agg((F.sum("n") * share).alias("n")).where(F.col("n") > block / 2).collect()
+    hot = np.array([r.h for r in many], np.int64).view(np.uint64)
+    order = np.argsort(hot)
+    return named(keyed, hot[order], np.array([4 * r.n // block + 1 for r in many], np.uint64)[order])
+
+
+def repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, share: int = SHARE) -> DataFrame:
     """Stretches (key, first, last) of words covered by repeated windows; key is xxhash64(doc_id, text) of the document.
 
     Tasks name the words of a block of documents and find what repeats within; of each window they send on one, under the
     anchor it shares with its equals, so a passage that all documents share comes once from a block. Under an anchor,
-    windows are the same if 48 bits of their hash are (beside the 64 of the anchor).
+    windows are the same if 48 bits of their hash are (beside the 64 of the anchor). An anchor that many different windows
+    share, by what one document of `share` shows, is split by the hash of the window, which equal windows share too.
     """
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text")
-    sent = keyed.mapInArrow(_name(window, block), "h long, kind byte, key long, at int, n int, w binary")
+    sent = _sent(docs.select(F.xxhash64("doc_id", "text").alias("key"), "text"), window, block, share)
     return sent.repartition("h").sortWithinPartitions("h").mapInArrow(_verify(window, block), "key long, first int, last int")
 
 

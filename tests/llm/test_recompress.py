@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 
-from brolga.llm.recompress import anchors, dedup_substrings, rounds_for, window_hashes
+from brolga.llm.recompress import anchors, dedup_substrings, repeats, rounds_for, window_hashes
 
 
 def brute(texts, window):
@@ -61,3 +61,23 @@ def test_against_brute_force(spark):
             assert Counter((r.n_words, r.n_removed, r.kept_sha256) for r in got) == want
             assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in got)
     assert dedup_substrings(d.limit(0)).count() == 0
+
+
+def test_hot_anchor_is_split(spark):
+    from pyspark.sql import functions as F
+
+    from brolga.llm import recompress
+
+    rnd = np.random.default_rng(14)
+    phrase = "this short notice stands in every single text".split()
+    rows = [(k, " ".join([*(f"a{x}" for x in rnd.integers(0, 10**9, 40)), *phrase, *(f"b{x}" for x in rnd.integers(0, 10**9, 40))])) for k in range(400)]
+    rows += [(1000 + k, rows[k][1]) for k in range(3)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    keyed = d.select(F.xxhash64("doc_id", "text").alias("key"), "text")
+    sent = recompress._sent(keyed, 35, 1000, 1).where(F.col("kind") != recompress.FOUND).groupBy("h").agg(F.sum("n").alias("n"))
+    assert sent.agg(F.max("n")).first()[0] <= 1000
+    twice = {(r.key, r.first, r.last) for r in repeats(d, 35, 1000, 1).collect()}
+    keys = {r.key for r in d.where("doc_id < 3 or doc_id >= 1000").select(F.xxhash64("doc_id", "text").alias("key")).collect()}
+    assert {k for k, _, _ in twice} == keys
+    covered = {k: {i for x, a, b in twice if x == k for i in range(a, b)} for k in keys}
+    assert all(c == set(range(88)) for c in covered.values())
