@@ -7,13 +7,14 @@ import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from brolga.llm.common import table
-from brolga.llm.tokens import encoder
+from brolga.llm.tokens import all_ids
 
 TIERS = (2048, 1024, 512, 256)
 #: Ids that are packed together, and ids of a step group.
@@ -33,6 +34,8 @@ class Packer:
     def __init__(self, tiers: tuple[int, ...] = TIERS):
         self.tiers = sorted(tiers, reverse=True)
         self.waiting: list[list[tuple[int, int, int]]] = [[] for _ in tiers]
+        #: Ids that wait in each tier.
+        self.sums = [0] * len(tiers)
 
     def route(self, piece: tuple[int, int, int]) -> None:
         """A piece waits in the smallest tier that holds it whole."""
@@ -40,6 +43,12 @@ class Packer:
         while k + 1 < len(self.tiers) and piece[0] <= self.tiers[k + 1]:
             k += 1
         insort(self.waiting[k], piece)
+        self.sums[k] += piece[0]
+
+    def take(self, k: int, at: int) -> tuple[int, int, int]:
+        piece = self.waiting[k].pop(at)
+        self.sums[k] -= piece[0]
+        return piece
 
     def add(self, doc: int, n: int) -> list[list[tuple[int, int, int]]]:
         """Full windows cut from a document; its remainder waits."""
@@ -58,12 +67,12 @@ class Packer:
                 if at >= 0 and (best is None or self.waiting[k][at][0] > self.waiting[best[0]][best[1]][0]):
                     best = k, at
             if best is not None:
-                piece = self.waiting[best[0]].pop(best[1])
+                piece = self.take(*best)
             else:
                 k = next((k for k in range(len(self.tiers) - 1, tier - 1, -1) if self.waiting[k]), None)
                 if k is None:
                     return gap
-                n, doc, start = self.waiting[k].pop(0)
+                n, doc, start = self.take(k, 0)
                 self.route((n - gap, doc, start + gap))
                 piece = (gap, doc, start)
             pieces.append(piece)
@@ -74,21 +83,21 @@ class Packer:
         """Packs what waits into full windows of the tiers, longest tier first; what cannot fill one more goes on waiting."""
         for k, size in enumerate(self.tiers):
             while self.waiting[k]:
-                if sum(p[0] for w in self.waiting[k:] for p in w[: size + 1]) < size:
+                if sum(self.sums[k:]) < size:
                     break
-                pieces = [self.waiting[k].pop()]
+                pieces = [self.take(k, -1)]
                 self.fill(pieces, size - pieces[0][0], k)
                 yield pieces
 
     def rest(self) -> Iterator[list[tuple[int, int, int]]]:
         """At the end: what still waits, in full windows as long as it fills one, then in a last one that is padded."""
         for k, size in enumerate(self.tiers):
-            while sum(p[0] for w in self.waiting for p in w) >= size:
+            while sum(self.sums) >= size:
                 pieces: list[tuple[int, int, int]] = []
                 self.fill(pieces, size, 0)
                 yield pieces
         if last := [p for w in self.waiting for p in w]:
-            self.waiting = [[] for _ in self.tiers]
+            self.waiting, self.sums = [[] for _ in self.tiers], [0] * len(self.tiers)
             yield last
 
 
@@ -103,7 +112,7 @@ def step_groups(lengths: list[int], step: int) -> list[int]:
     return out
 
 
-def _rows(docs: Iterator[tuple[int | None, bytes]], part: int, tiers: tuple[int, ...], pool: int, step: int, with_ids: bool) -> Iterator[dict]:
+def _rows(docs: Iterator[tuple[object, np.ndarray]], part: int, tiers: tuple[int, ...], pool: int, step: int, with_ids: bool) -> Iterator[dict]:
     packer, kept, made, held, number, sequence, groups = Packer(tiers), {}, [], 0, 0, part << 32, part << 32
 
     def put() -> dict:
@@ -115,8 +124,8 @@ def _rows(docs: Iterator[tuple[int | None, bytes]], part: int, tiers: tuple[int,
             at, tier = 0, n if n in tiers else max(tiers)
             for length, doc, start in pieces:
                 doc_id, ids = kept[doc]
-                mine = memoryview(ids)[4 * start : 4 * (start + length)]
-                row = (doc_id, start, length, zlib.crc32(mine), len(ids) // 4, sequence, at, tier, groups + g, bytes(mine))
+                mine = memoryview(ids[start : start + length])
+                row = (doc_id, start, length, zlib.crc32(mine), len(ids), sequence, at, tier, groups + g, bytes(mine) if with_ids else b"")
                 for col, x in zip(cols.values(), row):
                     col.append(x)
                 at += length
@@ -130,8 +139,8 @@ def _rows(docs: Iterator[tuple[int | None, bytes]], part: int, tiers: tuple[int,
 
     for doc_id, ids in docs:
         kept[number] = doc_id, ids
-        made += packer.add(number, len(ids) // 4)
-        held += max(len(ids) // 4, 16)
+        made += packer.add(number, len(ids))
+        held += max(len(ids), 16)
         number += 1
         if held >= pool:
             made += packer.full()
@@ -160,20 +169,29 @@ def pack(
     long as one fits and then by cutting one. So sequences are full windows of a tier (a power of two), but for the last
     one of a partition. Step groups hold about `step` ids each, evenly, and never mix partitions. Documents stay in the
     task that reads them: nothing is shuffled, a task holds `pool` ids and the remainders that wait. Repeated rows are
-    documents of their own; a null doc_id is kept. Sequence ids start at the partition's number times 2**32.
+    documents of their own; doc_id may be of any type, a null one is kept. Sequence ids start at the partition's number times 2**32.
     path names a file of the tokenizers library; encode, if given, makes another encoder of the worker from it.
     """
-    make = encode or (lambda p: encoder(p).encode)
-    tail = end.to_bytes(4, "little")
-    schema = SCHEMA + (", ids binary" if with_ids else "")
+    tail, kind = np.array([end], np.uint32), docs.schema["doc_id"].dataType.simpleString()
+    schema = SCHEMA.replace("doc_id long", f"doc_id {kind}") + (", ids binary" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = make(path)
-        part = TaskContext.get().partitionId()
-        found = ((d.as_py(), ids_of(t.as_py()) + tail) for b in batches for d, t in zip(b[0], b[1]))
-        kinds = pa.schema([(x.split()[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[x.split()[1]]) for x in schema.split(",")])
-        for cols in _rows(found, part, tiers, pool, step, with_ids):
-            yield pa.record_batch(list(cols.values()), schema=kinds)
+        ids_of, part, own = all_ids(path, encode), TaskContext.get().partitionId(), None
+
+        def found() -> Iterator[tuple[object, np.ndarray]]:
+            nonlocal own
+            for batch in batches:
+                own = batch.schema.field(0).type
+                ids, n = ids_of(batch[1])
+                stop = np.cumsum(n)
+                for doc_id, a, b in zip(batch[0].to_pylist(), (stop - n).tolist(), stop.tolist(), strict=True):
+                    yield doc_id, np.concatenate([ids[a:b], tail]).astype("<u4")
+
+        for cols in _rows(found(), part, tiers, pool, step, with_ids):
+            if cols["doc_id"]:
+                kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+                types = [own, *(kinds[x.split()[1]] for x in schema.split(",")[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols.values(), types, strict=True)], list(cols))
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 

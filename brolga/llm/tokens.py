@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from itertools import repeat
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
@@ -18,7 +22,9 @@ _UNSURE = re.compile("[\x1c-\x1f\x85 ᠎ -‏ -  -⁯　﻿]")
 _LETTERS, _NUMBERS, _LATIN = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe", "ɐ"
 _PIECE = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+")
 #: What a worker remembers: so many words with what touches them, so many pieces of the pre-tokenizer, none longer than this.
-WORDS, PIECES, LONGEST = 250_000, 300_000, 48
+WORDS, PIECES, LONGEST = 600_000, 200_000, 48
+#: Bytes of texts that are looked up together.
+TOGETHER = 1 << 22
 
 
 def _byte_letters() -> dict[int, str]:
@@ -35,20 +41,16 @@ class Rough(Exception):
     """White space other than single spaces and line ends: the borders must be looked for."""
 
 
-class Words(dict):
-    """ids by word as it stands between two spaces, or at the start of a line without the space before it."""
+class Words:
+    """ids of a word as it stands behind a space, or at the start of a line without it."""
 
-    def __init__(self, lead: str, chunk, most: int):
-        super().__init__()
-        self.lead, self.chunk, self.most = lead, chunk, most
+    def __init__(self, lead: str, chunk):
+        self.lead, self.chunk = lead, chunk
 
-    def __missing__(self, word: str) -> bytes:
+    def of(self, word: str) -> bytes:
         if not word or word[0].isspace() or word[-1].isspace():
             raise Rough
-        ids = self.chunk(self.lead + word)
-        if len(self) < self.most and len(word) <= LONGEST:
-            self[word] = ids
-        return ids
+        return self.chunk(self.lead + word)
 
 
 class Encoder:
@@ -61,7 +63,9 @@ class Encoder:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.pieces: dict[str, bytes] = {}
-        self.first, self.later = Words("", self.chunk, WORDS // 5), Words(" ", self.chunk, WORDS)
+        self.first, self.later = Words("", self.chunk), Words(" ", self.chunk)
+        #: Words behind a space seen so far, how many ids each has, and all those ids one after the other.
+        self.seen, self.sizes, self.ids = pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
     def whole(self, text: str) -> bytes:
         return b"".join(map(int.to_bytes, self.tokenizer.encode(text, add_special_tokens=False).ids, repeat(4), repeat("little")))
@@ -85,17 +89,81 @@ class Encoder:
         if not self.by_word or _UNSURE.search(text) or (self.added and self.added.search(text)):
             return self.whole(text)
         try:
-            later, found, end = self.later.__getitem__, [], b""
+            later, found, end = self.later.of, [], b""
             for line in text.split("\n"):
                 words = line.split(" ")
                 found.append(end)
-                found.append(self.first[words[0]])
+                found.append(self.first.of(words[0]))
                 found += map(later, words[1:])
                 end = end or self.piece("\n")
             return b"".join(found)
         except Rough:
             return b"".join(map(self.chunk, _CHUNK.findall(text)))
 
+    def _together(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of texts one after the other, and how many each has. Words are split, numbered, looked up and put together
+        as arrays; only words not seen before are encoded, and texts with other borders than single spaces by themselves."""
+        alone = pc.match_substring_regex(texts, _UNSURE.pattern)
+        if self.added:
+            alone = pc.or_(alone, pc.match_substring_regex(texts, self.added.pattern))
+        split = pc.split_pattern(pc.if_else(alone, "", texts), " ")
+        at, flat = split.offsets.to_numpy().astype(np.int64), split.values
+        at -= at[0]
+        head, tail = flat.take(pa.array(at[:-1])).to_pylist(), flat.dictionary_encode()
+        code, words = tail.indices.to_numpy().astype(np.int64), tail.dictionary
+        found = pc.index_in(words, value_set=self.seen).to_numpy(zero_copy_only=False)
+        new = np.flatnonzero(np.isnan(found))
+        row = np.nan_to_num(found).astype(np.int64)
+        row[new] = len(self.seen) + np.arange(len(new))
+        own = [self._alone(self.later, w) for w in words.take(pa.array(new)).to_pylist()]
+        own += [self._alone(self.first, w) for w in head]
+        code = row[code]
+        code[at[:-1]] = len(self.seen) + len(new) + np.arange(len(head))
+        rough = np.zeros(len(self.seen) + len(own), bool)
+        rough[len(self.seen) :] = [x is None for x in own]
+        slow = np.flatnonzero(np.logical_or.reduceat(rough[code], at[:-1]))
+        size = np.concatenate([self.sizes, [len(x or b"") // 4 for x in own]]).astype(np.int64)
+        start = np.cumsum(size) - size
+        n = size[code]
+        for k in slow.tolist():
+            n[at[k] : at[k + 1]] = 0
+        place = np.repeat(start[code] - (np.cumsum(n) - n), n)
+        place += np.arange(len(place))
+        ids, count = np.concatenate([self.ids, np.frombuffer(b"".join(x or b"" for x in own), "<u4")])[place], np.add.reduceat(n, at[:-1])
+        if len(slow):
+            told = {k: np.frombuffer(self.encode(texts[k].as_py()), "<u4") for k in slow.tolist()}
+            ids = np.concatenate([told.get(k, x) for k, x in enumerate(np.split(ids, np.cumsum(count)[:-1]))])
+            count[slow] = [len(told[k]) for k in slow.tolist()]
+        self._remember(words, new, own)
+        return ids, count
+
+    def _alone(self, words: Words, word: str) -> bytes | None:
+        try:
+            return words.of(word)
+        except Rough:
+            return None
+
+    def _remember(self, words: pa.StringArray, new: np.ndarray, own: list[bytes | None]) -> None:
+        keep = pc.and_(pc.less_equal(pc.utf8_length(words), LONGEST), pc.invert(pc.match_substring(words, "\n")))
+        keep = keep.to_numpy(zero_copy_only=False)[new] & np.fromiter((x is not None for x in own[: len(new)]), bool, len(new))
+        keep = np.flatnonzero(keep)[: WORDS - len(self.seen)]
+        if len(keep):
+            ids = [own[k] for k in keep.tolist()]
+            self.seen = pa.concat_arrays([self.seen, words.take(pa.array(new[keep]))])
+            self.sizes = np.concatenate([self.sizes, np.fromiter((len(x) // 4 for x in ids), np.int32, len(ids))])
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), "<u4")])
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of encode() for all texts, one after the other, and how many each has."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_word:
+            found = [self.whole(t) if t else b"" for t in texts.to_pylist()]
+            return np.frombuffer(b"".join(found), "<u4"), np.array([len(x) // 4 for x in found], np.int64)
+        part = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // TOGETHER
+        cut = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(texts)].tolist()
+        found = [self._together(texts.slice(a, b - a)) for a, b in zip(cut[:-1], cut[1:], strict=True) if b > a]
+        return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, t) for k, t in ((0, np.uint32), (1, np.int64)))
+
 
 def encoder(path: str) -> Encoder:
     """The worker's own encoder for a tokenizer file."""
@@ -103,3 +171,16 @@ def encoder(path: str) -> Encoder:
     if path not in kept:
         kept[path] = Encoder(path)
     return kept[path]
+
+
+def all_ids(path: str, make: Callable[[str], Callable[[str | None], bytes]] | None = None) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """The worker's function from a column of texts to their ids, one after the other, and how many each has."""
+    if make is None:
+        return encoder(path).encode_all
+    one = make(path)
+
+    def run(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = [one(t) for t in texts.to_pylist()]
+        return np.frombuffer(b"".join(found), "<u4"), np.array([len(x) // 4 for x in found], np.int64)
+
+    return run

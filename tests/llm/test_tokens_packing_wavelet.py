@@ -4,13 +4,14 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from brolga.llm.common import shared_dir
 from brolga.llm.packing import op7_pack, pack, step_groups
 from brolga.llm.tokens import encoder
-from brolga.llm.wavelet import WaveletMatrix, documents_of, op5_wavelet, read_ids, write_ids
+from brolga.llm.wavelet import WaveletMatrix, access, count, documents_of, occurrences, op5_wavelet, read_ids, write_ids
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = [
@@ -36,6 +37,10 @@ def test_ids_are_the_library_s(spark, sf, want):
     texts += ["".join(rnd.choice(" \n\t aB1.'ßé²") for _ in range(60)) for _ in range(500)]
     for text in texts:
         assert ids(encode(text)) == want(text), text
+    for _ in range(2):
+        found, n = encoder(PATH).encode_all(pa.array(texts, pa.string()).slice(3))
+        assert found.tolist() == [i for t in texts[3:] for i in want(t)] and n.tolist() == [len(want(t)) for t in texts[3:]]
+    assert [len(x) for x in encoder(PATH).encode_all(pa.array([], pa.string()))] == [0, 0]
 
 
 def check_packed(rows, docs, encode, end):
@@ -75,6 +80,8 @@ def test_packing(spark, sf, want):
     for pool in (1, 300, 1 << 20):
         assert check_packed(pack(d, PATH, pool=pool).collect(), by, want, 1) < 3 * 2048
     assert pack(d.limit(0), PATH).count() == 0
+    named = pack(d.selectExpr("concat('d', doc_id) as doc_id", "text"), PATH)
+    assert named.schema["doc_id"].dataType.simpleString() == "string" and {r.doc_id for r in named.collect()} == {None if k is None else f"d{k}" for k, _ in rows}
     groups = step_groups([2048] * 10 + [256] * 16, 8192)
     sums = [sum(n for n, g in zip([2048] * 10 + [256] * 16, groups) if g == k) for k in set(groups)]
     assert max(sums) - min(sums) <= 2048
@@ -82,14 +89,15 @@ def test_packing(spark, sf, want):
 
 def test_wavelet_matrix():
     rnd = np.random.default_rng(5)
-    for n in (1, 63, 512, 513, 5000):
+    for n, bits in ((0, 16), (1, 16), (63, 16), (512, 16), (513, 17), (5000, 16), (40000, 20)):
         x = rnd.zipf(1.3, n).clip(0, 65535).astype(np.uint32)
-        w = WaveletMatrix.from_bytes(WaveletMatrix.of(x, 16).to_bytes())
+        w = WaveletMatrix.from_bytes(WaveletMatrix.of(x, bits).to_bytes())
         assert (w.ids() == x).all() and (w.access(np.arange(n)) == x).all()
         for token in {*x[:5].tolist(), 9, 65535}:
             for a, b in ((0, n), (n // 3, n // 2), (n, n)):
                 where = np.flatnonzero(x[a:b] == token) + a
                 assert w.count(token, a, b) == len(where) and (w.occurrences(token, a, b) == where).all()
+        assert w.count(1 << 30) == 0 and not len(w.occurrences(-1))
 
 
 def expected(rows, encode, end):
@@ -115,3 +123,28 @@ def test_round_trip(spark, sf, want):
     path = shared_dir(spark)
     write_ids(d.limit(0), PATH, path)
     assert documents_of(read_ids(spark, path)).count() == 0
+
+
+def test_queries_of_written_files(spark, sf, want):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("cast(doc_id as string) as doc_id", "text", "1 as position")
+    docs = docs.union(docs.selectExpr("null", "null", "2")).union(docs.limit(5)).repartition(7)
+    path = shared_dir(spark)
+    write_ids(docs, PATH, path, shard=20000)
+    shards = read_ids(spark, path)
+    rows = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or ""))
+    full = [(d, k, i) for d, t in rows for k, i in enumerate([*want(t), 0])]
+    assert [r.doc_id for r in documents_of(shards).orderBy("start").collect()] == [d for d, _ in rows]
+    everything = np.array([i for _, _, i in full])
+    tokens = [0, 11, int(everything[5]), 70000, -1]
+    for a, b in ((0, None), (30000, 90000), (10**9, None)):
+        part = everything[a:b]
+        assert {r.token: r.n for r in count(shards, tokens, a, b).collect()} in ({t: int((part == t).sum()) for t in tokens}, {})
+        got = sorted((r.token, r.position, r.doc_id or "", r.at) for r in occurrences(shards, tokens, a, b).collect())
+        assert got == sorted((t, int(p) + a, full[p + a][0] or "", full[p + a][1]) for t in tokens for p in np.flatnonzero(part == t))
+    asked = [0, 5, 5, len(full) - 1, len(full), -3, None, *range(19990, 20010), *range(0, len(full), 97)]
+    got = access(shards, spark.createDataFrame([(p,) for p in asked], "position long"), cell=5000).collect()
+    assert sorted((r.position, r.token) for r in got) == sorted((p, int(everything[p])) for p in {p for p in asked if p is not None and 0 <= p < len(full)})
+    path = shared_dir(spark)
+    write_ids(docs.limit(0), PATH, path)
+    none = read_ids(spark, path)
+    assert count(none, [1]).count() in (0, 1) and occurrences(none, [1]).count() == 0 and access(none, spark.range(3).withColumnRenamed("id", "position")).count() == 0
