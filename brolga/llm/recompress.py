@@ -1,26 +1,27 @@
-"""Substring dedup by recompression: pairs of words get names by their content, so equal texts get equal symbols inside."""
+"""Substring dedup by recompression: runs and pairs of words get names round by round, and long repeats show as shared names."""
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brolga.llm.common import table, worker_cache
+from brolga.llm.common import materialize, shared_dir, small_batches, table, worker_cache
 
 WINDOW = 35
-ROUNDS = 3
-#: Words that one task names and compares at a time.
-BLOCK = 1 << 19
-#: One document of so many is looked at for anchors with more than a block of windows.
-SHARE = 64
+#: Letters of the documents that are named together, and of those in one file of the dealt table.
+LETTERS, FILE = 1 << 22, 1 << 24
+#: Letters for which the names asked for meet in one bucket.
+MEET = 1 << 24
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+_BLOCK = "_recompress_block"
+ADDED = "n_words long, n_removed long, kept_text string, kept_sha256 string"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,243 +34,293 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
-def rounds_for(window: int, most: int = ROUNDS) -> int:
-    """Rounds after which every window still has, whatever surrounds it, a whole symbol that only its own words decide."""
-    return max(r for r in range(most + 1) if r == 0 or window - 3 * 2**r + 3 >= 2**r)
+def levels_for(window: int, most: int = 4) -> list[int]:
+    """The levels that are asked for, in order: those whose symbols every window holds whole, or words alone if none is."""
+    return [n for n in range(1, most + 1) if window >= 2 ** (n + 3) - 1] or [0]
 
 
-def parse(names: np.ndarray, doc: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """(symbol, first word) after some rounds of pairing, never across documents.
-
-    In each round every symbol is a left or a right one by a hash of its name, and each left one with a right one behind it
-    becomes a pair, named by a hash of both. So names are the same everywhere, and what a place becomes depends on one
-    neighbour on each side: a symbol of round r has at most 2**r words and is decided by 2**r - 1 words around it. Equal
-    neighbours are on the same side and stay apart, so a run remains one symbol a word or pair and has no unbounded name.
-    """
-    start = np.arange(len(names))
-    for r in range(rounds):
-        right = (mix(names + np.uint64(r * int(_A) % (1 << 64))) & np.uint64(1)).astype(bool)
-        pair = np.zeros(len(names), bool)
-        pair[:-1] = ~right[:-1] & right[1:] & (doc[start[:-1]] == doc[start[1:]])
-        joined = mix(names[:-1] * _A + names[1:] * _B + np.uint64(r))
-        names = names.copy()
-        names[:-1][pair[:-1]] = joined[pair[:-1]]
-        keep = np.ones(len(names), bool)
-        keep[1:] = ~pair[:-1]
-        names, start = names[keep], start[keep]
-    return names, start
-
-
-def anchors(names: np.ndarray, doc: np.ndarray, window: int) -> np.ndarray:
-    """For each word a name that equal windows starting there share: of the symbols only the window decides, the longest."""
-    rounds = rounds_for(window)
-    around, width = 2**rounds - 1, window - 3 * 2**rounds + 3
-    symbol, start = parse(names, doc, rounds)
-    best = np.zeros(len(names) + window, np.uint64)
-    span = np.diff(np.append(start, len(names))).astype(np.uint64)
-    best[start] = (span - np.uint64(1)) << np.uint64(61) | symbol >> np.uint64(3)
-    size = 1
-    while 2 * size <= width:
-        best[:-size] = np.maximum(best[:-size], best[size:])
-        size *= 2
-    if size < width:
-        best[: size - width] = np.maximum(best[: size - width], best[width - size :])
-    return best[around : around + len(names)]
-
-
-def window_hashes(names: np.ndarray, window: int) -> np.ndarray:
-    """A hash of the window that starts at each word; the last window-1 are of no use."""
-    power = np.ones(len(names) + window, np.uint64)
-    power[1:] = _A
-    power = np.cumprod(power, dtype=np.uint64)
-    back = np.ones(len(names), np.uint64)
-    back[1:] = np.uint64(pow(int(_A), -1, 1 << 64))
-    back = np.cumprod(back, dtype=np.uint64)
-    total = np.zeros(len(names) + window, np.uint64)
-    total[1 : len(names) + 1] = np.cumsum(names * power[: len(names)], dtype=np.uint64)
-    total[len(names) + 1 :] = total[len(names)]
-    return mix((total[window : window + len(names)] - total[: len(names)]) * back)
-
-
-def _runs(at: np.ndarray, *same: np.ndarray) -> np.ndarray:
-    """Bounds of stretches of consecutive places over which all of same stay equal."""
-    cut = np.diff(at) != 1
-    for s in same:
-        cut |= s[1:] != s[:-1]
-    return np.r_[0, np.flatnonzero(cut) + 1, len(at)]
-
-
-ASK, TELL, FOUND = 0, 1, 2
-_OUT = pa.schema([("h", pa.int64()), ("kind", pa.int8()), ("key", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("w", pa.binary())])
-
-
-def _split(h: np.ndarray, w: np.ndarray, hot: np.ndarray, parts: np.ndarray) -> np.ndarray:
-    """Anchors h of windows with hashes w, those in hot (sorted) renamed by the hash into so many parts."""
-    if not len(hot):
-        return h
-    at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
-    return np.where(hot[at] == h, mix(h + (w % parts[at] + np.uint64(1)) * _B), h)
-
-
-def _name(window: int, block: int, hot: np.ndarray, parts_of: np.ndarray):
-    def put(key: list[int], parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        names = np.concatenate(parts)
-        sizes = np.array([len(p) for p in parts])
-        doc = np.repeat(np.arange(len(parts)), sizes)
-        inside = np.arange(len(names)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        starts = np.flatnonzero(inside + window <= np.repeat(sizes, sizes))
-        if not len(starts):
-            return
-        h, w = anchors(names, doc, window)[starts], window_hashes(names, window)[starts]
-        h = _split(h, w, hot, parts_of)
-        _, first, of, n = np.unique(w, return_index=True, return_inverse=True, return_counts=True)
-        again = n[of] > 1
-        asks = np.zeros(len(starts), bool)
-        asks[first] = True
-        keys = np.array(key, np.int64)[doc[starts]]
-
-        def rows(take: np.ndarray, kind: np.ndarray, name: np.ndarray, data: bool) -> pa.RecordBatch:
-            at = starts[take]
-            cut = _runs(at, doc[at], kind[take], name[take])
-            lead, size = take[cut[:-1]], np.diff(cut)
-            packed = w[take].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() if data else b""
-            ends = (cut * 6 if data else cut * 0).astype(np.int32)
-            binary = pa.Array.from_buffers(pa.binary(), len(lead), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(packed)])
-            cols = [name[lead].view(np.int64), kind[lead].astype(np.int8), keys[lead], inside[starts[lead]].astype(np.int32), size.astype(np.int32)]
-            return pa.record_batch([*map(pa.array, cols), binary], schema=_OUT)
-
-        if asks.any():
-            yield rows(np.flatnonzero(asks), np.where(again, TELL, ASK), h, True)
-        if again.any():
-            yield rows(np.flatnonzero(again), np.full(len(starts), FOUND), keys.view(np.uint64), False)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_cache("recompress")
-        key, parts, size, digest = [], [], 0, xxhash.xxh64_intdigest
-        for batch in batches:
-            for k, text in zip(batch[0].to_pylist(), batch[1]):
-                own = words(text.as_py())
-                if len(own) >= window:
-                    key.append(k)
-                    parts.append(np.fromiter(map(digest, own), np.uint64, len(own)))
-                    size += len(own)
-                if size >= block:
-                    yield from put(key, parts)
-                    key, parts, size = [], [], 0
-        if parts:
-            yield from put(key, parts)
-
-    return run
+def reach(level: int) -> int:
+    """Words that a symbol of a level has at most, and words on both sides that decide where it begins and ends."""
+    return 2 ** (level + 1) if level else 0
 
 
-def _verify(window: int, block: int):
-    """Rows come sorted by h: windows of the same anchor and hash are the same."""
-    kinds = pa.schema([("key", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
-
-    def put(h: np.ndarray, kind: np.ndarray, key: np.ndarray, at: np.ndarray, n: np.ndarray, data: bytes) -> Iterator[pa.RecordBatch]:
-        found = kind == FOUND
-        if found.any():
-            yield pa.record_batch([key[found], at[found], at[found] + (n[found] + window - 1).astype(np.int32)], schema=kinds)
-        h, ask, key, at, n = h[~found], (kind == ASK)[~found], key[~found], at[~found], n[~found]
-        if not len(h):
-            return
-        w = np.zeros((len(data) // 6, 8), np.uint8)
-        w[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-        row = np.repeat(np.arange(len(h)), n)
-        same = mix(mix(h.view(np.uint64))[row] + w.view("<u8").ravel())
-        _, of, count = np.unique(same, return_inverse=True, return_counts=True)
-        hit = np.flatnonzero((count[of] > 1) & ask[row])
-        if not len(hit):
-            return
-        place = (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n))[hit] + at[row[hit]]
-        cut = _runs(place, row[hit])
-        first, last = place[cut[:-1]], place[cut[1:] - 1] + window
-        yield pa.record_batch([key[row[hit][cut[:-1]]], first.astype(np.int32), last.astype(np.int32)], schema=kinds)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush(whole: pa.Table) -> Iterator[pa.RecordBatch]:
-            cols = [whole[c].to_numpy() for c in ("h", "kind", "key", "at", "n")]
-            yield from put(*cols, b"".join(whole["w"].to_pylist()))
-
-        for batch in batches:
-            held.append(batch)
-            if sum(pa.compute.sum(b["n"]).as_py() or 0 for b in held) < block:
-                continue
-            whole = pa.Table.from_batches(held)
-            h = whole["h"].to_numpy()
-            border = int(np.searchsorted(h, h[-1]))
-            if border:
-                yield from flush(whole.slice(0, border))
-            held = whole.slice(border).to_batches()
-        if held:
-            yield from flush(pa.Table.from_batches(held))
+def fold_runs(names: np.ndarray, start: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of exactly two equal symbols become one, named by symbol and length. A longer run stays: where it ends may lie
+    beyond any window, so a name for the whole of it would not be the same in equal windows."""
+    same = np.zeros(len(names), bool)
+    same[:-1] = (names[:-1] == names[1:]) & (doc[start[:-1]] == doc[start[1:]])
+    two = same & ~np.r_[False, same[:-1]] & ~np.r_[same[1:], False]
+    names = np.where(two, mix(names * _A + _C), names)
+    keep = ~np.r_[False, two[:-1]]
+    return names[keep], start[keep]
 
-    return run
 
+def join_pairs(names: np.ndarray, start: np.ndarray, doc: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every symbol is a left or a right one by a hash of its name; a left one with a right one behind it becomes a pair,
+    named by both. So what a place becomes depends on one neighbour on each side."""
+    right = (mix(names + np.uint64(level * int(_A) % (1 << 64))) & np.uint64(1)).astype(bool)
+    pair = np.zeros(len(names), bool)
+    pair[:-1] = ~right[:-1] & right[1:] & (doc[start[:-1]] == doc[start[1:]])
+    behind = np.r_[names[1:], np.uint64(0)]
+    names = np.where(pair, mix(names * _A + behind * _B + np.uint64(level)), names)
+    keep = ~np.r_[False, pair[:-1]]
+    return names[keep], start[keep]
 
-def _sent(keyed: DataFrame, window: int, block: int, share: int) -> DataFrame:
-    """What _name sends of (key, text), under anchors that no more than about a block of windows share."""
 
-    def named(docs: DataFrame, *hot: np.ndarray) -> DataFrame:
-        return docs.mapInArrow(_name(window, block, *hot), "h long, kind byte, key long, at int, n int, w binary")
+class Block:
+    """The words of some documents, and which of their windows may still stand elsewhere too.
 
-    few = named(keyed.where(F.pmod("key", F.lit(share)) == 0), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
-    many = few.where(F.col("kind") != FOUND).groupBy("h").agg((F.sum("n") * share).alias("n")).where(F.col("n") > block / 2).collect()
-    hot = np.array([r.h for r in many], np.int64).view(np.uint64)
-    order = np.argsort(hot)
-    return named(keyed, hot[order], np.array([4 * r.n // block + 1 for r in many], np.uint64)[order])
+    Level 0 are the words by hash. Level 1 folds runs and joins pairs, each further level joins pairs again. A symbol whose
+    bounds lie `reach` inside a window is decided by the window alone, so equal windows have the same ones there. As long as
+    all of these stand twice in the corpus, a window is live; the last question is for the words of the live windows.
+    """
 
+    def __init__(self, texts: list[str | None], window: int):
+        self.window = window
+        self.own = [words(t) for t in texts]
+        self.sizes = np.array([len(w) for w in self.own], np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        total, digest = int(self.sizes.sum()), xxhash.xxh64_intdigest
+        self.doc = np.repeat(np.arange(len(texts)), self.sizes)
+        self.live = np.arange(total) + window <= np.repeat(self.first + self.sizes, self.sizes)
+        self.at = 0
+        if self.live.any():
+            self.names = np.fromiter((digest(w) for own in self.own for w in own), np.uint64, total)
+            self.start = np.arange(total)
+
+    def _rise(self, level: int) -> None:
+        while self.at < level:
+            self.at += 1
+            if self.at == 1:
+                self.names, self.start = fold_runs(self.names, self.start, self.doc)
+            self.names, self.start = join_pairs(self.names, self.start, self.doc, self.at)
+
+    def _windows(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each symbol the first window that it lies inside of, and the one behind the last."""
+        r, stop = reach(level), np.append(self.start[1:], len(self.doc))
+        low, high = stop - self.window + r, self.start - r + 1
+        return np.clip(low, 0, len(self.doc)), np.clip(np.maximum(low, high), 0, len(self.doc))
+
+    def symbols(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """(48-bit names, whether more than once here) of the different symbols inside live windows, ascending."""
+        if not self.live.any():
+            return np.zeros(0, np.uint64), np.zeros(0, bool)
+        self._rise(level)
+        low, high = self._windows(level)
+        alive = np.r_[0, np.cumsum(self.live)]
+        self.asked = np.flatnonzero(alive[high] > alive[low])
+        names, self.of, n = np.unique(self.names[self.asked] >> np.uint64(16), return_inverse=True, return_counts=True)
+        return names, n > 1
+
+    def drop(self, level: int, shared: np.ndarray) -> None:
+        """Windows die that hold a symbol which stands once, of those that symbols() gave last."""
+        if len(shared):
+            low, high = self._windows(level)
+            once = self.asked[~shared[self.of]]
+            dead = np.bincount(low[once], minlength=len(self.doc) + 1) - np.bincount(high[once], minlength=len(self.doc) + 1)
+            self.live &= np.cumsum(dead)[:-1] == 0
+
+    def digests(self) -> tuple[np.ndarray, np.ndarray]:
+        """(128-bit digests as two numbers each, whether more than once here) of the different live windows, ascending."""
+        place = np.flatnonzero(self.live)
+        found, digest = [], xxhash.xxh3_128_digest
+        doc = self.doc[place] if len(place) else place
+        cut = np.r_[0, np.flatnonzero(np.diff(doc)) + 1, len(place)].tolist() if len(place) else [0]
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            own = self.own[doc[a]]
+            text, ends = b" ".join(own), np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)
+            inside = place[a:b] - self.first[doc[a]]
+            starts, stops = np.r_[0, ends][inside].tolist(), (ends[inside + self.window - 1] - 1).tolist()
+            found += [digest(text[i:j]) for i, j in zip(starts, stops, strict=True)]
+        all_ = np.frombuffer(b"".join(found), ">u8").reshape(-1, 2).astype(np.uint64)
+        order = np.lexsort((all_[:, 1], all_[:, 0]))
+        ranked = all_[order]
+        new = np.r_[True, (ranked[1:] != ranked[:-1]).any(1)] if len(order) else np.zeros(0, bool)
+        self.of = np.zeros(len(order), np.int64)
+        self.of[order] = np.cumsum(new) - 1
+        return ranked[new], np.bincount(self.of, minlength=int(new.sum())) > 1
+
+    def removed(self, shared: np.ndarray) -> list[np.ndarray]:
+        """For each document the words that a window covers which stands elsewhere too, of those that digests() gave last."""
+        hit = np.flatnonzero(self.live)[shared[self.of]] if len(shared) else np.zeros(0, np.int64)
+        cover = np.bincount(hit, minlength=len(self.doc) + 1) - np.bincount(hit + self.window, minlength=len(self.doc) + 1)
+        return np.split(np.cumsum(cover)[:-1] > 0, np.cumsum(self.sizes)[:-1])
+
+    def answer(self, window_levels: list[int], told: dict[int, np.ndarray]) -> None:
+        for level in window_levels:
+            if level in told:
+                self.symbols(level)
+                self.drop(level, told[level])
+
+
+_ASK = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("names", pa.binary()), ("many", pa.binary())])
+_TOLD = pa.schema([("block", pa.int64()), ("level", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("shared", pa.binary())])
+#: The question for whole windows, after those for symbols.
+LAST = 99
+
+
+def _bits(flags: np.ndarray) -> bytes:
+    return np.packbits(flags, bitorder="little").tobytes()
+
+
+def _flags(data: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(data, np.uint8), count=n, bitorder="little").astype(bool)
+
+
+def _asks(block: int, names: np.ndarray, many: np.ndarray, buckets: int) -> pa.Table:
+    """What a block asks of each bucket; buckets are ranges of names, which come ascending."""
+    wide = names.ndim == 2
+    lead = names[:, 0] >> np.uint64(16) if wide else names
+    bucket = (lead >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)
+    cut = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(names)].tolist() if len(names) else [0]
+    data = names.astype("<u8").tobytes() if wide else names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    width, spans = (16 if wide else 6), list(zip(cut[:-1], cut[1:], strict=True))
+    cols = [bucket[cut[:-1]].astype(np.int32), np.full(len(spans), block, np.int64), np.diff(cut).astype(np.int32)]
+    cols += [[data[width * a : width * b] for a, b in spans], [_bits(many[a:b]) for a, b in spans]]
+    return pa.table([pa.array(c, t) for c, t in zip(cols, _ASK.types, strict=True)], schema=_ASK)
+
+
+def _share(level: int):
+    """All that is asked of one bucket: which names are asked for by two blocks, or stand twice in one."""
+
+    def run(asked: pa.Table) -> pa.Table:
+        size = asked["n"].to_numpy().astype(np.int64)
+        data = np.frombuffer(b"".join(asked["names"].to_pylist()), np.uint8)
+        if level == LAST:
+            names = data.view("<u8").reshape(-1, 2)
+            order = np.lexsort((names[:, 1], names[:, 0]))
+            names = names[order]
+            new = np.r_[True, (names[1:] != names[:-1]).any(1)]
+        else:
+            names = np.zeros((len(data) // 6, 8), np.uint8)
+            names[:, :6] = data.reshape(-1, 6)
+            names = names.view("<u8").ravel()
+            order = np.argsort(names, kind="stable")
+            names = names[order]
+            new = np.r_[True, names[1:] != names[:-1]]
+        many = np.concatenate([_flags(m, n) for m, n in zip(asked["many"].to_pylist(), size.tolist(), strict=True)])
+        of = np.cumsum(new) - 1
+        shared = np.zeros(len(order), bool)
+        shared[order] = (np.bincount(of, 1 + many[order].astype(np.int64)) > 1)[of]
+        told = [_bits(x) for x in np.split(shared, np.cumsum(size)[:-1])]
+        return pa.table([asked["block"], np.full(len(size), level, np.int32), asked["bucket"], asked["n"], pa.array(told, pa.binary())], schema=_TOLD)
 
-def repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, share: int = SHARE) -> DataFrame:
-    """Stretches (key, first, last) of words covered by repeated windows; key is xxhash64(doc_id, text) of the document.
+    return run
 
-    Tasks name the words of a block of documents and find what repeats within; of each window they send on one, under the
-    anchor it shares with its equals, so a passage that all documents share comes once from a block. Under an anchor,
-    windows are the same if 48 bits of their hash are (beside the 64 of the anchor). An anchor that many different windows
-    share, by what one document of `share` shows, is split by the hash of the window, which equal windows share too.
-    """
-    sent = _sent(docs.select(F.xxhash64("doc_id", "text").alias("key"), "text"), window, block, share)
-    return sent.repartition("h").sortWithinPartitions("h").mapInArrow(_verify(window, block), "key long, first int, last int")
 
+def _told(answers: pa.Table) -> dict[int, np.ndarray]:
+    out: dict[int, list] = {}
+    for level, _, n, shared in sorted(zip(*(answers[c].to_pylist() for c in ("level", "bucket", "n", "shared")), strict=True), key=lambda r: r[:2]):
+        out.setdefault(level, []).append(_flags(shared, n))
+    return {level: np.concatenate(parts) for level, parts in out.items()}
 
-def _digest(texts: pd.Series, firsts: pd.Series, lasts: pd.Series) -> pd.DataFrame:
-    out = []
-    for text, first, last in zip(texts, firsts, lasts, strict=True):
-        own = words(text)
-        gone = np.zeros(len(own) + 1, np.int32)
-        if first is not None:
-            np.add.at(gone, np.asarray(first), 1)
-            np.add.at(gone, np.asarray(last), -1)
-        gone = np.cumsum(gone)[:-1] > 0
-        removed = int(gone.sum())
-        kept = b" ".join([w for w, g in zip(own, gone.tolist(), strict=True) if not g] if removed else own)
-        out.append((len(own), removed, kept.decode(), hashlib.sha256(kept).hexdigest()))
-    return pd.DataFrame(out, columns=["n_words", "n_removed", "kept_text", "kept_sha256"])
 
+def _dealt(docs: DataFrame, letters: int) -> tuple[DataFrame, int]:
+    """docs with the number of a block, of about so many letters, as a written table whose files hold whole blocks; and all letters.
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """docs with n_words, n_removed, kept_text and kept_sha256 added (columns of these names go).
+    Later rounds so read their texts where they lie: only questions and answers travel. Copies are dealt out by their
+    doc_id, repeated rows by the partition that they come from.
+    """
+    spark = docs.sparkSession
+    total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8)).first()[0] or 0
+    blocks = 1 + total // letters
+    files = int(min(blocks, 1 + total // min(FILE, 4 * letters), 1 << 16))
+    block = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks))
+    name = f"brolga_{uuid.uuid4().hex}"
+    dealt = docs.withColumn(_BLOCK, block).repartition(files, _BLOCK)
+    dealt.write.bucketBy(files, _BLOCK).option("path", shared_dir(spark)).saveAsTable(name)
+    own = spark.table(name)
+    own.schema  # noqa: B018 - resolved before the name goes; the files stay
+    spark.sql(f"drop table {name}")
+    return own, total
+
+
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, letters: int = LETTERS, with_text: bool = True) -> DataFrame:
+    """docs with n_words, n_removed, kept_text and kept_sha256 added (columns of these names go; no kept_text if not with_text).
 
     A word is removed if `window` consecutive words around it stand, as the same sequence, at another place too, in the
     same document or any other; all places lose it. Kept words are joined by one space. Null, empty and short texts have
-    nothing to remove (null: no words). Repeated rows are documents of their own and so remove each other's windows; a
-    null doc_id is a value like any other. Other columns pass through.
+    nothing to remove (null: no words), an empty table has no rows. Repeated rows are documents of their own and so remove
+    each other's windows; a null doc_id is a value like any other. Other columns pass through.
+
+    Each round is a Spark job: the blocks of documents name their runs and pairs of the next level, ask once for each name
+    whether it stands anywhere else, and windows with a name that does not are out. Names are hashes of what they stand
+    for, so they are the same in the whole corpus; should two contents share one, a window stays in longer than it need.
+    The last round asks for the words of each window left, by a 128-bit digest of them, and that alone decides. A block
+    asks for a name once however often it stands there, so a passage that all documents share comes once from a block.
     """
-    names = ("n_words", "n_removed", "kept_text", "kept_sha256")
-    docs = docs.drop(*names, "_key", "_cut", "_first", "_last")
-    cut = repeats(docs, window, block).groupBy("key").agg(F.collect_list("first").alias("_first"), F.collect_list("last").alias("_last"))
-    told = F.pandas_udf(_digest, "struct<n_words long, n_removed long, kept_text string, kept_sha256 string>")
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    joined = keyed.join(cut.withColumnRenamed("key", "_key"), "_key", "left")
-    out = joined.withColumn("_cut", told("text", "_first", "_last"))
-    return out.withColumns({n: F.col("_cut")[n] for n in names}).drop("_key", "_cut", "_first", "_last")
+    small_batches(docs.sparkSession)
+    docs = docs.drop(*(x.split()[0] for x in ADDED.split(", ")), _BLOCK)
+    own, total = _dealt(docs, letters)
+    buckets, levels = int(min(1 << 20, max(32, 1 + total // min(MEET, 16 * letters)))), levels_for(window)
+    texts, answers = own.select(_BLOCK, "text"), []
+
+    def asks(block: Block, number: int, level: int) -> pa.Table:
+        names, many = block.digests() if level == LAST else block.symbols(level)
+        return _asks(number, names, many, buckets)
+
+    def question(level: int) -> Callable:
+        def first(own: pa.Table) -> pa.Table:
+            worker_cache("recompress")
+            return asks(Block(own["text"].to_pylist(), window), own[_BLOCK][0].as_py(), level)
+
+        def later(own: pa.Table, told: pa.Table) -> pa.Table:
+            worker_cache("recompress")
+            if not (own.num_rows and told.num_rows):
+                return _ASK.empty_table()
+            block = Block(own["text"].to_pylist(), window)
+            block.answer(levels, _told(told))
+            return asks(block, own[_BLOCK][0].as_py(), level)
+
+        return later if answers else first
+
+    schema = "bucket int, block long, n int, names binary, many binary"
+    for level in [*levels, LAST]:
+        if answers:
+            asked = texts.groupBy(_BLOCK).cogroup(_union(answers).groupBy("block")).applyInArrow(question(level), schema)
+        else:
+            asked = texts.groupBy(_BLOCK).applyInArrow(question(level), schema)
+        told = asked.groupBy("bucket").applyInArrow(_share(level), "block long, level int, bucket int, n int, shared binary")
+        answers.append(materialize(told))
+
+    added = [x.strip() for x in ADDED.split(",") if with_text or "kept_text" not in x]
+    kinds = pa.schema([(n, {"long": pa.int64(), "string": pa.string()}[t]) for n, t in map(str.split, added)])
+
+    def cut(own: pa.Table, told: pa.Table) -> pa.Table:
+        worker_cache("recompress")
+        if not own.num_rows:
+            return own.drop_columns(_BLOCK).append_column(kinds.field(0), pa.array([], kinds.field(0).type))  # no such group
+        shared = _told(told)
+        last = shared.pop(LAST, np.zeros(0, bool))
+        block = Block(own["text"].to_pylist(), window)
+        block.answer(levels, shared)
+        if len(last):
+            block.digests()
+        rows = []
+        for of, gone in zip(block.own, block.removed(last), strict=True):
+            removed = int(gone.sum())
+            kept = b" ".join([w for w, g in zip(of, gone.tolist(), strict=True) if not g] if removed else of)
+            rows.append((len(of), removed, kept.decode() if with_text else "", hashlib.sha256(kept).hexdigest()))
+        cols = dict(zip(("n_words", "n_removed", "kept_text", "kept_sha256"), zip(*rows), strict=True))
+        out = own.drop_columns(_BLOCK)
+        for f in kinds:
+            out = out.append_column(f, pa.array(cols[f.name], f.type))
+        return out
+
+    out = ", ".join([f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema] + added)
+    return own.groupBy(_BLOCK).cogroup(_union(answers).groupBy("block")).applyInArrow(cut, out)
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.union(f)
+    return out
 
 
 def op9_recompress(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_substrings(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return dedup_substrings(docs, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 OP9_SQL = r"""

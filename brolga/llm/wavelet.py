@@ -245,6 +245,7 @@ def count(shards: DataFrame, tokens: list[int], start: int = 0, stop: int | None
 
     Each shard in that stretch answers from its planes by two ranks a plane; only sums are shuffled. Ids nowhere have 0.
     """
+    tokens = sorted(set(tokens))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(len(tokens), np.int64)
@@ -263,6 +264,7 @@ def occurrences(shards: DataFrame, tokens: list[int], start: int = 0, stop: int
 
     Each shard finds its own places by select; nothing is shuffled.
     """
+    tokens = sorted(set(tokens))
     kind = shards.schema["doc_ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

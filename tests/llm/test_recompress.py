@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 
-from brolga.llm.recompress import anchors, dedup_substrings, repeats, rounds_for, window_hashes
+from brolga.llm.recompress import Block, dedup_substrings, levels_for, reach
 
 
 def brute(texts, window):
@@ -22,17 +22,40 @@ def brute(texts, window):
     return out
 
 
-def test_equal_windows_share_an_anchor():
-    rnd = np.random.default_rng(6)
-    for window in (1, 2, 4, 5, 12, 13, 28, 29, 35, 60):
-        inner = rnd.integers(0, 6 if window % 2 else 1 << 40, window).astype(np.uint64)
-        found = set()
-        for _ in range(30):
-            a, b = rnd.integers(0, 6, rnd.integers(0, 40)).astype(np.uint64), rnd.integers(0, 6, rnd.integers(0, 40)).astype(np.uint64)
-            names = np.concatenate([a, inner, b])
-            found.add((int(anchors(names, np.zeros(len(names), int), window)[len(a)]), int(window_hashes(names, window)[len(a)])))
-        assert len(found) == 1
-    assert rounds_for(35) == 3
+def test_equal_windows_have_the_same_symbols_inside():
+    rnd = random.Random(6)
+    assert [levels_for(w) for w in (1, 14, 15, 30, 31, 35, 63)] == [[0], [0], [1], [1], [1, 2], [1, 2], [1, 2, 3]]
+    for window in (1, 4, 15, 16, 31, 35, 63):
+        for letters in (2, 3, 50):
+            inner = [f"w{rnd.randrange(letters)}" for _ in range(window)]
+            found = set()
+            for _ in range(40):
+                around = [[f"w{rnd.randrange(letters)}" for _ in range(rnd.randrange(40))] for _ in range(2)]
+                block = Block([" ".join(around[0] + inner + around[1])], window)
+                p, seen = len(around[0]), []
+                for level in levels_for(window):
+                    block.symbols(level)
+                    stop = np.append(block.start[1:], len(block.doc))
+                    inside = (block.start >= p + reach(level)) & (stop <= p + window - reach(level))
+                    low, high = block._windows(level)
+                    assert (inside == ((low <= p) & (p < high))).all() and inside.any()
+                    seen.append(tuple(zip((block.start[inside] - p).tolist(), block.names[inside].tolist())))
+                found.add(tuple(seen))
+            assert len(found) == 1
+
+
+def test_runs_and_pairs_are_named_by_what_they_are():
+    one = Block(["a a b c c c d " * 3, "x a a b"], 1)
+    one.symbols(0)
+    one._rise(1)
+    spelled = {}
+    stop = np.append(one.start[1:], len(one.doc))
+    flat = [w for own in one.own for w in own]
+    for name, i, j in zip(one.names.tolist(), one.start.tolist(), stop.tolist()):
+        spelled.setdefault(name, set()).add(tuple(flat[i:j]))
+        assert one.doc[i] == one.doc[j - 1]
+    assert all(len(s) == 1 for s in spelled.values()) and len({next(iter(s)) for s in spelled.values()}) == len(spelled)
+    assert not any(s in spelled.values() for s in ({(b"c", b"c", b"c")}, {(b"a",)}))
 
 
 def texts(rnd, n):
@@ -53,31 +76,34 @@ def test_against_brute_force(spark):
     rows = list(enumerate(texts(rnd, 120)))
     rows[5] = (None, rows[5][1])
     rows.append(rows[7])
-    d = spark.createDataFrame([(*r, "k", 2.0) for r in rows], "doc_id long, text string, key string, n_words double").repartition(4)
+    d = spark.createDataFrame([(*r, "k", 2.0) for r in rows], "doc_id long, text string, `a key` string, n_words double").repartition(4)
     for window in (35, 6, 1):
         want = Counter(brute([t for _, t in rows], window))
-        for block in (1 << 20, 300):
-            got = dedup_substrings(d, window, block).collect()
+        for letters in (1 << 22, 2000):
+            got = dedup_substrings(d, window, letters).collect()
             assert Counter((r.n_words, r.n_removed, r.kept_sha256) for r in got) == want
             assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in got)
+            assert all(r["a key"] == "k" for r in got)
     assert dedup_substrings(d.limit(0)).count() == 0
+    assert dedup_substrings(d.where("length(text) < 5"), with_text=False).columns == ["doc_id", "text", "a key", "n_words", "n_removed", "kept_sha256"]
 
 
-def test_hot_anchor_is_split(spark):
-    from pyspark.sql import functions as F
-
-    from brolga.llm import recompress
-
-    rnd = np.random.default_rng(14)
-    phrase = "this short notice stands in every single text".split()
-    rows = [(k, " ".join([*(f"a{x}" for x in rnd.integers(0, 10**9, 40)), *phrase, *(f"b{x}" for x in rnd.integers(0, 10**9, 40))])) for k in range(400)]
-    rows += [(1000 + k, rows[k][1]) for k in range(3)]
-    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    keyed = d.select(F.xxhash64("doc_id", "text").alias("key"), "text")
-    sent = recompress._sent(keyed, 35, 1000, 1).where(F.col("kind") != recompress.FOUND).groupBy("h").agg(F.sum("n").alias("n"))
-    assert sent.agg(F.max("n")).first()[0] <= 1000
-    twice = {(r.key, r.first, r.last) for r in repeats(d, 35, 1000, 1).collect()}
-    keys = {r.key for r in d.where("doc_id < 3 or doc_id >= 1000").select(F.xxhash64("doc_id", "text").alias("key")).collect()}
-    assert {k for k, _, _ in twice} == keys
-    covered = {k: {i for x, a, b in twice if x == k for i in range(a, b)} for k in keys}
-    assert all(c == set(range(88)) for c in covered.values())
+def test_a_phrase_that_all_documents_share_asks_little(spark):
+    """A stock phrase shorter than a window makes no live window, and a passage of all documents is asked for once a block."""
+    rnd = random.Random(14)
+    phrase, passage = "this short notice stands in every single text".split(), [f"p{k}" for k in range(40)]
+    own = [[f"a{rnd.randrange(10**9)}" for _ in range(40)] + phrase + [f"b{rnd.randrange(10**9)}" for _ in range(40)] for _ in range(300)]
+    block = Block([" ".join(w) for w in own], 35)
+    for level in levels_for(35):
+        names, many = block.symbols(level)
+        block.drop(level, many)
+    assert not block.live.any()
+    block = Block([" ".join(w + passage) for w in own], 35)
+    for level in levels_for(35):
+        names, many = block.symbols(level)
+        block.drop(level, many)
+    names, many = block.digests()
+    assert many.sum() == 6 and len(names) < 8 * 300
+    rows = [(k, " ".join(w)) for k, w in enumerate(own)] + [(1000 + k, " ".join(own[k])) for k in range(3)]
+    got = dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), letters=3000).collect()
+    assert {r.doc_id for r in got if r.n_removed} == {0, 1, 2, 1000, 1001, 1002} and all(r.n_removed in (0, 88) for r in got)
