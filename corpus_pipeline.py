@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,15 +18,20 @@ from brolga.llm.simhash import near_duplicates
 def _wrapped(docs: DataFrame) -> DataFrame:
     """Documents as (doc_id, text, _doc): whatever other columns they have, an operator's own cannot clash with them."""
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("_doc"))
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("_none"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_doc"))
+
+
+def _unwrapped(found: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of documents again, some of them changed."""
+    kept = {"text": F.col("text")} | changed
+    return found.select(*[kept.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in columns])
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known: rejected ones go; a missing label becomes the predicted one."""
     model = fit(docs.where(~held_out()))
     found = predict(_wrapped(docs), model).where("not rejected")
-    lang = F.coalesce(F.col("_doc.lang"), F.col("lang_pred"))
-    return found.select(F.col("_doc").withField("lang", lang).alias("_doc")).select("_doc.*")
+    return _unwrapped(found, docs.columns, lang=F.coalesce(F.col("_doc.lang"), F.col("lang_pred")))
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,24 +42,23 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     rows = _wrapped(docs).withColumn("_text_hash", F.xxhash64("text"))
     rows = rows.join(stay, (rows["_text_hash"] == stay["_hash"]) & rows["doc_id"].eqNullSafe(stay["_id"]))
     once = F.row_number().over(W.partitionBy("_hash", "_id").orderBy("_hash"))
-    return rows.withColumn("_n", once).where("_n = 1").select("_doc.*")
+    return _unwrapped(rows.withColumn("_n", once).where("_n = 1"), docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the words of passages that stand elsewhere too; untouched texts stay as they are."""
-    found = dedup_substrings(_wrapped(docs))
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    doc = F.col("_doc").withField("text", text)
+    found, gone = dedup_substrings(_wrapped(docs)), F.col("n_removed") > 0
+    changed = {"text": F.when(gone, F.col("kept_text")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        n = F.when(F.col("n_removed") > 0, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_doc.n_chars"))
-        doc = doc.withField("n_chars", n)
-    return found.select(doc.alias("_doc")).select("_doc.*")
+        length = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(gone, length).otherwise(F.col("_doc.n_chars"))
+    return _unwrapped(found, docs.columns, **changed)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any occurrence of a benchmark window."""
     found = decontaminate(_wrapped(docs), table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("hit_words") == 0).select("_doc.*")
+    return _unwrapped(found.where(F.size("hit_words") == 0), docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
