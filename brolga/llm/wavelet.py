@@ -301,7 +301,7 @@ def access(shards: DataFrame, positions: DataFrame, cell: int = SHARD) -> DataFr
         own = WaveletMatrix.from_bytes(data["wavelet"][0].as_py())
         return pa.table({"position": at, "token": own.access(at - data["start"][0].as_py()).astype(np.int64)})
 
-    held = shards.select("part", "shard", "start", "wavelet").groupBy("part", "shard")
+    held = shards.select(F.col("part").alias("_part"), F.col("shard").alias("_shard"), "start", "wavelet").groupBy("_part", "_shard")
     return held.cogroup(asked.groupBy("part", "shard")).applyInArrow(run, "position long, token long")
 
 
