@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from brolga.llm.common import materialize, table
 
-#: A count c >= least is kept as level 1 + floor(log(c / least) / log(BASE)).
+#: A count c >= least is kept as level 1 + floor(log(c / least) / log(BASE)); pairs seen once are left to the single words.
 BASE = 1.25
 LEAST = {1: 1, 2: 2}
 #: Bits and hash functions for each n-gram and level; filters of more than MOST_BYTES are not broadcast, but asked by shuffle.
@@ -87,19 +87,24 @@ def level(count: np.ndarray, least: int) -> np.ndarray:
     return np.where(count < least, 0, 1 + np.floor(np.log(np.maximum(count, least) / least) / np.log(BASE) + 1e-9)).astype(np.int64)
 
 
-def _middles(least: int) -> np.ndarray:
+def _bounds(least: int) -> tuple[np.ndarray, np.ndarray]:
     levels = np.arange(1, 400.0)
     low = np.ceil(least * BASE ** (levels - 1) - 1e-9)
     high = np.maximum(np.ceil(least * BASE**levels - 1e-9) - 1, low)
-    return np.r_[0.0, (low + high) / 2]
+    return np.r_[0.0, low], np.r_[0.0, high]
 
 
-_MIDDLE = {least: _middles(least) for least in set(LEAST.values())}
+_BOUNDS = {least: _bounds(least) for least in set(LEAST.values())}
 
 
-def count_of(levels: np.ndarray, least: int) -> np.ndarray:
-    """The middle of the counts that a level stands for; 0 for level 0."""
-    return _MIDDLE[least][levels]
+def least_of(levels: np.ndarray, least: int) -> np.ndarray:
+    """The smallest count that a level stands for; 0 for level 0."""
+    return _BOUNDS[least][0][levels]
+
+
+def most_of(levels: np.ndarray, least: int) -> np.ndarray:
+    """The largest count that a level stands for; 0 for level 0."""
+    return _BOUNDS[least][1][levels]
 
 
 def _bit(hashed: np.ndarray, j: int, size: np.ndarray) -> np.ndarray:
@@ -127,11 +132,16 @@ class Filter:
         live, bucket = live[some], bucket[some]
         seed, start, size = ids[live] * _A, self.start[bucket], self.size[bucket]
         while len(live):
-            hashed = mix(seed + np.uint64(lev * int(_B) % (1 << 64)))
+            if lev == len(_BOUNDS[self.least][0]):
+                raise ValueError("names at more levels than counts have: the filter is full")
+            hashed, at, here = mix(seed + np.uint64(lev * int(_B) % (1 << 64))), (start, size), None
             for j in range(HASHES):
-                at = _bit(hashed, j, size) + start
-                yes = (self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-                live, seed, start, size, hashed = live[yes], seed[yes], start[yes], size[yes], hashed[yes]
+                place = _bit(hashed, j, at[1]) + at[0]
+                yes = np.flatnonzero(self.data[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+                here = yes if here is None else here[yes]
+                if j + 1 < HASHES:
+                    hashed, at = hashed[yes], (at[0][yes], at[1][yes])
+            live, seed, start, size = live[here], seed[here], start[here], size[here]
             out[live] = lev
             lev += 1
         return out
@@ -152,9 +162,6 @@ class Filter:
             self.known = names[order], found[order]
         return out
 
-    def counts(self, ids: np.ndarray) -> np.ndarray:
-        return count_of(self.levels(ids), self.least)
-
 
 def segment(ids: np.ndarray, count: np.ndarray, least: int, bits: float) -> np.ndarray:
     """A Bloom filter with all levels up to its own for each name."""
@@ -181,10 +188,6 @@ class Answers:
 
     levels_again = levels
 
-    def counts(self, ids: np.ndarray) -> np.ndarray:
-        return count_of(self.levels(ids), self.least)
-
-
 def _pack(ids: np.ndarray) -> bytes:
     return ids.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
@@ -249,7 +252,11 @@ class Model:
     shelf: DataFrame | None = None
 
     def parts(self, names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-        """For each token: its count, the level and count of the token before it, the count of both together."""
+        """For each token: its count at least, the level and count at most of the token before it, the count of both at least.
+
+        So the shares of all tokens that follow one, and the shares of all single tokens, add up to 1 at most (but for names
+        that the filters take for others).
+        """
         code, kind = pd.factorize(names)
         lev = self.words.levels_again(single(kind))
         end = self.words.levels(single(np.array([END], np.uint64)))
@@ -257,9 +264,9 @@ class Model:
         past = np.r_[end, lev[:-1]]
         past[first] = end[0]
         code, kind = pd.factorize(pairs(names, first))
-        before = count_of(past, LEAST[1])
-        both = np.minimum(self.pairs.counts(kind)[code], before)
-        return count_of(lev, LEAST[1]), np.minimum(past, LEVELS - 1), before, both
+        before = most_of(past, LEAST[1])
+        both = np.minimum(least_of(self.pairs.levels(kind), LEAST[2])[code], before)
+        return least_of(lev, LEAST[1]), np.minimum(past, LEVELS - 1), before, both
 
     def log10(self, names: np.ndarray, first: np.ndarray) -> np.ndarray:
         """log10 probability of each token after the one before it."""
@@ -443,7 +450,7 @@ def fit(texts: DataFrame, most_bytes: int = MOST_BYTES, bucket: int = BUCKET) ->
     buckets by their leading bits, where they are added up and become that bucket's part of the filter at once; those seen once are left to the single words. Buckets
     follow the corpus in number, so each stays small. Finished filters of up to most_bytes come to the driver and are
     broadcast; larger ones stay a written table, and texts ask them by shuffle (_asked). The filters and so the scores are
-    the same either way, BITS for each n-gram and level.
+    the same either way, BITS for each n-gram and level, however many there are. A filter that says yes to all raises.
     How far pairs are trusted is set last, in one more pass that scores each training token without itself.
     """
 

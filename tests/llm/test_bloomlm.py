@@ -5,9 +5,10 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from brolga.llm import bloomlm
-from brolga.llm.bloomlm import CELLS, END, LEVELS, Filter, count_of, fit, level, op4_bloomlm, pairs, score, segment, tokens, trusts
+from brolga.llm.bloomlm import CELLS, END, LEVELS, Answers, Filter, Model, fit, least_of, level, most_of, op4_bloomlm, pairs, score, segment, single, tokens, trusts
 
 
 def split(text):
@@ -34,7 +35,43 @@ def test_filter_keeps_levels():
     assert (got >= level(n, 1)).all() and (got == level(n, 1)).mean() > 0.98
     assert (f.levels(rnd.integers(0, 1 << 48, 20000).astype(np.uint64)) == 0).mean() > 0.98
     exact = np.arange(1, 5000)
-    assert (np.abs(count_of(level(exact, 1), 1) / exact - 1) < 0.2).all() and level(np.array([0, 1]), 2).tolist() == [0, 0]
+    low, high = least_of(level(exact, 1), 1), most_of(level(exact, 1), 1)
+    assert (low <= exact).all() and (exact <= high).all() and (high <= 1.25 * low).all() and level(np.array([0, 1]), 2).tolist() == [0, 0]
+
+
+def test_a_full_filter_raises():
+    full = Filter(2, 48, np.zeros(1, np.uint64), np.array([512], np.uint64), np.full(64, 255, np.uint8))
+    with pytest.raises(ValueError, match="full"):
+        full.levels(np.array([5, 6], np.uint64))
+
+
+def test_what_follows_a_word_adds_up_to_one_at_most():
+    rnd = np.random.default_rng(12)
+    texts = [" ".join(f"w{x}" for x in rnd.zipf(1.4, 300).clip(1, 400)) for _ in range(40)]
+    names, first = tokens(texts)
+    kinds = np.unique(names)
+
+    def exact(ids, least):
+        ids, n = np.unique(ids, return_counts=True)
+        return ids, level(n, least)
+
+    ids1, lev1 = exact(single(names), 1)
+    ids2, lev2 = exact(pairs(names, first), 2)
+
+    class Whole(Answers):
+        def levels(self, ids):
+            at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+            return np.where(self.ids[at] == ids, self.found[at], 0)
+
+        levels_again = levels
+
+    for trust in (0.0, 0.5, 0.999):
+        model = Model(len(names), len(kinds), Whole(1, ids1, lev1), Whole(2, ids2, lev2), np.full(LEVELS, trust))
+        after = [*kinds.tolist(), 77]
+        for before in kinds[:: len(kinds) // 40].tolist():
+            said = np.array([x for w in after for x in (before, w)], np.uint64)
+            p = 10.0 ** model.log10(said, np.arange(0, len(said), 2))[1::2]
+            assert 0 < p.min() and p.sum() <= 1 + 1e-9
 
 
 def test_score_follows_its_formula(spark):
@@ -43,7 +80,7 @@ def test_score_follows_its_formula(spark):
     model, counts = fit(d)
     own = [split(t) for t in texts]
     c, two = Counter(t for o in own for t in o), Counter(p for o in own for p in zip([None, *o[:-1]], o))
-    q = lambda n, least: float(count_of(level(np.array([n]), least), least)[0])
+    q = lambda n, least, of=least_of: float(of(level(np.array([n]), least), least)[0])
     n, v = sum(c.values()), len(c)
     for head in (0, 10**6):
         for r in score(d, model, counts, head).collect():
@@ -52,7 +89,8 @@ def test_score_follows_its_formula(spark):
             for h, w in zip([None, *o[:-1]], o):
                 alone = (q(c[w], 1) + 1) / (n + v + 1)
                 t = model.trust[level(np.array([c[h]]), 1)[0]]
-                want += math.log10(t * min(q(two[h, w], 2), q(c[h], 1)) / q(c[h], 1) + (1 - t) * alone)
+                before = q(c[h], 1, most_of)
+                want += math.log10(t * min(q(two[h, w], 2), before) / before + (1 - t) * alone)
             assert abs(r.score - want) < 1e-6 * max(1, abs(want))
             assert abs(r.base_score - brute_base([texts[r.doc_id]], texts)[0][3]) < 1e-6
 
