@@ -10,13 +10,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from brolga.llm.common import release, small_batches, table, worker_cache
+from brolga.llm.common import materialize, release, small_batches, table, worker_cache
 
 ORDER = 4
-#: Labelled rows of a language that the models are fitted on (about; all, if there are fewer). Every tenth calibrates.
-ROWS = 4000
+#: Labelled rows of a language that the models are fitted on (about; all, if there are fewer), and their letters at most, but
+#: for the first text. Every tenth row calibrates.
+ROWS, LETTERS = 4000, 40_000_000
 #: How far beyond the usual a text may lie before it is rejected: this times the 0.999 quantile of the calibration rows, at least LEAST.
 SLACK, LEAST = 1.5, 6.0
 #: Letters from which on more evidence does not make the score surer.
@@ -189,26 +191,32 @@ def _blocks(texts) -> Iterator[list[str | None]]:
         yield block
 
 
-def fit(labelled: DataFrame, order: int = ORDER, rows: int = ROWS) -> Models:
+def fit(labelled: DataFrame, order: int = ORDER, rows: int = ROWS, most: int = LETTERS) -> Models:
     """Models from labelled (text, lang); rows with a null in either teach nothing.
 
-    About `rows` rows of each language are taken, by the hash of their text; that bounds the work and, as grams of a bounded
-    text are bounded, what comes to the driver and is broadcast. Grams are counted in Spark. One in ten of the rows taken
-    calibrates: the usual cross-entropy of each language, its spread by length, and how far off a text may be. A language
-    with under 20 such rows takes those of all, and nothing is rejected if these are under 20. Labels are taken to be few.
+    About `rows` rows of each language are taken, by the hash of all their columns, so that copies of one text come in by
+    their share like any others; never more than twice as many, and no more than `most` letters (but always one text). That
+    bounds the work and what comes to the driver and is broadcast. Grams are counted in Spark. The tenth, twentieth and so
+    on of the rows taken calibrate: the usual cross-entropy of each language, its spread by length, and how far off a text
+    may be; so every language is learned, from one row too. A language with under 20 such rows takes those of all, and
+    nothing is rejected if these are under 20. Labels are taken to be few.
     """
     spark = labelled.sparkSession
     small_batches(spark)
-    known = labelled.select("text", "lang").where("text is not null and lang is not null")
+    known = labelled.where("text is not null and lang is not null")
     sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
     if not sizes:
         return Models([], order)
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, rows / n))])
-    draw = F.pmod(F.xxhash64("text"), F.lit(1_000_000))
-    taken = known.where(draw < share[F.col("lang")] * 1_000_000)
-    held = F.pmod(F.xxhash64("text", F.lit("calibration")), F.lit(10)) == 0
+    draw = F.xxhash64(*[F.col(f"`{c}`") for c in known.columns])
+    drawn = known.where(F.pmod(draw, F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).select("text", "lang", draw.alias("draw"))
+    inside = W.partitionBy("lang").orderBy("draw", "text").rowsBetween(W.unboundedPreceding, W.currentRow)
+    drawn = drawn.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("draw", "text"))).where(F.col("nth") <= 2 * rows)
+    drawn = drawn.withColumn("letters", F.sum(F.length("text")).over(inside))
+    taken = materialize(drawn.where((F.col("nth") == 1) | (F.col("letters") <= most)).select("text", "lang", "nth"))
+    held = F.col("nth") % 10 == 0
     run, names = _count(order)
-    grams = taken.where(~held).mapInArrow(run, "lang string, " + ", ".join(f"{c} int" for c in names) + ", n long")
+    grams = taken.where(~held).select("text", "lang").mapInArrow(run, "lang string, " + ", ".join(f"{c} int" for c in names) + ", n long")
     model = _learn(grams.groupBy("lang", *names).agg(F.sum("n").alias("n")).toPandas(), order)
     sent = spark.sparkContext.broadcast(model)
     found = taken.where(held).select("lang", _predict(sent)("text").alias("x")).select("lang", "x.bits", "x.n").where("n > 1").toPandas()

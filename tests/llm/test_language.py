@@ -35,8 +35,6 @@ def kneser_ney(text, order):
 def test_probabilities_are_kneser_ney(spark):
     text = "the thin thing that then thinned the ten tents "
     model = fit(spark.createDataFrame([(text, "xx")], "text string, lang string"), order=3)
-    if not model.languages:  # the only row calibrates
-        model = fit(spark.createDataFrame([(text + ".", "xx")], "text string, lang string"), order=3)
     p = kneser_ney(text, 3)
     for told in ("then", "zoo then", "hhh", "tent the"):
         s = "  " + told + " "
@@ -73,3 +71,45 @@ def test_held_out_accuracy(spark):
     out = [r for r in rows if r.held_out and truth[r.doc_id]]
     assert len(out) > 100 and sum(r.lang_pred == truth[r.doc_id] for r in out) / len(out) > 0.98
     assert sum(r.rejected for r in rows) / len(rows) < 0.01
+
+
+def test_every_language_is_learned_and_copies_stay_in_bounds(spark):
+    rnd = np.random.default_rng(15)
+    rows = [(k, "".join(rnd.choice(list("abcdefgh"), 30)), f"l{k:02}") for k in range(30)]
+    rows += [(100 + k, "one text said again and again", "xx") for k in range(3000)] + [(5000, "a " * 5000, "yy"), (5001, "b " * 5000, "yy")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit(d, rows=50, most=4000)
+    assert model.languages == sorted({r[2] for r in rows})
+    got = predict(d, model).where("doc_id < 30").collect()
+    assert all(r.lang_pred == r.lang for r in got)
+    again = fit(d.repartition(5), rows=50, most=4000)
+    assert all((a == b).all() for a, b in zip(model.grams, again.grams)) and model.usual == again.usual
+
+
+def test_equal_entropies_take_the_first_name(spark):
+    d = spark.createDataFrame([("the same words", "b"), ("the same words", "a"), ("das ist anders", "c")], "text string, lang string")
+    row = predict(spark.createDataFrame([("the same",)], "text string"), fit(d)).first()
+    assert row.lang_pred == "a" and row.score <= 0.5 + 1e-9
+
+
+def test_prediction_against_brute_force(spark, sf):
+    """Least cross-entropy by the textbook recursion over dictionaries, for languages of one text each."""
+    docs = [r for r in spark.read.parquet(f"{sf}/documents.parquet").where("text is not null and lang is not null").orderBy("doc_id").collect()]
+    first = {}
+    for r in docs:
+        first.setdefault(r.lang, "".join(c if c.isalpha() else " " for c in r.text.lower())[:300])
+    clean = {k: " ".join(v.split()) for k, v in first.items()}
+    model = fit(spark.createDataFrame([(v, k) for k, v in clean.items()], "text string, lang string"), order=3)
+    p = {k: kneser_ney(v + " ", 3) for k, v in clean.items()}
+    letters_seen = len({c for v in clean.values() for c in v + " "}) + 1
+    texts = [" ".join("".join(c if c.isalpha() else " " for c in r.text.lower()).split())[:60].strip() for r in docs[20:40]]
+    got, _ = model.entropies(texts)
+    for row, text in zip(got, texts):
+        s = "  " + text + " "
+        for k, name in enumerate(model.languages):
+            told = [p[name](s[i - 2 : i], s[i]) for i in range(2, len(s))]
+            own = len({c for c in clean[name] + " "}) + 1
+            if own == letters_seen:
+                assert abs(row[k] + sum(map(math.log2, told)) / len(told)) < 1e-9
+    said = [r.lang_pred for r in predict(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string"), model).orderBy("doc_id").collect()]
+    assert said == [model.languages[k] for k in got.argmin(1)]
