@@ -21,6 +21,8 @@ MAX_BITS = 4
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 #: Fingerprints under one key that one task compares at a time.
 BLOCK = 4096
+#: One fingerprint of so many shows how many rows a key has; only how they are dealt out depends on it.
+SHARE = 16
 _GENERATOR = 0b110001110101
 
 
@@ -169,26 +171,33 @@ def _compare(batches: Iterator[pa.RecordBatch], most: int = MAX_BITS) -> Iterato
     yield from edges(rest)
 
 
-def links(fingerprints: DataFrame, block: int = BLOCK) -> DataFrame:
+def links(fingerprints: DataFrame, block: int = BLOCK, share: int = SHARE) -> DataFrame:
     """Edges (a, b) of distinct fingerprints (column fp) at up to 4 differing bits that connect all that are connected.
 
-    A key under which over `block` fingerprints are at home is dealt out: its rows go to blocks, and each pair of blocks
-    is compared by itself, so no task holds more than two blocks of a key at once.
+    Under a key, fingerprints at home there are compared with each other and with its guests. Both are dealt to blocks of
+    about `block` if there are more, by what one fingerprint of `share` shows, and each pair of blocks, two at home or one
+    at home and one of guests, is compared by itself; so a task holds about two blocks at once, whoever a key is full of.
     """
     rows = fingerprints.mapInArrow(_emit, "key long, own boolean, fp long")
-    home = rows.where("own").groupBy("key").count()
-    hot = home.where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("n"))
+    some = fingerprints.where(F.pmod(F.xxhash64("fp", F.lit(SEED)), F.lit(share)) == 0).mapInArrow(_emit, "key long, own boolean, fp long")
+    seen = some.groupBy("key").agg((F.sum(F.col("own").cast("int")) * share).alias("home"), (F.count("*") * share).alias("all"))
+    hot = materialize(
+        seen.where(F.col("all") > block).select(
+            "key",
+            F.greatest(F.lit(1), F.ceil(F.col("home") / block)).cast("int").alias("n"),
+            F.ceil((F.col("all") - F.col("home")) / block).cast("int").alias("m"),
+        )
+    )
     if hot.isEmpty():
         rows = rows.withColumns({"i": F.lit(0), "j": F.lit(0)})
     else:
-        here = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
-        other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-        rows = (
-            rows.join(materialize(hot), "key", "left")
-            .withColumn("n", F.coalesce("n", F.lit(1)))
-            .select("key", "own", "fp", here.alias("x"), other.alias("y"))
-            .select("key", "own", "fp", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"))
-        )
+        rows = rows.join(hot, "key", "left").withColumns({"n": F.coalesce("n", F.lit(1)), "m": F.coalesce("m", F.lit(0))})
+        x, y = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"), F.pmod(F.xxhash64("fp"), F.greatest("m", F.lit(1))).cast("int")
+        homes = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.struct(F.least(k, x).alias("i"), F.greatest(k, x).alias("j")))
+        beside = F.transform(F.sequence(F.lit(0), F.greatest("m", F.lit(1)) - 1), lambda k: F.struct(x.alias("i"), (F.col("n") + k).alias("j")))
+        guests = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.struct(k.alias("i"), (F.col("n") + y).alias("j")))
+        cells = F.when(F.col("m") == 0, homes).when(F.col("own"), F.concat(homes, beside)).otherwise(guests)
+        rows = rows.select("key", "own", "fp", F.explode(cells).alias("c")).select("key", "own", "fp", "c.i", "c.j")
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare, "a long, b long")
 
 

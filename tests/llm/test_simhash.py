@@ -62,10 +62,10 @@ def test_edges_connect_as_brute_force(spark):
     f += [centre ^ (1 << i) ^ (1 << j) for i in range(64) for j in range(i)][:900]
     f = sorted({x - (1 << 64) if x >> 63 else x for x in f})
     want = classes([(x, np.array(x, np.int64).view(np.uint64)) for x in f])
-    for block in (4096, 50):
+    for block, share in ((4096, 16), (50, 1), (5, 2)):
         from brolga.llm.common import components
 
-        got = dict(components(links(spark.createDataFrame([(x,) for x in f], "fp long"), block)).collect())
+        got = dict(components(links(spark.createDataFrame([(x,) for x in f], "fp long"), block, share)).collect())
         assert {x: got.get(x, x) for x in f} == want
 
 
