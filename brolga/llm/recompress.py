@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from brolga.llm.common import materialize, shared_dir, small_batches, table, wor
 
 WINDOW = 35
 #: Letters of the documents that are named together, and of those in one file of the dealt table.
-LETTERS, FILE = 1 << 22, 1 << 24
+LETTERS, FILE = 1 << 22, 1 << 25
 #: Letters for which the names asked for meet in one bucket.
 MEET = 1 << 24
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -85,7 +86,7 @@ class Block:
         self.live = np.arange(total) + window <= np.repeat(self.first + self.sizes, self.sizes)
         self.at = 0
         if self.live.any():
-            self.names = np.fromiter((digest(w) for own in self.own for w in own), np.uint64, total)
+            self.names = np.fromiter(map(digest, chain.from_iterable(self.own)), np.uint64, total)
             self.start = np.arange(total)
 
     def _rise(self, level: int) -> None:
@@ -224,7 +225,7 @@ def _dealt(docs: DataFrame, letters: int) -> tuple[DataFrame, int]:
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8)).first()[0] or 0
     blocks = 1 + total // letters
-    files = int(min(blocks, 1 + total // min(FILE, 4 * letters), 1 << 16))
+    files = int(min(blocks, 1 + total // min(FILE, 8 * letters), 1 << 16))
     block = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks))
     name = f"brolga_{uuid.uuid4().hex}"
     dealt = docs.withColumn(_BLOCK, block).repartition(files, _BLOCK)
