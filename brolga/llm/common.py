@@ -29,12 +29,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share.
 
-    spark.checkpoint.dir names that folder; only where it is unset (tests on one machine) a temporary one is taken.
+    spark.checkpoint.dir names that folder; only where it is unset and Spark runs in one process, as in tests, a temporary
+    one is taken.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base}/brolga-{uuid.uuid4().hex}"
