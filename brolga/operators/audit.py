@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from brolga.functions.prefix import sum_before
+
 
 def canonical(text: str | None) -> str | None:
     """JSON with sorted keys and no blanks, in ASCII; null for what is not JSON or holds a NaN."""
@@ -82,8 +84,7 @@ def unwrap(records: DataFrame, keys: tuple[str, ...] = ("operation", "payload",
 
 def lanes(turns: DataFrame, regions: DataFrame, durations: DataFrame) -> DataFrame:
     """(lane, file_index, g0, g1, label) on the global clock: files one after another."""
-    past = F.sum("duration_ms").over(W.orderBy("file_index").rowsBetween(W.unboundedPreceding, -1))
-    offsets = durations.select("file_index", F.coalesce(past, F.lit(0)).alias("off"))
+    offsets = sum_before(durations, "file_index", {"off": F.col("duration_ms")}).select("file_index", "off")
     a = turns.select(F.lit("turn").alias("lane"), "file_index", "start_ms", "end_ms", "label")
     b = regions.select(F.lit("overlap").alias("lane"), "file_index", "start_ms", "end_ms", F.lit(None).cast("string").alias("label"))
     rows = a.unionByName(b).join(offsets, "file_index")
@@ -107,3 +108,15 @@ def reason(tier, target, other, high, margin):
         .when(tier == "SKIPPED", F.lit("too little speech to score"))
         .otherwise(F.format_string("target score %.2f", target))
     )
+
+
+def recomputed(log: DataFrame, parts: list[str]) -> DataFrame:
+    """By log: entries, and the first position whose hash is not that of its own columns (null: none)."""
+    want = F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in parts]), 256)
+    return log.groupBy("log").agg(F.count("*").alias("entries"), F.min(F.when(~F.col("entry_sha").eqNullSafe(want), F.col("seq"))).alias("first_changed"))
+
+
+def warnings(records: DataFrame, kinds: list[str]) -> DataFrame:
+    """By log and kind of warning: how many records, and when the first and last were. records: (log, kind, ts)."""
+    rows = records.where(F.col("kind").isin(kinds))
+    return rows.groupBy("log", "kind").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))

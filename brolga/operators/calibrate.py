@@ -7,13 +7,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brolga.functions.exprs import percentile_rank
+from brolga.functions.intervals import contain_join
 
 
 class CalibrationError(ValueError):
     """There is no baseline to calibrate against."""
 
 
-METADATA = ("recording_id", "file_index", "clip_window_id", "window_id", "start_time_ms", "end_time_ms", "frame_count", "cumulative_confidence", "emotion_label_mode", "context_phase", "question_id", "phase_elapsed_ms", "deviation_magnitude", "deviation_percentile")
+#: Columns of a window table that are never features.
+METADATA = ("recording_id", "file_index", "clip_window_id", "window_id", "start_time_ms", "end_time_ms", "frame_count", "cumulative_confidence", "blink_count", "emotion_label_mode", "context_phase", "question_id", "phase_elapsed_ms", "deviation_magnitude", "deviation_percentile", "target_ground_truth")
 
 
 def feature_columns(windows: DataFrame) -> list[str]:
@@ -109,14 +111,38 @@ def baseline_index(path: Column, default: int = 0) -> Column:
     return F.coalesce(F.regexp_extract(path, r"_(\d{3})_windowed_features\.csv$", 1).try_cast("int"), F.lit(default))
 
 
-def recording_job(frames: DataFrame, sliding=None, channels: list[str] | None = None) -> DataFrame:
-    """From frames to the calibrated recording table: windows, baseline, deviation, one clock, percentile."""
+def label_midpoints(windows: DataFrame, phases: DataFrame, on: list[str], width: float = 1000.0) -> DataFrame:
+    """windows (on, window_id, start_time_ms, end_time_ms) with target_ground_truth: the label of the phase (on, start_ms,
+    end_ms, label) that holds their middle, the first by start if several do, 'unlabeled' if none."""
+    middle = (F.col("start_time_ms") + F.col("end_time_ms")) / 2
+    points = windows.select(*on, "window_id", middle.alias("_t"))
+    met = contain_join(points, phases.select(*on, "start_ms", "end_ms", "label"), on, "_t", width)
+    first = met.groupBy(*on, "window_id").agg(F.min(F.struct("start_ms", "label"))["label"].alias("_label"))
+    return windows.join(first, [*on, "window_id"], "left").withColumn("target_ground_truth", F.coalesce("_label", F.lit("unlabeled"))).drop("_label")
+
+
+def usable_clips(windows: DataFrame) -> DataFrame:
+    """windows without the clips that have none with features (active_ratio is null in all of them): these are skipped."""
+    some = windows.where("active_ratio is not null").select("recording_id", "file_index").distinct()
+    return windows.join(some, ["recording_id", "file_index"], "left_semi")
+
+
+def recording_job(frames: DataFrame, sliding=None, channels: list[str] | None = None, guard: bool = False) -> DataFrame:
+    """From frames to the calibrated recording table: windows, baseline, deviation, one clock, percentile.
+
+    guard skips clips without a window of features and raises CalibrationError if a recording's baseline does not do.
+    """
     from brolga.operators.windows import Sliding, window_table
 
     sliding = sliding or Sliding()
     windows = window_table(frames, sliding)
+    if guard:
+        windows = usable_clips(windows)
     channels = channels or [f"{c}_mean" for c in sliding.channels]
     windows = windows.select("recording_id", "file_index", "window_id", "start_time_ms", "end_time_ms", "frame_count", "cumulative_confidence", "emotion_label_mode", *channels)
-    calibrated = apply_baseline(windows, fit_baseline(windows, channels), channels)
+    stats = fit_baseline(windows, channels)
+    if guard:
+        check_baseline(windows, stats)
+    calibrated = apply_baseline(windows, stats, channels)
     last = frames.groupBy("recording_id", "file_index").agg(F.max("timestamp").alias("duration_ms"))
     return assemble(calibrated, file_offsets(last))

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from brolga.functions.exprs import cosine, dot, island, norm
+from brolga.functions.exprs import cosine, island, norm
 from brolga.functions.intervals import merge_spans, overlap, overlap_join
+from brolga.functions.prefix import last_before
 
 BLOCK = 1000
 
@@ -101,18 +102,24 @@ def leave_one_out(pool: DataFrame, by: list[str], vector: str = "vector", weight
 
 
 def thresholds(genuine: DataFrame, impostor: DataFrame, anti: bool = True) -> DataFrame:
-    """One row: theta_high from the genuine scores' lower decile and the best impostor, held within bounds; theta_med a step below.
+    """One row: theta_high, theta_med, how they came about, and overlapping. Both tables have a column s.
 
-    Both tables have a column s. Under ten genuine scores the default is taken; without an impostor profile 0.55 at least.
+    Under ten genuine scores the fallback of 0.60 and 0.40. Else the genuine scores' lower decile or, if that is more, the
+    best impostor and 0.05, and 0.55 without an impostor profile or scores; held within 0.45 and 0.75, overlapping where it
+    was above. theta_med is 0.15 below, 0.30 at least.
     """
     g = genuine.agg(F.count("s").alias("n"), F.percentile("s", 0.1).alias("q10"))
-    i = impostor.agg(F.max("s").alias("worst"))
-    rows = g.crossJoin(F.broadcast(i))
-    raw = F.greatest(F.least(F.greatest(F.col("q10"), F.coalesce(F.col("worst") + 0.05, F.col("q10"))), F.lit(0.75)), F.lit(0.45))
-    high = F.when(F.col("n") < 10, 0.60).otherwise(raw)
-    high = high if anti else F.greatest(high, F.lit(0.55))
-    rows = rows.withColumn("theta_high", high)
-    return rows.withColumns({"theta_med": F.col("theta_high") - 0.10, "overlapping": F.coalesce(F.col("worst") >= F.col("q10"), F.lit(False))})
+    rows = g.crossJoin(F.broadcast(impostor.agg(F.max("s").alias("worst"))))
+    few, apart = F.col("n") < 10, F.col("worst").isNotNull() if anti else F.lit(False)
+    raw = F.when(few, None).otherwise(F.greatest("q10", F.when(apart, F.col("worst") + 0.05).otherwise(0.55)))
+    rows = rows.withColumn("_raw", raw).withColumn("theta_high", F.when(few, 0.60).otherwise(F.least(F.greatest("_raw", F.lit(0.45)), F.lit(0.75))))
+    return rows.withColumns(
+        {
+            "theta_med": F.when(few, 0.40).otherwise(F.greatest(F.col("theta_high") - 0.15, F.lit(0.30))),
+            "calibration": F.when(few, "FALLBACK_DEFAULTS").when(apart, "DERIVED").otherwise("DERIVED_NO_ANTI"),
+            "overlapping": F.coalesce(F.col("_raw") > 0.75, F.lit(False)),
+        }
+    ).drop("_raw")
 
 
 def blocks(scores: DataFrame, durations: DataFrame) -> DataFrame:
@@ -124,10 +131,11 @@ def blocks(scores: DataFrame, durations: DataFrame) -> DataFrame:
     return spine.join(med, ["file_index", "block"], "left")
 
 
-def tiers(rows: DataFrame, high: Column, med: Column, floor: float = 0.30, margin: float = 0.15) -> DataFrame:
-    """rows with tier and margin_failed by their two scores."""
+def tiers(rows: DataFrame, high: Column, med: Column, floor: float = 0.20, margin: float = 0.15, anti: bool = True) -> DataFrame:
+    """rows with tier and margin_failed by their two scores. With a profile of the other voice (anti), a block over the bound
+    is HIGH only if that one's score is known and lower by the margin; without, always."""
     t, o = F.col("s_target"), F.col("s_interviewer")
-    apart = F.coalesce(t - o > margin, F.lit(False))
+    apart = F.coalesce(t - o > margin, F.lit(False)) if anti else F.lit(True)
     tier = F.when(t.isNull(), "SKIPPED").when(t > high, F.when(apart, "HIGH").otherwise("MEDIUM")).when(t > med, "MEDIUM").when(t >= floor, "SUB").otherwise("REJECT")
     return rows.withColumns({"tier": tier, "margin_failed": F.coalesce((t > high) & ~apart, F.lit(False))})
 
@@ -138,18 +146,45 @@ def high_runs(rows: DataFrame) -> DataFrame:
     return on.groupBy("file_index", "run").agg(F.min("block").alias("first_block"), F.max("block").alias("last_block"), F.count("*").alias("n"))
 
 
-def edge_trim(runs: DataFrame, fine: DataFrame, high: float, most: int = 750) -> DataFrame:
-    """runs with refined bounds: the first and last passing fine scores (file_index, t_ms, s) near each edge; beyond `most` ms, or
-    without any, the edge gives up one block; a run that loses all is gone."""
-    spans = runs.withColumns({"start_ms": F.col("first_block") * BLOCK, "end_ms": (F.col("last_block") + 1) * BLOCK})
-    pos = fine.where(F.col("s") > high).select("file_index", "t_ms")
-    met = spans.join(pos, "file_index", "left")
-    lead = F.min(F.when(F.col("t_ms").between(F.col("start_ms"), F.col("start_ms") + 2000), F.col("t_ms") - F.col("start_ms")))
-    tail = F.min(F.when(F.col("t_ms").between(F.col("end_ms") - 2000, F.col("end_ms")), F.col("end_ms") - F.col("t_ms")))
-    out = met.groupBy(*spans.columns).agg(lead.alias("lead"), tail.alias("tail"))
-    cut = lambda x: F.when(F.col(x).isNull() | (F.col(x) > most), BLOCK).otherwise(F.col(x))
-    out = out.withColumns({"start_ms": F.col("start_ms") + cut("lead"), "end_ms": F.col("end_ms") - cut("tail")})
-    return out.where("end_ms > start_ms")
+#: Fine spans at the edges of a run: their length, the step between them, how far they reach, the least length at a file's end.
+FINE, FINE_STEP, FINE_REACH, FINE_LEAST = 2000, 250, 2000, 1000
+
+
+def fine_plan(runs: DataFrame, durations: DataFrame) -> DataFrame:
+    """Spans (file_index, run, lead, p, start_ms, end_ms) to score inwards of the edges of runs: behind a position p at the
+    leading edge, before it at the trailing one, cut to the file (durations); those cut too short are left out."""
+    at = F.transform(F.sequence(F.lit(0), F.lit(FINE_REACH // FINE_STEP)), lambda k: k * FINE_STEP)
+    rows = runs.join(durations, "file_index").withColumn("_k", F.explode(at))
+    lead = rows.withColumns({"lead": F.lit(True), "p": F.col("first_block") * BLOCK + F.col("_k")})
+    tail = rows.withColumns({"lead": F.lit(False), "p": (F.col("last_block") + 1) * BLOCK - F.col("_k")})
+    both = lead.unionByName(tail).withColumns(
+        {
+            "start_ms": F.greatest(F.lit(0), F.when(F.col("lead"), F.col("p")).otherwise(F.col("p") - FINE)),
+            "end_ms": F.least("duration_ms", F.when(F.col("lead"), F.col("p") + FINE).otherwise(F.col("p"))),
+        }
+    )
+    return both.where(F.col("end_ms") - F.col("start_ms") >= FINE_LEAST).select("file_index", "run", "lead", "p", "start_ms", "end_ms")
+
+
+def edge_trim(runs: DataFrame, durations: DataFrame, fine: DataFrame, high: float, margin: float = 0.15, anti: bool = True, most: int = 750) -> DataFrame:
+    """runs with start_ms and end_ms refined by fine scores (file_index, start_ms, end_ms, s_target, s_interviewer) of fine_plan.
+
+    The start moves to the first position whose span passes: over `high` and, with a profile of the other voice and a score
+    for it, apart by the margin. Beyond `most` ms or without any, the first block is given up (lead_demoted). The end moves
+    likewise, but keeps its block where giving it up would leave nothing. A run without length is gone.
+    """
+    spans = runs.withColumns({"_s": F.col("first_block") * BLOCK, "_e": (F.col("last_block") + 1) * BLOCK})
+    passes = F.col("s_target") > high
+    if anti:
+        passes = passes & (F.col("s_interviewer").isNull() | (F.col("s_target") - F.col("s_interviewer") > margin))
+    met = fine_plan(runs, durations).join(fine, ["file_index", "start_ms", "end_ms"]).where(passes)
+    found = met.groupBy("file_index", "run").agg(F.min(F.when(F.col("lead"), F.col("p"))).alias("_first"), F.max(F.when(~F.col("lead"), F.col("p"))).alias("_last"))
+    rows = spans.join(found, ["file_index", "run"], "left")
+    lead, tail = F.coalesce(F.col("_first") - F.col("_s") > most, F.lit(True)), F.coalesce(F.col("_e") - F.col("_last") > most, F.lit(True))
+    rows = rows.withColumns({"lead_demoted": lead, "start_ms": F.when(lead, F.col("_s") + BLOCK).otherwise(F.col("_first"))})
+    rows = rows.withColumn("tail_demoted", tail & (F.col("_e") - BLOCK > F.col("start_ms")))
+    end = F.when(F.col("tail_demoted"), F.col("_e") - BLOCK).when(tail, F.col("_e")).otherwise(F.col("_last"))
+    return rows.withColumn("end_ms", end).where("start_ms < _e and end_ms > start_ms").drop("_s", "_e", "_first", "_last")
 
 
 def run_blocks(runs: DataFrame) -> DataFrame:
@@ -176,14 +211,14 @@ def tier_counts(rows: DataFrame) -> DataFrame:
 
 
 def drift(rows: DataFrame, first_ms: int = 30_000, least: float = 0.10) -> DataFrame:
-    """By file the mean score of its first HIGH time, against that of the last file before that had any."""
+    """By file the mean score of its first HIGH time, against the mean over all HIGH blocks of the last file before that had
+    any; drifted if it has fallen by more than `least`."""
     high = rows.where("tier = 'HIGH'")
-    before = F.row_number().over(W.partitionBy("file_index").orderBy("block")) - 1
-    start = high.withColumn("b", before * BLOCK).where(F.col("b") < first_ms).groupBy("file_index").agg(F.avg("s_target").alias("mean"))
-    files = rows.select("file_index").distinct().join(start, "file_index", "left")
-    past = F.last("mean", ignorenulls=True).over(W.orderBy("file_index").rowsBetween(W.unboundedPreceding, -1))
-    out = files.withColumn("previous", past)
-    return out.withColumn("drifted", F.coalesce(F.abs(F.col("mean") - F.col("previous")) > least, F.lit(False)))
+    before = (F.row_number().over(W.partitionBy("file_index").orderBy("block")) - 1) * BLOCK
+    means = high.withColumn("_b", before).groupBy("file_index").agg(F.avg(F.when(F.col("_b") < first_ms, F.col("s_target"))).alias("mean"), F.avg("s_target").alias("_all"))
+    files = rows.select("file_index").distinct().join(means, "file_index", "left")
+    out = last_before(files, "file_index", "_all", "previous").drop("_all")
+    return out.withColumn("drifted", F.coalesce(F.col("previous") - F.col("mean") > least, F.lit(False)))
 
 
 def contaminated(rows: DataFrame, regions: DataFrame) -> DataFrame:
@@ -273,15 +308,50 @@ def stitch(rows: DataFrame, chunks: DataFrame, halo: int = 1000) -> DataFrame:
 def pair_variance(pool: DataFrame, by: list[str], vector: str = "vector") -> DataFrame:
     """Population variance of the cosines of all pairs of a group's vectors, without forming a pair.
 
-    Of unit vectors, the sum of cosines over pairs follows from the sum vector, that of their squares from the sum of outer products.
+    Of unit vectors, the sum of cosines over pairs follows from the sum vector, that of their squares from the sum of outer
+    products; tasks add both up for each group before they are shuffled. Vectors of another length than a group's first
+    in a task, or without length, take no part.
     """
-    unit = pool.select(*by, _unit(F.col(vector)).alias("u"))
-    parts = unit.select(*by, F.posexplode("u").alias("d", "x"))
-    s = parts.groupBy(*by, "d").agg(F.sum("x").alias("s")).groupBy(*by).agg(F.sum(F.col("s") * F.col("s")).alias("s2"))
-    outer = unit.select(*by, F.posexplode("u").alias("d", "x"), "u").select(*by, "d", "x", F.posexplode("u").alias("e", "y"))
-    m = outer.groupBy(*by, "d", "e").agg(F.sum(F.col("x") * F.col("y")).alias("m")).groupBy(*by).agg(F.sum(F.col("m") * F.col("m")).alias("m2"))
-    n = unit.groupBy(*by).agg(F.count("*").alias("n"), F.sum(dot(F.col("u"), F.col("u"))).alias("t"), F.sum(dot(F.col("u"), F.col("u")) * dot(F.col("u"), F.col("u"))).alias("t2"))
+    import numpy as np
+    import pyarrow as pa
+
+    kinds = ", ".join(f"{c} {pool.schema[c].dataType.simpleString()}" for c in by)
+
+    def moments(batches):
+        held: dict[tuple, list] = {}
+
+        def put():
+            for key, (n, s, m) in held.items():
+                x = np.r_[float(n), s, m.ravel()]
+                at = np.r_[0, np.ones(len(s), int), np.full(m.size, 2)]
+                place = np.r_[0, np.arange(len(s)), np.arange(m.size)]
+                cols = [pa.array([k] * len(x), t) for k, t in zip(key, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(at, pa.int32()), pa.array(place, pa.int32()), pa.array(x)], [*by, "_of", "place", "x"])
+            held.clear()
+
+        types = []
+        for batch in batches:
+            types = [batch.schema.field(c).type for c in by]
+            for *key, v in zip(*(batch[c].to_pylist() for c in (*by, vector)), strict=True):
+                v = np.asarray(v or [], float)
+                size = np.sqrt(v @ v)
+                if not size > 0 or not np.isfinite(size):
+                    continue
+                if tuple(key) not in held:
+                    if len(held) >= 256:
+                        yield from put()
+                    held[tuple(key)] = [0, np.zeros(len(v)), np.zeros((len(v), len(v)))]
+                own = held[tuple(key)]
+                if len(own[1]) == len(v):
+                    own[0] += 1
+                    own[1] += v / size
+                    own[2] += np.outer(v / size, v / size)
+        yield from put()
+
+    parts = pool.select(*by, vector).mapInArrow(moments, f"{kinds}, _of int, place int, x double")
+    sums = parts.groupBy(*by, "_of", "place").agg(F.sum("x").alias("x"))
+    of = lambda k: F.sum(F.when(F.col("_of") == k, F.col("x") * F.col("x")))
+    out = sums.groupBy(*by).agg(F.max(F.when(F.col("_of") == 0, F.col("x"))).alias("n"), of(1).alias("s2"), of(2).alias("m2")).where("n > 1")
     pairs = F.col("n") * (F.col("n") - 1)
-    mean, square = (F.col("s2") - F.col("t")) / pairs, (F.col("m2") - F.col("t2")) / pairs
-    out = n.join(s, by).join(m, by).where("n > 1")
-    return out.select(*by, "n", mean.alias("mean"), F.greatest(F.lit(0.0), square - mean * mean).alias("variance"))
+    mean, square = (F.col("s2") - F.col("n")) / pairs, (F.col("m2") - F.col("n")) / pairs
+    return out.select(*by, F.col("n").cast("long").alias("n"), mean.alias("mean"), F.greatest(F.lit(0.0), square - mean * mean).alias("variance"))

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brolga.functions.exprs import cosine, island
+from brolga.functions.prefix import sum_before
 
 
 def best_face(faces: DataFrame, profile: Column, least: float = 0.40) -> DataFrame:
@@ -43,8 +44,10 @@ def solo_spans(rows: DataFrame, step: float, least: float = 2000) -> DataFrame:
     return out.where(F.col("end_ms") - F.col("start_ms") >= least).drop("_run")
 
 
-def quality(pools: DataFrame, strong: int = 45_000, marginal: int = 20_000, variance: float = 0.05) -> DataFrame:
-    q = F.when((F.col("ms") >= strong) & (F.col("variance") <= variance), "STRONG").when(F.col("ms") >= marginal, "MARGINAL").otherwise("INSUFFICIENT")
+def quality(pools: DataFrame, strong: int = 45_000, marginal: int = 20_000, variance: float = 0.05, anti: bool = True, strong_alone: int = 60_000) -> DataFrame:
+    """pools (ms, variance) with quality; without a profile of the other voice (anti), STRONG takes more."""
+    enough = F.col("ms") >= (strong if anti else strong_alone)
+    q = F.when(enough & (F.col("variance") <= variance), "STRONG").when(F.col("ms") >= marginal, "MARGINAL").otherwise("INSUFFICIENT")
     return pools.withColumn("quality", q)
 
 
@@ -55,11 +58,19 @@ def contamination(sim: Column) -> Column:
 def spaced(rows: DataFrame, least: int = 2000) -> DataFrame:
     """rows (file_index, t_ms) taken greedily from the first on, each at least so long after the last one taken.
 
-    A file's times fold in order inside one array: its candidates, some thousands an hour.
+    What is taken depends on all before it, so a file's candidates, some thousands an hour, are one group.
     """
-    times = F.array_sort(F.collect_set("t_ms"))
-    fold = F.aggregate(times, F.array().cast("array<bigint>"), lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) >= least), F.concat(acc, F.array(t))).otherwise(acc))
-    took = rows.groupBy("file_index").agg(fold.alias("t")).select("file_index", F.explode("t").alias("t_ms"))
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        took, last = [], None
+        for t in sorted(pdf.t_ms.dropna().astype("int64").unique()):
+            if last is None or t - last >= least:
+                took.append(t)
+                last = t
+        return pd.DataFrame({"file_index": pdf.file_index.iloc[0], "t_ms": took})
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("file_index", "t_ms"))
+    took = rows.select("file_index", "t_ms").groupBy("file_index").applyInPandas(one, kinds)
     return rows.join(took, ["file_index", "t_ms"], "left_semi")
 
 
@@ -232,6 +243,55 @@ def seed_checks(spans: DataFrame, least: int = 3000, open_share: float = 0.20) -
 
 def grow_pools(scores: DataFrame, least: float = 0.55) -> DataFrame:
     """By file, what the pools hold after it: how many vectors and how long, over all files so far."""
-    taken = scores.where(F.col("sim") >= least).groupBy("file_index").agg(F.count("*").alias("n"), F.sum("duration_ms").alias("ms"))
-    so_far = W.orderBy("file_index").rowsBetween(W.unboundedPreceding, 0)
-    return taken.select("file_index", F.sum("n").over(so_far).alias("n"), F.sum("ms").over(so_far).alias("ms"))
+    taken = scores.where(F.col("sim") >= least).groupBy("file_index").agg(F.count("*").alias("_n"), F.sum("duration_ms").alias("_ms"))
+    out = sum_before(taken, "file_index", {"n": F.col("_n"), "ms": F.col("_ms")})
+    return out.select("file_index", (F.col("n") + F.col("_n")).alias("n"), (F.col("ms") + F.col("_ms")).alias("ms"))
+
+
+def too_like(sim: Column, most: float = 0.55) -> Column:
+    """Whether a candidate for the other voice is so like the target that it is left out."""
+    return F.coalesce(sim > most, F.lit(False))
+
+
+def observations(faces: DataFrame, speech: DataFrame, target: Column, other: Column | None, like: float = 0.40, turn: float = 30.0, tolerance: int = 50) -> DataFrame:
+    """What a capture machine sees of each frame (file_index, t_ms): whether the target is there, turned away, its mouth; the
+    same of the other one; and whether there is speech.
+
+    faces: (file_index, t_ms, face_id, embedding, mar, yaw, score); speech: (file_index, start_ms, end_ms). The target is the
+    face most like its profile, the other one the most like its own among the rest, or without a profile the one of highest
+    score; ties go to the smaller face_id. target and other are columns of faces.
+    """
+    rows = faces.withColumn("_t", cosine(F.col("embedding"), target))
+    frame = W.partitionBy("file_index", "t_ms")
+    rows = rows.withColumn("_mine", (F.row_number().over(frame.orderBy(F.desc("_t"), "face_id")) == 1) & (F.col("_t") >= like))
+    rank = cosine(F.col("embedding"), other) if other is not None else F.col("score")
+    rows = rows.withColumn("_o", F.when(~F.col("_mine"), rank))
+    fits = (F.col("_o") >= like) if other is not None else F.col("_o").isNotNull()
+    rows = rows.withColumn("_theirs", ~F.col("_mine") & (F.row_number().over(frame.orderBy(F.desc_nulls_last("_o"), "face_id")) == 1) & F.coalesce(fits, F.lit(False)))
+    one = lambda who, x: F.max(F.when(F.col(who), F.col(x)))
+    out = rows.groupBy("file_index", "t_ms").agg(
+        F.max("_mine").alias("here"),
+        F.coalesce(F.abs(one("_mine", "yaw")) > turn, F.lit(False)).alias("turned"),
+        one("_mine", "mar").alias("mar"),
+        F.max("_theirs").alias("other_here"),
+        one("_theirs", "mar").alias("other_mar"),
+    )
+    from brolga.operators.diarize import near_spans
+
+    near = near_spans(out.withColumnRenamed("t_ms", "t"), speech, ["file_index"], tolerance)
+    return near.withColumnRenamed("t", "t_ms").withColumnRenamed("near", "speech")
+
+
+def anchor_outliers(pool: DataFrame, by: list[str], collect: float = 0.55, least: float = 0.50) -> DataFrame:
+    """Seeds of a pool (by, vec_id, vector, duration_ms, seed) with sim, their cosine to the consensus of all others, and outlier.
+
+    The weighted mean of the seeds collects the vectors at least `collect` like it; these and the seeds are the consensus,
+    of which each seed is left out once. outlier: sim under `least`, or none because a seed is alone.
+    """
+    from brolga.operators.diarize import leave_one_out, weighted_profile
+
+    first = weighted_profile(pool.where("seed"), by).withColumnRenamed("profile", "_p")
+    own = pool.join(first, by).where(F.col("seed") | (cosine(F.col("vector"), F.col("_p")) >= collect)).drop("_p")
+    told = leave_one_out(own, by).where("seed").select(*by, "vec_id", F.col("loo").alias("sim"))
+    rows = pool.where("seed").select(*by, "vec_id").join(told, [*by, "vec_id"], "left")
+    return rows.withColumn("outlier", F.coalesce(F.col("sim") < least, F.lit(True)))

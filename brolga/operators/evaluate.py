@@ -186,15 +186,48 @@ def focus_clip(windows: DataFrame, least: int = 20) -> DataFrame:
 
 
 def stability(windows: DataFrame, value: str, baseline: Column) -> DataFrame:
-    """By subject: medians and shares over the baseline's p95 of both classes, and whether the positive one stays near the baseline."""
+    """By subject: medians of both classes and the baseline, shares over the baseline's p95 of all three, and whether the
+    negative class stays near the baseline in both."""
     p95 = windows.where(baseline).groupBy("subject").agg(F.percentile(value, 0.95).alias("p95"), F.median(value).alias("base"))
+    over = (F.col(value) > F.col("p95")).cast("double")
     side = lambda f, x: f(F.when(is_label(x), F.col(value)))
-    flag = lambda x: F.avg(F.when(is_label(x), (F.col(value) > F.col("p95")).cast("double")))
+    flag = lambda x: F.avg(F.when(x, over))
     out = windows.join(p95, "subject").groupBy("subject", "base").agg(
-        side(F.median, "positive").alias("med_pos"), side(F.median, "negative").alias("med_neg"), flag("positive").alias("flag_pos"), flag("negative").alias("flag_neg")
+        side(F.median, "positive").alias("med_pos"),
+        side(F.median, "negative").alias("med_neg"),
+        flag(baseline & F.col(value).isNotNull()).alias("flag_base"),
+        flag(is_label("positive")).alias("flag_pos"),
+        flag(is_label("negative")).alias("flag_neg"),
     )
     near = F.abs(F.col("med_neg") - F.col("base")) <= F.greatest(F.lit(1.0), 0.5 * F.abs(F.col("med_pos") - F.col("base")))
-    return out.withColumn("stable", near & (F.col("flag_neg") <= F.col("flag_pos") + 0.15))
+    return out.withColumn("stable", near & (F.col("flag_neg") <= F.col("flag_base") + 0.15))
+
+
+def coupling_bars(aucs: DataFrame, telling: list[str], eye: str, strong: float = 0.69, close: float = 0.66, apart: float = 0.55) -> DataFrame:
+    """By subject three bars over channel AUCs (subject, channel, auc): the best one reaches `strong` (PASS) or `close` (MISS);
+    one of the telling channels is among the three best (ties by name, no AUC as 0); the eye channel reaches `apart`."""
+    order = W.partitionBy("subject").orderBy(F.desc(F.coalesce("auc", F.lit(0.0))), "channel")
+    rows = aucs.withColumn("_n", F.row_number().over(order))
+    out = rows.groupBy("subject").agg(
+        F.max("auc").alias("best"),
+        F.max(F.when(F.col("_n") <= 3, F.col("channel").isin(telling))).alias("_told"),
+        F.max(F.when(F.col("channel") == eye, F.col("auc"))).alias("eye"),
+    )
+    grade = lambda ok: F.when(F.coalesce(ok, F.lit(False)), "PASS").otherwise("FAIL")
+    bar_1 = F.when(F.col("best") >= strong, "PASS").when(F.col("best") >= close, "MISS").otherwise("FAIL")
+    return out.select("subject", "best", "eye", bar_1.alias("bar_1"), grade(F.col("_told")).alias("bar_2"), grade(F.col("eye") >= apart).alias("bar_3"))
+
+
+def channel_ranking(rows: DataFrame, best: int = 20, worst: int = 5) -> DataFrame:
+    """The channels of highest and of lowest AUC of |value|, positive against negative, with the medians of |value| by class
+    and their place from the top (ties by name). rows: (channel, label, value); channels without an AUC are left out."""
+    size = rows.withColumn("_a", F.abs("value"))
+    auc = rank_auc(size, ["channel"], is_label("positive"), is_label("negative"), "_a").where("auc is not null")
+    side = lambda x: F.median(F.when(is_label(x), F.col("_a")))
+    mid = size.groupBy("channel").agg(side("positive").alias("med_positive"), side("negative").alias("med_negative"))
+    every = W.partitionBy(F.lit(0))  # a row for each channel, which are few
+    out = auc.join(mid, "channel").withColumns({"place": F.row_number().over(every.orderBy(F.desc("auc"), "channel")), "_n": F.count("*").over(every)})
+    return out.where((F.col("place") <= best) | (F.col("place") > F.col("_n") - worst)).drop("_n")
 
 
 #: Spellings of labels that are taken for one another.
@@ -210,55 +243,115 @@ def compare_runs(now: DataFrame, before: DataFrame) -> DataFrame:
     return now.join(before.select("subject", "channel", F.col("auc").alias("auc_before")), ["subject", "channel"], "left").withColumn("change", F.col("auc") - F.col("auc_before"))
 
 
-def package_checks(clips: DataFrame, labels: DataFrame) -> DataFrame:
-    """Checks of a package (subject): PASS, WARN or FAIL for clips, label coverage and classes, and the worst of them.
+def package_checks(clips: DataFrame, labels: DataFrame, media: DataFrame, thin_ms: int = 10_000, short_s: float = 60.0, thin_s: float = 120.0) -> DataFrame:
+    """Checks of a package (subject): PASS, WARN, FAIL or SKIP each, and the worst of them.
 
-    clips: (subject, clip); labels: (subject, clip, label).
+    clips: (subject, clip, baseline), clip null for one without a number; labels: (subject, clip, start_ms, end_ms, label);
+    media: (subject, clip, duration_s, has_video, has_audio) of the clips that were probed. v1: two clips; v2: one baseline,
+    all clips numbered; v3: numbers unique; e1: every numbered clip but the baseline has labels, and no others have; e2:
+    intervals have length; e3: labels are known; e4: 10 s of them in a clip; m1: streams there; m2: the baseline is long
+    enough.
     """
-    c = clips.groupBy("subject").agg(F.countDistinct("clip").alias("clips"))
-    seen = labels.select("subject", "clip").distinct().join(clips.select("subject", "clip").distinct(), ["subject", "clip"], "left_semi")
-    have = seen.groupBy("subject").agg(F.count("*").alias("labelled"))
-    kinds = labels.groupBy("subject").agg(F.countDistinct(F.when(F.col("label").isin("positive", "negative"), F.col("label"))).alias("classes"))
-    rows = c.join(have, "subject", "left").join(kinds, "subject", "left").na.fill(0)
-    grade = lambda ok, warn: F.when(ok, "PASS").when(warn, "WARN").otherwise("FAIL")
-    rows = rows.select(
-        "subject",
-        grade(F.col("clips") >= 2, F.lit(False)).alias("v1_clips"),
-        grade(F.col("labelled") == F.col("clips"), F.col("labelled") > 0).alias("e1_coverage"),
-        grade(F.col("classes") == 2, F.lit(False)).alias("e2_classes"),
+    known = F.col("label").isin("positive", "negative", "neutral")
+    numbers = clips.where("clip is not null").groupBy("subject", "clip").agg(F.count("*").alias("n"), F.max(F.col("baseline").cast("int")).alias("base"))
+    c = clips.groupBy("subject").agg(
+        F.count("*").alias("clips"), F.count(F.when(F.col("baseline"), 1)).alias("bases"), F.count(F.when(F.col("clip").isNull(), 1)).alias("loose")
+    ).join(numbers.groupBy("subject").agg(F.max("n").alias("same")), "subject", "left")
+    of = labels.groupBy("subject", "clip").agg(
+        F.sum(F.greatest(F.lit(0), F.col("end_ms") - F.col("start_ms"))).alias("ms"), F.max((F.col("end_ms") <= F.col("start_ms")).cast("int")).alias("bad"), F.max((~known).cast("int")).alias("odd")
     )
-    all_of = F.array("v1_clips", "e1_coverage", "e2_classes")
-    return rows.withColumn("overall", F.when(F.array_contains(all_of, "FAIL"), "FAIL").when(F.array_contains(all_of, "WARN"), "WARN").otherwise("PASS"))
-
+    met = numbers.join(of, ["subject", "clip"], "full")
+    e = met.groupBy("subject").agg(
+        F.count(F.when(F.col("ms").isNotNull(), 1)).alias("labelled"),
+        F.count(F.when((F.col("base") == 0) & F.col("ms").isNull(), 1)).alias("unlabelled"),
+        F.count(F.when(F.col("n").isNull(), 1)).alias("orphans"),
+        F.max("bad").alias("bad"),
+        F.max("odd").alias("odd"),
+        F.min("ms").alias("least"),
+    )
+    first = numbers.where("base = 1").select("subject", "clip", F.lit(True).alias("first"))
+    m = media.join(first, ["subject", "clip"], "left").groupBy("subject").agg(
+        F.max((~(F.col("has_video") & F.col("has_audio"))).cast("int")).alias("broken"), F.max(F.when(F.col("first"), F.col("duration_s"))).alias("base_s")
+    )
+    rows = c.join(e, "subject", "left").join(m, "subject", "left")
+    grade = lambda *cases: F.coalesce(*[F.when(F.coalesce(x, F.lit(False)), y) for x, y in cases], F.lit("PASS"))
+    none = F.coalesce("labelled", F.lit(0)) == 0
+    checks = {
+        "v1": grade((F.col("clips") < 2, "FAIL")),
+        "v2": grade((F.col("bases") != 1, "FAIL"), (F.col("loose") > 0, "WARN")),
+        "v3": grade((F.col("same") > 1, "FAIL")),
+        "e1": grade((none, "WARN"), (F.col("unlabelled") > 0, "FAIL"), (F.col("orphans") > 0, "WARN")),
+        "e2": grade((none, "SKIP"), (F.col("bad") == 1, "FAIL")),
+        "e3": grade((none, "SKIP"), (F.col("odd") == 1, "WARN")),
+        "e4": grade((none, "SKIP"), (F.col("least") < thin_ms, "WARN")),
+        "m1": grade((F.col("broken").isNull(), "SKIP"), (F.col("broken") == 1, "FAIL")),
+        "m2": grade((F.col("broken").isNull() | (F.col("bases") != 1), "SKIP"), (F.col("base_s").isNull(), "WARN"), (F.col("base_s") < short_s, "FAIL"), (F.col("base_s") < thin_s, "WARN")),
+    }
+    rows = rows.select("subject", *[x.alias(n) for n, x in checks.items()])
+    every = F.array(*checks)
+    return rows.withColumn("overall", F.when(F.array_contains(every, "FAIL"), "FAIL").when(F.array_contains(every, "WARN"), "WARN").otherwise("PASS"))
+
+
+def readiness(subjects: DataFrame, least: int = 2) -> DataFrame:
+    """subjects (subject, overall, recorded, labelled) with state and go: whether all of them may be scored.
+
+    READY has a recording and labels, others are PENDING; overall null is SKIPPED. Nothing goes ahead if a package FAILs or
+    fewer than `least` are READY.
+    """
+    state = F.when(F.coalesce(F.col("recorded") & F.col("labelled"), F.lit(False)), "READY").otherwise("PENDING")
+    all_ = subjects.agg(F.count(F.when(F.col("overall") == "FAIL", 1)).alias("_bad"), F.count(F.when(state == "READY", 1)).alias("_ready"))
+    rows = subjects.crossJoin(F.broadcast(all_))
+    return rows.select("subject", F.coalesce("overall", F.lit("SKIPPED")).alias("intake"), state.alias("state"), ((F.col("_bad") == 0) & (F.col("_ready") >= least)).alias("go"))
 
-def loso(rows: DataFrame, channels: list[str], c: float = 0.5, make=None) -> DataFrame:
-    """Leave-one-subject-out logistic model over centred channels: (subject, clip, window_id, label, score) of held-out rows.
 
-    rows: wide, label positive or negative. Missing values are 0; columns are scaled on the training subjects; classes weigh
-    alike; L2 strength 1/(c*n). One fit for each subject (few) runs on all its training rows. make(n) may give another estimator.
-    """
+def _folds(rows: DataFrame, channels: list[str], c: float, make=None, least: int = 0):
+    """(held-out subject, its scored rows, model) for each subject that has `least` of both classes."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     rows = rows.where(F.col("label").isin("positive", "negative")).na.fill(0.0, channels).withColumn("y", is_label("positive").cast("double"))
-    rows = VectorAssembler(inputCols=channels, outputCol="_x").transform(rows).cache()
-    out = None
-    for s in sorted(r.subject for r in rows.select("subject").distinct().collect()):
+    rows = VectorAssembler(inputCols=channels, outputCol="_x").transform(rows)
+    n = {(r.subject, r.y): r["count"] for r in rows.groupBy("subject", "y").count().collect()}
+    for s in sorted({k for k, _ in n}):
         train, test = rows.where(F.col("subject") != s), rows.where(F.col("subject") == s)
-        n = {r.y: r["count"] for r in train.groupBy("y").count().collect()}
-        if len(n) < 2:
+        neg, pos = (sum(x for (k, y), x in n.items() if k != s and y == label) for label in (0.0, 1.0))
+        if not (neg and pos) or min(n.get((s, 0.0), 0), n.get((s, 1.0), 0)) < least:
             continue
-        total = sum(n.values())
-        train = train.withColumn("w", F.when(F.col("y") == 1, total / (2 * n[1.0])).otherwise(total / (2 * n[0.0])))
+        train = train.withColumn("w", F.when(F.col("y") == 1, (neg + pos) / (2 * pos)).otherwise((neg + pos) / (2 * neg)))
         scaler = StandardScaler(inputCol="_x", outputCol="_z", withMean=True).fit(train)
         make_one = make or (lambda n: LogisticRegression(featuresCol="_z", labelCol="y", weightCol="w", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False))
-        model = make_one(total).fit(scaler.transform(train))
+        model = make_one(neg + pos).fit(scaler.transform(train))
         said = model.transform(scaler.transform(test)).select("subject", "clip", "window_id", "label", vector_to_array("probability")[1].alias("score"))
+        yield s, said, model
+
+
+def loso(rows: DataFrame, channels: list[str], c: float = 0.5, make=None, least: int = 0) -> DataFrame:
+    """Leave-one-subject-out logistic model over centred channels: (subject, clip, window_id, label, score) of held-out rows.
+
+    rows: wide, label positive or negative. Missing values are 0; columns are scaled on the training subjects; classes weigh
+    alike; L2 strength 1/(c*n). One fit for each subject (few) runs on all its training rows. make(n) may give another
+    estimator. Subjects with under `least` rows of a class are not scored. A panel of channels is a shorter list of them.
+    """
+    out = None
+    for _, said, _ in _folds(rows, channels, c, make, least):
         out = said if out is None else out.union(said)
     return out
 
 
+def loso_coefficients(rows: DataFrame, channels: list[str], c: float = 0.5, least: int = 0) -> DataFrame:
+    """(channel, subject, weight): what each held-out subject's model weighs the scaled channels with."""
+    found = [(x, s, float(w)) for s, _, model in _folds(rows, channels, c, least=least) for x, w in zip(channels, model.coefficients, strict=True)]
+    kind = rows.schema["subject"].dataType.simpleString()
+    return rows.sparkSession.createDataFrame(found, f"channel string, subject {kind}, weight double")
+
+
+def flag_rate(said: DataFrame, bound: float = 0.5) -> DataFrame:
+    """By subject the share of held-out negative rows that score over the bound."""
+    over = F.avg(F.when(is_label("negative"), (F.col("score") > bound).cast("double")))
+    return said.groupBy("subject").agg(over.alias("flagged"), F.count(F.when(is_label("negative"), 1)).alias("n_neg"))
+
+
 def loso_summary(aucs: DataFrame) -> DataFrame:
     """Mean, deviation and verdict over held-out AUCs (subject, auc)."""
     s = aucs.agg(F.avg("auc").alias("mean"), F.stddev_samp("auc").alias("sd"), F.count(F.when(F.col("auc") >= 0.58, 1)).alias("clear"), F.count("auc").alias("n"))

@@ -58,7 +58,7 @@ def neighbour_models(frames: DataFrame, channels: list[str], reg: float = 0.1) -
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
-    rows = frames.select(*channels).na.drop().cache()
+    rows = frames.select(*channels).na.drop()
     found = []
     for c in channels:
         others = [o for o in channels if o != c]
@@ -81,11 +81,27 @@ def hop_windows(errors: DataFrame, rows: int = 60, hop: int = 30) -> DataFrame:
     return at.groupBy("file_index", "window").agg((F.sum(F.col("error") * F.col("n")) / F.nullif(F.sum("n"), F.lit(0))).alias("error"))
 
 
-def residual_table(errors: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Errors (window, node, error) against a baseline's (node, error): z by node, and over nodes their sum and maximum."""
+def residual_table(errors: DataFrame, baseline: DataFrame, on: list[str]) -> DataFrame:
+    """Errors (on, node, error) against a baseline's (node, error): z by node, and over nodes their sum and maximum.
+
+    The same for the features of nodes, if node names these.
+    """
     base = baseline.groupBy("node").agg(F.avg("error").alias("m"), (F.stddev_pop("error") + 1e-6).alias("s"))
     z = errors.join(F.broadcast(base), "node").withColumn("z", (F.col("error") - F.col("m")) / F.col("s"))
-    return z.groupBy("window").agg(F.map_from_entries(F.collect_list(F.struct("node", "z"))).alias("coupling_z"), F.sum("z").alias("global_z"), F.max("z").alias("max_z"))
+    return z.groupBy(*on).agg(F.map_from_entries(F.collect_list(F.struct("node", "z"))).alias("coupling_z"), F.sum("z").alias("global_z"), F.max("z").alias("max_z"))
+
+
+def zero_reference(long: DataFrame, split: DataFrame, rows: int = 90, stride: int = 15) -> DataFrame:
+    """By clip the loss of predicting nothing (mean square of valid z) over the windows that are not for training.
+
+    long: (file_index, idx, channel, z, valid); split: (file_index, window, train) of temporal_split. A frame counts once
+    for each window that holds it.
+    """
+    first = F.greatest(F.lit(0), F.floor((F.col("idx") - rows) / stride) + 1)
+    at = long.withColumn("window", F.explode(F.sequence(first, F.floor(F.col("idx") / stride))))
+    at = at.join(split.where(~F.col("train")).select("file_index", "window"), ["file_index", "window"])
+    sq = F.when(F.col("valid") == 1, F.col("z") * F.col("z"))
+    return at.groupBy("file_index").agg((F.coalesce(F.sum(sq), F.lit(0.0)) / F.greatest(F.lit(1e-6), F.count(sq).cast("double"))).alias("loss"))
 
 
 def prior_adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:

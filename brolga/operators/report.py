@@ -64,3 +64,24 @@ def window_at(windows: DataFrame, t: Column) -> DataFrame:
     rows = windows.where((F.col("start_time_ms") <= t) & (t <= F.col("end_time_ms")))
     n = F.row_number().over(W.partitionBy("recording_id", "file_index").orderBy("start_time_ms"))
     return rows.withColumn("_n", n).where("_n = 1").drop("_n")
+
+
+def report_facts(windows: DataFrame, stats: DataFrame) -> DataFrame:
+    """By recording: its baseline clip, clips, windows, and the channels that could not be calibrated, in order."""
+    clips = windows.groupBy("recording_id").agg(F.min("file_index").alias("baseline"), F.countDistinct("file_index").alias("clips"), F.count("*").alias("windows"))
+    bad = stats.where("std is null").groupBy("recording_id").agg(F.array_join(F.array_sort(F.collect_set("channel")), ",").alias("uncalibrated"))
+    return clips.join(bad, "recording_id", "left").withColumn("uncalibrated", F.coalesce("uncalibrated", F.lit("")))
+
+
+def frame_timeline(frames: DataFrame, faces: DataFrame, speech: DataFrame, tolerance: int = 50) -> DataFrame:
+    """A row for each frame (file_index, t_ms): whether speech is near, and its faces as a list of rounded facts in order.
+
+    faces: (file_index, t_ms, face_id, mar, score, yaw); frames without faces have an empty list.
+    """
+    from brolga.operators.diarize import near_spans
+
+    near = near_spans(frames.select("file_index", F.col("t_ms").alias("t")), speech, ["file_index"], tolerance).select("file_index", F.col("t").alias("t_ms"), F.col("near").alias("vad"))
+    one = F.struct("face_id", F.round("mar", 4).alias("mar"), F.round("score", 3).alias("det"), F.round("yaw", 1).alias("yaw"))
+    lists = faces.groupBy("file_index", "t_ms").agg(F.array_sort(F.collect_list(one)).alias("faces"))
+    none = F.array().cast(lists.schema["faces"].dataType)
+    return near.join(lists, ["file_index", "t_ms"], "left").withColumn("faces", F.coalesce("faces", none))

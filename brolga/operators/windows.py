@@ -96,11 +96,15 @@ def window_table(frames: DataFrame, s: Sliding = Sliding()) -> DataFrame:
 
 
 def indices(windows: DataFrame, s: Sliding = Sliding()) -> DataFrame:
-    """Products of window means, blink rate, and the duration the active share stands for; null as soon as a part is."""
+    """Products of window means of action units, blink rate, and the duration the active share stands for; null as soon as a
+    part is, or its channel is not there."""
+    m = lambda c: F.col(f"{c}_mean") if f"{c}_mean" in windows.columns else F.lit(None).cast("double")
     return windows.withColumns(
         {
-            "smile_index": F.col("AU6_mean") * F.col("AU12_mean"),
-            "tension_index": F.col("AU4_mean") * (1 - F.col("AU12_mean")),
+            "duchenne_index": m("AU6") * m("AU12"),
+            "cognitive_load_index": m("AU4") * m("AU1"),
+            "speech_hesitation_index": m("AU25") * m("AU26"),
+            "disgust_leak": m("AU9") * (1 - m("AU12")),
             "blink_rate": F.col("blink_count") / (s.size / 1000),
             "active_ms": F.col("active_ratio") * s.size,
         }
@@ -219,20 +223,58 @@ def chunk_plan(durations: DataFrame, longest: int = 60_000, overlap: int = 2_000
     return rows.withColumn("end_ms", F.least(F.col("start_ms") + longest, F.col("duration_ms")))
 
 
+def acoustic_block(
+    latents: DataFrame, on: list[str], codebook: DataFrame | None = None, samples: DataFrame | None = None, floor: float = 0.0, groups: int = 16, size: float = 2000.0, stride: float = 1000.0
+) -> DataFrame:
+    """Windows of latents (on, center_ms, latent): spread (root of the squared sample variances of the numbers), mean cosine
+    step, the mean latent by `groups` groups of numbers, entropy of codes, and loudness.
 
-
-def acoustic_block(latents: DataFrame, on: list[str], size: float = 2000.0, stride: float = 1000.0) -> DataFrame:
-    """Windows of latents (on, center_ms, latent): spread (root of the squared sample variances of the numbers), mean cosine step.
-
-    Both are null under two latents; steps are taken inside a window.
+    codebook (code, centroid) has at most some dozens of rows; samples (on, center_ms, x) give the root mean square. All are
+    null under two latents and in windows quieter than floor; steps are taken inside a window.
     """
     t = F.col("center_ms")
     first = F.greatest(F.lit(0), F.floor((t - size) / stride) + 1)
-    rows = latents.withColumn("k", F.explode(F.sequence(first, F.floor(t / stride))))
-    inside = W.partitionBy(*on, "k").orderBy("center_ms")
-    before = F.lag("latent").over(inside)
-    steps = rows.withColumn("step", F.when(before.isNotNull(), 1 - cosine(F.col("latent"), before))).groupBy(*on, "k").agg(F.count("*").alias("n"), F.avg("step").alias("step"))
-    parts = rows.select(*on, "k", F.posexplode("latent").alias("d", "x")).groupBy(*on, "k", "d").agg(F.var_samp("x").alias("v"))
-    spread = parts.groupBy(*on, "k").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("spread"))
-    out = steps.join(spread, [*on, "k"])
-    return out.select(*on, "k", "n", F.when(F.col("n") > 1, F.col("spread")).alias("spread"), "step")
+    cut = lambda df: df.withColumn("k", F.explode(F.sequence(first, F.floor(t / stride))))
+    rows = cut(latents)
+    before = F.lag("latent").over(W.partitionBy(*on, "k").orderBy("center_ms"))
+    out = rows.withColumn("step", F.when(before.isNotNull(), 1 - cosine(F.col("latent"), before))).groupBy(*on, "k").agg(F.count("*").alias("n"), F.avg("step").alias("step"))
+    parts = rows.select(*on, "k", F.size("latent").alias("_d"), F.posexplode("latent").alias("d", "x")).groupBy(*on, "k", "_d", "d").agg(F.var_samp("x").alias("v"), F.avg("x").alias("x"))
+    group = F.floor(F.col("d") * groups / F.col("_d"))
+    mean = [F.avg(F.when(group == g, F.col("x"))).alias(f"latent_{g}") for g in range(groups)]
+    out = out.join(parts.groupBy(*on, "k").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("spread"), *mean), [*on, "k"])
+    heard, values = F.col("n") > 1, ["spread", "step", *[f"latent_{g}" for g in range(groups)]]
+    if codebook is not None:
+        codes = cut(codebook_assign(latents, codebook)).groupBy(*on, "k", "code").agg(F.count("*").alias("m"))
+        out = out.join(codes.groupBy(*on, "k").agg(entropy(F.col("m")).alias("entropy")), [*on, "k"], "left")
+        values.append("entropy")
+    if samples is not None:
+        out = out.join(cut(samples).groupBy(*on, "k").agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms")), [*on, "k"], "left")
+        heard = heard & (F.col("rms") >= floor)
+        values.append("rms")
+    return out.select(*on, "k", "n", *[F.when(heard, F.col(v)).alias(v) for v in values])
+
+
+def full_table(frames: DataFrame, s: Sliding = Sliding(), spectral: tuple[str, ...] = ("gaze_x",), acoustic: DataFrame | None = None) -> DataFrame:
+    """The whole window table: statistics, indices, freeze index, gaze entropy, look-back spectra, and the acoustic block.
+
+    acoustic has (recording_id, file_index, k) and columns of acoustic_block; it counts where the voice is active for half
+    the window, if that is known. Windows without enough weight have no features. A spectral channel that frames lack is
+    null.
+    """
+    rows = indices(window_table(frames, s), s)
+    units = [c for c in s.channels if c.startswith("AU")]
+    rows = rows.withColumn("postural_freeze_index", freeze_index("macro_motion_energy_mean", [f"{c}_var" for c in units]))
+    heavy = F.col("cumulative_confidence") >= s.least_weight
+    gaze = grid_entropy(frames, "gaze_x", "gaze_y", s=s).select(*KEY, F.col("k").alias("window_id"), F.col("entropy").alias("gaze_entropy"))
+    rows = rows.join(gaze, [*KEY, "window_id"], "left").withColumn("gaze_entropy", F.when(heavy, F.col("gaze_entropy")))
+    there = tuple(c for c in spectral if c in frames.columns)
+    names = [f"{c}_{b}_{m}" for c in spectral for b in BANDS for m in ("power", "peak", "entropy")]
+    if there:
+        rows = rows.join(spectra(frames, there, s=s), [*KEY, "window_id"], "left")
+    rows = rows.withColumns({n: F.when(heavy, F.col(n)) if n in rows.columns else F.lit(None).cast("double") for n in names})
+    if acoustic is not None:
+        sound = acoustic.withColumnRenamed("k", "window_id").drop("n")
+        own = [c for c in sound.columns if c not in (*KEY, "window_id")]
+        rows = rows.join(sound, [*KEY, "window_id"], "left")
+        rows = rows.withColumns({c: F.when(heavy, activity_gate(F.col(c), F.col("active_ratio"))) for c in own})
+    return rows

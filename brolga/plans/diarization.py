@@ -112,7 +112,7 @@ def _tiers(spark, d):
 TIERS = f"""{DUR}, sc as (select *, (file_index * 31 + start_ms // 1000 * 17) % 100 / 100e0 as st, (file_index * 31 + start_ms // 1000 * 7) % 100 / 100e0 as si from spans),
 bl as (select file_index, unnest(range(0, duration_ms // 1000)) as block from dur),
 md as (select bl.file_index, bl.block, median(st) as s_target, median(si) as s_interviewer from bl left join sc on sc.file_index = bl.file_index and sc.start_ms <= bl.block * 1000 and sc.end_ms >= bl.block * 1000 + 1000 group by 1, 2),
-tiers as (select *, case when s_target is null then 'SKIPPED' when s_target > 0.55 then case when s_target - s_interviewer > 0.15 then 'HIGH' else 'MEDIUM' end when s_target > 0.45 then 'MEDIUM' when s_target >= 0.3 then 'SUB' else 'REJECT' end as tier,
+tiers as (select *, case when s_target is null then 'SKIPPED' when s_target > 0.55 then case when s_target - s_interviewer > 0.15 then 'HIGH' else 'MEDIUM' end when s_target > 0.45 then 'MEDIUM' when s_target >= 0.2 then 'SUB' else 'REJECT' end as tier,
   coalesce(s_target > 0.55 and not (s_target - s_interviewer > 0.15), false) as margin_failed from md)"""
 
 
@@ -180,9 +180,25 @@ def drift_notice(spark, d):
     return rounded(diarize.drift(_tiers(spark, d)))
 
 
-DRIFT = f"""with {TIERS}, st as (select file_index, avg(s_target) as mean from (select *, row_number() over (partition by file_index order by block) as n from tiers where tier = 'HIGH') where n <= 30 group by 1),
-f as (select distinct file_index from tiers), j as (select f.file_index, mean, last_value(mean ignore nulls) over (order by f.file_index rows between unbounded preceding and 1 preceding) as previous from f left join st using (file_index))
-select file_index, {r("mean")} as mean, {r("previous")} as previous, coalesce(abs(mean - previous) > 0.1, false) as drifted from j"""
+DRIFT = f"""with {TIERS}, hi as (select *, row_number() over (partition by file_index order by block) as n from tiers where tier = 'HIGH'),
+st as (select file_index, avg(case when n <= 30 then s_target end) as mean, avg(s_target) as whole from hi group by 1),
+f as (select distinct file_index from tiers), j as (select f.file_index, mean, last_value(whole ignore nulls) over (order by f.file_index rows between unbounded preceding and 1 preceding) as previous from f left join st using (file_index))
+select file_index, {r("mean")} as mean, {r("previous")} as previous, coalesce(previous - mean > 0.1, false) as drifted from j"""
+
+
+def bridged_segments(spark, d):
+    """Turns as sub-segments: their pauses of 100 to 300 ms are bridged, longer ones and those that speak for the other are not."""
+    sub = intervals(spark, d).select("file_index", F.col("turn").alias("run"), "start_ms", "end_ms", F.lit(1).alias("n_merged")).where("end_ms > start_ms")
+    out = diarize.bridge(sub, regions(spark, d), _tiers(spark, d))
+    return out.select("file_index", "segment", "start_ms", "end_ms", F.col("blocks").cast("long").alias("blocks"), "bridged")
+
+
+BRIDGED = f"""with {TIERS}, w as (select file_index, start_ms, end_ms, lag(end_ms) over (partition by file_index order by start_ms, end_ms) as pe from intervals where end_ms > start_ms),
+rg as (select file_index, start_ms + 500 as s, end_ms + 500 as e from intervals where turn % 3 = 0 union all
+       select file_index, block * 1000, block * 1000 + 1000 from tiers where (tier = 'MEDIUM' and margin_failed) or s_interviewer >= s_target),
+st as (select *, pe is not null and start_ms - pe < 400 and (start_ms <= pe or not exists (select 1 from rg where rg.file_index = w.file_index and rg.s < w.start_ms and w.pe < rg.e)) as joins from w),
+sg as (select *, sum(case when joins then 0 else 1 end) over (partition by file_index order by start_ms, end_ms) as segment from st)
+select file_index, cast(segment as bigint) as segment, min(start_ms) as start_ms, max(end_ms) as end_ms, count(*) as blocks, count(case when joins then 1 end) as bridged from sg group by 1, 2"""
 
 
 def chain_check(spark, d):
@@ -324,6 +340,7 @@ ALL = {
     "tier_counts": (tier_counts, COUNTS),
     "activity_levels": (activity_levels, ACTIVITY),
     "clean_segments": (clean_segments, CLEAN),
+    "bridged_segments": (bridged_segments, BRIDGED),
     "clean_segment_totals": (clean_segment_totals, TOTALS),
     "drift_notice": (drift_notice, DRIFT),
     "chain_check": (chain_check, CHAIN),

@@ -193,10 +193,11 @@ def stability_gate(spark, d):
 
 
 STABILITY = f"""with {SCORED}, b as (select subject, quantile_cont(quantity, 0.95) as p95, median(quantity) as base from scored where clip % 5 = 0 group by 1),
+v as (select *, case when quantity > p95 then 1e0 else 0e0 end as over from scored join b using (subject)),
 o as (select subject, base, median(case when label = 'positive' then quantity end) as med_pos, median(case when label = 'negative' then quantity end) as med_neg,
-  avg(case when label = 'positive' then case when quantity > p95 then 1e0 else 0e0 end end) as flag_pos, avg(case when label = 'negative' then case when quantity > p95 then 1e0 else 0e0 end end) as flag_neg from scored join b using (subject) group by 1, 2)
-select subject, {r("base")} as base, {r("med_pos")} as med_pos, {r("med_neg")} as med_neg, {r("flag_pos")} as flag_pos, {r("flag_neg")} as flag_neg,
-  abs(med_neg - base) <= greatest(1, 0.5 * abs(med_pos - base)) and flag_neg <= flag_pos + 0.15 as stable from o"""
+  avg(case when clip % 5 = 0 then over end) as flag_base, avg(case when label = 'positive' then over end) as flag_pos, avg(case when label = 'negative' then over end) as flag_neg from v group by 1, 2)
+select subject, {r("base")} as base, {r("med_pos")} as med_pos, {r("med_neg")} as med_neg, {r("flag_base")} as flag_base, {r("flag_pos")} as flag_pos, {r("flag_neg")} as flag_neg,
+  abs(med_neg - base) <= greatest(1, 0.5 * abs(med_pos - base)) and flag_neg <= flag_base + 0.15 as stable from o"""
 
 
 def label_overlap(spark, d):
@@ -223,16 +224,50 @@ def label_spelling(spark, d):
 SPELLING = """select conv_id, turn, case lower(role) when 'user' then 'Truth' when 'assistant' then 'Lie' else upper(role) end as label from conversations"""
 
 
-def package_checks(spark, d):
+def _package(spark, d):
+    """Clips, labels and probed media of the subjects: some clips without a number, one twice, labels that are thin or odd."""
     w = scored_windows(spark, d)
-    return op.package_checks(w.select("subject", "clip").distinct(), w.where("clip % 7 <> 3").select("subject", "clip", "label").distinct())
+    first = F.min("clip").over(W.partitionBy("subject"))
+    clips = w.select("subject", "clip").distinct().select("subject", F.when(F.col("clip") % 11 != 0, F.col("clip")).alias("clip"), (F.col("clip") == first).alias("baseline"))
+    clips = clips.union(clips.where("subject = 3 and clip % 13 = 0"))
+    start = F.col("window_id") * 1000
+    length = F.when((F.col("subject") == 2) & (F.col("window_id") == 7), 0).otherwise(F.col("quantity") * 20)
+    odd = F.when((F.col("subject") == 1) & (F.col("discount") == 0), "other").otherwise(F.col("label"))
+    labels = w.where("clip % 7 <> 3").select("subject", "clip", start.alias("start_ms"), (start + length).alias("end_ms"), odd.alias("label"))
+    media = w.groupBy("subject", "clip").agg((F.count("*") / 3).alias("duration_s")).withColumns({"has_video": F.lit(True), "has_audio": (F.col("subject") != 4) | (F.col("clip") % 17 != 5)})
+    return clips, labels, media
 
 
-PACKAGE = f"""with {SCORED}, c as (select subject, count(distinct clip) as clips from scored group by 1), l as (select subject, count(distinct clip) as labelled,
-  count(distinct case when label in ('positive', 'negative') then label end) as classes from scored where clip % 7 <> 3 group by 1),
-k as (select subject, case when clips >= 2 then 'PASS' else 'FAIL' end as v1_clips, case when coalesce(labelled, 0) = clips then 'PASS' when coalesce(labelled, 0) > 0 then 'WARN' else 'FAIL' end as e1_coverage,
-  case when coalesce(classes, 0) = 2 then 'PASS' else 'FAIL' end as e2_classes from c left join l using (subject))
-select *, case when 'FAIL' in (v1_clips, e1_coverage, e2_classes) then 'FAIL' when 'WARN' in (v1_clips, e1_coverage, e2_classes) then 'WARN' else 'PASS' end as overall from k"""
+def package_checks(spark, d):
+    return op.package_checks(*_package(spark, d))
+
+
+def readiness_gate(spark, d):
+    checks = op.package_checks(*_package(spark, d)).select("subject", F.when(F.col("subject") != 5, F.col("overall")).alias("overall"))
+    return op.readiness(checks.withColumns({"recorded": F.col("subject") != 0, "labelled": F.lit(True)}))
+
+
+_CHECKED = f"""{SCORED}, c0 as (select distinct subject, clip from scored), c1 as (select subject, case when clip % 11 <> 0 then clip end as clip, clip = min(clip) over (partition by subject) as baseline from c0),
+clips as (select * from c1 union all select * from c1 where subject = 3 and clip % 13 = 0),
+nu as (select subject, clip, count(*) as n, max(baseline::int) as base from clips where clip is not null group by 1, 2),
+lab as (select subject, clip, window_id * 1000 as s, window_id * 1000 + case when subject = 2 and window_id = 7 then 0 else quantity * 20 end as e, case when subject = 1 and discount = 0 then 'other' else label end as label from scored where clip % 7 <> 3),
+lo as (select subject, clip, sum(greatest(0, e - s)) as ms, max((e <= s)::int) as bad, max((label not in ('positive', 'negative', 'neutral'))::int) as odd from lab group by 1, 2),
+me as (select coalesce(nu.subject, lo.subject) as subject, base, n, ms, bad, odd from nu full join lo on nu.subject = lo.subject and nu.clip = lo.clip),
+c as (select subject, count(*) as clips, count(case when baseline then 1 end) as bases, count(*) - count(clip) as loose from clips group by 1), sm as (select subject, max(n) as same from nu group by 1),
+e as (select subject, count(ms) as labelled, count(case when base = 0 and ms is null then 1 end) as unlabelled, count(case when n is null then 1 end) as orphans, max(bad) as bad, max(odd) as odd, min(ms) as least from me group by 1),
+md as (select subject, clip, count(*) / 3e0 as dur, not (subject = 4 and clip % 17 = 5) as ok from scored group by 1, 2),
+m as (select md.subject, max((not ok)::int) as broken, max(case when base = 1 then dur end) as base_s from md left join nu on nu.subject = md.subject and nu.clip = md.clip group by 1),
+k as (select c.subject, case when clips < 2 then 'FAIL' else 'PASS' end as v1, case when bases <> 1 then 'FAIL' when loose > 0 then 'WARN' else 'PASS' end as v2, case when same > 1 then 'FAIL' else 'PASS' end as v3,
+  case when coalesce(labelled, 0) = 0 then 'WARN' when unlabelled > 0 then 'FAIL' when orphans > 0 then 'WARN' else 'PASS' end as e1,
+  case when coalesce(labelled, 0) = 0 then 'SKIP' when bad = 1 then 'FAIL' else 'PASS' end as e2, case when coalesce(labelled, 0) = 0 then 'SKIP' when odd = 1 then 'WARN' else 'PASS' end as e3,
+  case when coalesce(labelled, 0) = 0 then 'SKIP' when least < 10000 then 'WARN' else 'PASS' end as e4, case when broken is null then 'SKIP' when broken = 1 then 'FAIL' else 'PASS' end as m1,
+  case when broken is null or bases <> 1 then 'SKIP' when base_s is null then 'WARN' when base_s < 60 then 'FAIL' when base_s < 120 then 'WARN' else 'PASS' end as m2
+  from c left join sm using (subject) left join e using (subject) left join m using (subject)),
+checked as (select *, case when 'FAIL' in (v1, v2, v3, e1, e2, e3, e4, m1, m2) then 'FAIL' when 'WARN' in (v1, v2, v3, e1, e2, e3, e4, m1, m2) then 'WARN' else 'PASS' end as overall from k)"""
+PACKAGE = f"with {_CHECKED} select * from checked"
+READY = f"""with {_CHECKED}, r as (select subject, case when subject <> 5 then overall end as overall, case when subject <> 0 then 'READY' else 'PENDING' end as state from checked),
+g as (select count(case when overall = 'FAIL' then 1 end) = 0 and count(case when state = 'READY' then 1 end) >= 2 as go from r)
+select subject, coalesce(overall, 'SKIPPED') as intake, state, go from r, g"""
 
 
 def run_comparison(spark, d):
@@ -241,6 +276,12 @@ def run_comparison(spark, d):
     return rounded(op.compare_runs(s.select("subject", "channel", "auc"), half))
 
 
+_HALF_PCT = PCT[PCT.index("pc as"):].replace("pc as", "hpc as").replace("from long)", "from hlong)").replace("pct as (select *, case when value is not null then p0 end as pct from pc)", "hpct as (select *, case when value is not null then p0 end as pct from hpc)")
+COMPARISON = f"""with {PCT}, hlong as (select * from long where window_id % 2 = 0), {_HALF_PCT},
+now as (select * from {_auc_sql("pct", "subject, channel", "pct")}), before as (select * from {_auc_sql("hpct", "subject, channel", "pct")})
+select now.subject, now.channel, {r("now.auc")} as auc, {r("before.auc")} as auc_before, {r("now.auc - before.auc")} as change from now left join before on before.subject = now.subject and before.channel = now.channel"""
+
+
 def loso_auc(spark, d):
     """Held-out AUC of the leave-one-subject-out model."""
     rows = scored_windows(spark, d)
@@ -271,6 +312,7 @@ ALL = {
     "label_overlap": (label_overlap, OVERLAP),
     "label_spelling": (label_spelling, SPELLING),
     "package_checks": (package_checks, PACKAGE),
-    "run_comparison": (run_comparison, None),
+    "readiness_gate": (readiness_gate, READY),
+    "run_comparison": (run_comparison, COMPARISON),
     "loso_auc": (loso_auc, None),
 }

@@ -13,15 +13,27 @@ from brolga.sources.io import split_list_column
 
 
 def acoustic_windows(spark, d):
+    """Latents of a kind 20 ms apart; the codebook is the first eight vectors, loudness the root mean square of first numbers."""
     rows = table(spark, d, "embeddings").select("label", (F.col("vec_id") * 20.0).alias("center_ms"), F.col("embedding").alias("latent"))
-    return rounded(windows.acoustic_block(rows, ["label"]), 5)
+    book = table(spark, d, "embeddings").where("vec_id < 8").select(F.col("vec_id").cast("int").alias("code"), F.col("embedding").alias("centroid"))
+    loud = rows.select("label", "center_ms", (F.get("latent", F.lit(0)).cast("double")).alias("x"))
+    return rounded(windows.acoustic_block(rows, ["label"], codebook=book, samples=loud, floor=0.12), 5)
 
 
+_GROUPS16 = ", ".join(f"{r(f'case when on_ then avg(case when dd > {4 * g} and dd <= {4 * g + 4} then x end) end', 5)} as latent_{g}" for g in range(16))
 ACOUSTIC = f"""with e as (select label, vec_id, vec_id * 20e0 as c, embedding::double[] as v from embeddings),
-a as (select *, unnest(range(greatest(0, floor((c - 2000) / 1000) + 1)::bigint, floor(c / 1000)::bigint + 1)) as k from e),
-s as (select *, lag(v) over (partition by label, k order by c) as p from a), st as (select label, k, count(*) as n, avg(case when p is not null then 1 - list_cosine_similarity(v, p) end) as step from s group by 1, 2),
-x as (select label, k, unnest(v) as x, unnest(range(1, 65)) as dd from a), vr as (select label, k, dd, var_samp(x) as v from x group by 1, 2, 3), sp as (select label, k, sqrt(sum(v * v)) as spread from vr group by 1, 2)
-select label, k, n, {r("case when n > 1 then spread end", 5)} as spread, {r("step", 5)} as step from st join sp using (label, k)"""
+book as (select vec_id as code, embedding::double[] as b from embeddings where vec_id < 8),
+cd as (select e.vec_id, arg_min(code, (list_distance(v, b), code)) as code from e, book group by 1),
+a as (select e.*, code, unnest(range(greatest(0, floor((c - 2000) / 1000) + 1)::bigint, floor(c / 1000)::bigint + 1)) as k from e join cd using (vec_id)),
+rm as (select label, k, count(*) as n, sqrt(avg(v[1] * v[1])) as rms from a group by 1, 2),
+s as (select *, lag(v) over (partition by label, k order by c) as p from a), st as (select label, k, avg(case when p is not null then 1 - list_cosine_similarity(v, p) end) as step from s group by 1, 2),
+en as (select label, k, log2(sum(m)) - sum(m * log2(m)) / sum(m) as entropy from (select label, k, code, count(*)::double as m from a group by 1, 2, 3) group by 1, 2),
+x as (select a.label, a.k, unnest(v) as x, unnest(range(1, 65)) as dd from a), vr as (select label, k, dd, var_samp(x) as v from x group by 1, 2, 3), sp as (select label, k, sqrt(sum(v * v)) as spread from vr group by 1, 2),
+o as (select rm.*, n > 1 and rms >= 0.12 as on_ from rm),
+gr as (select o.label, o.k, {_GROUPS16} from o join x on x.label = o.label and x.k = o.k group by o.label, o.k, on_)
+select o.label, o.k, n, {r("case when on_ then spread end", 5)} as spread, {r("case when on_ then step end", 5)} as step, {", ".join(f"latent_{g}" for g in range(16))},
+  {r("case when on_ then entropy end", 5)} as entropy, {r("case when on_ then rms end", 5)} as rms
+from o join st using (label, k) join sp using (label, k) join en using (label, k) join gr using (label, k)"""
 
 
 def gaze_spectrum(spark, d):
@@ -64,11 +76,11 @@ ATTENUATED = """select event_id, case when event_type = 'view' then floor(value)
 
 
 def list_columns(spark, d):
-    rows = table(spark, d, "embeddings").select("vec_id", F.to_json(F.slice("embedding", 1, 3)).alias("au"))
-    return rounded(split_list_column(rows, "au", 3, "AU"), 3)
+    rows = table(spark, d, "embeddings").select("vec_id", F.to_json("embedding").alias("au"))
+    return rounded(split_list_column(rows, "au", 64, "AU"), 3)
 
 
-LISTS = f"""select vec_id, {", ".join(f"{r(f'embedding[{k + 1}]::double', 3)} as AU_{k}" for k in range(3))} from embeddings"""
+LISTS = f"""select vec_id, {", ".join(f"{r(f'embedding[{k + 1}]::double', 3)} as AU_{k}" for k in range(64))} from embeddings"""
 
 
 def baseline_sanity(spark, d):
@@ -141,18 +153,20 @@ select file_index, w as window, cast(valid as bigint) as valid, row_number() ove
 
 
 def residual_attribution(spark, d):
-    """Errors of predicting nothing, in windows of 60 rows, against those of the recording's first clip."""
-    z = graph.standardised(frames(spark, d), ["AU12", "AU6", "gaze_x"]).withColumn("predicted", F.lit(0.0))
-    err = graph.masked_error(z, ["file_index", "idx", "channel"]).withColumn("n", F.lit(1))
-    win = err.withColumn("window", F.floor(F.col("idx") / 60) * 1000 + F.col("file_index")).groupBy("window", F.col("channel").alias("node"), "file_index").agg(F.avg("error").alias("error"))
-    out = graph.residual_table(win, win.where("file_index % 10 = 0"))
-    return rounded(out.select("window", F.col("coupling_z")["AU12"].alias("z_AU12"), "global_z", "max_z"), 5)
+    """Errors of predicting nothing, in windows of 60 rows, against those of the clips of recording 0, by node and as a whole."""
+    nodes = ["AU12", "AU6", "gaze_x", "macro_motion_energy"]
+    z = graph.standardised(frames(spark, d), nodes).withColumn("predicted", F.lit(0.0))
+    err = graph.masked_error(z, ["file_index", "idx", "channel"])
+    win = err.groupBy("file_index", F.floor(F.col("idx") / 60).alias("window"), F.col("channel").alias("node")).agg(F.avg("error").alias("error"))
+    out = graph.residual_table(win, win.where("file_index % 10 = 0"), on=["file_index", "window"])
+    return rounded(out.select("file_index", "window", *[F.col("coupling_z")[n].alias(f"z_{n}") for n in nodes], "global_z", "max_z"), 5)
 
 
+_Z = ", ".join(f"{r(f'max(case when channel = {chr(39)}{n}{chr(39)} then z end)', 5)} as z_{n}" for n in ("AU12", "AU6", "gaze_x", "macro_motion_energy"))
 RESIDUAL = f"""with {FRAMES}, l as ({_NODES}), s as (select recording_id, channel, coalesce(avg(v), 0) as m, case when coalesce(stddev_samp(v), 0) < 1e-8 then 1e0 else stddev_samp(v) end as sd from l group by 1, 2),
-e as (select file_index, idx, channel, case when v is not null and is_audio_active = 1 then pow((v - m) / sd, 2) else 0 end as e from l join s using (recording_id, channel) where channel <> 'macro_motion_energy'),
-w as (select (idx // 60) * 1000 + file_index as win, channel, file_index, avg(e) as e from e group by 1, 2, 3), b as (select channel, avg(e) as m, stddev_pop(e) + 1e-6 as s from w where file_index % 10 = 0 group by 1), z as (select win, channel, (e - m) / s as z from w join b using (channel))
-select win as window, {r("max(case when channel = 'AU12' then z end)", 5)} as z_AU12, {r("sum(z)", 5)} as global_z, {r("max(z)", 5)} as max_z from z group by 1"""
+e as (select file_index, idx, channel, case when v is not null and is_audio_active = 1 then pow((v - m) / sd, 2) else 0 end as e from l join s using (recording_id, channel)),
+w as (select file_index, idx // 60 as win, channel, avg(e) as e from e group by 1, 2, 3), b as (select channel, avg(e) as m, stddev_pop(e) + 1e-6 as s from w where file_index % 10 = 0 group by 1), z as (select file_index, win, channel, (e - m) / s as z from w join b using (channel))
+select file_index, win as "window", {_Z}, {r("sum(z)", 5)} as global_z, {r("max(z)", 5)} as max_z from z group by 1, 2"""
 
 
 def _cosines(spark, d):
@@ -172,8 +186,10 @@ def score_thresholds(spark, d):
 
 
 THRESHOLDS = f"""with {_COS}, a as (select count(*) as n, quantile_cont(t, 0.1) as q10 from g where label = 0), b as (select max(t) as worst from g where label = 1),
-h as (select *, case when n < 10 then 0.6 else greatest(least(greatest(q10, coalesce(worst + 0.05, q10)), 0.75), 0.45) end as hi from a, b)
-select n, {r("q10", 5)} as q10, {r("worst", 5)} as worst, {r("hi::double", 5)} as theta_high, {r("hi::double - 0.1e0", 5)} as theta_med, coalesce(worst >= q10, false) as overlapping from h"""
+h as (select *, case when n >= 10 then case when worst is not null then greatest(q10, worst + 0.05) else greatest(q10, 0.55) end end as raw from a, b),
+k as (select *, case when n < 10 then 0.6 else least(greatest(raw, 0.45), 0.75) end as hi from h)
+select n, {r("q10", 5)} as q10, {r("worst", 5)} as worst, {r("hi::double", 5)} as theta_high, {r("(case when n < 10 then 0.4 else greatest(hi::double - 0.15e0, 0.3) end)::double", 5)} as theta_med,
+  case when n < 10 then 'FALLBACK_DEFAULTS' when worst is not null then 'DERIVED' else 'DERIVED_NO_ANTI' end as calibration, coalesce(raw > 0.75, false) as overlapping from k"""
 
 
 def anchored_spans(spark, d):
@@ -219,16 +235,27 @@ SEED = f"""with {INTERVALS} select file_index, turn, case when start_ms + turn *
 
 
 def trimmed_runs(spark, d):
-    runs = diarize.high_runs(_tiers(spark, d))
-    fine = runs.select("file_index", F.explode(F.sequence(F.col("first_block") * 4, F.col("last_block") * 4 + 4)).alias("q")).select("file_index", (F.col("q") * 250).alias("t_ms"), ((F.col("q") * 7 + F.col("file_index")) % 10 / 10.0).alias("s")).distinct()
-    return diarize.edge_trim(runs, fine, 0.5).select("file_index", "first_block", "start_ms", "end_ms")
-
-
-TRIMMED = f"""with {_RUNS}, q as (select distinct file_index, unnest(range(first_block * 4, last_block * 4 + 5)) as q from hr), p as (select file_index, q * 250 as t from q where (q * 7 + file_index) % 10 / 10e0 > 0.5),
-j as (select hr.file_index, first_block, last_block, min(case when t between first_block * 1000 and first_block * 1000 + 2000 then t - first_block * 1000 end) as lead, min(case when t between last_block * 1000 - 1000 and last_block * 1000 + 1000 then last_block * 1000 + 1000 - t end) as tail
-  from hr left join p on p.file_index = hr.file_index group by 1, 2, 3),
-o as (select file_index, first_block, first_block * 1000 + case when lead is null or lead > 750 then 1000 else lead end as start_ms, last_block * 1000 + 1000 - case when tail is null or tail > 750 then 1000 else tail end as end_ms from j)
-select * from o where end_ms > start_ms"""
+    """Runs of the scored turns, their edges refined by fine scores made of the place of each span."""
+    runs, dur = diarize.high_runs(_tiers(spark, d)), _durations(spark, d)
+    fine = diarize.fine_plan(runs, dur).select("file_index", "start_ms", "end_ms").distinct()
+    a, b = F.floor(F.col("start_ms") / 250), F.floor(F.col("end_ms") / 250)
+    fine = fine.withColumns(
+        {"s_target": (a * 7 + b * 3 + F.col("file_index")) % 10 / 10.0, "s_interviewer": F.when(a % 4 > 0, (a + F.col("file_index")) % 10 / 10.0)}
+    )
+    out = diarize.edge_trim(runs, dur, fine, 0.5)
+    return out.select("file_index", "first_block", F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"), "lead_demoted", "tail_demoted")
+
+
+TRIMMED = f"""with {_RUNS}, pos as (select hr.*, duration_ms, true as lead, first_block * 1000 + k * 250 as p from hr join dur using (file_index), range(0, 9) t(k) union all
+  select hr.*, duration_ms, false, last_block * 1000 + 1000 - k * 250 from hr join dur using (file_index), range(0, 9) t(k)),
+span as (select *, greatest(0, case when lead then p else p - 2000 end) as s, least(duration_ms, case when lead then p + 2000 else p end) as e from pos),
+fine as (select *, (s // 250 * 7 + e // 250 * 3 + file_index) % 10 / 10e0 as ft, case when s // 250 % 4 > 0 then (s // 250 + file_index) % 10 / 10e0 end as fi from span where e - s >= 1000),
+ok as (select * from fine where ft > 0.5 and (fi is null or ft - fi > 0.15)),
+f as (select hr.file_index, hr.first_block, hr.last_block, min(case when lead then p end) as fp, max(case when not lead then p end) as lp from hr left join ok on ok.file_index = hr.file_index and ok.first_block = hr.first_block group by 1, 2, 3),
+g as (select *, first_block * 1000 as s0, last_block * 1000 + 1000 as e0, coalesce(fp - first_block * 1000 > 750, true) as ld, coalesce(last_block * 1000 + 1000 - lp > 750, true) as tl from f),
+h as (select *, case when ld then s0 + 1000 else fp end as start_ms from g), i as (select *, tl and e0 - 1000 > start_ms as td from h),
+j as (select *, case when td then e0 - 1000 when tl then e0 else lp end as end_ms from i)
+select file_index, first_block, start_ms, end_ms, ld as lead_demoted, td as tail_demoted from j where start_ms < e0 and end_ms > start_ms"""
 
 
 def clip_clock(spark, d):

@@ -20,42 +20,59 @@ def _reg(c):
     return f"case when w < 0.35e0 then {c} * w else {c} end"
 
 
-_STATS = ", ".join(
-    f"""case when heavy then case when tot_{c} >= 1e-9 then sum_{c} / tot_{c} end end as {c}_mean, case when heavy then max_{c} end as {c}_max, case when heavy then min_{c} end as {c}_min,
+def windows_sql(channels):
+    """The window table of some channels, as CTEs."""
+    stats = ", ".join(
+        f"""case when heavy then case when tot_{c} >= 1e-9 then sum_{c} / tot_{c} end end as {c}_mean, case when heavy then max_{c} end as {c}_max, case when heavy then min_{c} end as {c}_min,
     case when heavy and n_{c} >= 2 and tot_{c} >= 1e-9 then greatest(dev_{c} / tot_{c}, 0e0) end as {c}_var"""
-    for c in CHANNELS
-)
-_AGG = ", ".join(
-    f"""sum(case when {c} is not null then w end) as tot_{c}, sum(w * ({_reg(c)})) as sum_{c}, max({_reg(c)}) as max_{c}, min({_reg(c)}) as min_{c}, count({c}) as n_{c},
+        for c in channels
+    )
+    agg = ", ".join(
+        f"""sum(case when {c} is not null then w end) as tot_{c}, sum(w * ({_reg(c)})) as sum_{c}, max({_reg(c)}) as max_{c}, min({_reg(c)}) as min_{c}, count({c}) as n_{c},
     sum(w * (({_reg(c)}) - m_{c}) * (({_reg(c)}) - m_{c})) as dev_{c}"""
-    for c in CHANNELS
-)
-_MEANS = ", ".join(f"sum(w * ({_reg(c)})) over win / nullif(sum(case when {c} is not null then w end) over win, 0) as m_{c}" for c in CHANNELS)
-WINDOWS = f"""{ASSIGNED},
-m as (select *, {_MEANS}, is_blinking - lag(is_blinking) over (partition by file_index, k order by t) as rise from assigned window win as (partition by file_index, k)),
+        for c in channels
+    )
+    means = ", ".join(f"sum(w * ({_reg(c)})) over win / nullif(sum(case when {c} is not null then w end) over win, 0) as m_{c}" for c in channels)
+    return f"""{ASSIGNED},
+m as (select *, {means}, is_blinking - lag(is_blinking) over (partition by file_index, k order by t) as rise from assigned window win as (partition by file_index, k)),
 g as (select recording_id, file_index, k, count(*) as frame_count, sum(w) as cw, sum(w) >= 15 as heavy, sum(case when rise = 1 then 1 else 0 end) as blinks,
-      sum(w * ({_reg("is_audio_active")})) / nullif(sum(w), 0) as act, {_AGG} from m group by 1, 2, 3),
+      sum(w * ({_reg("is_audio_active")})) / nullif(sum(w), 0) as act, {agg} from m group by 1, 2, 3),
 md as (select file_index, k, emotion_label, row_number() over (partition by file_index, k order by count(*) desc, emotion_label) as n from assigned group by 1, 2, 3),
 sp as (select recording_id, file_index, unnest(range(0, ceil(max(t) / 1000)::bigint)) as k from frames group by 1, 2),
 windows as (select sp.recording_id, sp.file_index, sp.k as window_id, sp.k * 1000e0 as start_time_ms, sp.k * 1000e0 + 2000 as end_time_ms, coalesce(frame_count, 0) as frame_count,
       coalesce(cw, 0) as cumulative_confidence, case when heavy then md.emotion_label else 'N/A' end as emotion_label_mode, cast(case when heavy then blinks else 0 end as bigint) as blink_count,
-      case when heavy then act end as active_ratio, {_STATS}
+      case when heavy then act end as active_ratio, {stats}
       from sp left join g on g.file_index = sp.file_index and g.k = sp.k left join md on md.file_index = sp.file_index and md.k = sp.k and md.n = 1)"""
 
+
+WINDOWS = windows_sql(CHANNELS)
+WIDE = (*CHANNELS, "AU1", "AU9", "AU25", "AU26")
+UNITS = [c for c in WIDE if c.startswith("AU")]
+
 _FEATURES = [f"{c}_{s}" for c in CHANNELS for s in ("mean", "max", "min", "var")]
 FEATURES = f"""with {WINDOWS} select recording_id, file_index, window_id, start_time_ms, end_time_ms, frame_count, {r("cumulative_confidence", 9)} as cumulative_confidence,
   emotion_label_mode, blink_count, {r("active_ratio", 9)} as active_ratio, {", ".join(f"{r(f, 9)} as {f}" for f in _FEATURES)} from windows"""
 
 
 def window_indices(spark, d):
-    rows = op.indices(op.window_table(frames(spark, d)))
-    still = op.freeze_index("macro_motion_energy_mean", [f"{c}_var" for c in ("AU12", "AU6", "AU4")])
+    wide = op.Sliding(channels=WIDE)
+    rows = op.indices(op.window_table(frames(spark, d), wide), wide)
+    still = op.freeze_index("macro_motion_energy_mean", [f"{c}_var" for c in UNITS])
     gated = op.activity_gate(F.col("AU12_mean"), F.col("active_ratio"))
-    return rounded(rows.select("file_index", "window_id", "smile_index", "tension_index", "blink_rate", "active_ms", still.alias("freeze_index"), gated.alias("gated")))
+    return rounded(rows.select("file_index", "window_id", *_INDEX, still.alias("postural_freeze_index"), gated.alias("gated")))
 
 
-INDICES = f"""with {WINDOWS} select file_index, window_id, {r("AU6_mean * AU12_mean")} as smile_index, {r("AU4_mean * (1 - AU12_mean)")} as tension_index, {r("blink_count / 2e0")} as blink_rate,
-  {r("active_ratio * 2000")} as active_ms, {r("case when coalesce(AU12_var, AU6_var, AU4_var) is not null then macro_motion_energy_mean * (coalesce(AU12_var, 0) + coalesce(AU6_var, 0) + coalesce(AU4_var, 0)) end")} as freeze_index,
+_INDEX = {
+    "duchenne_index": "AU6_mean * AU12_mean",
+    "cognitive_load_index": "AU4_mean * AU1_mean",
+    "speech_hesitation_index": "AU25_mean * AU26_mean",
+    "disgust_leak": "AU9_mean * (1 - AU12_mean)",
+    "blink_rate": "blink_count / 2e0",
+    "active_ms": "active_ratio * 2000",
+}
+_STILL = f"""case when coalesce({", ".join(f"{c}_var" for c in UNITS)}) is not null then macro_motion_energy_mean * ({" + ".join(f"coalesce({c}_var, 0)" for c in UNITS)}) end"""
+_INDEX_SQL = ", ".join(f"{r(x)} as {n}" for n, x in _INDEX.items())
+INDICES = f"""with {windows_sql(WIDE)} select file_index, window_id, {_INDEX_SQL}, {r(_STILL)} as postural_freeze_index,
   {r("case when active_ratio is null or active_ratio >= 0.5 then AU12_mean end")} as gated from windows"""
 
 

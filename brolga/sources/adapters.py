@@ -28,6 +28,10 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_quantity") / 50).alias("AU12"),
         (F.col("l_discount") * 10).alias("AU6"),
         (F.col("l_tax") * 10).alias("AU4"),
+        (F.col("l_quantity") / 60).alias("AU1"),
+        F.when(F.col("l_linenumber") != 6, F.col("l_discount") * 4).alias("AU9"),
+        (F.col("l_extendedprice") / 80000).alias("AU25"),
+        (F.col("l_tax") * 6).alias("AU26"),
         F.when(F.col("l_returnflag") != "N", 1.0).otherwise(0.0).alias("is_audio_active"),
         F.when(F.col("l_linenumber") == 1, 1).otherwise(0).alias("is_blinking"),
         F.col("l_returnflag").alias("emotion_label"),

@@ -1,4 +1,8 @@
-"""From documents to packed training sequences: what each stage keeps is written and read again by the next."""
+"""From documents to packed training sequences: what each stage keeps is written and read again by the next.
+
+Every stage takes an empty table and gives one. Repeated rows are documents of their own until near-duplicates are folded, and
+a null doc_id is kept like any other.
+"""
 
 from __future__ import annotations
 
@@ -28,14 +32,20 @@ def _unwrapped(found: DataFrame, columns: list[str], **changed: Column) -> DataF
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known: rejected ones go; a missing label becomes the predicted one."""
+    """Documents whose language is known; a missing label becomes the predicted one.
+
+    Those go that the calibrated models reject: null texts, texts without a letter, and texts far from any language learned.
+    """
     model = fit(docs.where(~held_out()))
     found = predict(_wrapped(docs), model).where("not rejected")
     return _unwrapped(found, docs.columns, lang=F.coalesce(F.col("_doc.lang"), F.col("lang_pred")))
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one of least doc_id (null last), of repeated rows one."""
+    """One document of each group of near-duplicates: the one of least doc_id (null last), of repeated rows one.
+
+    Null and blank texts have no shingles and are near-duplicates of one another.
+    """
     found = near_duplicates(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("x")
     stay = found.groupBy("component").agg(first).select(F.col("x.doc_id").alias("_id"), F.col("x.text_hash").alias("_hash"))
@@ -46,7 +56,11 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the words of passages that stand elsewhere too; untouched texts stay as they are."""
+    """All documents, without the words of passages that stand elsewhere too; untouched texts stay as they are.
+
+    Every place of such a passage loses it. A document of nothing else stays with an empty text, so that no row is lost
+    here; null texts stay null.
+    """
     found, gone = dedup_substrings(_wrapped(docs)), F.col("n_removed") > 0
     changed = {"text": F.when(gone, F.col("kept_text")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
@@ -56,13 +70,13 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any occurrence of a benchmark window."""
+    """Documents without any occurrence of a benchmark window; null and empty texts have none, so they stay."""
     found = decontaminate(_wrapped(docs), table(spark, sf_dir, "benchmark"))
     return _unwrapped(found.where(F.size("hit_words") == 0), docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every id of the documents in sequences of up to 2048: one row for each piece."""
+    """Every id of the documents in sequences of up to 2048: one row for each piece. Null and empty texts are their end alone."""
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -74,17 +74,95 @@ def test_bridging_refusals(spark):
     assert got == [(0, 2000, 2, 1), (2400, 3000, 1, 0), (3200, 4000, 2, 0), (4300, 6000, 2, 1)]
 
 
+RUNS = "file_index long, run long, first_block long, last_block long, n long"
+FINE = "file_index long, start_ms long, end_ms long, s_target double, s_interviewer double"
+
+
 def test_edge_trim(spark):
-    runs = spark.createDataFrame([(0, 7, 7, 11, 5), (0, 20, 20, 20, 1)], "file_index long, run long, first_block long, last_block long, n long")
-    fine = spark.createDataFrame([(0, 7250, 0.9), (0, 7500, 0.9), (0, 10900, 0.9), (0, 11000, 0.1)], "file_index long, t_ms long, s double")
-    assert rows(diarize.edge_trim(runs, fine, 0.6).select("start_ms", "end_ms")) == [(7250, 11000)]
+    runs = spark.createDataFrame([(0, 7, 7, 11, 5), (0, 20, 20, 20, 1), (1, 0, 0, 1, 2), (2, 3, 3, 5, 3)], RUNS)
+    dur = spark.createDataFrame([(0, 60000), (1, 2000), (2, 60000)], "file_index long, duration_ms long")
+    fine = [(0, 7250, 9250, 0.9, None), (0, 7500, 9500, 0.9, None), (0, 9750, 11750, 0.9, 0.1), (0, 10000, 12000, 0.9, 0.8), (2, 3000, 5000, 0.7, 0.1), (2, 3250, 5250, 0.5, 0.1), (2, 4000, 6000, 0.7, 0.6)]
+    got = {r.run: (r.start_ms, r.end_ms, r.lead_demoted, r.tail_demoted) for r in diarize.edge_trim(runs, dur, spark.createDataFrame(fine, FINE), 0.6).collect()}
+    # the interviewer is too near at 12000, so the run ends at 11750; a run of one block is used up; one without scores keeps its end
+    assert got == {7: (7250, 11750, False, False), 0: (1000, 2000, True, False), 3: (3000, 5000, False, True)}
+    alone = {r.run: (r.start_ms, r.end_ms) for r in diarize.edge_trim(runs, dur, spark.createDataFrame(fine, FINE), 0.6, anti=False).collect()}
+    assert alone[7] == (7250, 12000) and alone[3] == (3000, 6000)
+    spans = diarize.fine_plan(runs, dur).where("run = 0").collect()
+    assert all(r.end_ms - r.start_ms >= 1000 and 0 <= r.start_ms and r.end_ms <= 2000 for r in spans) and {r.p for r in spans if r.lead} == {0, 250, 500, 750, 1000}
 
 
 def test_thresholds(spark):
-    g = spark.createDataFrame([(x / 20,) for x in range(10, 20)], "s double")
-    few = diarize.thresholds(g.limit(5), spark.createDataFrame([(0.2,)], "s double")).first()
-    full = diarize.thresholds(g, spark.createDataFrame([(0.3,)], "s double")).first()
-    assert few.theta_high == 0.60 and abs(full.theta_high - 0.545) < 1e-9 and abs(full.theta_med - 0.445) < 1e-9 and not full.overlapping
+    def told(genuine, impostor, anti=True):
+        frame = lambda xs: spark.createDataFrame([(x,) for x in xs], "s double")
+        r = diarize.thresholds(frame(genuine), frame(impostor), anti).first()
+        return round(r.theta_high, 9), round(r.theta_med, 9), r.calibration, r.overlapping
+
+    g = [x / 20 for x in range(10, 20)]
+    assert told(g[:3], [0.2]) == (0.6, 0.4, "FALLBACK_DEFAULTS", False)
+    assert told(g, [0.3]) == (0.545, 0.395, "DERIVED", False)
+    assert told(g, [0.6]) == (0.65, 0.5, "DERIVED", False) and told(g, [0.72]) == (0.75, 0.6, "DERIVED", True)
+    assert told(g, []) == (0.55, 0.4, "DERIVED_NO_ANTI", False) and told(g, [0.9], anti=False) == (0.55, 0.4, "DERIVED_NO_ANTI", False)
+    assert told([0.1] * 12, [0.0]) == (0.45, 0.3, "DERIVED", False)
+
+
+def test_tiers(spark):
+    d = spark.createDataFrame([(0.9, None), (0.9, 0.8), (0.9, 0.1), (0.5, 0.1), (0.25, None), (0.1, None), (None, None)], "s_target double, s_interviewer double")
+    got = [(r.tier, r.margin_failed) for r in diarize.tiers(d, F.lit(0.6), F.lit(0.4)).collect()]
+    assert got == [("MEDIUM", True), ("MEDIUM", True), ("HIGH", False), ("MEDIUM", False), ("SUB", False), ("REJECT", False), ("SKIPPED", False)]
+    assert [r.tier for r in diarize.tiers(d, F.lit(0.6), F.lit(0.4), anti=False).collect()][:3] == ["HIGH"] * 3
+
+
+def test_drift_is_a_fall_from_all_of_the_file_before(spark):
+    blocks = [(0, k, 0.9 if k < 30 else 0.5, "HIGH") for k in range(100)] + [(1, 0, 0.1, "REJECT")] + [(2, k, 0.7, "HIGH") for k in range(5)]
+    blocks += [(5000, k, 0.58 if k < 30 else 0.9, "HIGH") for k in range(40)] + [(5001, 0, 0.9, "HIGH")]
+    d = spark.createDataFrame(blocks, "file_index long, block long, s_target double, tier string")
+    got = {r.file_index: (r["mean"], r.previous, r.drifted) for r in diarize.drift(d).collect()}
+    assert got[1][0] is None and abs(got[2][1] - 0.62) < 1e-9 and not got[2][2] and got[0][1] is None
+    assert got[5000][2] and abs(got[5000][0] - 0.58) < 1e-9 and not got[5001][2]
+
+
+def test_running_values_over_stretches(spark):
+    from brolga.functions.prefix import last_before, sum_before
+
+    rnd = random.Random(9)
+    data = [(k, rnd.choice([None, float(k)]), rnd.randint(0, 9)) for k in sorted(rnd.sample(range(-50, 400), 120))]
+    d = spark.createDataFrame(data, "k long, v double, n long").repartition(5)
+    for width in (1, 7, 1024):
+        got = {r.k: r.past for r in last_before(d, "k", "v", "past", width).collect()}
+        assert got == {k: next((v for j, v, _ in reversed(data) if j < k and v is not None), None) for k, _, _ in data}
+        got = {r.k: r.total for r in sum_before(d, "k", {"total": F.col("n")}, width).collect()}
+        assert got == {k: sum(n for j, _, n in data if j < k) for k, _, _ in data}
+
+
+def test_quality_and_stability(spark):
+    d = spark.createDataFrame([(50_000, 0.01), (70_000, 0.01), (70_000, 0.2), (100, 0.0)], "ms long, variance double")
+    assert [r.quality for r in enroll.quality(d).collect()] == ["STRONG", "STRONG", "MARGINAL", "INSUFFICIENT"]
+    assert [r.quality for r in enroll.quality(d, anti=False).collect()] == ["MARGINAL", "STRONG", "MARGINAL", "INSUFFICIENT"]
+    rows_ = [(0, "base", float(k)) for k in range(100)] + [(0, "negative", 50.0 if k % 2 else 200.0) for k in range(20)] + [(0, "positive", 500.0) for _ in range(20)]
+    w = spark.createDataFrame(rows_, "subject int, label string, v double")
+    r = evaluate.stability(w, "v", F.col("label") == "base").first()
+    # half of the negative class is over the baseline's bound: fewer than the positive one, but far more than the baseline
+    assert r.flag_pos == 1.0 and r.flag_neg == 0.5 and abs(r.flag_base - 0.05) < 1e-9 and not r.stable
+
+
+def test_pair_variance_against_pairs(spark):
+    rnd = np.random.default_rng(3)
+    v = rnd.normal(size=(40, 5))
+    d = spark.createDataFrame([(k % 2, x.tolist()) for k, x in enumerate(v)] + [(0, None), (1, [0.0] * 5), (2, [1.0] * 5)], "g long, vector array<double>").repartition(3)
+    for r in diarize.pair_variance(d, ["g"]).collect():
+        u = v[r.g :: 2] / np.linalg.norm(v[r.g :: 2], axis=1)[:, None]
+        c = (u @ u.T)[np.triu_indices(len(u), 1)]
+        assert r.n == len(u) and abs(r["mean"] - c.mean()) < 1e-9 and abs(r.variance - c.var()) < 1e-9
+
+
+def test_guarded_job(spark):
+    clips = [(0, f, k * 1000 / 30, 0.9 if f != 1 else 0.0, 0.1 * k, 1.0) for f in range(3) for k in range(200)]
+    d = spark.createDataFrame(clips, "recording_id long, file_index long, timestamp double, joint_confidence double, AU12 double, is_audio_active double")
+    d = d.withColumns({"is_blinking": F.lit(0), "emotion_label": F.lit("N/A")})
+    job = lambda rows, **kw: calibrate.recording_job(rows, windows.Sliding(channels=("AU12",)), **kw)
+    assert {r.file_index for r in job(d, guard=True).collect()} == {0, 2} and {r.file_index for r in job(d).collect()} == {0, 1, 2}
+    with pytest.raises(calibrate.CalibrationError):
+        job(d.where("file_index = 1 or file_index = 2 and timestamp < 100"), guard=True)
 
 
 def test_baseline(spark):
@@ -98,7 +176,7 @@ def test_baseline(spark):
     calibrate.check_baseline(w, stats)
     with pytest.raises(calibrate.CalibrationError):
         calibrate.check_baseline(w.where("file_index = 1").limit(1), calibrate.fit_baseline(w.where("file_index = 1").limit(1), ["a"]))
-    assert calibrate.feature_columns(w) == ["a", "b"]
+    assert calibrate.feature_columns(w.withColumns({"blink_count": F.lit(1), "target_ground_truth": F.lit(2)})) == ["a", "b"]
 
 
 def test_baseline_index(spark):

@@ -56,10 +56,10 @@ def test_phases_segments_clicks_manifest(spark, folder):
 
 def test_annotations(spark, folder):
     (folder / "a.eaf").write_text(
-        '<D><TIME_ORDER><TIME_SLOT TIME_SLOT_ID="ts1" TIME_VALUE="5000"/><TIME_SLOT TIME_SLOT_ID="ts2" TIME_VALUE="15000"/></TIME_ORDER><TIER><ANNOTATION>'
-        '<ALIGNABLE_ANNOTATION ANNOTATION_ID="a7" TIME_SLOT_REF1="ts1" TIME_SLOT_REF2="ts2"><ANNOTATION_VALUE> Truth </ANNOTATION_VALUE></ALIGNABLE_ANNOTATION></ANNOTATION></TIER></D>'
+        '<D><TIME_ORDER><TIME_SLOT TIME_SLOT_ID="from" TIME_VALUE="1230"/><TIME_SLOT TIME_SLOT_ID="until" TIME_VALUE="4560"/></TIME_ORDER><TIER><ANNOTATION>'
+        '<ALIGNABLE_ANNOTATION ANNOTATION_ID="a7" TIME_SLOT_REF1="from" TIME_SLOT_REF2="until"><ANNOTATION_VALUE> Calm </ANNOTATION_VALUE></ALIGNABLE_ANNOTATION></ANNOTATION></TIER></D>'
     )
-    assert [tuple(r) for r in io.read_annotations(spark, str(folder / "a.eaf")).select("ordinal", "label", "start_ms", "end_ms").collect()] == [(7, "Truth", 5000, 15000)]
+    assert [tuple(r) for r in io.read_annotations(spark, str(folder / "a.eaf")).select("ordinal", "label", "start_ms", "end_ms").collect()] == [(7, "Calm", 1230, 4560)]
 
 
 def test_labels_log_lists_and_listing(spark, folder):
