@@ -13,11 +13,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brolga.llm.common import materialize, shared_dir, small_batches, table, worker_cache
+from brolga.llm.common import materialize, release, shared_dir, small_batches, table, worker_cache
 
 WINDOW = 35
 #: Letters of the documents that are named together, and of those in one file of the dealt table.
-LETTERS, FILE = 1 << 22, 1 << 25
+LETTERS, FILE = 1 << 21, 1 << 25
 #: Letters for which the names asked for meet in one bucket.
 MEET = 1 << 24
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -154,6 +154,12 @@ class Block:
                 self.drop(level, told[level])
 
 
+def _clear() -> None:
+    """Before a block: what other operators keep in the worker goes, and so does the memory of the block before."""
+    worker_cache("recompress")
+    release()
+
+
 _ASK = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("names", pa.binary()), ("many", pa.binary())])
 _TOLD = pa.schema([("block", pa.int64()), ("level", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("shared", pa.binary())])
 #: The question for whole windows, after those for symbols.
@@ -225,7 +231,7 @@ def _dealt(docs: DataFrame, letters: int) -> tuple[DataFrame, int]:
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8)).first()[0] or 0
     blocks = 1 + total // letters
-    files = int(min(blocks, 1 + total // min(FILE, 8 * letters), 1 << 16))
+    files = int(min(blocks, 1 + total // min(FILE, 16 * letters), 1 << 16))
     block = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks))
     name = f"brolga_{uuid.uuid4().hex}"
     dealt = docs.withColumn(_BLOCK, block).repartition(files, _BLOCK)
@@ -262,11 +268,11 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, letters: int = LETTE
 
     def question(level: int) -> Callable:
         def first(own: pa.Table) -> pa.Table:
-            worker_cache("recompress")
+            _clear()
             return asks(Block(own["text"].to_pylist(), window), own[_BLOCK][0].as_py(), level)
 
         def later(own: pa.Table, told: pa.Table) -> pa.Table:
-            worker_cache("recompress")
+            _clear()
             if not (own.num_rows and told.num_rows):
                 return _ASK.empty_table()
             block = Block(own["text"].to_pylist(), window)
@@ -288,7 +294,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, letters: int = LETTE
     kinds = pa.schema([(n, {"long": pa.int64(), "string": pa.string()}[t]) for n, t in map(str.split, added)])
 
     def cut(own: pa.Table, told: pa.Table) -> pa.Table:
-        worker_cache("recompress")
+        _clear()
         if not own.num_rows:
             return own.drop_columns(_BLOCK).append_column(kinds.field(0), pa.array([], kinds.field(0).type))  # no such group
         shared = _told(told)
@@ -297,12 +303,13 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, letters: int = LETTE
         block.answer(levels, shared)
         if len(last):
             block.digests()
-        rows = []
-        for of, gone in zip(block.own, block.removed(last), strict=True):
-            removed = int(gone.sum())
+        cols: dict[str, list] = {x.split()[0]: [] for x in ADDED.split(", ")}
+        for k, gone in enumerate(block.removed(last)):
+            of, removed = block.own[k], int(gone.sum())
             kept = b" ".join([w for w, g in zip(of, gone.tolist(), strict=True) if not g] if removed else of)
-            rows.append((len(of), removed, kept.decode() if with_text else "", hashlib.sha256(kept).hexdigest()))
-        cols = dict(zip(("n_words", "n_removed", "kept_text", "kept_sha256"), zip(*rows), strict=True))
+            block.own[k] = []
+            for col, x in zip(cols.values(), (len(of), removed, kept.decode() if with_text else None, hashlib.sha256(kept).hexdigest()), strict=True):
+                col.append(x)
         out = own.drop_columns(_BLOCK)
         for f in kinds:
             out = out.append_column(f, pa.array(cols[f.name], f.type))
