@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 
 #: Rows of texts that go to a Python worker at once; their length bounds what it and the JVM hold for that.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -185,7 +185,7 @@ def pack(
                 ids, n = ids_of(batch[1])
                 stop = np.cumsum(n)
                 for doc_id, a, b in zip(batch[0].to_pylist(), (stop - n).tolist(), stop.tolist(), strict=True):
-                    yield doc_id, np.concatenate([ids[a:b], tail]).astype("<u4")
+                    yield doc_id, np.concatenate([ids[a:b], tail]).astype("<u4", copy=False)
 
         for cols in _rows(found(), part, tiers, pool, step, with_ids):
             if cols["doc_id"]:

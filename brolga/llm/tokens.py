@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
-from brolga.llm.common import worker_cache
+from brolga.llm.common import release, worker_cache
 
 #: A byte-level pre-tokenizer never joins what stands on both sides of such a border, so chunks can be encoded alone.
 _CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
@@ -22,9 +22,9 @@ _UNSURE = re.compile("[\x1c-\x1f\x85 ᠎ -‏ -  -⁯　﻿]")
 _LETTERS, _NUMBERS, _LATIN = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe", "ɐ"
 _PIECE = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+")
 #: What a worker remembers: so many words with what touches them, so many pieces of the pre-tokenizer, none longer than this.
-WORDS, PIECES, LONGEST = 800_000, 800_000, 48
+WORDS, PIECES, LONGEST = 400_000, 300_000, 48
 #: Bytes of texts that are looked up together.
-TOGETHER = 1 << 23
+TOGETHER = 1 << 22
 
 
 def _byte_letters() -> dict[int, str]:
@@ -156,6 +156,8 @@ class Encoder:
         part = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // TOGETHER
         cut = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(texts)].tolist()
         found = [self._together(texts.slice(a, b - a)) for a, b in zip(cut[:-1], cut[1:], strict=True) if b > a]
+        pa.default_memory_pool().release_unused()
+        release()
         return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, t) for k, t in ((0, np.uint32), (1, np.int64)))
 
     def encode(self, text: str | None) -> bytes:
