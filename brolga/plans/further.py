@@ -366,14 +366,15 @@ def full_windows(spark, d):
     """The whole window table with all ten channels, indices, gaze entropy, the spectrum of one channel and an acoustic block."""
     rows = frames(spark, d)
     sound = windows.spine(rows).select("recording_id", "file_index", "k", ((F.col("k") * 7 + F.col("file_index")) % 11 / 10.0).alias("spread"))
-    out = windows.full_table(rows, windows.Sliding(channels=WIDE), acoustic=sound)
-    return rounded(out.drop("start_time_ms", "end_time_ms", "emotion_label_mode"))
+    out = windows.full_table(rows, windows.Sliding(channels=WIDE), acoustic=sound).drop("start_time_ms", "end_time_ms", "emotion_label_mode")
+    fine = {c: (F.round(F.col(c), 9) + 0.0) for c in _FULL}
+    return out.select(*[fine.get(c, F.round(F.col(c), 6) + 0.0 if t == "double" else F.col(c)).alias(c) for c, t in out.dtypes])
 
 
 _FULL = [f"{c}_{s}" for c in WIDE for s in ("mean", "max", "min", "var")]
 _SPECTRAL = [f"gaze_x_{b}_{m}" for b in ("tremor", "sway") for m in ("power", "peak", "entropy")]
 FULL = f"""with {windows_sql(WIDE)}, ge as (select * from ({ENTROPY})), fx as (select * from ({SPECTRUM}))
-select w.recording_id, w.file_index, w.window_id, frame_count, {r("cumulative_confidence")} as cumulative_confidence, blink_count, {r("active_ratio")} as active_ratio, {", ".join(f"{r(f)} as {f}" for f in _FULL)}, {_INDEX_SQL},
+select w.recording_id, w.file_index, w.window_id, frame_count, {r("cumulative_confidence")} as cumulative_confidence, blink_count, {r("active_ratio")} as active_ratio, {", ".join(f"{r(f, 9)} as {f}" for f in _FULL)}, {_INDEX_SQL},
   {r(_STILL)} as postural_freeze_index, {r("case when cumulative_confidence >= 15 then ge.entropy end")} as gaze_entropy, {", ".join(f"{r(f'case when cumulative_confidence >= 15 then fx.{x} end')} as {x}" for x in _SPECTRAL)},
   {r("case when cumulative_confidence >= 15 and (active_ratio is null or active_ratio >= 0.5) then (w.window_id * 7 + w.file_index) % 11 / 10e0 end")} as spread
 from windows w left join ge on ge.file_index = w.file_index and ge.k = w.window_id left join fx on fx.file_index = w.file_index and fx.window_id = w.window_id"""
