@@ -6,21 +6,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from brolga.llm.common import table
+from brolga.llm.common import materialize, table
 
 #: The header fields that a 304 answer may renew (RFC 9110, section 15.4.5).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
-#: Seconds of one URL's captures that one group holds.
+#: Seconds of one URL's captures that one group holds, and captures beyond which such a group is cut into shorter times.
 BUCKET = 86_400
+MOST = 100_000
 
 
 def canonical_url(url: Column) -> Column:
-    """Host and path without scheme, default port, fragment, closing slashes and utm_ parameters; parameters sorted.
+    """Host and path without scheme, fragment, closing slashes, utm_ parameters and the scheme's default port (80 for http,
+    443 for https; any other port stays); parameters sorted.
 
     The host is put in lower case. What has no scheme is taken as it is, without fragment. A null stays null.
     """
     bare = F.regexp_replace(F.trim(url), "#.*$", "")
-    host = F.regexp_replace(F.lower(F.regexp_extract(bare, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)", 1)), ":(80|443)$", "")
+    host = F.regexp_extract(F.lower(bare), "^([a-z][a-z0-9+.-]*://[^/?]*)", 1)
+    host = F.regexp_replace(F.regexp_replace(host, "^(http://.*):80$|^(https://.*):443$", "$1$2"), "^[a-z][a-z0-9+.-]*://", "")
     path = F.regexp_replace(F.regexp_extract(bare, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)", 1), "/+$", "")
     query = F.split(F.regexp_extract(bare, r"\?(.*)$", 1), "&")
     query = F.array_sort(F.filter(query, lambda p: (p != "") & ~p.startswith("utm_")))
@@ -39,7 +42,7 @@ def _plain(tag: Column) -> Column:
     return F.regexp_replace(tag, "^W/", "")
 
 
-def resolve_revisits(records: DataFrame, permitted: tuple[str, ...] = PERMITTED, bucket: int = BUCKET) -> DataFrame:
+def resolve_revisits(records: DataFrame, permitted: tuple[str, ...] = PERMITTED, bucket: int = BUCKET, most: int = MOST) -> DataFrame:
     """One row for each revisit of records (record_id, url, ts in seconds, kind, headers, payload_sha256, payload_length).
 
     kind is 'response' for full responses and 'revisit' for not-modified ones; other kinds are left out. Returns
@@ -53,7 +56,9 @@ def resolve_revisits(records: DataFrame, permitted: tuple[str, ...] = PERMITTED,
     Header names come out in lower case. Repeated revisits give repeated rows; of repeated responses any is the same.
 
     Only ids, headers and digests travel, never payloads. A URL's captures are grouped by time buckets, and what the
-    buckets before hand on is one row for each, so a URL with a third of all captures is spread like the others.
+    buckets before hand on is one row for each, so a URL with a third of all captures is spread like the others. A bucket
+    of more than `most` captures is cut into as many shorter ones as it holds times `most`, down to a second. The counts
+    that tell so are written to the shared folder first; only buckets that are cut are in that table.
     """
     response = F.col("kind") == "response"
     known = F.col("url_key").isNotNull() & F.col("ts").isNotNull()
@@ -68,6 +73,13 @@ def resolve_revisits(records: DataFrame, permitted: tuple[str, ...] = PERMITTED,
     )
     whole = F.when(response, F.struct("record_id", "headers", "payload_sha256", "payload_length"))
     rows = rows.select("*", F.floor(F.col("ts") / bucket).alias("bucket"), whole.alias("own"))
+    full = rows.where(known).groupBy("url_key", "bucket").count().where(F.col("count") > most)
+    width = F.greatest(F.floor(F.lit(bucket) / F.ceil(F.col("count") / most)), F.lit(1))
+    cuts = materialize(full.select("url_key", "bucket", width.cast("long").alias("width")))
+    rows = rows.join(cuts, ["url_key", "bucket"], "left")
+    inside = F.pmod("ts", F.lit(bucket))
+    start = F.col("bucket") * bucket + F.coalesce(inside - F.pmod(inside, F.col("width")), F.lit(0))
+    rows = rows.withColumn("bucket", start).drop("width")
     lone = rows.where(~known & ~response).withColumn("source", F.lit(None).cast(rows.schema["own"].dataType))
     rows = rows.where(known)
     before = W.partitionBy("url_key", "bucket").orderBy("ts", "record_id").rowsBetween(W.unboundedPreceding, -1)
@@ -155,7 +167,8 @@ def op1_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = r"""
 with p as (select page_id, url, '"' || substr(md5(html), 1, 16) || '"' as tag, sha256(html) as sha, cast(length(html) as bigint) as len,
                   'day ' || (page_id % 365) as day, regexp_replace(trim(url), '#.*$', '') as b from pages),
-k as (select *, regexp_replace(lower(regexp_extract(b, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)), ':(80|443)$', '')
+k as (select *, regexp_replace(lower(regexp_extract(b, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)),
+                               case lower(regexp_extract(b, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) when 'http' then ':80$' when 'https' then ':443$' else '^$' end, '')
              || regexp_replace(regexp_extract(b, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1), '/+$', '') as hp,
              list_sort(list_filter(string_split(regexp_extract(b, '\?(.*)$', 1), '&'), lambda x: x <> '' and not starts_with(x, 'utm_'))) as q from p),
 c as (select *, case when regexp_matches(b, '^[A-Za-z][A-Za-z0-9+.-]*://') then hp || case when len(q) > 0 then '?' || array_to_string(q, '&') else '' end else b end as url_key,

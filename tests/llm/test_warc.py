@@ -34,9 +34,9 @@ def brute(rows, keys):
 
 
 def test_urls(spark):
-    urls = ["HTTP://Ex.com:80/A/b/#x", "https://ex.com/A/b?", "https://ex.com:443/A/b?utm_x=1", "http://ex.com/?b=2&a=1", "//odd#f", "", None]
+    urls = ["HTTP://Ex.com:80/A/b/#x", "https://ex.com/A/b?", "https://ex.com:443/A/b?utm_x=1", "http://ex.com/?b=2&a=1", "//odd#f", "", None, "http://h:443/a", "HTTPS://h:80/a", "ftp://h:80"]
     got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(canonical_url(F.col("u"))).collect()]
-    assert got == ["ex.com/A/b"] * 3 + ["ex.com?a=1&b=2", "//odd", "", None]
+    assert got == ["ex.com/A/b"] * 3 + ["ex.com?a=1&b=2", "//odd", "", None, "h:443/a", "h:80/a", "h:80"]
 
 
 def test_against_brute_force(spark):
@@ -51,7 +51,7 @@ def test_against_brute_force(spark):
     d = spark.createDataFrame(rows, COLUMNS).repartition(5)
     urls = {r[1] for r in rows}
     keys = dict(spark.createDataFrame([(u,) for u in urls], "u string").select("u", canonical_url(F.col("u"))).collect())
-    for bucket in (86_400, 2_000, 10**9):
-        got = [(r[0], r[1], r[2], r[3], tuple(sorted(r[4].items())) if r[4] is not None else None, r[5], r[6]) for r in resolve_revisits(d, bucket=bucket).collect()]
+    for bucket, most in ((86_400, 10**5), (2_000, 10**5), (10**9, 10**5), (86_400, 3), (10**9, 7)):
+        got = [(r[0], r[1], r[2], r[3], tuple(sorted(r[4].items())) if r[4] is not None else None, r[5], r[6]) for r in resolve_revisits(d, bucket=bucket, most=most).collect()]
         assert sorted(got, key=str) == brute(rows, keys)
     assert resolve_revisits(d.limit(0)).count() == 0
