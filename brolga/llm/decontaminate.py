@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brolga.llm.common import table, worker_cache
+from brolga.llm.common import materialize, table, worker_cache
 
 WINDOW = 10
 #: The test strings are searched in blocks of about this many words, so that what is broadcast stays small.
 BLOCK_WORDS = 500_000
+#: words() as a pattern for text whose A-Z are still as they were.
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 _DELIMITERS = [*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]
 _FOLD = bytearray(range(256))
@@ -82,7 +85,7 @@ def build(items: list[tuple[int | None, str | None]], window: int) -> list[WuMan
     return [WuManber(p, length) for length, p in sorted(by_length.items())]
 
 
-def _search(tables: Broadcast):
+def _search(tables: Broadcast, item_kind: str):
     def search(texts: pd.Series) -> pd.DataFrame:
         worker_cache("decontaminate")
         counts, hits, ids = [], [], []
@@ -99,7 +102,15 @@ def _search(tables: Broadcast):
             ids.append(sorted(of, key=lambda x: (x is not None, x)))
         return pd.DataFrame({"n": counts, "hits": hits, "items": ids})
 
-    return F.pandas_udf(search, "struct<n long, hits array<int>, items array<long>>")
+    return F.pandas_udf(search, f"struct<n long, hits array<int>, items array<{item_kind}>>")
+
+
+def pieces_of(items: DataFrame, window: int, most: int) -> DataFrame:
+    """(item_id, text): items cut into pieces of up to `most` windows, each window in one piece; a shorter item is one piece."""
+    w = F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - window + 1, F.lit(1)), F.lit(most))
+    cut = items.select("item_id", w.alias("w")).where(F.size("w") > 0).select("item_id", "w", F.explode(starts).alias("at"))
+    return cut.select("item_id", F.array_join(F.slice("w", F.col("at"), F.lit(most + window - 1)), " ").alias("text")).distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -107,25 +118,46 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
     A document word is hit if an occurrence of a window covers it: `window` consecutive words of an item, or the whole of
     a shorter item. Null and empty texts have no words and no hits; items without words match nothing; repeated items
-    count once by their id, and a null id counts as an id. Other columns of docs pass through; those with the three names
-    above are replaced. Test strings are read in blocks of about block_words words (a longer item makes its own block),
-    each of which is broadcast; documents are read once whatever the number of blocks and are never shuffled.
+    count once by their id, and a null id counts as an id, before all others. item_id may be of any type that can be
+    ordered. Other columns of docs pass through; those with the three names above are replaced.
+
+    Test strings, long ones in pieces, are read in blocks of about block_words words, and one block at a time is broadcast.
+    If one holds them all, documents are read once and never shuffled. Else each block's hits are written to the shared
+    folder, for the documents that have any and by digest of their text, before the next block is broadcast; a
+    join brings them back. So what driver and workers hold is one block, however large the benchmark is.
     """
-    spark = docs.sparkSession
-    items = benchmark.select("item_id", "text").where("text is not null").distinct()
+    spark, kind = docs.sparkSession, benchmark.schema["item_id"].dataType.simpleString()
+    items = pieces_of(benchmark.select("item_id", "text").where("text is not null"), window, max(1, block_words // 10))
     size = items.agg(F.sum(F.length("text")).alias("n")).first().n or 0
     blocks = 1 + size // (6 * block_words)
     out = docs.drop("hit_words", "hit_items", "word_count")
-    found = []
-    for b in range(blocks):
+
+    def tables(b: int) -> Broadcast:
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        tables = spark.sparkContext.broadcast(build([tuple(r) for r in part.collect()], window))
-        found.append(f"_found_{b}")
-        out = out.withColumn(found[-1], _search(tables)("text"))
-    first, union = found[0], lambda k: F.array_sort(F.array_distinct(F.flatten(F.array(*[f"{x}.{k}" for x in found]))))
-    return out.withColumns(
-        {"hit_words": union("hits"), "hit_items": union("items"), "word_count": F.col(f"{first}.n")}
-    ).drop(*found)
+        return spark.sparkContext.broadcast(build([tuple(r) for r in part.collect()], window))
+
+    if blocks == 1:
+        found = out.withColumn("_found", _search(tables(0), kind)("text"))
+        return found.withColumns({"hit_words": F.col("_found.hits"), "hit_items": F.col("_found.items"), "word_count": F.col("_found.n")}).drop("_found")
+
+    digest, parts = F.sha2("text", 256), []
+    for b in range(blocks):
+        held = tables(b)
+        found = docs.select(digest.alias("_text"), _search(held, kind)("text").alias("found"))
+        parts.append(materialize(found.where(F.size("found.hits") > 0).select("_text", "found.hits", "found.items", F.lit(b).alias("block"))))
+        held.destroy()
+    once = reduce(DataFrame.unionByName, parts).groupBy("_text", "block").agg(F.first("hits").alias("hits"), F.first("items").alias("items"))
+    union = lambda k: F.sort_array(F.array_distinct(F.flatten(F.collect_list(k))))
+    hits = once.groupBy("_text").agg(union("hits").alias("_hits"), union("items").alias("_items"))
+    joined = out.withColumn("_text", digest).join(hits, "_text", "left")
+    none = F.array().cast(f"array<{kind}>")
+    return joined.withColumns(
+        {
+            "hit_words": F.coalesce("_hits", F.array().cast("array<int>")),
+            "hit_items": F.coalesce("_items", none),
+            "word_count": F.coalesce(F.regexp_count("text", F.lit(_WORD)).cast("long"), F.lit(0).cast("long")),
+        }
+    ).drop("_text", "_hits", "_items")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
