@@ -54,3 +54,16 @@ def test_run_and_odd_columns(spark, sf):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns
         assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_empty_and_null_tables(spark, sf, tmp_path):
+    """run() on an empty documents table gives no rows; packing takes empty tables, nulls and clashing columns like the rest."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    name, packing = corpus_pipeline.STAGES[-1]
+    assert name == "packing" and packing(spark, docs.limit(0), sf).count() == 0
+    odd = docs.limit(3).union(spark.createDataFrame([(None,) * len(docs.columns)] * 2, docs.schema)).selectExpr("*", "1 as start", "2 as sequence_id")
+    rows = packing(spark, odd, sf).collect()
+    assert [r.doc_tokens for r in rows if r.doc_id is None] == [1, 1]
