@@ -42,6 +42,20 @@ def _plain(tag: Column) -> Column:
     return F.regexp_replace(tag, "^W/", "")
 
 
+def _cuts(captures: DataFrame, most: int) -> DataFrame:
+    """(url_key, bucket, ts, start) for the seconds of buckets with more than `most` captures: the first second of their part.
+
+    Both steps are written to the shared folder, so that the size of what is joined is known. A bucket has no more rows in
+    the running sum than it has seconds.
+    """
+    key = ["url_key", "bucket"]
+    full = materialize(captures.groupBy(*key).count().where(F.col("count") > most).select(*key))
+    seconds = captures.join(full, key, "left_semi").groupBy(*key, "ts").agg(F.count("*").alias("n"))
+    past = F.sum("n").over(W.partitionBy(*key).orderBy("ts").rowsBetween(W.unboundedPreceding, W.currentRow))
+    parts = seconds.withColumn("part", F.floor((past - 1) / most))
+    return materialize(parts.select(*key, "ts", F.min("ts").over(W.partitionBy(*key, "part")).alias("start")))
+
+
 def resolve_revisits(records: DataFrame, permitted: tuple[str, ...] = PERMITTED, bucket: int = BUCKET, most: int = MOST) -> DataFrame:
     """One row for each revisit of records (record_id, url, ts in seconds, kind, headers, payload_sha256, payload_length).
 
@@ -57,8 +71,7 @@ def resolve_revisits(records: DataFrame, permitted: tuple[str, ...] = PERMITTED,
 
     Only ids, headers and digests travel, never payloads. A URL's captures are grouped by time buckets, and what the
     buckets before hand on is one row for each, so a URL with a third of all captures is spread like the others. A bucket
-    of more than `most` captures is cut into as many shorter ones as it holds times `most`, down to a second. The counts
-    that tell so are written to the shared folder first; only buckets that are cut are in that table.
+    of more than `most` captures is cut at seconds so that each part holds about `most`; only a single second is never cut.
     """
     response = F.col("kind") == "response"
     known = F.col("url_key").isNotNull() & F.col("ts").isNotNull()
@@ -73,13 +86,8 @@ def resolve_revisits(records: DataFrame, permitted: tuple[str, ...] = PERMITTED,
     )
     whole = F.when(response, F.struct("record_id", "headers", "payload_sha256", "payload_length"))
     rows = rows.select("*", F.floor(F.col("ts") / bucket).alias("bucket"), whole.alias("own"))
-    full = rows.where(known).groupBy("url_key", "bucket").count().where(F.col("count") > most)
-    width = F.greatest(F.floor(F.lit(bucket) / F.ceil(F.col("count") / most)), F.lit(1))
-    cuts = materialize(full.select("url_key", "bucket", width.cast("long").alias("width")))
-    rows = rows.join(cuts, ["url_key", "bucket"], "left")
-    inside = F.pmod("ts", F.lit(bucket))
-    start = F.col("bucket") * bucket + F.coalesce(inside - F.pmod(inside, F.col("width")), F.lit(0))
-    rows = rows.withColumn("bucket", start).drop("width")
+    rows = rows.join(_cuts(rows.where(known).select("url_key", "bucket", "ts"), most), ["url_key", "bucket", "ts"], "left")
+    rows = rows.withColumn("bucket", F.coalesce("start", F.col("bucket") * bucket)).drop("start")
     lone = rows.where(~known & ~response).withColumn("source", F.lit(None).cast(rows.schema["own"].dataType))
     rows = rows.where(known)
     before = W.partitionBy("url_key", "bucket").orderBy("ts", "record_id").rowsBetween(W.unboundedPreceding, -1)

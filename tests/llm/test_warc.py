@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from brolga.llm.warc import PERMITTED, canonical_url, resolve_revisits
+from brolga.llm.warc import PERMITTED, _cuts, canonical_url, resolve_revisits
 
 COLUMNS = "record_id long, url string, ts long, kind string, headers map<string,string>, payload_sha256 string, payload_length int, source string, own int"
 
@@ -55,3 +55,15 @@ def test_against_brute_force(spark):
         got = [(r[0], r[1], r[2], r[3], tuple(sorted(r[4].items())) if r[4] is not None else None, r[5], r[6]) for r in resolve_revisits(d, bucket=bucket, most=most).collect()]
         assert sorted(got, key=str) == brute(rows, keys)
     assert resolve_revisits(d.limit(0)).count() == 0
+
+
+def test_crowded_minutes_are_cut(spark):
+    """A full bucket is cut where its captures are, however they crowd; parts keep the order of time."""
+    at = [0] * 3 + list(range(50_000, 50_060)) * 4 + [80_000] * 30
+    d = spark.createDataFrame([("u", 0, t) for t in at] + [("v", 0, t) for t in range(9)], "url_key string, bucket long, ts long")
+    cuts = {r.ts: r.start for r in _cuts(d, 20).where("url_key = 'u'").collect()}
+    assert set(cuts) == set(at) and _cuts(d, 20).where("url_key = 'v'").count() == 0
+    starts = [cuts[t] for t in sorted(cuts)]
+    assert starts == sorted(starts) and all(cuts[t] <= t for t in cuts)
+    sizes = {s: sum(1 for t in at if cuts[t] == s) for s in starts}
+    assert max(n for s, n in sizes.items() if s != 80_000) <= 24 and len(sizes) >= 12
