@@ -75,36 +75,53 @@ class Golay:
         return row, (word[row] ^ self.errors[at]) >> 11, np.maximum(self.weight[at] - 3, 0)
 
 
+def _bits(segment: int, parts: int = 1, part: int = 0) -> int:
+    """Mask of one of the equal parts of a segment."""
+    at, n = SEGMENTS[segment]
+    first, end = n * part // parts, n * (part + 1) // parts
+    return (1 << at + end) - (1 << at + first)
+
+
+def _kinds() -> list[tuple[int, int, int]]:
+    """(segment, most, mask): two fingerprints in up to 4 different bits have, for one kind at least, up to `most` of them in
+    that segment, which is decoded, and none under the mask, whose bits are in the key as they are.
+
+    If a segment has no wrong bit, another has up to 2, or has 3 or 4 and leaves the last one up to 1. If each has one, two
+    have just one, so a half of either is right, and the third has up to 2, so a third part of it is right.
+    """
+    kinds = [(1, 2, _bits(0)), (2, 1, _bits(0)), (0, 2, _bits(1)), (2, 1, _bits(1)), (0, 2, _bits(2)), (1, 1, _bits(2))]
+    for decoded, one, two in ((0, 1, 2), (1, 2, 0), (0, 2, 1)):
+        kinds += [(decoded, 1, _bits(one, 2, i) | _bits(two, 3, j)) for i in range(2) for j in range(3)]
+    return kinds
+
+
+KINDS = _kinds()
+
+
 def keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, key, own) of the keys of fingerprints: two that differ in up to 4 bits share a key that is own to one of them.
 
-    4 wrong bits in three segments leave two segments with 2 wrong bits together. A key names two segments and a codeword
-    for each. Own to a fingerprint are its nearest codewords. If a segment has e wrong bits, the codeword nearest to one
-    side is within 3 + e bits of the other, so every fingerprint takes as further keys the codewords of two segments that
-    lie at most 2 bits beyond 3 together; only those greater than the own key are needed, as the other side has the rest.
+    A key is a kind, the bits under its mask and a codeword for its segment. Own to a fingerprint is the codeword nearest
+    to it. If the segment has e wrong bits, the codeword nearest to one side is within 3 + e bits of the other, so every
+    fingerprint takes as further keys the codewords up to `most` bits beyond 3; only those greater than its own one are
+    needed, as the other side has the rest. Codeword and kind stand in the key where the segment's bits were.
     """
     kept = worker_cache("simhash")
     if not kept:
         kept["code"] = Golay()
-    near = [kept["code"].near(((fingerprints >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int32)) for at, n in SEGMENTS]
+    near = []
+    for at, n in SEGMENTS:
+        row, code, over = kept["code"].near(((fingerprints >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int32))
+        own = np.r_[True, row[1:] != row[:-1]] if len(row) else np.zeros(0, bool)
+        need = own | (code > code[own][row])
+        near.append([(row[fit], code[fit].astype(np.uint64), own[fit]) for fit in (need & (over <= most) for most in range(3))])
     rows, found, owned = [], [], []
-    for k, (a, b) in enumerate(combinations(range(len(SEGMENTS)), 2)):
-        (row_a, code_a, over_a), (row_b, code_b, over_b) = near[a], near[b]
-        first_b = np.searchsorted(row_b, np.arange(len(fingerprints) + 1))
-        count = np.diff(first_b)[row_a]
-        left = np.repeat(np.arange(len(row_a)), count)
-        right = np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count) + first_b[row_a][left]
-        fit = over_a[left] + over_b[right] <= 2
-        left, right = left[fit], right[fit]
-        key = (np.int64(k) << 24) | (code_a[left].astype(np.int64) << 12) | code_b[right]
-        row = row_a[left]
-        first = np.searchsorted(row, np.arange(len(fingerprints)))
-        own = np.zeros(len(row), bool)
-        own[first] = True
-        fit = own | (key > key[first][row])
-        rows.append(row[fit])
-        found.append(key[fit])
-        owned.append(own[fit])
+    for k, (segment, most, mask) in enumerate(KINDS):
+        row, code, own = near[segment][most]
+        at = SEGMENTS[segment][0]
+        rows.append(row)
+        found.append(((fingerprints & np.uint64(mask))[row] | code << np.uint64(at) | np.uint64(k << at + 12)).view(np.int64))
+        owned.append(own)
     return np.concatenate(rows), np.concatenate(found), np.concatenate(owned)
 
 

@@ -1,9 +1,10 @@
 import random
+from itertools import combinations
 
 import numpy as np
 import xxhash
 
-from brolga.llm.simhash import Golay, fingerprint, keys, links, near_duplicates, op3_simhash
+from brolga.llm.simhash import KINDS, SEGMENTS, Golay, fingerprint, keys, links, near_duplicates, op3_simhash
 
 DOCS = "doc_id long, text string"
 
@@ -42,10 +43,37 @@ def test_code_is_perfect():
     assert (np.bincount(row, weights=over == 0) == 1).all()
 
 
+def test_every_error_pattern_has_a_kind():
+    bit = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    for n in range(5):
+        at = np.array(list(combinations(range(64), n)), np.int64).reshape(-1, n)
+        wrong = np.bitwise_or.reduce(bit[at], axis=1) if n else np.zeros(1, np.uint64)
+        found = np.zeros(len(wrong), bool)
+        for segment, most, mask in KINDS:
+            first, size = SEGMENTS[segment]
+            inside = np.uint64(((1 << size) - 1) << first)
+            assert not mask & int(inside)
+            found |= (np.bitwise_count(wrong & inside) <= most) & (wrong & np.uint64(mask) == 0)
+        assert found.all()
+
+
+def test_keys_are_long_and_few():
+    rnd = np.random.default_rng(5)
+    f = rnd.integers(0, 1 << 63, 4000, np.int64).view(np.uint64) * np.uint64(2) + rnd.integers(0, 2, 4000).astype(np.uint64)
+    row, key, own = keys(f)
+    assert len(row) < 110 * len(f) and own.sum() == len(KINDS) * len(f)
+    assert min(mask.bit_count() for _, _, mask in KINDS) + 12 >= 28
+
+
 def test_close_fingerprints_share_a_key():
     rnd = random.Random(1)
-    a = np.array([rnd.getrandbits(64) for _ in range(400)], np.uint64)
-    b = np.array([int(x) ^ sum(1 << k for k in rnd.sample(range(64), rnd.randint(0, 4))) for x in a], np.uint64)
+    splits = [(i, j, k) for i in range(5) for j in range(5 - i) for k in range(5 - i - j)]
+
+    def spoil(split):
+        return sum(1 << at + b for n, (at, size) in zip(split, SEGMENTS) for b in rnd.sample(range(size), n))
+
+    a = np.array([rnd.getrandbits(64) for _ in range(40 * len(splits))], np.uint64)
+    b = np.array([int(x) ^ spoil(splits[i % len(splits)]) for i, x in enumerate(a)], np.uint64)
     of = []
     for f in (a, b):
         row, key, own = keys(f)
