@@ -45,9 +45,8 @@ def test_code_is_perfect():
 
 def test_every_error_pattern_has_a_kind():
     bit = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    for n in range(5):
-        at = np.array(list(combinations(range(64), n)), np.int64).reshape(-1, n)
-        wrong = np.bitwise_or.reduce(bit[at], axis=1) if n else np.zeros(1, np.uint64)
+    for n in range(1, 5):
+        wrong = np.bitwise_or.reduce(bit[np.array(list(combinations(range(64), n)))], axis=1)
         found = np.zeros(len(wrong), bool)
         for segment, most, mask in KINDS:
             first, size = SEGMENTS[segment]
