@@ -23,6 +23,8 @@ SEGMENTS = ((0, 23), (23, 23), (46, 18))
 BLOCK = 4096
 #: One fingerprint of so many shows how many rows a key has; only how they are dealt out depends on it.
 SHARE = 16
+#: Fingerprints whose keys one task makes, about a hundred for each.
+FINGERPRINTS = 1 << 18
 _GENERATOR = 0b110001110101
 
 
@@ -234,7 +236,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     told = F.pandas_udf(_fingerprints, "long")("text")
     prints = materialize(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), told.alias("fp")))
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    linked = components(links(distinct.select("fp").repartition("fp")))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-distinct.count() // FINGERPRINTS))
+    linked = components(links(distinct.select("fp").repartition(tasks, "fp")))
     of = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left")
     of = of.select("fp", "first", F.coalesce("root", "fp").alias("component"))
     least = of.groupBy("component").agg(F.min("first").alias("component_id"))
