@@ -6,6 +6,7 @@ from brolga.llm.bloomlm import op4_bloomlm
 from brolga.llm.curves import op6_curves
 from brolga.llm.decontaminate import OP10_SQL, op10_decontaminate
 from brolga.llm.language import op2_language
+from brolga.llm.lexical import OP11_SQL, op11_lexical
 from brolga.llm.licences import op8_licences
 from brolga.llm.packing import op7_pack
 from brolga.llm.recompress import OP9_SQL, op9_recompress
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_licences": op8_licences,
     "op9_recompress": op9_recompress,
     "op10_decontaminate": op10_decontaminate,
+    "op11_lexical": op11_lexical,
 }
-ORACLES = {"op1_revisits": OP1_SQL, "op9_recompress": OP9_SQL, "op10_decontaminate": OP10_SQL}
+ORACLES = {"op1_revisits": OP1_SQL, "op9_recompress": OP9_SQL, "op10_decontaminate": OP10_SQL, "op11_lexical": OP11_SQL}
