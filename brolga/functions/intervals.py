@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brolga.functions.exprs import island
+from brolga.functions.ranks import same_keys
 
 
 def cells(start: Column, end: Column, width: float) -> Column:
@@ -37,19 +38,27 @@ def overlap(a: Column, b: Column, c: Column, d: Column) -> Column:
     return F.greatest(F.lit(0), F.least(b, d) - F.greatest(a, c))
 
 
-def as_of(points: DataFrame, spans: DataFrame, on: list[str], at: str, fields: list[str]) -> DataFrame:
+def as_of(points: DataFrame, spans: DataFrame, on: list[str], at: str, fields: list[str], width: float = 60_000.0) -> DataFrame:
     """points with the fields of the span that starts latest at or before them, if it has not ended; else nulls.
 
     Only the latest start counts: an older span that still runs is not looked at. Among equal starts the one that ends
-    last counts. One sort of both together, no join.
+    last counts. A point without a time has no span; nulls in `on` are a group.
+
+    Both are cut into stretches of `width`, each sorted by itself; a row for each stretch of a group hands its last span on to
+    the later ones. So one group may hold all rows; only what falls within `width` of a group meets in a task.
     """
     keep = [c for c in points.columns if c not in on]
-    left = points.select(*on, F.col(at).alias("_t"), F.lit(1).alias("_kind"), F.struct(*keep).alias("_row"))
-    left = left.withColumn("_span", F.lit(None).cast(spans.select(F.struct("start_ms", "end_ms", *fields).alias("x")).schema["x"].dataType))
-    right = spans.select(*on, F.col("start_ms").alias("_t"), F.lit(0).alias("_kind"), F.struct("start_ms", "end_ms", *fields).alias("_span"))
-    both = left.unionByName(right, allowMissingColumns=True)
-    order = W.partitionBy(*on).orderBy("_t", "_kind", F.col("_span.end_ms")).rowsBetween(W.unboundedPreceding, 0)
+    kind = spans.select(F.struct("start_ms", "end_ms", *fields).alias("x")).schema["x"].dataType
+    left = points.select(*on, F.col(at).alias("_t"), F.lit(1).alias("_kind"), F.struct(*keep).alias("_row"), F.lit(None).cast(kind).alias("_span"))
+    right = spans.where("start_ms is not null").select(*on, F.col("start_ms").alias("_t"), F.lit(0).alias("_kind"), F.struct("start_ms", "end_ms", *fields).alias("_span"))
+    both = left.unionByName(right, allowMissingColumns=True).withColumn("_stretch", F.floor(F.col("_t") / width))
+    cut = [*on, "_stretch"]
+    ends = both.groupBy(*cut).agg(F.max_by("_span", F.when(F.col("_kind") == 0, F.struct("_t", "_span.end_ms"))).alias("_end"))
+    past = W.partitionBy(*on).orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.select(*cut, F.last("_end", ignorenulls=True).over(past).alias("_past"))
+    order = W.partitionBy(*cut).orderBy("_t", "_kind", F.col("_span.end_ms")).rowsBetween(W.unboundedPreceding, 0)
     found = both.withColumn("_last", F.last("_span", ignorenulls=True).over(order)).where("_kind = 1")
+    found = same_keys(found, ends, cut).withColumn("_last", F.coalesce("_last", "_past"))
     inside = F.col("_t") < F.col("_last.end_ms")
     return found.select(*on, "_row.*", *[F.when(inside, F.col(f"_last.{f}")).alias(f) for f in fields], F.when(inside, F.col("_t") - F.col("_last.start_ms")).alias("elapsed_ms"))
 

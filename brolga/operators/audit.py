@@ -22,13 +22,13 @@ def canonical(text: str | None) -> str | None:
 
 
 def bad_ms(text: str | None) -> list[str]:
-    """Paths of the keys ending in _ms, at any depth, whose values are not whole numbers."""
+    """Paths of the keys ending in _ms, at any depth, whose values are not whole numbers; null and booleans are none."""
     out: list[str] = []
 
     def walk(x, path: str) -> None:
         if isinstance(x, dict):
             for k, v in x.items():
-                if k.endswith("_ms") and v is not None and type(v) is not int:
+                if k.endswith("_ms") and type(v) is not int:
                     out.append(f"{path}{k}")
                 walk(v, f"{path}{k}.")
         elif isinstance(x, list):
@@ -54,20 +54,24 @@ def with_hashes(log: DataFrame, column: str = "payload") -> DataFrame:
 
 
 def order_log(orders: DataFrame) -> DataFrame:
-    """Orders as the logs of customers: entries hashed by their columns, each naming the entry before; every thousandth wrongly."""
+    """Orders as the logs of customers: entries hashed by their columns, each naming the entry before; every thousandth wrongly, every
+    thousandth not at all."""
     h = F.sha2(F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority"), 256)
     order = W.partitionBy("log").orderBy("o_orderkey")
     rows = orders.select(F.col("o_custkey").alias("log"), "o_orderkey", h.alias("entry_sha"))
     rows = rows.withColumns({"seq": (F.row_number().over(order) - 1).cast("long"), "_p": F.coalesce(F.lag("entry_sha").over(order), F.lit("genesis"))})
-    return rows.select("log", "seq", "entry_sha", F.when(F.col("o_orderkey") % 1000 == 999, "broken").otherwise(F.col("_p")).alias("prev_sha"))
+    return rows.select("log", "seq", "entry_sha", F.when(F.col("o_orderkey") % 1000 == 999, "broken").when(F.col("o_orderkey") % 1000 == 500, F.lit(None).cast("string")).otherwise(F.col("_p")).alias("prev_sha"))
 
 
 def verify_chain(log: DataFrame) -> DataFrame:
-    """By log: entries, and the first position whose number or link to the entry before is wrong (null: none)."""
+    """By log: entries, and the first position whose number or link to the entry before is wrong or missing (null: none).
+
+    An entry without a number comes first and is wrong; its position is that of its place.
+    """
     order = W.partitionBy("log").orderBy("seq")
-    rows = log.withColumns({"_want": F.coalesce(F.lag("entry_sha").over(order), F.lit("genesis")), "_n": F.row_number().over(order) - 1})
-    bad = (F.col("prev_sha") != F.col("_want")) | (F.col("seq") != F.col("_n"))
-    return rows.groupBy("log").agg(F.count("*").alias("entries"), F.min(F.when(bad, F.col("seq"))).alias("first_bad"))
+    rows = log.withColumns({"_want": F.coalesce(F.lag("entry_sha").over(order), F.lit("genesis")), "_n": (F.row_number().over(order) - 1).cast("long")})
+    bad = ~F.col("prev_sha").eqNullSafe(F.col("_want")) | ~F.col("seq").eqNullSafe(F.col("_n"))
+    return rows.groupBy("log").agg(F.count("*").alias("entries"), F.min(F.when(bad, F.coalesce("seq", "_n"))).alias("first_bad"))
 
 
 def merged_order(events: DataFrame) -> DataFrame:

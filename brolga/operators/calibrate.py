@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brolga.functions.exprs import percentile_rank
-from brolga.functions.intervals import contain_join
+from brolga.functions.intervals import as_of
 
 
 class CalibrationError(ValueError):
@@ -111,14 +111,12 @@ def baseline_index(path: Column, default: int = 0) -> Column:
     return F.coalesce(F.regexp_extract(path, r"_(\d{3})_windowed_features\.csv$", 1).try_cast("int"), F.lit(default))
 
 
-def label_midpoints(windows: DataFrame, phases: DataFrame, on: list[str], width: float = 1000.0) -> DataFrame:
+def label_midpoints(windows: DataFrame, phases: DataFrame, on: list[str], width: float = 60_000.0) -> DataFrame:
     """windows (on, window_id, start_time_ms, end_time_ms) with target_ground_truth: the label of the phase (on, start_ms,
-    end_ms, label) that holds their middle, the first by start if several do, 'unlabeled' if none."""
+    end_ms, label) that starts latest at or before their middle, 'unlabeled' if that one has ended, or none has begun."""
     middle = (F.col("start_time_ms") + F.col("end_time_ms")) / 2
-    points = windows.select(*on, "window_id", middle.alias("_t"))
-    met = contain_join(points, phases.select(*on, "start_ms", "end_ms", "label"), on, "_t", width)
-    first = met.groupBy(*on, "window_id").agg(F.min(F.struct("start_ms", "label"))["label"].alias("_label"))
-    return windows.join(first, [*on, "window_id"], "left").withColumn("target_ground_truth", F.coalesce("_label", F.lit("unlabeled"))).drop("_label")
+    told = as_of(windows.withColumn("_middle", middle), phases.select(*on, "start_ms", "end_ms", F.col("label").alias("_label")), on, "_middle", ["_label"], width)
+    return told.select(*windows.columns, F.coalesce("_label", F.lit("unlabeled")).alias("target_ground_truth"))
 
 
 def usable_clips(windows: DataFrame) -> DataFrame:

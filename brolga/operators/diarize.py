@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from brolga.functions.exprs import cosine, island, norm
+from brolga.functions.exprs import cosine, island
 from brolga.functions.intervals import merge_spans, overlap, overlap_join
 from brolga.functions.prefix import last_before
+from brolga.functions.vectors import cosine_spread, moments, unit, vector_sums
 
 BLOCK = 1000
 
@@ -73,18 +74,10 @@ def similarity(rows: DataFrame, vector: str, target: DataFrame, other: DataFrame
     return rows.withColumns({"s_target": cosine(F.col(vector), F.col("_t")), "s_interviewer": cosine(F.col(vector), F.col("_o"))}).drop("_t", "_o")
 
 
-def _unit(v: Column) -> Column:
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
-
-
 def weighted_profile(pool: DataFrame, by: list[str], vector: str = "vector", weight: str | None = "duration_ms") -> DataFrame:
-    """(by, profile): the weighted mean vector, of length 1."""
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    parts = pool.select(*by, w.alias("w"), F.posexplode(vector).alias("d", "x"))
-    means = parts.groupBy(*by, "d").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"))
-    ordered = means.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda e: e["x"]).alias("v"))
-    return ordered.select(*by, _unit(F.col("v")).alias("profile"))
+    """(by, profile): the weighted mean vector, of length 1. Null vectors take no part."""
+    sums = vector_sums(pool, by, vector, F.col(weight) if weight else None)
+    return sums.select(*by, unit(F.col("total")).alias("profile"))
 
 
 def leave_one_out(pool: DataFrame, by: list[str], vector: str = "vector", weight: str = "duration_ms") -> DataFrame:
@@ -92,13 +85,9 @@ def leave_one_out(pool: DataFrame, by: list[str], vector: str = "vector", weight
 
     The mean of the others is the group's total less the vector, so work grows with the vectors, not their pairs.
     """
-    parts = pool.select(*by, F.col(weight).cast("double").alias("w"), F.posexplode(vector).alias("d", "x"))
-    sums = parts.groupBy(*by, "d").agg(F.sum(F.col("w") * F.col("x")).alias("s"))
-    total = sums.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "s"))), lambda e: e["s"]).alias("_total"))
-    n = pool.groupBy(*by).agg(F.count("*").alias("_n")).where("_n > 1")
-    rows = pool.join(total.join(n, by), by)
+    total = vector_sums(pool, by, vector, F.col(weight)).where("n > 1").select(*by, F.col("total").alias("_total"))
     rest = F.zip_with(F.col("_total"), F.col(vector), lambda s, x: s - F.col(weight) * x)
-    return rows.withColumn("loo", cosine(F.col(vector), rest)).drop("_total", "_n")
+    return pool.join(total, by).withColumn("loo", cosine(F.col(vector), rest)).drop("_total")
 
 
 def thresholds(genuine: DataFrame, impostor: DataFrame, anti: bool = True) -> DataFrame:
@@ -306,52 +295,8 @@ def stitch(rows: DataFrame, chunks: DataFrame, halo: int = 1000) -> DataFrame:
 
 
 def pair_variance(pool: DataFrame, by: list[str], vector: str = "vector") -> DataFrame:
-    """Population variance of the cosines of all pairs of a group's vectors, without forming a pair.
-
-    Of unit vectors, the sum of cosines over pairs follows from the sum vector, that of their squares from the sum of outer
-    products; tasks add both up for each group before they are shuffled. Vectors of another length than a group's first
-    in a task, or without length, take no part.
-    """
-    import numpy as np
-    import pyarrow as pa
-
-    kinds = ", ".join(f"{c} {pool.schema[c].dataType.simpleString()}" for c in by)
-
-    def moments(batches):
-        held: dict[tuple, list] = {}
-
-        def put():
-            for key, (n, s, m) in held.items():
-                x = np.r_[float(n), s, m.ravel()]
-                at = np.r_[0, np.ones(len(s), int), np.full(m.size, 2)]
-                place = np.r_[0, np.arange(len(s)), np.arange(m.size)]
-                cols = [pa.array([k] * len(x), t) for k, t in zip(key, types, strict=True)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(at, pa.int32()), pa.array(place, pa.int32()), pa.array(x)], [*by, "_of", "place", "x"])
-            held.clear()
-
-        types = []
-        for batch in batches:
-            types = [batch.schema.field(c).type for c in by]
-            for *key, v in zip(*(batch[c].to_pylist() for c in (*by, vector)), strict=True):
-                v = np.asarray(v or [], float)
-                size = np.sqrt(v @ v)
-                if not size > 0 or not np.isfinite(size):
-                    continue
-                if tuple(key) not in held:
-                    if len(held) >= 256:
-                        yield from put()
-                    held[tuple(key)] = [0, np.zeros(len(v)), np.zeros((len(v), len(v)))]
-                own = held[tuple(key)]
-                if len(own[1]) == len(v):
-                    own[0] += 1
-                    own[1] += v / size
-                    own[2] += np.outer(v / size, v / size)
-        yield from put()
-
-    parts = pool.select(*by, vector).mapInArrow(moments, f"{kinds}, _of int, place int, x double")
-    sums = parts.groupBy(*by, "_of", "place").agg(F.sum("x").alias("x"))
-    of = lambda k: F.sum(F.when(F.col("_of") == k, F.col("x") * F.col("x")))
-    out = sums.groupBy(*by).agg(F.max(F.when(F.col("_of") == 0, F.col("x"))).alias("n"), of(1).alias("s2"), of(2).alias("m2")).where("n > 1")
-    pairs = F.col("n") * (F.col("n") - 1)
-    mean, square = (F.col("s2") - F.col("n")) / pairs, (F.col("m2") - F.col("n")) / pairs
-    return out.select(*by, F.col("n").cast("long").alias("n"), mean.alias("mean"), F.greatest(F.lit(0.0), square - mean * mean).alias("variance"))
+    """Population variance of the cosines of all pairs of a group's vectors, without forming a pair: from sums of unit vectors
+    and of their outer products. Vectors without length take no part."""
+    out = moments(pool, by, vector).where("n > 1")
+    mean, variance = cosine_spread(F.col("n"), F.col("s"), F.col("m"))
+    return out.select(*by, "n", mean.alias("mean"), variance.alias("variance"))

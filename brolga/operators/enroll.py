@@ -93,30 +93,38 @@ def nearest_face(clicks: DataFrame, faces: DataFrame, within: int = 200) -> Data
 
 
 def cluster_identities(faces: DataFrame, least: float = 0.40) -> DataFrame:
-    """faces (file_index, face_id, embedding) with identity: the first running centre that is like enough, in order of face_id.
+    """faces (file_index, face_id, embedding) with identity: the first one whose first face is like enough, in order of face_id.
 
-    What a face joins depends on all before it, so a file is one group.
+    An identity's centre is its first face and stays it; a face like none before begins the next. What a face joins
+    depends on all before it, so a file is one group, whose centres alone are compared with.
     """
     import numpy as np
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("face_id")
         centres: list = []
         out = []
-        for v in pdf.sort_values("face_id").embedding:
-            v = np.asarray(v, float)
-            v = v / (np.linalg.norm(v) or 1)
-            k = next((k for k, (s, _) in enumerate(centres) if s @ v / (np.linalg.norm(s) or 1) >= least), None)
-            if k is None:
-                centres.append((v, 1))
-                k = len(centres) - 1
-            else:
-                centres[k] = (centres[k][0] + v, centres[k][1] + 1)
-            out.append(k)
-        return pdf.sort_values("face_id")[["file_index", "face_id"]].assign(identity=out)
+        for v in pdf.embedding:
+            v = np.asarray(v if v is not None else [], float)
+            v = v / (np.sqrt(v @ v) or 1)
+            like = np.flatnonzero(np.stack(centres) @ v >= least) if centres else []
+            if not len(like):
+                centres.append(v)
+            out.append(int(like[0]) if len(like) else len(centres) - 1)
+        return pdf[["file_index", "face_id"]].assign(identity=out)
 
     return faces.select("file_index", "face_id", "embedding").groupBy("file_index").applyInPandas(one, "file_index long, face_id long, identity int")
 
 
+def identities(clustered: DataFrame, scores: DataFrame) -> DataFrame:
+    """(file_index, identity, n, mean_score, place): how often each identity was seen and how surely, the most seen first.
+
+    scores: (file_index, face_id, score). Ties in n go to the identity that came first.
+    """
+    rows = clustered.join(scores, ["file_index", "face_id"]).groupBy("file_index", "identity").agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"))
+    return rows.withColumn("place", F.row_number().over(W.partitionBy("file_index").orderBy(F.desc("n"), "identity")))
+
+
 @dataclass
 class Capture:
     """Candidate windows from what is seen of two mouths, one observation after another.
@@ -248,14 +256,15 @@ def grow_pools(scores: DataFrame, least: float = 0.55) -> DataFrame:
     return out.select("file_index", (F.col("n") + F.col("_n")).alias("n"), (F.col("ms") + F.col("_ms")).alias("ms"))
 
 
-def too_like(sim: Column, most: float = 0.55) -> Column:
+def too_like(sim: Column, most: float = 0.60) -> Column:
     """Whether a candidate for the other voice is so like the target that it is left out."""
     return F.coalesce(sim > most, F.lit(False))
 
 
-def observations(faces: DataFrame, speech: DataFrame, target: Column, other: Column | None, like: float = 0.40, turn: float = 30.0, tolerance: int = 50) -> DataFrame:
-    """What a capture machine sees of each frame (file_index, t_ms): whether the target is there, turned away, its mouth; the
-    same of the other one; and whether there is speech.
+def observations(faces: DataFrame, speech: DataFrame, target: Column, other: Column | None, like: float = 0.40, turn: float = 35.0, tolerance: int = 50, closed: float = 0.10) -> DataFrame:
+    """What a capture machine sees of each frame (file_index, t_ms): whether the target is there, how like its profile (sim),
+    turned away, its mouth; the same of the other one; whether there is speech; and anti_centre, whether the frame may be the
+    middle of a span of the other voice: the other one is there with its mouth closed while there is speech.
 
     faces: (file_index, t_ms, face_id, embedding, mar, yaw, score); speech: (file_index, start_ms, end_ms). The target is the
     face most like its profile, the other one the most like its own among the rest, or without a profile the one of highest
@@ -271,6 +280,7 @@ def observations(faces: DataFrame, speech: DataFrame, target: Column, other: Col
     one = lambda who, x: F.max(F.when(F.col(who), F.col(x)))
     out = rows.groupBy("file_index", "t_ms").agg(
         F.max("_mine").alias("here"),
+        one("_mine", "_t").alias("sim"),
         F.coalesce(F.abs(one("_mine", "yaw")) > turn, F.lit(False)).alias("turned"),
         one("_mine", "mar").alias("mar"),
         F.max("_theirs").alias("other_here"),
@@ -279,10 +289,44 @@ def observations(faces: DataFrame, speech: DataFrame, target: Column, other: Col
     from brolga.operators.diarize import near_spans
 
     near = near_spans(out.withColumnRenamed("t_ms", "t"), speech, ["file_index"], tolerance)
-    return near.withColumnRenamed("t", "t_ms").withColumnRenamed("near", "speech")
+    near = near.withColumnRenamed("t", "t_ms").withColumnRenamed("near", "speech")
+    return near.withColumn("anti_centre", F.col("speech") & F.coalesce(F.col("other_mar") < closed, F.lit(False)))
+
+
+def weak_recognition(seen: DataFrame, least: float = 0.50) -> DataFrame:
+    """By file of observations the mean likeness of the frames that show the target, and whether it is so low that faces may
+    have been mixed up; null and no warning where the target was never seen."""
+    mean = F.avg(F.when(F.col("here"), F.col("sim")))
+    return seen.groupBy("file_index").agg(F.count(F.when(F.col("here"), 1)).alias("frames"), mean.alias("mean_sim"), F.coalesce(mean < least, F.lit(False)).alias("weak"))
+
+
+def anti_click_checks(clicks: DataFrame, faces: DataFrame, speech: DataFrame, like: float = 0.40, open_mouth: float = 0.15, tolerance: int = 50, within: int = 200) -> DataFrame:
+    """Clicks on the other voice's face (file_index, click_id, t_ms, x, y) with the frame and face they mean, and the first thing
+    wrong with them, or 'ok'.
+
+    faces: (file_index, t_ms, face_id, sim, mar, x0, y0, x1, y1, score), sim the likeness to the target; speech: (file_index,
+    start_ms, end_ms). A click must mean a face, not the target's; the target, the most like face of that frame if like
+    enough, must not have its mouth open; and speech must be near the frame.
+    """
+    from brolga.operators.diarize import near_spans
+
+    met = clicks.join(nearest_face(clicks, faces, within), ["file_index", "click_id"], "left")
+    own = faces.select("file_index", F.col("t_ms").alias("f_ms"), "face_id", F.col("sim").alias("_sim"))
+    rows = met.join(own, ["file_index", "f_ms", "face_id"], "left")
+    target = faces.where(F.col("sim") >= like).groupBy("file_index", F.col("t_ms").alias("f_ms")).agg(F.max_by("mar", F.struct("sim", -F.col("face_id"))).alias("_mar"))
+    rows = rows.join(target, ["file_index", "f_ms"], "left")
+    rows = near_spans(rows.withColumn("t", F.col("f_ms")), speech, ["file_index"], tolerance)
+    why = (
+        F.when(F.col("face_id").isNull(), "no face")
+        .when(F.col("_sim") >= like, "is the target")
+        .when(F.col("_mar") >= open_mouth, "target mouth open")
+        .when(~F.col("near"), "no speech")
+        .otherwise("ok")
+    )
+    return rows.select("file_index", "click_id", "f_ms", "face_id", why.alias("check"))
 
 
-def anchor_outliers(pool: DataFrame, by: list[str], collect: float = 0.55, least: float = 0.50) -> DataFrame:
+def anchor_outliers(pool: DataFrame, by: list[str], collect: float = 0.55, least: float = 0.65) -> DataFrame:
     """Seeds of a pool (by, vec_id, vector, duration_ms, seed) with sim, their cosine to the consensus of all others, and outlier.
 
     The weighted mean of the seeds collects the vectors at least `collect` like it; these and the seeds are the consensus,

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from brolga.functions.exprs import average_rank, island, percentile_rank
+from brolga.functions.exprs import island, percentile_rank
 from brolga.functions.intervals import overlap, overlap_join
+from brolga.functions.ranks import pairs_won, quantiles
 
 ADEQUATE = 30
-TRACKED = 0.60
+HIGH = 0.60
 EXPRESSED = 0.25
 PURE = 0.6
 
@@ -34,11 +35,14 @@ def pure(windows: DataFrame, least: float = PURE) -> DataFrame:
 
 
 def rank_auc(rows: DataFrame, by: list[str], positive: Column, negative: Column, value: str = "value", least: int = 3) -> DataFrame:
-    """Chance that a positive's value exceeds a negative's, ties half: by group, from average ranks; null under `least` a side."""
-    rows = rows.where((positive | negative) & F.col(value).isNotNull()).withColumn("_r", average_rank(F.col(value), *map(F.col, by)))
-    out = rows.groupBy(*by).agg(F.count(F.when(positive, 1)).alias("n_pos"), F.count(F.when(negative & ~positive, 1)).alias("n_neg"), F.sum(F.when(positive, F.col("_r"))).alias("_s"))
-    auc = (F.col("_s") - F.col("n_pos") * (F.col("n_pos") + 1) / 2) / (F.col("n_pos") * F.col("n_neg"))
-    return out.select(*by, "n_pos", "n_neg", F.when((F.col("n_pos") >= least) & (F.col("n_neg") >= least), auc).alias("auc"))
+    """Chance that a positive's value exceeds a negative's, ties half: by group; null under `least` a side.
+
+    What counts as positive does not count as negative. A group is spread over tasks by its values.
+    """
+    rows = rows.where((positive | negative) & F.col(value).isNotNull())
+    out = pairs_won(rows, by, value, positive, negative & ~positive)
+    enough = (F.col("n_up") >= least) & (F.col("n_down") >= least)
+    return out.select(*by, F.col("n_up").alias("n_pos"), F.col("n_down").alias("n_neg"), F.when(enough, F.col("won") / F.col("n_up") / F.col("n_down")).alias("auc"))
 
 
 def is_label(name: str) -> Column:
@@ -61,16 +65,25 @@ def direction(positive: Column, negative: Column, least: float = EXPRESSED) -> C
 
 
 def subject_scores(rows: DataFrame) -> DataFrame:
-    """(subject, channel): AUC of within-clip |value| percentiles, direction of the centred medians, counts per class."""
+    """(subject, channel): AUC of within-clip |value| percentiles, direction of the centred medians, counts per class.
+
+    Percentiles and centring are by clip, whose windows are one group; what is by subject is spread by value.
+    """
     rows = centred(within_clip_percentile(rows))
     auc = rank_auc(rows, ["subject", "channel"], is_label("positive"), is_label("negative"), "pct")
-    side = lambda x: F.median(F.when(is_label(x), F.col("centred")))
-    way = rows.groupBy("subject", "channel").agg(direction(side("positive"), side("negative")).alias("dir"))
-    return auc.join(way, ["subject", "channel"])
+    mid = class_medians(rows, ["subject", "channel"], "centred", ("positive", "negative"))
+    way = mid.select("subject", "channel", direction(F.col("med_positive"), F.col("med_negative")).alias("dir"))
+    return auc.join(way, ["subject", "channel"], "left").na.fill(0, ["dir"])
+
+
+def class_medians(rows: DataFrame, by: list[str], value: str, labels: tuple[str, ...]) -> DataFrame:
+    """(by, and med_<label> for each label): exact medians of the classes, of any size; null for a class without values."""
+    mid = quantiles(rows.where(F.col("label").isin(*labels)), [*by, "label"], value, {"_m": 0.5})
+    return mid.groupBy(*by).agg(*[F.max(F.when(is_label(x), F.col("_m"))).alias(f"med_{x}") for x in labels])
 
 
 def verdicts(scores: DataFrame) -> DataFrame:
-    """By channel: whether it is tracked in two thirds of the adequate subjects, and always in one direction.
+    """By channel: whether its AUC is high in two thirds of the adequate subjects, and always in one direction.
 
     scores: (subject, channel, n_pos, n_neg, auc, dir).
     """
@@ -78,27 +91,30 @@ def verdicts(scores: DataFrame) -> DataFrame:
     n = F.count(F.when(adequate, 1))
     out = scores.groupBy("channel").agg(
         n.alias("n_adequate"),
-        F.count(F.when(adequate & (F.col("auc") >= TRACKED), 1)).alias("tracked"),
+        F.count(F.when(adequate & (F.col("auc") >= HIGH), 1)).alias("high"),
         F.count(F.when(adequate & (F.col("dir") > 0), 1)).alias("up"),
         F.count(F.when(adequate & (F.col("dir") < 0), 1)).alias("down"),
     )
     need = F.ceil(F.col("n_adequate") * 2 / 3)
-    magnitude = F.col("tracked") >= need
+    magnitude = F.col("high") >= need
     one_way = (F.col("up") + F.col("down") >= need) & ((F.col("up") == 0) | (F.col("down") == 0))
     verdict = (
         F.when(F.col("n_adequate") < 2, "INSUFFICIENT-DATA")
         .when(one_way, F.when(magnitude, "REPLICATES").otherwise("DIRECTION-ONLY"))
-        .when(F.col("tracked") > 0, "SUBJECT-SPECIFIC")
+        .when(F.col("high") > 0, "SUBJECT-SPECIFIC")
         .otherwise("NO-SIGNAL")
     )
     return out.withColumn("verdict", verdict)
 
 
-def scorecard(scores: DataFrame, subjects: list) -> DataFrame:
-    """A row for each channel, with auc_<subject> and dir_<subject>; most tracked first."""
+def scorecard(scores: DataFrame, subjects: list, tracked: list[str]) -> DataFrame:
+    """A row for each channel, with auc_<subject> and dir_<subject>, in order: the tracked channels before others, then by
+    verdict, then by name. place is that order; `tracked` names the channels that were to be followed, whatever they score."""
     wide = scores.groupBy("channel").pivot("subject", subjects).agg(F.first("auc").alias("auc"), F.first("dir").alias("dir"))
     wide = wide.select("channel", *[F.col(f"{s}_{k}").alias(f"{k}_{s}") for s in subjects for k in ("auc", "dir")])
-    return verdicts(scores).join(wide, "channel").orderBy(F.desc("tracked"), "channel")
+    rows = verdicts(scores).join(wide, "channel").withColumn("tracked", F.col("channel").isin(tracked) if tracked else F.lit(False))
+    order = W.partitionBy(F.lit(0)).orderBy(F.desc("tracked"), "verdict", "channel")  # a row for each channel, which are few
+    return rows.withColumn("place", F.row_number().over(order)).orderBy("place")
 
 
 def every_second(rows: DataFrame) -> DataFrame:
@@ -170,9 +186,11 @@ def answer_segments(windows: DataFrame) -> DataFrame:
 
 
 def strongest_channel(rows: DataFrame) -> DataFrame:
-    """For each subject the channel of highest AUC of subject-wide |value| percentiles; ties to the first by name."""
-    ranked = rows.withColumn("pct", percentile_rank(F.abs("value"), F.col("subject"), F.col("channel")))
-    auc = rank_auc(ranked, ["subject", "channel"], is_label("positive"), is_label("negative"), "pct")
+    """For each subject the channel of highest AUC of subject-wide |value| percentiles; ties to the first by name.
+
+    Percentiles are in the order of what they rank, so the AUC is that of |value| itself.
+    """
+    auc = rank_auc(rows.withColumn("_size", F.abs("value")), ["subject", "channel"], is_label("positive"), is_label("negative"), "_size")
     best = F.row_number().over(W.partitionBy("subject").orderBy(F.desc_nulls_last("auc"), "channel"))
     return auc.withColumn("n", best).where("n = 1").drop("n")
 
@@ -223,8 +241,7 @@ def channel_ranking(rows: DataFrame, best: int = 20, worst: int = 5) -> DataFram
     and their place from the top (ties by name). rows: (channel, label, value); channels without an AUC are left out."""
     size = rows.withColumn("_a", F.abs("value"))
     auc = rank_auc(size, ["channel"], is_label("positive"), is_label("negative"), "_a").where("auc is not null")
-    side = lambda x: F.median(F.when(is_label(x), F.col("_a")))
-    mid = size.groupBy("channel").agg(side("positive").alias("med_positive"), side("negative").alias("med_negative"))
+    mid = class_medians(size, ["channel"], "_a", ("positive", "negative"))
     every = W.partitionBy(F.lit(0))  # a row for each channel, which are few
     out = auc.join(mid, "channel").withColumns({"place": F.row_number().over(every.orderBy(F.desc("auc"), "channel")), "_n": F.count("*").over(every)})
     return out.where((F.col("place") <= best) | (F.col("place") > F.col("_n") - worst)).drop("_n")

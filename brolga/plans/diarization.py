@@ -206,8 +206,8 @@ def chain_check(spark, d):
 
 
 CHAIN = """with e as (select o_custkey as log, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) - 1 as seq, sha256(o_orderkey || '|' || o_orderstatus || '|' || o_orderpriority) as h from orders),
-p as (select *, lag(h) over (partition by log order by seq) as real_prev, case when o_orderkey % 1000 = 999 then 'broken' else coalesce(lag(h) over (partition by log order by seq), 'genesis') end as prev from e)
-select log, count(*) as entries, min(case when prev <> coalesce(real_prev, 'genesis') then seq end) as first_bad from p group by 1"""
+p as (select *, lag(h) over (partition by log order by seq) as real_prev, case when o_orderkey % 1000 = 999 then 'broken' when o_orderkey % 1000 <> 500 then coalesce(lag(h) over (partition by log order by seq), 'genesis') end as prev from e)
+select log, count(*) as entries, min(case when prev is distinct from coalesce(real_prev, 'genesis') then seq end) as first_bad from p group by 1"""
 
 
 def log_order(spark, d):

@@ -81,18 +81,22 @@ def replication_verdict(spark, d):
 
 
 VERDICT = f"""{SCORES}, ad as (select *, n_pos >= 30 and n_neg >= 30 and auc is not null as ok from scores),
-vd as (select channel, count(case when ok then 1 end) as n_adequate, count(case when ok and auc >= 0.6 then 1 end) as tracked, count(case when ok and dir > 0 then 1 end) as up, count(case when ok and dir < 0 then 1 end) as down from ad group by 1),
-verdicts as (select *, case when n_adequate < 2 then 'INSUFFICIENT-DATA' when up + down >= ceil(n_adequate * 2 / 3e0) and (up = 0 or down = 0) then case when tracked >= ceil(n_adequate * 2 / 3e0) then 'REPLICATES' else 'DIRECTION-ONLY' end
-  when tracked > 0 then 'SUBJECT-SPECIFIC' else 'NO-SIGNAL' end as verdict from vd)"""
+vd as (select channel, count(case when ok then 1 end) as n_adequate, count(case when ok and auc >= 0.6 then 1 end) as high, count(case when ok and dir > 0 then 1 end) as up, count(case when ok and dir < 0 then 1 end) as down from ad group by 1),
+verdicts as (select *, case when n_adequate < 2 then 'INSUFFICIENT-DATA' when up + down >= ceil(n_adequate * 2 / 3e0) and (up = 0 or down = 0) then case when high >= ceil(n_adequate * 2 / 3e0) then 'REPLICATES' else 'DIRECTION-ONLY' end
+  when high > 0 then 'SUBJECT-SPECIFIC' else 'NO-SIGNAL' end as verdict from vd)"""
 REPLICATION = f"with {VERDICT} select * from verdicts"
 
 
+#: The channels that were to be followed: one that scores and one that does not.
+TRACKED = ["tax", "discount"]
+
+
 def replication_scorecard(spark, d):
-    return rounded(op.scorecard(_scores(spark, d), list(range(6))))
+    return rounded(op.scorecard(_scores(spark, d), list(range(6)), TRACKED))
 
 
-SCORECARD = f"""with {VERDICT} select v.*, {", ".join(f"{r(f'max(case when subject = {k} then auc end)')} as auc_{k}, max(case when subject = {k} then dir end) as dir_{k}" for k in range(6))}
-  from verdicts v join scores s on s.channel = v.channel group by all"""
+SCORECARD = f"""with {VERDICT}, placed as (select *, channel in ('tax', 'discount') as tracked, row_number() over (order by channel in ('tax', 'discount') desc, verdict, channel) as place from verdicts) select v.*, {", ".join(f"{r(f'max(case when subject = {k} then auc end)')} as auc_{k}, max(case when subject = {k} then dir end) as dir_{k}" for k in range(6))}
+  from placed v join scores s on s.channel = v.channel group by all"""
 
 
 def every_second_auc(spark, d):

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from brolga.operators import audit, calibrate, diarize, enroll, evaluate, graph, report, windows
+from brolga.functions.exprs import cosine
+from brolga.operators import audit, calibrate, diarize, enroll, evaluate, graph, pools, report, windows
 from brolga.plans.common import FRAMES, INTERVALS, SCORED, r, rounded
 from brolga.plans.diarization import _NODES, _durations, _tiers
 from brolga.plans.diarization import DUR, TIERS
+from brolga.plans.enrolment import _LIKE_SEED, sessions
 from brolga.plans.evaluation import CHANNELS, OVERLAP, PCT, _auc_sql, _long, _scores, label_overlap
 from brolga.plans.more import _COS, SPECTRUM, _cosines
 from brolga.plans.windows import _INDEX, _INDEX_SQL, _STILL, ENTROPY, WIDE, WINDOWS, windows_sql
@@ -16,14 +18,18 @@ from brolga.sources.adapters import frames, intervals, pool, regions, scored_win
 
 
 def midpoint_labels(spark, d):
+    """Windows around turns; phases reach over the next ones, so that several hold a middle and the latest of them may have ended."""
     w = intervals(spark, d).select("file_index", F.col("turn").alias("window_id"), F.col("start_ms").alias("start_time_ms"), F.col("end_ms").alias("end_time_ms"))
-    phases = regions(spark, d).withColumn("label", F.concat(F.lit("q"), F.floor(F.col("start_ms") / 1000) % 3))
+    late = F.when(F.col("start_ms") % 2000 < 1000, 9000).otherwise(0)
+    phases = regions(spark, d).unionByName(intervals(spark, d).where("turn % 2 = 0").select("file_index", (F.col("start_ms") - 300).alias("start_ms"), F.least("end_ms", F.col("start_ms") + 900).alias("end_ms")))
+    phases = phases.select("file_index", "start_ms", (F.col("end_ms") + late).alias("end_ms"), F.concat(F.lit("q"), F.pmod(F.floor(F.col("start_ms") / 100), F.lit(7))).alias("label"))
     return calibrate.label_midpoints(w, phases, ["file_index"]).select("file_index", "window_id", "target_ground_truth")
 
 
-MIDPOINTS = f"""with {INTERVALS}, g as (select file_index, start_ms + 500 as s, end_ms + 500 as e, 'q' || ((start_ms + 500) // 1000 % 3) as label from intervals where turn % 3 = 0),
-m as (select i.file_index, turn, arg_min(g.label, (g.s, g.label)) as label from intervals i join g on g.file_index = i.file_index and g.s <= (i.start_ms + i.end_ms) / 2e0 and (i.start_ms + i.end_ms) / 2e0 < g.e group by 1, 2)
-select i.file_index, i.turn as window_id, coalesce(m.label, 'unlabeled') as target_ground_truth from intervals i left join m on m.file_index = i.file_index and m.turn = i.turn"""
+MIDPOINTS = f"""with {INTERVALS}, p as (select file_index, start_ms + 500 as s, end_ms + 500 as e from intervals where turn % 3 = 0 union all select file_index, start_ms - 300, least(end_ms, start_ms + 900) from intervals where turn % 2 = 0),
+g as (select file_index, s, e + case when s % 2000 < 1000 and s % 2000 >= 0 then 9000 when s % 2000 < 0 then 9000 else 0 end as e, 'q' || (floor(s / 100e0)::bigint - 7 * floor(floor(s / 100e0) / 7e0)::bigint) as label from p),
+m as (select i.file_index, turn, (i.start_ms + i.end_ms) / 2e0 as t, max((g.s, g.e, g.label)) as x from intervals i join g on g.file_index = i.file_index and g.s <= (i.start_ms + i.end_ms) / 2e0 group by 1, 2, 3)
+select i.file_index, i.turn as window_id, case when m.t < x[2] then x[3] else 'unlabeled' end as target_ground_truth from intervals i left join m on m.file_index = i.file_index and m.turn = i.turn"""
 
 
 def _muted(spark, d):
@@ -190,15 +196,78 @@ BEST = f"""with {_FACES}, s as (select *, list_cosine_similarity(v, p) as sim fr
 select file_index, t_ms as frame, face_id, {r("sim", 5)} as sim from n where n = 1 and sim >= 0.1"""
 
 
+def _seen(spark, d):
+    """Observations of faces of which every third is mixed with the profile, so that it is like it."""
+    rows = _with_profile(spark, d)
+    mixed = F.zip_with("embedding", "_profile", lambda x, y: x.cast("double") + F.when(F.col("face_id") % 3 == 0, F.when(F.col("file_index") % 3 == 0, 0.47).otherwise(0.6)).otherwise(0.0) * y.cast("double"))
+    return enroll.observations(rows.withColumn("embedding", mixed), _said(spark, d), F.col("_profile"), None)
+
+
 def observation_stream(spark, d):
-    out = enroll.observations(_with_profile(spark, d), _said(spark, d), F.col("_profile"), None, like=0.1)
-    return rounded(out.select("file_index", "t_ms", "here", "turned", "mar", "other_here", "other_mar", "speech"), 6)
+    return rounded(_seen(spark, d).select("file_index", "t_ms", "here", "sim", "turned", "mar", "other_here", "other_mar", "speech", "anti_centre"), 6)
 
 
-OBSERVED = f"""with {_FACES}, {_SAID}, s as (select *, list_cosine_similarity(v, p) as sim from fc, pf), n as (select *, row_number() over (partition by file_index, t_ms order by sim desc, face_id) = 1 and sim >= 0.1 as mine from s),
+_OBS = f"""{_FACES}, {_SAID}, fo as (select fc.* replace ([x[1] + x[2] * case when face_id % 3 = 0 then case when file_index % 3 = 0 then 0.47e0 else 0.6e0 end else 0e0 end for x in list_zip(v, p)] as v), p from fc, pf),
+s as (select *, list_cosine_similarity(v, p) as sim from fo), n as (select *, row_number() over (partition by file_index, t_ms order by sim desc, face_id) = 1 and sim >= 0.4 as mine from s),
 o as (select *, not mine and row_number() over (partition by file_index, t_ms order by case when not mine then score end desc nulls last, face_id) = 1 as theirs from n),
-a as (select file_index, t_ms, bool_or(mine) as here, coalesce(abs(max(case when mine then yaw end)) > 30, false) as turned, max(case when mine then mar end) as mar, bool_or(theirs) as other_here, max(case when theirs then mar end) as other_mar from o group by 1, 2)
-select file_index, t_ms, here, turned, {r("mar")} as mar, other_here, {r("other_mar")} as other_mar, exists (select 1 from sp where sp.file_index = a.file_index and t_ms between s - 50 and e + 50) as speech from a"""
+a as (select file_index, t_ms, bool_or(mine) as here, max(case when mine then sim end) as sim, coalesce(abs(max(case when mine then yaw end)) > 35, false) as turned, max(case when mine then mar end) as mar, bool_or(theirs) as other_here, max(case when theirs then mar end) as other_mar from o group by 1, 2),
+ob as (select *, exists (select 1 from sp where sp.file_index = a.file_index and t_ms between s - 50 and e + 50) as speech from a)"""
+OBSERVED = f"""with {_OBS} select file_index, t_ms, here, {r("sim")} as sim, turned, {r("mar")} as mar, other_here, {r("other_mar")} as other_mar, speech, speech and coalesce(other_mar < 0.1, false) as anti_centre from ob"""
+
+
+def weak_recognition(spark, d):
+    """By file how surely the target was recognised."""
+    return rounded(enroll.weak_recognition(_seen(spark, d)))
+
+
+WEAK = f"""with {_OBS} select file_index, count(case when here then 1 end) as frames, {r("avg(case when here then sim end)")} as mean_sim, coalesce(avg(case when here then sim end) < 0.5, false) as weak from ob group by 1"""
+
+
+def _like_some(spark, d):
+    """Faces, each mixed with the first of its file of the same remainder by five, so that some are alike."""
+    rows = _faces(spark, d)
+    first = rows.groupBy("file_index", (F.col("face_id") % 5).alias("m")).agg(F.min_by("embedding", "face_id").alias("_c"), F.min("face_id").alias("_f"))
+    rows = rows.withColumn("m", F.col("face_id") % 5).join(first, ["file_index", "m"])
+    weight = F.when(F.col("face_id") == F.col("_f"), 0.0).otherwise((F.col("face_id") % 4) * 0.35)
+    return rows.withColumn("embedding", F.zip_with("embedding", "_c", lambda x, y: x.cast("double") + weight * y.cast("double"))).drop("m", "_c", "_f")
+
+
+def face_identities(spark, d):
+    """How often each identity of a file was seen, and how surely."""
+    rows = _like_some(spark, d)
+    return rounded(enroll.identities(enroll.cluster_identities(rows), rows))
+
+
+IDENTITIES = f"""with recursive {_FACES}, mx as (select fc.file_index, face_id, score, [x[1] + x[2] * case when face_id = c.f then 0e0 else (face_id % 4) * 0.35e0 end for x in list_zip(v, c.c)] as v
+  from fc join (select file_index, face_id % 5 as m, arg_min(v, face_id) as c, min(face_id) as f from fc group by 1, 2) c on c.file_index = fc.file_index and c.m = face_id % 5),
+nb as (select *, row_number() over (partition by file_index order by face_id) as k from mx),
+likes as (select a.file_index, a.k, list(b.k order by b.k) filter (where list_cosine_similarity(a.v, b.v) >= 0.4) as l from nb a left join nb b on a.file_index = b.file_index and b.k < a.k group by 1, 2),
+run(file_index, k, centres, mine) as (select file_index, 0::bigint, []::bigint[], 0::bigint from fc group by 1 union all
+  select run.file_index, run.k + 1, case when hit is null then list_append(centres, run.k + 1) else centres end, coalesce(hit, run.k + 1)
+  from run join (select likes.* from likes) likes on likes.file_index = run.file_index and likes.k = run.k + 1, lateral (select list_min(list_intersect(coalesce(likes.l, []), run.centres)) as hit) h),
+named as (select run.file_index, nb.score, dense_rank() over (partition by run.file_index order by mine) - 1 as identity from run join nb on nb.file_index = run.file_index and nb.k = run.k),
+g as (select file_index, identity, count(*) as n, avg(score) as m from named group by 1, 2)
+select file_index, identity::int as identity, n, {r("m")} as mean_score, row_number() over (partition by file_index order by n desc, identity)::int as place from g"""
+
+
+def anti_clicks(spark, d):
+    """A click on every fourth frame, at the middle of its first face's box or beside all of them."""
+    faces = _with_profile(spark, d).withColumn("sim", cosine(F.zip_with("embedding", "_profile", lambda x, y: x.cast("double") + F.when(F.col("face_id") % 3 == 0, 0.6).otherwise(0.0) * y.cast("double")), F.col("_profile")))
+    x0 = (F.col("face_id") % 10) * 100.0
+    faces = faces.select("file_index", "t_ms", "face_id", "sim", "mar", "score", x0.alias("x0"), F.lit(0.0).alias("y0"), (x0 + 80).alias("x1"), F.lit(80.0).alias("y1"))
+    clicks = faces.where("t_ms % 400 = 0").groupBy("file_index", "t_ms").agg(F.min("face_id").alias("click_id"), F.min_by("x0", "face_id").alias("x0"))
+    clicks = clicks.select("file_index", "click_id", (F.col("t_ms") + F.when(F.col("click_id") % 11 == 0, 5000).otherwise(30)).alias("t_ms"), (F.col("x0") + 40).alias("x"), F.when(F.col("click_id") % 7 == 0, 300.0).otherwise(40.0).alias("y"))
+    return enroll.anti_click_checks(clicks, faces, _said(spark, d)).select("file_index", "click_id", "f_ms", "face_id", "check")
+
+
+CLICKED = f"""with {_FACES}, {_SAID}, f as (select file_index, t_ms, face_id, list_cosine_similarity([x[1] + x[2] * case when face_id % 3 = 0 then 0.6e0 else 0e0 end for x in list_zip(v, p)], p) as sim, mar, score, face_id % 10 * 100e0 as x0 from fc, pf),
+c as (select file_index, min(face_id) as click_id, t_ms + case when min(face_id) % 11 = 0 then 5000 else 30 end as t_ms, arg_min(x0, face_id) + 40 as x, case when min(face_id) % 7 = 0 then 300e0 else 40e0 end as y from f where t_ms % 400 = 0 group by file_index, f.t_ms),
+m as (select c.file_index, click_id, f.t_ms as f_ms, face_id, sim, row_number() over (partition by c.file_index, click_id order by abs(c.t_ms - f.t_ms), f.t_ms, (x between x0 and x0 + 80 and y between 0 and 80) desc,
+      case when x between x0 and x0 + 80 and y between 0 and 80 then -score else sqrt(pow(x - x0 - 40, 2) + pow(y - 40, 2)) end, face_id) as n from c join f on f.file_index = c.file_index and abs(c.t_ms - f.t_ms) <= 200),
+t as (select file_index, t_ms, arg_max(mar, (sim, -face_id)) as mar from f where sim >= 0.4 group by 1, 2)
+select c.file_index, c.click_id, f_ms, face_id, case when face_id is null then 'no face' when sim >= 0.4 then 'is the target' when t.mar >= 0.15 then 'target mouth open'
+  when not exists (select 1 from sp where sp.file_index = c.file_index and f_ms between s - 50 and e + 50) then 'no speech' else 'ok' end as "check"
+from c left join m on m.file_index = c.file_index and m.click_id = c.click_id and n = 1 left join t on t.file_index = c.file_index and t.t_ms = f_ms"""
 
 
 def frame_timeline(spark, d):
@@ -226,25 +295,25 @@ select vec_id, {r(f"case when {_gap(0, 1)} > 1e-9 then ({_gap(2, 3)} + {_gap(4,
 
 
 def anchor_outliers(spark, d):
-    rows = pool(spark, d).withColumn("seed", F.col("vec_id") % 5 == 0)
-    return rounded(enroll.anchor_outliers(rows, ["kind"], collect=0.3, least=0.35), 4)
+    """Seeds of the sessions' candidates against the consensus of all others."""
+    rows = sessions(spark, d).where("kind in ('seed', 'voice')").select("session", F.col("candidate_id").alias("vec_id"), "vector", "duration_ms", (F.col("candidate_id") % 5 == 0).alias("seed"))
+    return rounded(enroll.anchor_outliers(rows, ["session"]), 4)
 
 
-ANCHORS = f"""with v as (select vec_id, label as kind, (2000 + (vec_id % 7) * 1000)::double as w, embedding::double[] as e, vec_id % 5 = 0 as seed from embeddings),
-el as (select vec_id, kind, w, seed, unnest(e) as x, unnest(range(1, 65)) as dd from v),
-p as (select kind, dd, sum(w * x) / sum(w) as m from el where seed group by 1, 2), c as (select vec_id, el.kind, sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m))) as s from el join p on p.kind = el.kind and p.dd = el.dd group by 1, 2),
-own as (select el.* from el join c using (vec_id) where seed or s >= 0.3), t as (select kind, dd, sum(w * x) as t, count(*) as n from own group by 1, 2),
-l as (select vec_id, own.kind, any_value(n) as n, sum(x * (t - w * x)) / (sqrt(sum(x * x)) * sqrt(sum((t - w * x) * (t - w * x)))) as sim from own join t on t.kind = own.kind and t.dd = own.dd where seed group by 1, 2)
-select kind, vec_id, {r("case when n > 1 then sim end", 4)} as sim, coalesce(case when n > 1 then sim end < 0.35, true) as outlier from l"""
+ANCHORS = f"""with {_LIKE_SEED}, v as (select *, vec_id % 5 = 0 as seed from el where kind in ('seed', 'voice')),
+p5 as (select s, p, sum(w * x) as m from v where seed group by 1, 2), c as (select vec_id, sum(x * m) / (any_value(l) * sqrt(sum(m * m))) as sim from v join p5 using (s, p) join size using (vec_id) group by 1),
+own as (select v.* from v join c using (vec_id) where seed or sim >= 0.55), t as (select s, p, sum(w * x) as t, count(*) as n from own group by 1, 2),
+l as (select vec_id, own.s, any_value(n) as n, sum(x * (t - w * x)) / (any_value(l) * sqrt(sum((t - w * x) * (t - w * x)))) as sim from own join t on t.s = own.s and t.p = own.p join size using (vec_id) where seed group by 1, 2)
+select s::varchar as session, vec_id, {r("case when n > 1 then sim end", 4)} as sim, coalesce(case when n > 1 then sim end < 0.65, true) as outlier from l"""
 
 
 def voice_checks(spark, d):
-    """Candidates of the other voice: how contaminated their scores make a pool, and which are too like the target."""
-    rows = _cosines(spark, d)
-    return rows.select("vec_id", enroll.contamination(F.col("s_target") + 0.3).alias("level"), enroll.too_like(F.col("s_target"), 0.3).alias("left_out"))
+    """The sessions' candidates by how like the seed they are: how contaminated such a pool were, and whether one for the other voice is left out."""
+    rows, _ = pools.enrol(sessions(spark, d))
+    return rows.select("session", "candidate_id", enroll.contamination(F.col("sim_seed")).alias("level"), enroll.too_like(F.col("sim_seed")).alias("left_out"))
 
 
-VOICES = f"""with {_COS} select vec_id, case when t + 0.3 > 0.6 then 'HALT' when t + 0.3 > 0.45 then 'WARNING' else 'OK' end as level, t > 0.3 as left_out from g"""
+VOICES = f"""with {_LIKE_SEED} select s::varchar as session, vec_id as candidate_id, case when sim > 0.6 then 'HALT' when sim > 0.45 then 'WARNING' else 'OK' end as level, sim > 0.6 as left_out from like_seed join mixed using (vec_id)"""
 
 
 def spaced_candidates(spark, d):
@@ -395,6 +464,9 @@ ALL = {
     "node_graph": (node_graph, GRAPH),
     "best_faces": (best_faces, BEST),
     "observation_stream": (observation_stream, OBSERVED),
+    "weak_recognition": (weak_recognition, WEAK),
+    "face_identities": (face_identities, IDENTITIES),
+    "anti_clicks": (anti_clicks, CLICKED),
     "frame_timeline": (frame_timeline, TIMELINE),
     "mouth_ratios": (mouth_ratios, MOUTHS),
     "anchor_outliers": (anchor_outliers, ANCHORS),

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from brolga.plans import diarization, evaluation, frames, further, more, windows
+from brolga.plans import diarization, enrolment, evaluation, frames, further, more, windows
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for module in (frames, windows, evaluation, diarization, more, further):
+for module in (frames, windows, evaluation, diarization, more, further, enrolment):
     for name, (query, sql) in module.ALL.items():
         QUERIES[name] = query
         if sql:
