@@ -12,10 +12,11 @@ import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from brolga.llm.common import materialize, table
 
-#: A count c >= least is kept as level 1 + floor(log(c / least) / log(BASE)); pairs seen once are left to the single words.
+#: A count c >= least is kept as level 1 + floor(log(c / least) / log(BASE)), one more for pairs, whose first level is a count of 1.
 BASE = 1.25
 LEAST = {1: 1, 2: 2}
 #: Bits and hash functions for each n-gram and level; filters of more than MOST_BYTES are not broadcast, but asked by shuffle.
@@ -84,14 +85,17 @@ def single(names: np.ndarray) -> np.ndarray:
 
 
 def level(count: np.ndarray, least: int) -> np.ndarray:
-    return np.where(count < least, 0, 1 + np.floor(np.log(np.maximum(count, least) / least) / np.log(BASE) + 1e-9)).astype(np.int64)
+    """The level of a count: 0 for none; where counts begin at 2, a count of 1 has the first level to itself."""
+    above = 1 + np.floor(np.log(np.maximum(count, least) / least) / np.log(BASE) + 1e-9)
+    return np.where(count < 1, 0, np.where(count < least, 1, above + least - 1)).astype(np.int64)
 
 
 def _bounds(least: int) -> tuple[np.ndarray, np.ndarray]:
     levels = np.arange(1, 400.0)
     low = np.ceil(least * BASE ** (levels - 1) - 1e-9)
     high = np.maximum(np.ceil(least * BASE**levels - 1e-9) - 1, low)
-    return np.r_[0.0, low], np.r_[0.0, high]
+    below = np.arange(1.0, least)
+    return np.r_[0.0, below, low], np.r_[0.0, below, high]
 
 
 _BOUNDS = {least: _bounds(least) for least in set(LEAST.values())}
@@ -278,7 +282,7 @@ class Model:
         """For each token of a training text: the level before it, and how many times likelier (a cell of log2) the pair
         counts make it than the single counts, both without this token. Cell 0: not at all."""
         count, past, before, both = self.parts(names, first)
-        pair = np.where(both > LEAST[2], (both - 1) / np.maximum(before - 1, 1), 0.0)
+        pair = np.where(both > 1, (both - 1) / np.maximum(before - 1, 1), 0.0)
         alone = np.maximum(count, 1) / (self.tokens + self.kinds)
         cell = np.clip(np.floor(2 * np.log2(np.maximum(pair, 1e-30) / alone)) + CELLS // 2, 1, CELLS - 1)
         return past, np.where(pair > 0, cell, 0).astype(np.int64)
@@ -447,8 +451,8 @@ def fit(texts: DataFrame, most_bytes: int = MOST_BYTES, bucket: int = BUCKET) ->
     """The model of all texts (column text) and the exact counts (h, n) of their tokens as a written table.
 
     Words are counted by hash in Spark. Pairs of neighbours go, each once from a block of tokens with its count there, to
-    buckets by their leading bits, where they are added up and become that bucket's part of the filter at once; those seen once are left to the single words. Buckets
-    follow the corpus in number, so each stays small. Finished filters of up to most_bytes come to the driver and are
+    buckets by their leading bits, where they are added up and become that bucket's part of the filter at once, pairs seen
+    once too. Buckets follow the corpus in number, so each stays small. Finished filters of up to most_bytes come to the driver and are
     broadcast; larger ones stay a written table, and texts ask them by shuffle (_asked). The filters and so the scores are
     the same either way, BITS for each n-gram and level, however many there are. A filter that says yes to all raises.
     How far pairs are trusted is set last, in one more pass that scores each training token without itself.
@@ -531,9 +535,9 @@ def fit(texts: DataFrame, most_bytes: int = MOST_BYTES, bucket: int = BUCKET) ->
     return model, counts
 
 
-def _apply(sent: Broadcast, head: Broadcast, asked: bool):
+def _apply(sent: Broadcast, head: Broadcast, asked: bool, kind_of_id: pa.DataType):
     schema = pa.schema(
-        [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]
+        [("row", pa.int64()), ("doc_id", kind_of_id), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]
         + [("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))]
     )
 
@@ -551,7 +555,7 @@ def _apply(sent: Broadcast, head: Broadcast, asked: bool):
             cell, times = np.unique(doc[rare] * len(kind) + code[rare], return_counts=True)
             cut = np.searchsorted(cell // len(kind), np.arange(len(rows) + 1)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x)) for x in (kind[cell % len(kind)].view(np.int64), times.astype(np.int32))]
-            cols = [np.arange(row, row + len(rows)), pa.array([r[0] for r in rows], pa.int64()), [r[1] for r in rows], n]
+            cols = [np.arange(row, row + len(rows)), pa.array([r[0] for r in rows], kind_of_id), [r[1] for r in rows], n]
             cols += [np.bincount(doc, hit[code], len(rows)).astype(np.int64), np.bincount(doc, base[code], len(rows)), score]
             row += len(rows)
             yield pa.record_batch([*map(pa.array, cols), *lists], schema=schema)
@@ -564,9 +568,10 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, head: int = HEAD) ->
 
     Null and empty texts are the end alone. The base score is exact: words frequent enough to be among the `head` most
     frequent are looked up in a broadcast array, each text's other words are joined with their counts and added up again.
-    Repeated rows and null ids are scored like any other; other columns are not carried.
+    Repeated rows and null ids are scored like any other, an empty table gives no rows; doc_id may be of any type; other columns are
+    not carried. A text is cut nowhere; about a block of tokens, or one longer text, is scored at once.
     """
-    spark = docs.sparkSession
+    spark, id_type = docs.sparkSession, docs.schema["doc_id"].dataType
     grade = F.floor(F.log2("n") * 8)
     grades = counts.groupBy(grade.alias("g")).count().orderBy(F.desc("g")).collect()
     taken, least = 0, None
@@ -584,8 +589,8 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, head: int = HEAD) ->
     docs = docs.select("doc_id", "held_out", "text")
     first = materialize(
         (_asked(docs, model, SHARE) if asked else docs).mapInArrow(
-            _apply(sent, known, asked),
-            "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, times array<int>",
+            _apply(sent, known, asked, to_arrow_type(id_type)),
+            f"row long, doc_id {id_type.simpleString()}, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, times array<int>",
         )
     )
     rare = first.where(F.size("rare") > 0).select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("t"))
@@ -606,6 +611,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, head: int = HEAD) ->
 
 
 def op4_bloomlm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document, learned from those that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", _held_out().alias("held_out"))
     model, counts = fit(docs.where(~F.col("held_out")))
     return score(docs, model, counts)

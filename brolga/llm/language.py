@@ -17,7 +17,7 @@ from brolga.llm.common import materialize, release, small_batches, table, worker
 
 ORDER = 4
 #: Labelled rows of a language that the models are fitted on (about; all, if there are fewer), and their letters at most, but
-#: for the first text. Every tenth row calibrates.
+#: for the first text. Every tenth different text calibrates.
 ROWS, LETTERS = 4000, 40_000_000
 #: How far beyond the usual a text may lie before it is rejected: this times the 0.999 quantile of the calibration rows, at least LEAST.
 SLACK, LEAST = 1.5, 6.0
@@ -166,14 +166,17 @@ def _count(order: int):
         for batch in batches:
             frame = batch.to_pandas()
             for lang, part in frame.groupby("lang"):
+                times, at = part.times.to_numpy(np.int64), 0
                 for texts in _blocks(part.text):
+                    weight, at = times[at : at + len(texts)], at + len(texts)
                     chars, bounds = letters(texts, order)
                     gram = hashes(chars, order)[-1]
                     inside = np.arange(len(chars)) - np.repeat(bounds[:-1], np.diff(bounds)) >= order - 1
                     place = np.flatnonzero(inside)
-                    _, first, n = np.unique(gram[place], return_index=True, return_counts=True)
-                    at = place[first]
-                    cols = [chars[at - order + 1 + k].astype(np.int32) for k in range(order)]
+                    _, first, code = np.unique(gram[place], return_index=True, return_inverse=True)
+                    n = np.bincount(code, np.repeat(weight, np.diff(bounds))[place]).astype(np.int64)
+                    last = place[first]
+                    cols = [chars[last - order + 1 + k].astype(np.int32) for k in range(order)]
                     yield pa.record_batch([pa.array([lang] * len(n)), *map(pa.array, cols), pa.array(n)], names=["lang", *names, "n"])
 
     return run, names
@@ -194,29 +197,35 @@ def _blocks(texts) -> Iterator[list[str | None]]:
 def fit(labelled: DataFrame, order: int = ORDER, rows: int = ROWS, most: int = LETTERS) -> Models:
     """Models from labelled (text, lang); rows with a null in either teach nothing.
 
-    About `rows` rows of each language are taken, by the hash of all their columns, so that copies of one text come in by
-    their share like any others; never more than twice as many, and no more than `most` letters (but always one text). That
+    About `rows` rows of each language are taken, copies of one text by their share like any others: a text with n of a
+    language's N rows is taken with weight n * rows / N, rounded up or down by its hash, and is one row with that weight. So no
+    copies are ever gathered; columns but text and lang are not looked at. Every language keeps its heaviest text at
+    least, never more than twice `rows` different ones, and no more than `most` letters (but always one text). That
     bounds the work and what comes to the driver and is broadcast. Grams are counted in Spark. The tenth, twentieth and so
-    on of the rows taken calibrate: the usual cross-entropy of each language, its spread by length, and how far off a text
-    may be; so every language is learned, from one row too. A language with under 20 such rows takes those of all, and
-    nothing is rejected if these are under 20. Labels are taken to be few.
+    on of the texts taken calibrate: the usual cross-entropy of each language, its spread by length, and how far off a text
+    may be; so every language is learned, from one row too. A language with under 20 such texts takes those of all, and
+    nothing is rejected if these are under 20. Labels are taken to be few. An empty table gives a model without languages.
     """
     spark = labelled.sparkSession
     small_batches(spark)
-    known = labelled.where("text is not null and lang is not null")
-    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    known = labelled.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("text").alias("h"))
+    kinds = materialize(known.groupBy("lang", "h").agg(F.count("*").alias("n"), F.max(F.length("text")).alias("letters")))
+    sizes = {r.lang: r.n for r in kinds.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     if not sizes:
         return Models([], order)
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, rows / n))])
-    draw = F.xxhash64(*[F.col(f"`{c}`") for c in known.columns])
-    drawn = known.where(F.pmod(draw, F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).select("text", "lang", draw.alias("draw"))
-    inside = W.partitionBy("lang").orderBy("draw", "text").rowsBetween(W.unboundedPreceding, W.currentRow)
-    drawn = drawn.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("draw", "text"))).where(F.col("nth") <= 2 * rows)
-    drawn = drawn.withColumn("letters", F.sum(F.length("text")).over(inside))
-    taken = materialize(drawn.where((F.col("nth") == 1) | (F.col("letters") <= most)).select("text", "lang", "nth"))
+    chance = F.pmod(F.xxhash64("h", "lang", F.lit("draw")), F.lit(1 << 20)) / (1 << 20)
+    kinds = kinds.withColumn("due", F.col("n") * share[F.col("lang")] + chance)
+    heaviest = kinds.groupBy("lang").agg(F.max_by("h", F.struct("due", "h")).alias("_h"))
+    drawn = kinds.join(F.broadcast(heaviest), "lang").where((F.col("due") >= 1) | (F.col("h") == F.col("_h"))).drop("_h")
+    order_of = W.partitionBy("lang").orderBy(F.desc(F.col("due") >= 1), F.xxhash64("h", F.lit("order")), "h")
+    drawn = drawn.withColumns({"nth": F.row_number().over(order_of), "sum": F.sum("letters").over(order_of.rowsBetween(W.unboundedPreceding, W.currentRow))})
+    drawn = drawn.where((F.col("nth") == 1) | ((F.col("nth") <= 2 * rows) & (F.col("sum") <= most)))
+    drawn = drawn.select("lang", "h", "nth", F.greatest(F.lit(1), F.floor("due")).cast("long").alias("times"))
+    taken = materialize(known.join(F.broadcast(materialize(drawn)), ["lang", "h"]).groupBy("lang", "h", "nth", "times").agg(F.min("text").alias("text")).drop("h"))
     held = F.col("nth") % 10 == 0
     run, names = _count(order)
-    grams = taken.where(~held).select("text", "lang").mapInArrow(run, "lang string, " + ", ".join(f"{c} int" for c in names) + ", n long")
+    grams = taken.where(~held).select("text", "lang", "times").mapInArrow(run, "lang string, " + ", ".join(f"{c} int" for c in names) + ", n long")
     model = _learn(grams.groupBy("lang", *names).agg(F.sum("n").alias("n")).toPandas(), order)
     sent = spark.sparkContext.broadcast(model)
     found = taken.where(held).select("lang", _predict(sent)("text").alias("x")).select("lang", "x.bits", "x.n").where("n > 1").toPandas()
@@ -288,6 +297,7 @@ def held_out() -> Column:
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out; with cross_entropy and rejected."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit(docs.where(~held_out()))
     found = predict(docs.select("doc_id", "text"), model)

@@ -36,7 +36,9 @@ def test_filter_keeps_levels():
     assert (f.levels(rnd.integers(0, 1 << 48, 20000).astype(np.uint64)) == 0).mean() > 0.98
     exact = np.arange(1, 5000)
     low, high = least_of(level(exact, 1), 1), most_of(level(exact, 1), 1)
-    assert (low <= exact).all() and (exact <= high).all() and (high <= 1.25 * low).all() and level(np.array([0, 1]), 2).tolist() == [0, 0]
+    assert (low <= exact).all() and (exact <= high).all() and (high <= 1.25 * low).all() and level(np.array([0, 1, 2, 3]), 2).tolist() == [0, 1, 2, 3]
+    low, high = least_of(level(exact, 2), 2), most_of(level(exact, 2), 2)
+    assert (low <= exact).all() and (exact <= high).all() and high[0] == low[0] == 1
 
 
 def test_a_full_filter_raises():
@@ -163,3 +165,14 @@ def test_hot_pair_is_sent_once_from_a_block():
     n = np.concatenate([np.frombuffer(r["n"], "<u4") for r in rows])
     want = Counter(p for t in ("a b", "x " * 100000, "a b") for p in pairs(*tokens([t])).tolist())
     assert len(ids) == len(want) == 6 and dict(zip(ids.tolist(), n.tolist())) == want and all(i >> 42 == r["bucket"] for r in rows for i in bloomlm._unpack(r["ids"]).tolist())
+
+
+def test_pairs_seen_once_and_ids_of_any_type(spark):
+    texts = ["a b", "c d", "e f g", "a c e"]
+    d = spark.createDataFrame([(f"id{k}", t, False) for k, t in enumerate(texts)], "doc_id string, text string, held_out boolean")
+    model, counts = fit(d)
+    assert model.pairs.levels(pairs(*tokens(texts))).min() >= 1
+    for most in (1 << 28, 64):
+        model, counts = fit(d, most_bytes=most, bucket=1)
+        got = score(d.selectExpr("struct(doc_id as x) as doc_id", "text", "held_out"), model, counts).collect()
+        assert sorted(r.doc_id.x for r in got) == ["id0", "id1", "id2", "id3"] and {r.doc_id for r in score(d, model, counts).collect()} == {f"id{k}" for k in range(4)}

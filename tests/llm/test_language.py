@@ -113,3 +113,17 @@ def test_prediction_against_brute_force(spark, sf):
                 assert abs(row[k] + sum(map(math.log2, told)) / len(told)) < 1e-9
     said = [r.lang_pred for r in predict(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string"), model).orderBy("doc_id").collect()]
     assert said == [model.languages[k] for k in got.argmin(1)]
+
+
+def test_copies_are_drawn_by_their_share(spark):
+    """Copies of one text alone, a third of all rows, and columns of any type."""
+    d = spark.range(9000).selectExpr("id as doc_id", "'one text for all of them' as text", "'xx' as lang", "map('k', id) as extra")
+    model = fit(d, rows=100)
+    assert model.languages == ["xx"] and predict(d.limit(3), model).first().lang_pred == "xx"
+    rnd = np.random.default_rng(3)
+    rows = [("".join(rnd.choice(list("abcdefgh "), 20)), "yy") for _ in range(2000)] + [("zzzz", "yy")] * 1000
+    model = fit(spark.createDataFrame(rows, "text string, lang string"), rows=300, order=2)
+    z = math.log2(2) - model.log2([g[-1:] for g in hashes(np.array([ord("z"), ord("z")]), 2)])[0, 0]
+    whole = fit(spark.createDataFrame(rows, "text string, lang string"), rows=10**6, order=2)
+    other = math.log2(2) - whole.log2([g[-1:] for g in hashes(np.array([ord("z"), ord("z")]), 2)])[0, 0]
+    assert abs(z - other) < 0.2

@@ -67,3 +67,19 @@ def test_empty_and_null_tables(spark, sf, tmp_path):
     odd = docs.limit(3).union(spark.createDataFrame([(None,) * len(docs.columns)] * 2, docs.schema)).selectExpr("*", "1 as start", "2 as sequence_id")
     rows = packing(spark, odd, sf).collect()
     assert [r.doc_tokens for r in rows if r.doc_id is None] == [1, 1]
+
+
+def test_many_equal_rows_long_texts_and_nested_columns(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("*", "map('k', struct(doc_id)) as nested", "array(map('a', 1)) as more", "1 as _row")
+    one = docs.where("doc_id = 3")
+    same = one.crossJoin(spark.range(4000)).drop("id").selectExpr(*[f"cast(null as long) as {c}" if c == "doc_id" else c for c in docs.columns])
+    long = one.selectExpr(*["cast(77777 as long) as doc_id" if c == "doc_id" else "concat(repeat(concat(text, ' '), 3000), 'end') as text" if c == "text" else c for c in docs.columns])
+    seen = docs.unionByName(same).unionByName(long)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        seen = corpus_pipeline.materialize(stage(spark, seen, sf))
+        assert seen.columns == docs.columns
+        if name == "language":
+            assert seen.where("doc_id is null").count() == 4000
+        if name == "near_duplicate":
+            assert seen.where("doc_id is null").count() <= 1 and seen.where("doc_id = 77777").count() <= 1
+    assert stage(spark, seen, sf).count() > 0
