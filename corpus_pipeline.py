@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brolga.llm.common import materialize, small_batches, table
@@ -44,15 +43,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one of least doc_id (null last), of repeated rows one.
 
-    Null and blank texts have no shingles and are near-duplicates of one another.
+    Null and blank texts have no shingles and are near-duplicates of one another. Which of equal rows stays is told by the
+    least of their row numbers, so that however many there are, only numbers meet.
     """
     found = near_duplicates(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("x")
     stay = found.groupBy("component").agg(first).select(F.col("x.doc_id").alias("_id"), F.col("x.text_hash").alias("_hash"))
-    rows = _wrapped(docs).withColumn("_text_hash", F.xxhash64("text"))
-    rows = rows.join(stay, (rows["_text_hash"] == stay["_hash"]) & rows["doc_id"].eqNullSafe(stay["_id"]))
-    once = F.row_number().over(W.partitionBy("_hash", "_id").orderBy("_hash"))
-    return _unwrapped(rows.withColumn("_n", once).where("_n = 1"), docs.columns)
+    rows = _wrapped(docs).withColumns({"_text_hash": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
+    once = rows.groupBy("_text_hash", "doc_id").agg(F.min("_row").alias("_row"))
+    kept = once.join(stay, (once["_text_hash"] == stay["_hash"]) & once["doc_id"].eqNullSafe(stay["_id"])).select("_row")
+    return _unwrapped(rows.join(kept, "_row", "left_semi"), docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
