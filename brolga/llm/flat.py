@@ -29,17 +29,22 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data or b"", np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def words_of(data: np.ndarray, bounds: np.ndarray) -> tuple[pa.LargeBinaryArray, np.ndarray]:
-    """Maximal runs of other bytes than blanks, none over the end of a text, and the text of each."""
-    inside = data != 32
+def edges_of(inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the maximal runs of bytes inside begin and end, none over the end of a text."""
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
-    edges = bounds[(bounds > 0) & (bounds < len(data))]
+    edges = bounds[(bounds > 0) & (bounds < len(inside))]
     first[edges] |= inside[edges]
     last[edges - 1] |= inside[edges - 1]
-    starts = np.flatnonzero(first)
-    ends = np.cumsum(np.flatnonzero(last) + 1 - starts)
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def words_of(data: np.ndarray, bounds: np.ndarray) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+    """Maximal runs of other bytes than blanks, none over the end of a text, and the text of each."""
+    inside = data != 32
+    starts, stops = edges_of(inside, bounds)
+    ends = np.cumsum(stops - starts)
     letters = data[inside]
     words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.r_[0, ends].astype(np.int64)), pa.py_buffer(letters)])
     return words, np.searchsorted(bounds, starts, "right") - 1

@@ -4,25 +4,26 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Callable
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brolga.llm.common import materialize, release, shared_dir, small_batches, table, worker_cache
+from brolga.llm.flat import edges_of, flat
 
 WINDOW = 35
 #: Letters of the documents that are named together, and of those in one file of the dealt table.
 LETTERS, FILE = 1 << 21, 1 << 25
-#: Letters for which the names asked for meet in one bucket.
-MEET = 1 << 24
+#: A block's letters are so large a part of all, but for LETTERS at least and MOST at most; what is asked of one bucket comes from MEET
+#: letters at least and MEETS at most.
+PART, MOST, MEET, MEETS = 1 << 9, 1 << 25, 1 << 24, 1 << 27
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _BLOCK = "_recompress_block"
 ADDED = "n_words long, n_removed long, kept_text string, kept_sha256 string"
+_WORD = np.ones(256, bool)
+_WORD[[0x20, *range(0x09, 0x0E)]] = False
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,127 +32,157 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def words(text: str | None) -> list[bytes]:
-    return text.encode().split() if text else []
+def level_for(window: int) -> int:
+    """The level of the symbols that are asked for: a window has room for some of them with all that decides them, mostly."""
+    return max(0, int(window).bit_length() - 2)
 
 
-def levels_for(window: int, most: int = 4) -> list[int]:
-    """The levels that are asked for, in order: those whose symbols every window holds whole, or words alone if none is."""
-    return [n for n in range(1, most + 1) if window >= 2 ** (n + 3) - 1] or [0]
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(max(n, 1), base)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
 
-def reach(level: int) -> int:
-    """Words that a symbol of a level has at most, and words on both sides that decide where it begins and ends."""
-    return 2 ** (level + 1) if level else 0
-
-
-def fold_runs(names: np.ndarray, start: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of exactly two equal symbols become one, named by symbol and length. A longer run stays: where it ends may lie
-    beyond any window, so a name for the whole of it would not be the same in equal windows."""
-    same = np.zeros(len(names), bool)
-    same[:-1] = (names[:-1] == names[1:]) & (doc[start[:-1]] == doc[start[1:]])
-    two = same & ~np.r_[False, same[:-1]] & ~np.r_[same[1:], False]
-    names = np.where(two, mix(names * _A + _C), names)
-    keep = ~np.r_[False, two[:-1]]
-    return names[keep], start[keep]
+class Symbols:
+    """Symbols of a level: name, first word and the one behind the last, and first and last of the words that decide them.
 
+    A symbol is the same wherever the words from `low` to `high` are the same; symbols of which that is not known, as a
+    document ends too soon, have bounds that no window holds.
+    """
 
-def join_pairs(names: np.ndarray, start: np.ndarray, doc: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Every symbol is a left or a right one by a hash of its name; a left one with a right one behind it becomes a pair,
-    named by both. So what a place becomes depends on one neighbour on each side."""
-    right = (mix(names + np.uint64(level * int(_A) % (1 << 64))) & np.uint64(1)).astype(bool)
-    pair = np.zeros(len(names), bool)
-    pair[:-1] = ~right[:-1] & right[1:] & (doc[start[:-1]] == doc[start[1:]])
-    behind = np.r_[names[1:], np.uint64(0)]
-    names = np.where(pair, mix(names * _A + behind * _B + np.uint64(level)), names)
-    keep = ~np.r_[False, pair[:-1]]
-    return names[keep], start[keep]
+    def __init__(self, names: np.ndarray, doc: np.ndarray, window: int):
+        self.doc, self.window, self.level = doc, window, 0
+        self.names, self.start = names, np.arange(len(names))
+        self.stop = self.start + 1
+        self.low, self.high = self.start, self.stop
+
+    def _take(self, names: np.ndarray, keep: np.ndarray, stop: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        self.names, self.start, self.stop, self.low, self.high = names[keep], self.start[keep], stop[keep], low[keep], high[keep]
+
+    def fold_runs(self) -> None:
+        """Every run of equal words, however long, becomes one symbol, named by word and length; the words beside it decide where it ends."""
+        if not len(self.names):
+            return
+        new = np.r_[True, (self.names[1:] != self.names[:-1]) | (self.doc[1:] != self.doc[:-1])]
+        first = np.flatnonzero(new)
+        size = np.diff(np.r_[first, len(self.names)])
+        names = self.names.copy()
+        names[first] = np.where(size > 1, mix(names[first] * _A + size.astype(np.uint64) * _C), names[first])
+        stop = self.stop.copy()
+        stop[first] = first + size
+        self._take(names, first, stop, self.start - 1, stop + 1)
+        edge = np.r_[-1, self.doc, -1]
+        self.low = np.where(edge[self.start] != self.doc[self.start], self.start - self.window, self.low)
+        self.high = np.where(edge[self.stop + 1] != self.doc[self.start], self.stop + self.window, self.high)
+
+    def join_pairs(self) -> None:
+        """Every symbol is a left or a right one by a hash of its name; a left one with a right one behind it becomes a pair,
+        named by both. So what becomes of a symbol is decided by itself and one neighbour."""
+        self.level += 1
+        n = len(self.names)
+        if not n:
+            return
+        right = (mix(self.names + np.uint64(self.level * int(_A) % (1 << 64))) & np.uint64(1)).astype(bool)
+        of = self.doc[self.start]
+        follows = np.r_[of[1:] == of[:-1], False]
+        pair = ~right & np.r_[right[1:], False] & follows
+        behind, before = np.minimum(np.arange(n) + 1, n - 1), np.maximum(np.arange(n) - 1, 0)
+        other = np.where(right, before, behind)
+        known = np.where(right, np.r_[False, follows[:-1]], follows)
+        low = np.where(known, np.minimum(self.low, self.low[other]), self.start - self.window)
+        high = np.where(known, np.maximum(self.high, self.high[other]), self.stop + self.window)
+        names = np.where(pair, mix(self.names * _A + self.names[behind] * _B + np.uint64(self.level)), self.names)
+        stop = np.where(pair, self.stop[behind], self.stop)
+        self._take(names, ~np.r_[False, pair[:-1]], stop, low, high)
+
+    def rise(self, level: int) -> None:
+        if level and not self.level:
+            self.fold_runs()
+        while self.level < level:
+            self.join_pairs()
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each symbol the first window that holds all that decides it, and the one behind the last."""
+        low = np.clip(self.high - self.window, 0, len(self.doc))
+        return low, np.maximum(low, np.clip(self.low + 1, 0, len(self.doc)))
 
 
 class Block:
     """The words of some documents, and which of their windows may still stand elsewhere too.
 
-    Level 0 are the words by hash. Level 1 folds runs and joins pairs, each further level joins pairs again. A symbol whose
-    bounds lie `reach` inside a window is decided by the window alone, so equal windows have the same ones there. As long as
-    all of these stand twice in the corpus, a window is live; the last question is for the words of the live windows.
+    Words are named by a hash of all their bytes. Level 1 folds runs and joins pairs, each further level joins pairs again. As
+    long as every symbol that a window decides stands twice in the corpus, the window is live; the last question is for
+    the words of the live windows.
     """
 
-    def __init__(self, texts: list[str | None], window: int):
-        self.window = window
-        self.own = [words(t) for t in texts]
-        self.sizes = np.array([len(w) for w in self.own], np.int64)
-        self.first = np.cumsum(self.sizes) - self.sizes
-        total, digest = int(self.sizes.sum()), xxhash.xxh64_intdigest
-        self.doc = np.repeat(np.arange(len(texts)), self.sizes)
-        self.live = np.arange(total) + window <= np.repeat(self.first + self.sizes, self.sizes)
-        self.at = 0
-        if self.live.any():
-            self.names = np.fromiter(map(digest, chain.from_iterable(self.own)), np.uint64, total)
-            self.start = np.arange(total)
-
-    def _rise(self, level: int) -> None:
-        while self.at < level:
-            self.at += 1
-            if self.at == 1:
-                self.names, self.start = fold_runs(self.names, self.start, self.doc)
-            self.names, self.start = join_pairs(self.names, self.start, self.doc, self.at)
-
-    def _windows(self, level: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each symbol the first window that it lies inside of, and the one behind the last."""
-        r, stop = reach(level), np.append(self.start[1:], len(self.doc))
-        low, high = stop - self.window + r, self.start - r + 1
-        return np.clip(low, 0, len(self.doc)), np.clip(np.maximum(low, high), 0, len(self.doc))
-
-    def symbols(self, level: int) -> tuple[np.ndarray, np.ndarray]:
-        """(48-bit names, whether more than once here) of the different symbols inside live windows, ascending."""
-        if not self.live.any():
-            return np.zeros(0, np.uint64), np.zeros(0, bool)
-        self._rise(level)
-        low, high = self._windows(level)
+    def __init__(self, texts: pa.Array, window: int):
+        data, bounds = flat(texts)
+        inside = _WORD[data]
+        first, last = edges_of(inside, bounds)
+        self.window, size, total = window, last - first, len(first)
+        text = np.searchsorted(bounds, first, "right") - 1
+        self.sizes = np.bincount(text, minlength=len(texts))
+        letters = data[inside].astype(np.uint64) + np.uint64(1)
+        start = np.cumsum(size) - size
+        letters *= _powers(_A, int(size.max(initial=0)))[np.arange(len(letters)) - np.repeat(start, size)]
+        self.words = mix(np.add.reduceat(letters, start)) if total else np.zeros(0, np.uint64)
+        self.doc = text
+        self.live = np.arange(total) + window <= np.repeat(np.cumsum(self.sizes), self.sizes)
+        self.symbols = Symbols(self.words, self.doc, window)
+
+    def names(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """(48-bit names, whether more than once here) of the different symbols that live windows decide, ascending."""
+        self.symbols.rise(level)
+        low, high = self.symbols.windows()
         alive = np.r_[0, np.cumsum(self.live)]
-        self.asked = np.flatnonzero(alive[high] > alive[low])
-        names, self.of, n = np.unique(self.names[self.asked] >> np.uint64(16), return_inverse=True, return_counts=True)
+        asked = np.flatnonzero(alive[high] > alive[low])
+        self.low, self.high = low[asked], high[asked]
+        names, self.of, n = np.unique(self.symbols.names[asked] >> np.uint64(16), return_inverse=True, return_counts=True)
         return names, n > 1
 
-    def drop(self, level: int, shared: np.ndarray) -> None:
-        """Windows die that hold a symbol which stands once, of those that symbols() gave last."""
-        if len(shared):
-            low, high = self._windows(level)
-            once = self.asked[~shared[self.of]]
-            dead = np.bincount(low[once], minlength=len(self.doc) + 1) - np.bincount(high[once], minlength=len(self.doc) + 1)
-            self.live &= np.cumsum(dead)[:-1] == 0
+    def drop(self, shared: np.ndarray) -> None:
+        """Windows die that decide a symbol which stands once, of those that names() gave last."""
+        once = ~shared[self.of]
+        dead = np.bincount(self.low[once], minlength=len(self.doc) + 1) - np.bincount(self.high[once], minlength=len(self.doc) + 1)
+        self.live &= np.cumsum(dead)[:-1] == 0
 
     def digests(self) -> tuple[np.ndarray, np.ndarray]:
-        """(128-bit digests as two numbers each, whether more than once here) of the different live windows, ascending."""
-        place = np.flatnonzero(self.live)
-        found, digest = [], xxhash.xxh3_128_digest
-        doc = self.doc[place] if len(place) else place
-        cut = np.r_[0, np.flatnonzero(np.diff(doc)) + 1, len(place)].tolist() if len(place) else [0]
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            own = self.own[doc[a]]
-            text, ends = b" ".join(own), np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)
-            inside = place[a:b] - self.first[doc[a]]
-            starts, stops = np.r_[0, ends][inside].tolist(), (ends[inside + self.window - 1] - 1).tolist()
-            found += [digest(text[i:j]) for i, j in zip(starts, stops, strict=True)]
-        all_ = np.frombuffer(b"".join(found), ">u8").reshape(-1, 2).astype(np.uint64)
-        order = np.lexsort((all_[:, 1], all_[:, 0]))
-        ranked = all_[order]
-        new = np.r_[True, (ranked[1:] != ranked[:-1]).any(1)] if len(order) else np.zeros(0, bool)
-        self.of = np.zeros(len(order), np.int64)
-        self.of[order] = np.cumsum(new) - 1
-        return ranked[new], np.bincount(self.of, minlength=int(new.sum())) > 1
+        """(128-bit digests as two numbers each, whether more than once here) of the different live windows, ascending.
+
+        Both numbers are polynomials in the names of a window's words, from differences of running sums.
+        """
+        place, sums = np.flatnonzero(self.live), []
+        for base in (_B, _C):
+            back = np.uint64(pow(int(base), -1, 1 << 64))
+            run = np.r_[np.uint64(0), np.cumsum(mix(self.words + base) * _powers(base, len(self.words)), dtype=np.uint64)]
+            sums.append(mix((run[place + self.window] - run[place]) * _powers(back, len(self.words))[place]))
+        all_ = np.stack(sums, 1) if len(place) else np.zeros((0, 2), np.uint64)
+        found, self.of, n = _different(all_)
+        return found, n > 1
 
     def removed(self, shared: np.ndarray) -> list[np.ndarray]:
         """For each document the words that a window covers which stands elsewhere too, of those that digests() gave last."""
-        hit = np.flatnonzero(self.live)[shared[self.of]] if len(shared) else np.zeros(0, np.int64)
+        hit = np.flatnonzero(self.live)[shared[self.of]]
         cover = np.bincount(hit, minlength=len(self.doc) + 1) - np.bincount(hit + self.window, minlength=len(self.doc) + 1)
         return np.split(np.cumsum(cover)[:-1] > 0, np.cumsum(self.sizes)[:-1])
 
-    def answer(self, window_levels: list[int], told: dict[int, np.ndarray]) -> None:
-        for level in window_levels:
-            if level in told:
-                self.symbols(level)
-                self.drop(level, told[level])
+
+def _different(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different rows of two numbers, ascending; which of them each row is; and how often each stands."""
+    order = np.lexsort((rows[:, 1], rows[:, 0]))
+    ranked = rows[order]
+    new = np.r_[True, (ranked[1:] != ranked[:-1]).any(1)] if len(order) else np.zeros(0, bool)
+    of = np.zeros(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return ranked[new], of, np.bincount(of, minlength=int(new.sum()))
+
+
+def _parts(own: pa.Table, letters: int) -> list[pa.Array]:
+    """The texts of a block, about so many letters at a time."""
+    texts = own["text"].combine_chunks() if own.num_rows else pa.array([], pa.string())
+    total = np.cumsum(np.diff(flat(texts)[1]))
+    cut = np.unique(np.r_[0, np.flatnonzero(np.diff(total // letters)) + 1, len(texts)]).tolist()
+    return [texts.slice(a, b - a) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def _clear() -> None:
@@ -161,88 +192,115 @@ def _clear() -> None:
 
 
 _ASK = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("names", pa.binary()), ("many", pa.binary())])
-_TOLD = pa.schema([("block", pa.int64()), ("level", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("shared", pa.binary())])
-#: The question for whole windows, after those for symbols.
+_TOLD = pa.schema([("block", pa.int64()), ("level", pa.int32()), ("bucket", pa.int32()), ("shared", pa.bool_()), ("names", pa.binary())])
+#: The question for whole windows, after that for symbols.
 LAST = 99
 
 
-def _bits(flags: np.ndarray) -> bytes:
-    return np.packbits(flags, bitorder="little").tobytes()
+def _pack(names: np.ndarray) -> bytes:
+    return names.astype("<u8").tobytes() if names.ndim == 2 else names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
-def _flags(data: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(data, np.uint8), count=n, bitorder="little").astype(bool)
+def _unpack(data: bytes, wide: bool) -> np.ndarray:
+    if wide:
+        return np.frombuffer(data, "<u8").reshape(-1, 2)
+    raw = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    names = np.zeros((len(raw), 8), np.uint8)
+    names[:, :6] = raw
+    return names.view("<u8").ravel()
 
 
-def _asks(block: int, names: np.ndarray, many: np.ndarray, buckets: int) -> pa.Table:
-    """What a block asks of each bucket; buckets are ranges of names, which come ascending."""
-    wide = names.ndim == 2
-    lead = names[:, 0] >> np.uint64(16) if wide else names
-    bucket = (lead >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)
+def _bucket(names: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets are ranges of names."""
+    lead = names[:, 0] >> np.uint64(16) if names.ndim == 2 else names
+    return ((lead >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _asks(block: int, found: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> pa.Table:
+    """What a block asks of each bucket: the different names of its parts, and a bit for each whether it stands twice in the block."""
+    if not found:
+        return _ASK.empty_table()
+    names, many = (np.concatenate(x) for x in zip(*found, strict=True))
+    if len(found) > 1:
+        if names.ndim == 2:
+            names, of, n = _different(names)
+        else:
+            names, of, n = np.unique(names, return_inverse=True, return_counts=True)
+        many = (n > 1) | (np.bincount(of, many, len(n)) > 0)
+    bucket = _bucket(names, buckets)
     cut = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(names)].tolist() if len(names) else [0]
-    data = names.astype("<u8").tobytes() if wide else names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-    width, spans = (16 if wide else 6), list(zip(cut[:-1], cut[1:], strict=True))
+    spans = list(zip(cut[:-1], cut[1:], strict=True))
     cols = [bucket[cut[:-1]].astype(np.int32), np.full(len(spans), block, np.int64), np.diff(cut).astype(np.int32)]
-    cols += [[data[width * a : width * b] for a, b in spans], [_bits(many[a:b]) for a, b in spans]]
+    cols += [[_pack(names[a:b]) for a, b in spans], [np.packbits(many[a:b], bitorder="little").tobytes() for a, b in spans]]
     return pa.table([pa.array(c, t) for c, t in zip(cols, _ASK.types, strict=True)], schema=_ASK)
 
 
 def _share(level: int):
-    """All that is asked of one bucket: which names are asked for by two blocks, or stand twice in one."""
+    """All that is asked of one bucket: to each block the names that others ask for too, or that stand twice in it, or else the
+    other names, whichever are fewer."""
 
     def run(asked: pa.Table) -> pa.Table:
         size = asked["n"].to_numpy().astype(np.int64)
-        data = np.frombuffer(b"".join(asked["names"].to_pylist()), np.uint8)
-        if level == LAST:
-            names = data.view("<u8").reshape(-1, 2)
-            order = np.lexsort((names[:, 1], names[:, 0]))
-            names = names[order]
-            new = np.r_[True, (names[1:] != names[:-1]).any(1)]
-        else:
-            names = np.zeros((len(data) // 6, 8), np.uint8)
-            names[:, :6] = data.reshape(-1, 6)
-            names = names.view("<u8").ravel()
-            order = np.argsort(names, kind="stable")
-            names = names[order]
-            new = np.r_[True, names[1:] != names[:-1]]
-        many = np.concatenate([_flags(m, n) for m, n in zip(asked["many"].to_pylist(), size.tolist(), strict=True)])
-        of = np.cumsum(new) - 1
-        shared = np.zeros(len(order), bool)
-        shared[order] = (np.bincount(of, 1 + many[order].astype(np.int64)) > 1)[of]
-        told = [_bits(x) for x in np.split(shared, np.cumsum(size)[:-1])]
-        return pa.table([asked["block"], np.full(len(size), level, np.int32), asked["bucket"], asked["n"], pa.array(told, pa.binary())], schema=_TOLD)
+        names = _unpack(b"".join(asked["names"].to_pylist()), level == LAST)
+        many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n, bitorder="little").astype(bool) for m, n in zip(asked["many"].to_pylist(), size.tolist(), strict=True)])
+        _, of, _ = _different(names) if level == LAST else np.unique(names, return_inverse=True, return_counts=True)
+        shared = (np.bincount(of, 1 + many.astype(np.int64)) > 1)[of]
+        told, cut = [], np.r_[0, np.cumsum(size)].tolist()
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            own = shared[a:b]
+            which = 2 * int(own.sum()) <= len(own)
+            told.append((which, _pack(names[a:b][own == which])))
+        cols = [asked["block"], np.full(len(size), level, np.int32), asked["bucket"], pa.array([x[0] for x in told], pa.bool_()), pa.array([x[1] for x in told], pa.binary())]
+        return pa.table(cols, schema=_TOLD)
 
     return run
 
 
-def _told(answers: pa.Table) -> dict[int, np.ndarray]:
-    out: dict[int, list] = {}
-    for level, _, n, shared in sorted(zip(*(answers[c].to_pylist() for c in ("level", "bucket", "n", "shared")), strict=True), key=lambda r: r[:2]):
-        out.setdefault(level, []).append(_flags(shared, n))
-    return {level: np.concatenate(parts) for level, parts in out.items()}
-
-
-def _dealt(docs: DataFrame, letters: int) -> tuple[DataFrame, int]:
-    """docs with the number of a block, of about so many letters, as a written table whose files hold whole blocks; and all letters.
-
-    Later rounds so read their texts where they lie: only questions and answers travel. Copies are dealt out by their
-    doc_id, repeated rows by the partition that they come from.
+class Told:
+    """What the buckets said of one block's names of a level."""
+
+    def __init__(self, answers: pa.Table, level: int, buckets: int):
+        rows = sorted((b, s, x) for k, b, s, x in zip(*(answers[c].to_pylist() for c in ("level", "bucket", "shared", "names")), strict=True) if k == level)
+        self.some, self.buckets = bool(rows), buckets
+        self.which = np.zeros(buckets, bool)
+        self.which[[b for b, _, _ in rows]] = [s for _, s, _ in rows]
+        self.listed = _unpack(b"".join(x for _, _, x in rows), level == LAST)
+
+    def shared(self, names: np.ndarray) -> np.ndarray:
+        """Whether each of names, which were asked for, stands anywhere else."""
+        wide, hit = names.ndim == 2, np.zeros(len(names), bool)
+        lead, own = (self.listed[:, 0], names[:, 0]) if wide else (self.listed, names)
+        at, open_ = np.searchsorted(lead, own), np.arange(len(names))
+        while len(open_):
+            open_ = open_[at[open_] < len(lead)]
+            open_ = open_[lead[at[open_]] == own[open_]]
+            found = (self.listed[at[open_], 1] == names[open_, 1]) if wide else np.ones(len(open_), bool)
+            hit[open_[found]] = True
+            open_ = open_[~found]
+            at[open_] += 1
+        return hit == self.which[_bucket(names, self.buckets)]
+
+
+def _dealt(docs: DataFrame, letters: int, total: int) -> DataFrame:
+    """docs with the number of a block, of about so many letters, as a written table whose files hold whole blocks.
+
+    Later rounds so read their texts where they lie: only questions and answers travel. Spark knows that of bucketed tables
+    only, and writes these by name; the name goes at once, the files lie in the shared folder. Copies are dealt out by
+    their doc_id, repeated rows by the partition that they come from.
     """
     spark = docs.sparkSession
-    total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8)).first()[0] or 0
     blocks = 1 + total // letters
-    files = int(min(blocks, 1 + total // min(FILE, 16 * letters), 1 << 16))
+    files = int(min(blocks, 1 + total // max(min(FILE, 16 * letters), letters), 1 << 16))
     block = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks))
     name = f"brolga_{uuid.uuid4().hex}"
-    dealt = docs.withColumn(_BLOCK, block).repartition(files, _BLOCK)
-    dealt.write.bucketBy(files, _BLOCK).option("path", shared_dir(spark)).saveAsTable(name)
+    docs.withColumn(_BLOCK, block).repartition(files, _BLOCK).write.bucketBy(files, _BLOCK).option("path", shared_dir(spark)).saveAsTable(name)
     own = spark.table(name)
     own.schema  # noqa: B018 - resolved before the name goes; the files stay
     spark.sql(f"drop table {name}")
-    return own, total
+    return own
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, letters: int = LETTERS, with_text: bool = True) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, letters: int | None = None, with_text: bool = True) -> DataFrame:
     """docs with n_words, n_removed, kept_text and kept_sha256 added (columns of these names go; no kept_text if not with_text).
 
     A word is removed if `window` consecutive words around it stand, as the same sequence, at another place too, in the
@@ -250,83 +308,78 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, letters: int = LETTE
     nothing to remove (null: no words), an empty table has no rows. Repeated rows are documents of their own and so remove
     each other's windows; a null doc_id is a value like any other. Other columns pass through.
 
-    Each round is a Spark job: the blocks of documents name their runs and pairs of the next level, ask once for each name
-    whether it stands anywhere else, and windows with a name that does not are out. Names are hashes of what they stand
-    for, so they are the same in the whole corpus; should two contents share one, a window stays in longer than it need.
-    The last round asks for the words of each window left, by a 128-bit digest of them, and that alone decides. A block
-    asks for a name once however often it stands there, so a passage that all documents share comes once from a block.
+    Two rounds of Spark jobs follow the naming of runs and pairs, level by level, inside blocks of documents: each block asks
+    once for each name of the highest level whether it stands anywhere else, and windows with a name that does not are out;
+    then for the words of each window left, by a 128-bit digest of them, and that alone decides. Names are hashes of what
+    they stand for, so they are the same in the whole corpus; should two contents share one, a window stays in longer than
+    it need. A block asks for a name once however often it stands there, so a passage that all documents share comes
+    once from a block. Blocks and buckets grow with the corpus up to a bound (`letters` fixes those of a block), so that
+    what is shuffled for a name stays nearly the same; inside a block LETTERS are worked on at a time.
     """
     small_batches(docs.sparkSession)
     docs = docs.drop(*(x.split()[0] for x in ADDED.split(", ")), _BLOCK)
-    own, total = _dealt(docs, letters)
-    buckets, levels = int(min(1 << 20, max(32, 1 + total // min(MEET, 16 * letters)))), levels_for(window)
-    texts, answers = own.select(_BLOCK, "text"), []
-
-    def asks(block: Block, number: int, level: int) -> pa.Table:
-        names, many = block.digests() if level == LAST else block.symbols(level)
-        return _asks(number, names, many, buckets)
-
-    def question(level: int) -> Callable:
-        def first(own: pa.Table) -> pa.Table:
-            _clear()
-            return asks(Block(own["text"].to_pylist(), window), own[_BLOCK][0].as_py(), level)
-
-        def later(own: pa.Table, told: pa.Table) -> pa.Table:
-            _clear()
-            if not (own.num_rows and told.num_rows):
-                return _ASK.empty_table()
-            block = Block(own["text"].to_pylist(), window)
-            block.answer(levels, _told(told))
-            return asks(block, own[_BLOCK][0].as_py(), level)
-
-        return later if answers else first
-
-    schema = "bucket int, block long, n int, names binary, many binary"
-    for level in [*levels, LAST]:
-        if answers:
-            asked = texts.groupBy(_BLOCK).cogroup(_union(answers).groupBy("block")).applyInArrow(question(level), schema)
-        else:
-            asked = texts.groupBy(_BLOCK).applyInArrow(question(level), schema)
-        told = asked.groupBy("bucket").applyInArrow(_share(level), "block long, level int, bucket int, n int, shared binary")
-        answers.append(materialize(told))
+    total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8)).first()[0] or 0
+    meet = max(MEET, min(MEETS, total // 64)) if letters is None else 16 * letters
+    letters = letters or max(LETTERS, min(MOST, total // PART))
+    at_once = min(letters, LETTERS)
+    own = _dealt(docs, letters, total)
+    buckets, level = int(min(1 << 20, max(32, 1 + total // meet))), level_for(window)
+    texts = own.select(_BLOCK, "text")
+
+    def first(own: pa.Table) -> pa.Table:
+        _clear()
+        return _asks(own[_BLOCK][0].as_py(), [Block(x, window).names(level) for x in _parts(own, at_once)], buckets)
+
+    def live(text: pa.Array, told: Told) -> Block:
+        block = Block(text, window)
+        names, _ = block.names(level)
+        block.drop(told.shared(names))
+        return block
+
+    def second(own: pa.Table, told: pa.Table) -> pa.Table:
+        _clear()
+        if not (own.num_rows and told.num_rows):
+            return _ASK.empty_table()
+        of = Told(told, level, buckets)
+        return _asks(own[_BLOCK][0].as_py(), [live(x, of).digests() for x in _parts(own, at_once)], buckets)
+
+    ask, tell = "bucket int, block long, n int, names binary, many binary", "block long, level int, bucket int, shared boolean, names binary"
+    symbols = materialize(texts.groupBy(_BLOCK).applyInArrow(first, ask).groupBy("bucket").applyInArrow(_share(level), tell))
+    asked = texts.groupBy(_BLOCK).cogroup(symbols.groupBy("block")).applyInArrow(second, ask)
+    both = symbols.union(materialize(asked.groupBy("bucket").applyInArrow(_share(LAST), tell)))
 
     added = [x.strip() for x in ADDED.split(",") if with_text or "kept_text" not in x]
     kinds = pa.schema([(n, {"long": pa.int64(), "string": pa.string()}[t]) for n, t in map(str.split, added)])
 
     def cut(own: pa.Table, told: pa.Table) -> pa.Table:
         _clear()
+        out = own.drop_columns(_BLOCK)
         if not own.num_rows:
-            return own.drop_columns(_BLOCK).append_column(kinds.field(0), pa.array([], kinds.field(0).type))  # no such group
-        shared = _told(told)
-        last = shared.pop(LAST, np.zeros(0, bool))
-        block = Block(own["text"].to_pylist(), window)
-        block.answer(levels, shared)
-        if len(last):
-            block.digests()
+            return out.append_column(kinds.field(0), pa.array([], kinds.field(0).type))  # no such group
+        of, last = Told(told, level, buckets), Told(told, LAST, buckets)
         cols: dict[str, list] = {x.split()[0]: [] for x in ADDED.split(", ")}
-        for k, gone in enumerate(block.removed(last)):
-            of, removed = block.own[k], int(gone.sum())
-            kept = b" ".join([w for w, g in zip(of, gone.tolist(), strict=True) if not g] if removed else of)
-            block.own[k] = []
-            for col, x in zip(cols.values(), (len(of), removed, kept.decode() if with_text else None, hashlib.sha256(kept).hexdigest()), strict=True):
-                col.append(x)
-        out = own.drop_columns(_BLOCK)
+        for part in _parts(own, at_once):
+            gone = [None] * len(part)
+            if last.some:
+                block = live(part, of)
+                names, _ = block.digests()
+                gone = block.removed(last.shared(names))
+            for text, lost in zip(part.to_pylist(), gone, strict=True):
+                words = text.encode().split() if text else []
+                removed = 0 if lost is None else int(lost.sum())
+                kept = b" ".join([w for w, g in zip(words, lost.tolist(), strict=True) if not g] if removed else words)
+                for col, x in zip(cols.values(), (len(words), removed, kept.decode() if with_text else None, hashlib.sha256(kept).hexdigest()), strict=True):
+                    col.append(x)
         for f in kinds:
             out = out.append_column(f, pa.array(cols[f.name], f.type))
         return out
 
     out = ", ".join([f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema] + added)
-    return own.groupBy(_BLOCK).cogroup(_union(answers).groupBy("block")).applyInArrow(cut, out)
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.union(f)
-    return out
+    return own.groupBy(_BLOCK).cogroup(both.groupBy("block")).applyInArrow(cut, out)
 
 
 def op9_recompress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns of `dedup_substrings` for all `documents`."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_substrings(docs, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
