@@ -20,12 +20,12 @@ from brolga.llm.common import materialize, table
 BASE = 1.25
 LEAST = {1: 1, 2: 2}
 #: Bits and hash functions for each n-gram and level; filters of more than MOST_BYTES are not broadcast, but asked by shuffle.
-BITS, HASHES, MOST_BYTES = 12, 4, 256 << 20
+BITS, HASHES, MOST_BYTES = 12, 3, 256 << 20
 #: Levels of a word told apart in how far what follows it is trusted, and cells of log2 ratios that are counted for that.
 LEVELS, CELLS = 96, 128
 #: Frequent words whose exact counts are broadcast for the base score; the others are joined.
 HEAD = 1 << 18
-BLOCK, BUCKET = 1 << 19, 1 << 19
+BLOCK, BUCKET = 3 << 17, 1 << 19
 #: High levels that a worker remembers.
 KNOWN = 1 << 19
 #: Letters whose words are named together.
