@@ -35,20 +35,17 @@ def unit(v: Column) -> Column:
     return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
 
 
-def moments(rows: DataFrame, by: list[str], vector: str = "vector") -> DataFrame:
-    """(by, n, s, m): of the unit vectors of a group how many there are, their sum, and the sum of their outer products (flat).
-
-    Vectors that are null, without length or not finite take no part; those of a group must be equally long, or Spark raises.
-    """
+def _by_group(rows: DataFrame, by: list[str], vector: str, summed) -> DataFrame:
+    """(by, n, _t): for each group the sums of what `summed` makes of its vectors, stacked by length in each batch of rows."""
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
     names = [f"_{k}" for k in range(len(by))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = pa.table([batch.column(k) for k in range(len(by))], names=names)
-            keys = keys.append_column("_n", pa.array(range(batch.num_rows)))
-            groups = keys.group_by(names).aggregate([("_n", "list")])
-            lists = batch.column(len(by)).to_pylist()
+            lists, groups = batch.column(len(by)).to_pylist(), None
+            if by:
+                keys = pa.table([batch.column(k) for k in range(len(by))], names=names).append_column("_n", pa.array(range(batch.num_rows)))
+                groups = keys.group_by(names).aggregate([("_n", "list")])
             held, size = [], 0
 
             def put() -> pa.RecordBatch:
@@ -56,13 +53,13 @@ def moments(rows: DataFrame, by: list[str], vector: str = "vector") -> DataFrame
                 cols = [groups.column(n).take(at).combine_chunks() for n in names]
                 return pa.RecordBatch.from_arrays([*cols, pa.array([x for _, x in held], pa.list_(pa.float64()))], [*by, "_m"])
 
-            for g, which in enumerate(groups.column("_n_list").to_pylist()):
+            for g, which in enumerate(groups.column("_n_list").to_pylist() if by else [range(len(lists))]):
                 known = [np.asarray(v, float) for v in (lists[k] for k in which) if v is not None and None not in v]
-                known = [v / np.sqrt(v @ v) for v in known if 0 < v @ v < np.inf]
                 for length in sorted({len(v) for v in known}):
-                    x = np.stack([v for v in known if len(v) == length])
-                    held.append((g, np.r_[len(x), x.sum(0), (x.T @ x).ravel()]))
-                    size += held[-1][1].nbytes
+                    own = summed(np.stack([v for v in known if len(v) == length]))
+                    if own is not None:
+                        held.append((g, own))
+                        size += own.nbytes
                 if size > TOGETHER:
                     yield put()
                     held, size = [], 0
@@ -70,8 +67,40 @@ def moments(rows: DataFrame, by: list[str], vector: str = "vector") -> DataFrame
                 yield put()
 
     parts = rows.select(*by, vector).mapInArrow(run, f"{kinds + ', ' if by else ''}_m array<double>")
-    out = vector_sums(parts, by, "_m").withColumn("_d", ((F.sqrt(4 * F.size("total") - 3.0) - 1) / 2).cast("int"))
-    return out.select(*by, F.get("total", F.lit(0)).cast("long").alias("n"), F.slice("total", 2, F.col("_d")).alias("s"), F.slice("total", F.col("_d") + 2, F.col("_d") * F.col("_d")).alias("m"))
+    return vector_sums(parts, by, "_m").select(*by, F.get("total", F.lit(0)).cast("long").alias("n"), F.col("total").alias("_t"))
+
+
+def moments(rows: DataFrame, by: list[str], vector: str = "vector") -> DataFrame:
+    """(by, n, s, m): of the unit vectors of a group how many there are, their sum, and the sum of their outer products (flat).
+
+    Vectors that are null, without length or not finite take no part; those of a group must be equally long, or Spark raises.
+    """
+
+    def summed(x: np.ndarray) -> np.ndarray | None:
+        size = np.sqrt((x * x).sum(1))
+        x, size = x[(size > 0) & np.isfinite(size)], size[(size > 0) & np.isfinite(size)]
+        u = x / size[:, None]
+        return np.r_[len(u), u.sum(0), (u.T @ u).ravel()] if len(u) else None
+
+    return _cut(_by_group(rows, by, vector, summed), by)
+
+
+def cross_moments(rows: DataFrame, by: list[str], channels: list[str]) -> DataFrame:
+    """(by, n, s, m): of the rows of a group that have all channels how many there are, their sums, and the sums of the products
+    of any two channels (flat, row by row). One pass, whatever the number of channels; NaN counts as missing."""
+
+    def summed(x: np.ndarray) -> np.ndarray | None:
+        x = x[np.isfinite(x).all(1)]
+        return np.r_[len(x), x.sum(0), (x.T @ x).ravel()] if len(x) else None
+
+    vector = F.array(*[F.col(c).cast("double") for c in channels]).alias("_v")
+    return _cut(_by_group(rows.select(*by, vector), by, "_v", summed), by)
+
+
+def _cut(sums: DataFrame, by: list[str]) -> DataFrame:
+    """Of 1 + d + d*d sums the first, the next d and the rest."""
+    out = sums.withColumn("_d", ((F.sqrt(4 * F.size("_t") - 3.0) - 1) / 2).cast("int"))
+    return out.select(*by, "n", F.slice("_t", 2, F.col("_d")).alias("s"), F.slice("_t", F.col("_d") + 2, F.col("_d") * F.col("_d")).alias("m"))
 
 
 def cosine_spread(n: Column, s: Column, m: Column) -> tuple[Column, Column]:

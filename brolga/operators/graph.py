@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from brolga.functions.vectors import cross_moments
+
 
 def feature_stats(long: DataFrame) -> DataFrame:
     """(recording_id, channel): mean (0 without values) and sample deviation (1 if there is hardly any)."""
@@ -13,11 +15,29 @@ def feature_stats(long: DataFrame) -> DataFrame:
     return long.groupBy("recording_id", "channel").agg(F.coalesce(F.avg("value"), F.lit(0.0)).alias("mean"), F.when(F.coalesce(sd, F.lit(0.0)) < 1e-8, 1.0).otherwise(sd).alias("sd"))
 
 
-def standardised(frames: DataFrame, channels: list[str]) -> DataFrame:
-    """(file_index, idx, channel): z and valid; a value is valid if it is there and the voice is active, else z is 0."""
-    long = frames.unpivot(["recording_id", "file_index", "idx", "is_audio_active"], channels, "channel", "value")
-    rows = long.join(F.broadcast(feature_stats(long)), ["recording_id", "channel"])
-    valid = F.col("value").isNotNull() & (F.col("is_audio_active") == 1)
+#: How sure the face must be for the channels of its nodes to count.
+FACE_SURE = 0.30
+
+
+class TooFewWindows(ValueError):
+    """There are not enough windows to fit a model on."""
+
+
+def standardised(frames: DataFrame, channels: list[str], voice: tuple[str, ...] = (), face: tuple[str, ...] = (), sure: float = FACE_SURE) -> DataFrame:
+    """(file_index, idx, channel): z and valid; z is 0 where it is not valid.
+
+    A value is valid if it is there, and, for the channels of the voice node, the voice is active, for those of face nodes,
+    the face is sure enough (missing: not). Without a column is_audio_active, or face_confidence, that mask lets all pass. Statistics are
+    joined by recording and channel.
+    """
+    voiced = F.coalesce(F.col("is_audio_active") == 1, F.lit(False)) if "is_audio_active" in frames.columns else F.lit(True)
+    seen = F.coalesce(F.col("face_confidence") >= sure, F.lit(False)) if "face_confidence" in frames.columns else F.lit(True)
+    # what masks a channel is settled before the channels become rows
+    kept = lambda c: F.col(c) if c not in (*voice, *face) else F.when(voiced if c in voice else seen, F.col(c))
+    whole = frames.select("recording_id", "file_index", "idx", *[F.col(c).cast("double").alias(f"_all_{c}") for c in channels], *[kept(c).cast("double").alias(c) for c in channels])
+    stats = feature_stats(whole.select("recording_id", *[F.col(f"_all_{c}").alias(c) for c in channels]).unpivot(["recording_id"], channels, "channel", "value"))
+    rows = whole.unpivot(["recording_id", "file_index", "idx"], channels, "channel", "value").join(stats, ["recording_id", "channel"])
+    valid = F.col("value").isNotNull()
     return rows.select("file_index", "idx", "channel", valid.cast("int").alias("valid"), F.when(valid, (F.col("value") - F.col("mean")) / F.col("sd")).otherwise(0.0).alias("z"))
 
 
@@ -37,14 +57,26 @@ def temporal_split(windows: DataFrame, share: float = 0.8) -> DataFrame:
     return windows.withColumn("train", n <= F.floor(F.count("*").over(clip) * share))
 
 
+def check_windows(windows: DataFrame, by: list[str], least: int = 20) -> None:
+    """Raises TooFewWindows for the first group of model windows that is too short to fit a model on, or if there are none."""
+    few = windows.groupBy(*by).count().where(F.col("count") < least).orderBy("count", *by).first()
+    if few:
+        raise TooFewWindows(f"{', '.join(f'{c} {few[c]}' for c in by)}: {few['count']} windows, {least} are needed")
+    if windows.isEmpty():
+        raise TooFewWindows(f"no windows, {least} are needed")
+
+
 def masked_error(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Mean square of predicted - z over the valid values; 0 without any."""
+    """Mean square of predicted - z over the valid values (error), 0 without any; and how many are valid (n)."""
     sq = F.when(F.col("valid") == 1, (F.col("predicted") - F.col("z")) * (F.col("predicted") - F.col("z")))
-    return rows.groupBy(*by).agg((F.coalesce(F.sum(sq), F.lit(0.0)) / F.greatest(F.lit(1), F.count(sq))).alias("error"))
+    return rows.groupBy(*by).agg((F.coalesce(F.sum(sq), F.lit(0.0)) / F.greatest(F.lit(1), F.count(sq))).alias("error"), F.count(sq).alias("n"))
 
 
-def weighted_loss(errors: DataFrame, by: list[str], weight: str) -> DataFrame:
-    return errors.groupBy(*by).agg((F.sum(F.col("error") * F.col(weight)) / F.greatest(F.sum(weight), F.lit(1e-6))).alias("loss"))
+def weighted_loss(errors: DataFrame, by: list[str], weight: str, target: bool = False) -> DataFrame:
+    """Mean error by weight. With target, errors (error, n) are those of the one node that was to be told, and a frame of which
+    nothing is valid there weighs nothing: it is no error of 0."""
+    w = F.when(F.col("n") > 0, F.col(weight)).otherwise(0.0) if target else F.col(weight)
+    return errors.groupBy(*by).agg((F.sum(F.col("error") * w) / F.greatest(F.sum(w), F.lit(1e-6))).alias("loss"))
 
 
 def coupling_ratio(model: DataFrame, zero: DataFrame, by: list[str], healthy: float = 0.90) -> DataFrame:
@@ -53,19 +85,55 @@ def coupling_ratio(model: DataFrame, zero: DataFrame, by: list[str], healthy: fl
     return out.withColumn("healthy", F.col("ratio") < healthy)
 
 
-def neighbour_models(frames: DataFrame, channels: list[str], reg: float = 0.1) -> DataFrame:
-    """(channel, neighbour, weight): ridge regression of each channel on the others over complete frames."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
+def neighbour_models(frames: DataFrame, channels: list[str], by: list[str] | None = None, reg: float = 0.1) -> DataFrame:
+    """(by, channel, neighbour, weight): ridge regression of each channel on all others over complete frames, by group.
 
-    rows = frames.select(*channels).na.drop()
-    found = []
+    Channels are scaled to deviation 1 for the penalty `reg` on squared weights beside the mean square; weights are for the
+    values as they are, with the row '(intercept)'. A channel that does not vary tells nothing and weighs 0. One pass sums the
+    products of all channels; every model of a group is solved from those sums, so work does not grow with the models. A
+    group without a complete frame has no rows.
+    """
+    import numpy as np
+    import pandas as pd
+
+    by = by or []
+    told = cross_moments(frames, by, channels)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for row in pdf.itertuples(index=False):
+            n, s, m = row.n, np.asarray(row.s), np.asarray(row.m).reshape(len(channels), -1)
+            mean = s / n
+            cov = m / n - np.outer(mean, mean)
+            sd = np.sqrt(np.maximum(np.diag(cov), 0))
+            sd = np.where(sd > 1e-12 * np.maximum(np.abs(mean), 1), sd, 0)
+            r = cov / np.where(sd > 0, sd, 1)[:, None] / np.where(sd > 0, sd, 1)[None, :]
+            for k, c in enumerate(channels):
+                rest = [j for j in range(len(channels)) if j != k and sd[j] > 0]
+                beta = np.linalg.solve(r[np.ix_(rest, rest)] + reg * np.eye(len(rest)), r[rest, k]) * sd[k] / sd[rest] if rest and sd[k] > 0 else np.zeros(len(rest))
+                weight = dict(zip(rest, beta))
+                key = tuple(getattr(row, x) for x in by)
+                out += [(*key, c, channels[j], float(weight.get(j, 0.0))) for j in range(len(channels)) if j != k]
+                out.append((*key, c, "(intercept)", float(mean[k] - sum(w * mean[j] for j, w in weight.items()))))
+        return pd.DataFrame(out, columns=[*by, "channel", "neighbour", "weight"])
+
+    kinds = "".join(f"`{c}` {frames.schema[c].dataType.simpleString()}, " for c in by)
+    return told.mapInPandas(lambda parts: (solve(x) for x in parts), f"{kinds}channel string, neighbour string, weight double")
+
+
+def predicted(rows: DataFrame, models: DataFrame, channels: list[str], on: list[str]) -> DataFrame:
+    """rows (on, channels) with predicted_<channel>: what the neighbours tell of it; null if one of them is missing."""
+    by = models.groupBy(*on).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "channel", "neighbour"), "weight"))).alias("_w"))
+    w = lambda c, o: F.col("_w")[f"{c}|{o}"]
+    out = rows.join(by, on)
+    told = {}
     for c in channels:
-        others = [o for o in channels if o != c]
-        at = VectorAssembler(inputCols=others, outputCol="x").transform(rows)
-        model = LinearRegression(featuresCol="x", labelCol=c, regParam=reg, elasticNetParam=0.0).fit(at)
-        found += [(c, o, float(w)) for o, w in zip(others, model.coefficients, strict=True)] + [(c, "(intercept)", float(model.intercept))]
-    return frames.sparkSession.createDataFrame(found, "channel string, neighbour string, weight double")
+        total = w(c, "(intercept)")
+        for o in channels:
+            if o != c:
+                total = total + w(c, o) * F.col(o)
+        told[f"predicted_{c}"] = total
+    return out.withColumns(told).drop("_w")
 
 
 def frame_errors(errors: DataFrame, rows: int = 90, stride: int = 15) -> DataFrame:
@@ -81,14 +149,16 @@ def hop_windows(errors: DataFrame, rows: int = 60, hop: int = 30) -> DataFrame:
     return at.groupBy("file_index", "window").agg((F.sum(F.col("error") * F.col("n")) / F.nullif(F.sum("n"), F.lit(0))).alias("error"))
 
 
-def residual_table(errors: DataFrame, baseline: DataFrame, on: list[str]) -> DataFrame:
-    """Errors (on, node, error) against a baseline's (node, error): z by node, and over nodes their sum and maximum.
+def residual_table(errors: DataFrame, baseline: DataFrame, on: list[str], by: list[str] | None = None) -> DataFrame:
+    """Errors (by, on, node, error) against a baseline's (by, node, error): z by node, and over nodes their sum and maximum.
 
-    The same for the features of nodes, if node names these.
+    by names whose baseline it is, such as a subject: each is told from its own. The same for the features of nodes, if node
+    names these. A node without a baseline has no z.
     """
-    base = baseline.groupBy("node").agg(F.avg("error").alias("m"), (F.stddev_pop("error") + 1e-6).alias("s"))
-    z = errors.join(F.broadcast(base), "node").withColumn("z", (F.col("error") - F.col("m")) / F.col("s"))
-    return z.groupBy(*on).agg(F.map_from_entries(F.collect_list(F.struct("node", "z"))).alias("coupling_z"), F.sum("z").alias("global_z"), F.max("z").alias("max_z"))
+    by = by or []
+    base = baseline.groupBy(*by, "node").agg(F.avg("error").alias("m"), (F.stddev_pop("error") + 1e-6).alias("s"))
+    z = errors.join(base, [*by, "node"]).withColumn("z", (F.col("error") - F.col("m")) / F.col("s"))
+    return z.groupBy(*by, *on).agg(F.map_from_entries(F.collect_list(F.struct("node", "z"))).alias("coupling_z"), F.sum("z").alias("global_z"), F.max("z").alias("max_z"))
 
 
 def zero_reference(long: DataFrame, split: DataFrame, rows: int = 90, stride: int = 15) -> DataFrame:

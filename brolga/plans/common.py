@@ -11,7 +11,7 @@ FRAMES = """frames as (
          (l_quantity - 25) / 100 as gaze_x, (l_tax - 0.04e0) * 5 as gaze_y, l_extendedprice / 50000 - 1 as gaze_z,
          l_quantity / 50 as AU12, l_discount * 10 as AU6, l_tax * 10 as AU4,
          l_quantity / 60 as AU1, case when l_linenumber <> 6 then l_discount * 4 end as AU9, l_extendedprice / 80000 as AU25, l_tax * 6 as AU26,
-         case when l_returnflag <> 'N' then 1e0 else 0e0 end as is_audio_active, case when l_linenumber = 1 then 1 else 0 end as is_blinking,
+         case when l_returnflag <> 'N' then 1e0 else 0e0 end as is_audio_active, case when l_linenumber <> 3 then l_tax * 12 end as face_confidence, case when l_linenumber = 1 then 1 else 0 end as is_blinking,
          l_returnflag as emotion_label
   from (select *, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) - 1 as idx from lineitem))"""
 

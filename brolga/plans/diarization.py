@@ -309,23 +309,34 @@ CHUNKS = f"""with {DUR}, c as (select file_index, duration_ms, unnest(case when
 select file_index, row_number() over (partition by file_index order by start_ms) - 1 as chunk, start_ms, least(start_ms + 60000, duration_ms) as end_ms from c"""
 
 
+#: The nodes of the queries: face channels, and one that stands for the voice.
+_FACE, _VOICE = ("AU12", "AU6", "gaze_x"), ("macro_motion_energy",)
+
+
+def nodes(rows):
+    return graph.standardised(rows, [*_FACE, *_VOICE], _VOICE, _FACE)
+
+
+_OK = "(v is not null and case when channel = 'macro_motion_energy' then is_audio_active = 1 else coalesce(face_confidence, 0) >= 0.3 end)"
+
+
 def node_features(spark, d):
-    return rounded(graph.standardised(frames(spark, d), ["AU12", "AU6", "gaze_x", "macro_motion_energy"]))
+    return rounded(nodes(frames(spark, d)))
 
 
-_NODES = " union all ".join(f"select file_index, idx, recording_id, is_audio_active, '{c}' as channel, {c} as v from frames" for c in ("AU12", "AU6", "gaze_x", "macro_motion_energy"))
+_NODES = " union all ".join(f"select file_index, idx, recording_id, is_audio_active, face_confidence, '{c}' as channel, {c} as v from frames" for c in ("AU12", "AU6", "gaze_x", "macro_motion_energy"))
 NODES = f"""with {FRAMES}, l as ({_NODES}), s as (select recording_id, channel, coalesce(avg(v), 0) as m, case when coalesce(stddev_samp(v), 0) < 1e-8 then 1e0 else stddev_samp(v) end as sd from l group by 1, 2)
-select file_index, idx, channel, cast(v is not null and is_audio_active = 1 as integer) as valid, {r("case when v is not null and is_audio_active = 1 then (v - m) / sd else 0 end")} as z from l join s using (recording_id, channel)"""
+select file_index, idx, channel, cast({_OK} as integer) as valid, {r(f"case when {_OK} then (v - m) / sd else 0 end")} as z from l join s using (recording_id, channel)"""
 
 
 def node_errors(spark, d):
-    z = graph.standardised(frames(spark, d), ["AU12", "AU6", "gaze_x", "macro_motion_energy"])
+    z = nodes(frames(spark, d))
     return rounded(graph.masked_error(z.withColumn("predicted", F.lit(0.0)), ["file_index", "idx"]))
 
 
 ERRORS = f"""with {FRAMES}, l as ({_NODES}), s as (select recording_id, channel, coalesce(avg(v), 0) as m, case when coalesce(stddev_samp(v), 0) < 1e-8 then 1e0 else stddev_samp(v) end as sd from l group by 1, 2),
-z as (select file_index, idx, v is not null and is_audio_active = 1 as ok, (v - m) / sd as z from l join s using (recording_id, channel))
-select file_index, idx, {r("coalesce(sum(case when ok then z * z end), 0) / greatest(1, count(case when ok then 1 end))")} as error from z group by 1, 2"""
+z as (select file_index, idx, {_OK} as ok, (v - m) / sd as z from l join s using (recording_id, channel))
+select file_index, idx, {r("coalesce(sum(case when ok then z * z end), 0) / greatest(1, count(case when ok then 1 end))")} as error, count(case when ok then 1 end) as n from z group by 1, 2"""
 
 ALL = {
     "speech_segments": (speech_segments, SPEECH),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brolga.functions.exprs import cosine
 from brolga.operators import audit, calibrate, diarize, enroll, evaluate, graph, pools, report, windows
 from brolga.plans.common import FRAMES, INTERVALS, SCORED, r, rounded
-from brolga.plans.diarization import _NODES, _durations, _tiers
+from brolga.plans.diarization import _NODES, _OK, nodes, _durations, _tiers
 from brolga.plans.diarization import DUR, TIERS
 from brolga.plans.enrolment import _LIKE_SEED, sessions
 from brolga.plans.evaluation import CHANNELS, OVERLAP, PCT, _auc_sql, _long, _scores, label_overlap
@@ -107,30 +107,30 @@ VERDICT = f"""with {PCT}, a as (select * from {_auc_sql("pct", "subject, channel
 s as (select avg(auc) as mean, stddev_samp(auc) as sd, count(case when auc >= 0.58 then 1 end) as clear, count(auc) as n from a)
 select {r("mean")} as mean, {r("sd")} as sd, clear, n, case when mean is null then 'INSUFFICIENT' when mean >= 0.62 and clear >= 4 then 'GENERALIZES' when mean >= 0.55 then 'WEAK/PARTIAL' else 'SUBJECT-SPECIFIC' end as verdict from s"""
 
-_NODE_LIST = ["AU12", "AU6", "gaze_x", "macro_motion_energy"]
 _ZS = f"""{FRAMES}, l as ({_NODES}), st as (select recording_id, channel, coalesce(avg(v), 0) as m, case when coalesce(stddev_samp(v), 0) < 1e-8 then 1e0 else stddev_samp(v) end as sd from l group by 1, 2),
-zs as (select file_index, idx, channel, v is not null and is_audio_active = 1 as ok, case when v is not null and is_audio_active = 1 then (v - m) / sd else 0 end as z from l join st using (recording_id, channel))"""
+zs as (select file_index, idx, channel, {_OK} as ok, case when {_OK} then (v - m) / sd else 0 end as z from l join st using (recording_id, channel))"""
 
 
 def graph_losses(spark, d):
-    """Weighted loss by clip of taking each frame's AU6 for its AU12, against that of predicting nothing, and their ratio."""
+    """Weighted loss by clip of taking each frame's AU6 for its AU12, against that of predicting nothing, and their ratio; frames
+    without a valid AU12 weigh nothing."""
     rows = frames(spark, d)
-    z = graph.standardised(rows, ["AU12", "AU6"])
+    z = nodes(rows)
     other = z.where("channel = 'AU6'").select("file_index", "idx", F.col("z").alias("predicted"))
     own = z.where("channel = 'AU12'")
     weight = rows.select("file_index", "idx", F.col("joint_confidence").alias("w"))
-    loss = lambda x: graph.weighted_loss(graph.masked_error(x, ["file_index", "idx"]).join(weight, ["file_index", "idx"]), ["file_index"], "w")
+    loss = lambda x: graph.weighted_loss(graph.masked_error(x, ["file_index", "idx"]).join(weight, ["file_index", "idx"]), ["file_index"], "w", target=True)
     return rounded(graph.coupling_ratio(loss(own.join(other, ["file_index", "idx"])), loss(own.withColumn("predicted", F.lit(0.0))), ["file_index"]), 5)
 
 
-LOSSES = f"""with {_ZS}, e as (select a.file_index, w, case when a.ok then (b.z - a.z) * (b.z - a.z) else 0 end as e, case when a.ok then a.z * a.z else 0 end as e0
+LOSSES = f"""with {_ZS}, e as (select a.file_index, case when a.ok then w else 0 end as w, case when a.ok then (b.z - a.z) * (b.z - a.z) else 0 end as e, case when a.ok then a.z * a.z else 0 end as e0
   from zs a join zs b on b.file_index = a.file_index and b.idx = a.idx and b.channel = 'AU6' join frames f on f.file_index = a.file_index and f.idx = a.idx where a.channel = 'AU12'),
 o as (select file_index, sum(e * w) / greatest(sum(w), 1e-6) as loss, sum(e0 * w) / greatest(sum(w), 1e-6) as zero_loss from e group by 1)
 select file_index, {r("loss", 5)} as loss, {r("zero_loss", 5)} as zero_loss, {r("loss / nullif(zero_loss, 0)", 5)} as ratio, loss / nullif(zero_loss, 0) < 0.9 as healthy from o"""
 
 
 def zero_reference(spark, d):
-    z = graph.standardised(frames(spark, d), _NODE_LIST)
+    z = nodes(frames(spark, d))
     return rounded(graph.zero_reference(z, graph.temporal_split(graph.model_windows(z, least=0.45))), 5)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from brolga.operators import calibrate, diarize, enroll, evaluate, frames as op, graph, report, windows
 from brolga.plans.common import ASSIGNED, FRAMES, INTERVALS, SCORED, r, rounded
-from brolga.plans.diarization import _NODES, _PROF, _RUNS, _durations, _tiers
+from brolga.plans.diarization import _NODES, _OK, nodes, _PROF, _RUNS, _durations, _tiers
 from brolga.plans.windows import RECORDING
 from brolga.sources.adapters import frames, intervals, pool, regions, scored_windows, table
 from brolga.sources.io import split_list_column
@@ -142,33 +142,76 @@ LABELLED = f"""with {SCORED}, b as (select subject, min(clip) as base from score
 
 
 def model_windows(spark, d):
-    z = graph.standardised(frames(spark, d), ["AU12", "AU6", "gaze_x", "macro_motion_energy"])
+    z = nodes(frames(spark, d))
     out = graph.temporal_split(graph.model_windows(z, least=0.45))
     return out.select("file_index", F.col("window").cast("long").alias("window"), F.col("valid").cast("long").alias("valid"), "train")
 
 
-MODEL_WINDOWS = f"""with {FRAMES}, l as ({_NODES}), n as (select file_index, max(idx) + 1 as n from frames group by 1), v as (select l.file_index, idx, cast(v is not null and is_audio_active = 1 as integer) as ok, n from l join n on n.file_index = l.file_index),
+MODEL_WINDOWS = f"""with {FRAMES}, l as ({_NODES}), n as (select file_index, max(idx) + 1 as n from frames group by 1), v as (select l.file_index, idx, cast({_OK} as integer) as ok, n from l join n on n.file_index = l.file_index),
 a as (select *, unnest(range(greatest(0, floor((idx - 90) / 15e0) + 1)::bigint, idx // 15 + 1)) as w from v), g as (select file_index, w, sum(ok) as valid from a where w * 15 + 90 <= n group by 1, 2 having sum(ok) >= 0.45 * 90 * 4)
 select file_index, w as window, cast(valid as bigint) as valid, row_number() over (partition by file_index order by w) <= floor(count(*) over (partition by file_index) * 0.8e0) as train from g"""
 
 
+_RESIDUAL_NODES = ("AU12", "AU6", "gaze_x", "macro_motion_energy")
+
+
 def residual_attribution(spark, d):
-    """Errors of predicting nothing, in windows of 60 rows, against those of the clips of recording 0, by node and as a whole."""
-    nodes = ["AU12", "AU6", "gaze_x", "macro_motion_energy"]
-    z = graph.standardised(frames(spark, d), nodes).withColumn("predicted", F.lit(0.0))
+    """Errors of predicting nothing, in windows of 60 rows, against those of the first clip of the own recording, by node and as a whole."""
+    z = nodes(frames(spark, d)).withColumn("predicted", F.lit(0.0))
     err = graph.masked_error(z, ["file_index", "idx", "channel"])
-    win = err.groupBy("file_index", F.floor(F.col("idx") / 60).alias("window"), F.col("channel").alias("node")).agg(F.avg("error").alias("error"))
-    out = graph.residual_table(win, win.where("file_index % 10 = 0"), on=["file_index", "window"])
-    return rounded(out.select("file_index", "window", *[F.col("coupling_z")[n].alias(f"z_{n}") for n in nodes], "global_z", "max_z"), 5)
+    win = err.groupBy((F.col("file_index") % 10).alias("recording_id"), "file_index", F.floor(F.col("idx") / 60).alias("window"), F.col("channel").alias("node")).agg(F.avg("error").alias("error"))
+    first = win.groupBy("recording_id").agg(F.min("file_index").alias("file_index"))
+    out = graph.residual_table(win, win.join(first, ["recording_id", "file_index"]), ["file_index", "window"], ["recording_id"])
+    return rounded(out.select("file_index", "window", *[F.col("coupling_z")[n].alias(f"z_{n}") for n in _RESIDUAL_NODES], "global_z", "max_z"), 5)
 
 
-_Z = ", ".join(f"{r(f'max(case when channel = {chr(39)}{n}{chr(39)} then z end)', 5)} as z_{n}" for n in ("AU12", "AU6", "gaze_x", "macro_motion_energy"))
+_Z = ", ".join(f"{r(f'max(case when channel = {chr(39)}{n}{chr(39)} then z end)', 5)} as z_{n}" for n in _RESIDUAL_NODES)
 RESIDUAL = f"""with {FRAMES}, l as ({_NODES}), s as (select recording_id, channel, coalesce(avg(v), 0) as m, case when coalesce(stddev_samp(v), 0) < 1e-8 then 1e0 else stddev_samp(v) end as sd from l group by 1, 2),
-e as (select file_index, idx, channel, case when v is not null and is_audio_active = 1 then pow((v - m) / sd, 2) else 0 end as e from l join s using (recording_id, channel)),
-w as (select file_index, idx // 60 as win, channel, avg(e) as e from e group by 1, 2, 3), b as (select channel, avg(e) as m, stddev_pop(e) + 1e-6 as s from w where file_index % 10 = 0 group by 1), z as (select file_index, win, channel, (e - m) / s as z from w join b using (channel))
+e as (select file_index, idx, channel, case when {_OK} then pow((v - m) / sd, 2) else 0 end as e from l join s using (recording_id, channel)),
+w as (select file_index, idx // 60 as win, channel, avg(e) as e from e group by 1, 2, 3), f as (select file_index % 10 as rec, min(file_index) as file_index from w group by 1),
+b as (select rec, channel, avg(e) as m, stddev_pop(e) + 1e-6 as s from w join f using (file_index) group by 1, 2), z as (select file_index, win, w.channel, (e - m) / s as z from w join b on b.rec = w.file_index % 10 and b.channel = w.channel)
 select file_index, win as "window", {_Z}, {r("sum(z)", 5)} as global_z, {r("max(z)", 5)} as max_z from z group by 1, 2"""
 
 
+MODELLED = ("AU12", "AU6", "macro_motion_energy")
+
+
+def neighbour_models(spark, d):
+    """Ridge models of three channels on one another, by recording."""
+    return rounded(graph.neighbour_models(frames(spark, d), list(MODELLED), ["recording_id"]))
+
+
+def _ridge(y, a, b):
+    """Weights of a and b for y in closed form, from correlations."""
+    ra, rb, rab = f"corr({y}, {a})", f"corr({y}, {b})", f"corr({a}, {b})"
+    det = f"(1.21e0 - {rab} * {rab})"
+    wa, wb = f"(1.1e0 * {ra} - {rab} * {rb}) / {det} * stddev_pop({y}) / stddev_pop({a})", f"(1.1e0 * {rb} - {rab} * {ra}) / {det} * stddev_pop({y}) / stddev_pop({b})"
+    return [(y, a, wa), (y, b, wb), (y, "(intercept)", f"avg({y}) - {wa} * avg({a}) - {wb} * avg({b})")]
+
+
+_WEIGHTS = [w for k, y in enumerate(MODELLED) for w in _ridge(y, *[x for x in MODELLED if x != y])]
+NEIGHBOURS = f"""with {FRAMES}, c as (select * from frames where {" and ".join(f"{x} is not null" for x in MODELLED)}),
+w as ({" union all ".join(f"select recording_id, '{y}' as channel, '{x}' as neighbour, {w} as weight from c group by 1" for y, x, w in _WEIGHTS)})
+select recording_id, channel, neighbour, {r("weight")} as weight from w"""
+
+
+def model_health(spark, d):
+    """Loss of what the neighbours tell of each clip's AU12, against that of telling its mean, both weighted by confidence."""
+    rows = frames(spark, d)
+    told = graph.predicted(rows, graph.neighbour_models(rows, list(MODELLED), ["recording_id"]), list(MODELLED), ["recording_id"])
+    mean = rows.groupBy("recording_id").agg(F.avg("AU12").alias("_mean"))
+    told = told.join(mean, "recording_id").select("file_index", "idx", F.col("AU12").alias("z"), F.col("predicted_AU12").alias("p"), "_mean", "joint_confidence", F.col("predicted_AU12").isNotNull().cast("int").alias("valid"))
+    loss = lambda x: graph.weighted_loss(graph.masked_error(told.withColumn("predicted", F.col(x)), ["file_index", "idx", "joint_confidence"]), ["file_index"], "joint_confidence", target=True)
+    return rounded(graph.coupling_ratio(loss("p"), loss("_mean"), ["file_index"]), 5)
+
+
+HEALTH = f"""with {FRAMES}, c as (select * from frames where {" and ".join(f"{x} is not null" for x in MODELLED)}),
+m as (select recording_id, {", ".join(f"{w} as w{k}" for k, (_, _, w) in enumerate(_WEIGHTS[:3]))} from c group by 1), a as (select recording_id, avg(AU12) as mean from frames group by 1),
+e as (select file_index, w, pow(w0 * AU6 + w1 * macro_motion_energy + w2 - AU12, 2) as e, pow(mean - AU12, 2) as e0 from frames join m using (recording_id) join a using (recording_id) where macro_motion_energy is not null and AU6 is not null),
+o as (select file_index, sum(e * w) / greatest(sum(w), 1e-6) as loss, sum(e0 * w) / greatest(sum(w), 1e-6) as zero_loss from e group by 1)
+select file_index, {r("loss", 5)} as loss, {r("zero_loss", 5)} as zero_loss, {r("loss / nullif(zero_loss, 0)", 5)} as ratio, loss / nullif(zero_loss, 0) < 0.9 as healthy from o"""
+
+
 def _cosines(spark, d):
     p = pool(spark, d)
     prof = diarize.weighted_profile(p.where("kind in (0, 1)"), ["kind"])
@@ -308,6 +351,8 @@ ALL = {
     "residual_attribution": (residual_attribution, RESIDUAL),
     "score_thresholds": (score_thresholds, THRESHOLDS),
     "anchored_spans": (anchored_spans, ANCHORED),
+    "neighbour_models": (neighbour_models, NEIGHBOURS),
+    "model_health": (model_health, HEALTH),
     "pool_growth": (pool_growth, GROWTH),
     "pooled_profile": (pooled_profile, PROFILE),
     "candidate_discards": (candidate_discards, DISCARDS),

@@ -33,6 +33,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_extendedprice") / 80000).alias("AU25"),
         (F.col("l_tax") * 6).alias("AU26"),
         F.when(F.col("l_returnflag") != "N", 1.0).otherwise(0.0).alias("is_audio_active"),
+        F.when(F.col("l_linenumber") != 3, F.col("l_tax") * 12).alias("face_confidence"),
         F.when(F.col("l_linenumber") == 1, 1).otherwise(0).alias("is_blinking"),
         F.col("l_returnflag").alias("emotion_label"),
     )
