@@ -125,6 +125,26 @@ def identities(clustered: DataFrame, scores: DataFrame) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(W.partitionBy("file_index").orderBy(F.desc("n"), "identity")))
 
 
+def smoothed(rows: DataFrame, value: str, here: str, still: str | None = None, span: int = 5, memory: int = 120, name: str = "smoothed") -> DataFrame:
+    """rows (file_index, t_ms, value, here, still) with the exponential mean of the values so far.
+
+    It begins anew with the first value after an absence (here false, where it is null), and stays as it is where there is
+    no value or `still` holds. What lies `memory` values back weighs (1 - 2/(span+1))**memory, nothing at all in doubles.
+    """
+    order = W.partitionBy("file_index").orderBy("t_ms")
+    off = ~F.coalesce(F.col(here), F.lit(False))
+    hold = F.coalesce(F.col(still), F.lit(False)) if still else F.lit(False)
+    cut = rows.withColumn("_run", F.sum(off.cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    cut = cut.withColumn("_v", F.when(~off & ~hold, F.col(value).cast("double"))).withColumn("_some", F.col("_v").isNotNull())
+    past = F.collect_list("_v").over(W.partitionBy("file_index", "_run", "_some").orderBy("t_ms").rowsBetween(-(memory - 1), 0))
+    a = 2.0 / (span + 1)
+    mean = F.aggregate(F.slice("_p", 2, memory), F.get("_p", F.lit(0)), lambda s, x: s + a * (x - s))
+    told = cut.withColumn("_p", F.when(F.col("_some"), past)).withColumn("_m", F.when(F.col("_some"), mean))
+    inside = W.partitionBy("file_index", "_run").orderBy("t_ms").rowsBetween(W.unboundedPreceding, 0)
+    out = F.when(~off, F.last("_m", ignorenulls=True).over(inside))
+    return told.withColumn(name, out).select(*rows.columns, name)
+
+
 @dataclass
 class Capture:
     """Candidate windows from what is seen of two mouths, one observation after another.

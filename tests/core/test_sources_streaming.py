@@ -1,5 +1,7 @@
 import json
+import shutil
 import tempfile
+import time
 from datetime import datetime, timedelta
 from pathlib import Path
 
@@ -7,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brolga.operators import enroll
+from brolga.operators.enroll import CAPTURED
 from brolga.sources import io
 from brolga.streaming import jobs
 
@@ -124,7 +127,7 @@ def _drain(query, name):
 def test_changes(spark, folder):
     at = datetime(2024, 1, 1)
     rows = [("a", s, at + timedelta(seconds=k)) for k, s in enumerate(["q", "q", "x", "x", "q"])]
-    _drain(jobs.changes(_stream(spark, folder, spark.createDataFrame(rows, jobs.PROFILE), 0)), "changed")
+    _drain(jobs.changes(_stream(spark, folder, spark.createDataFrame(rows, jobs.PROFILE), 0), None), "changed")
     assert [r.state for r in spark.table("changed").orderBy("updated_at").collect()] == ["q", "x", "q"]
 
 
@@ -134,7 +137,7 @@ def test_stream_captures_as_the_batch_does(spark, folder):
     batch = spark.createDataFrame(rows, cols)
     want = sorted(map(tuple, enroll.capture_windows(batch).collect()))
     ends = spark.createDataFrame([(f, None, None, None, None, None, None, None) for f in range(3)], cols)
-    _drain(jobs.capture_stream(_stream(spark, folder, batch.union(ends).coalesce(1), 1)), "captured")
+    _drain(jobs.capture_stream(_stream(spark, folder, batch.union(ends).coalesce(1), 1), None), "captured")
     assert want and sorted(map(tuple, spark.table("captured").collect())) == want
 
 
@@ -145,3 +148,69 @@ def test_sliding_stream(spark, folder):
     _drain(jobs.sliding(_stream(spark, folder, d, 2)), "slid")
     got = {r.start - at: (r.frame_count, r["mean"]) for r in spark.table("slid").where(F.col("start") >= at).collect()}
     assert got[timedelta(0)] == (4, 1.5) and got[timedelta(seconds=1)] == (4, 3.5)
+
+
+def _until(enough, limit=60):
+    end = time.time() + limit
+    while not enough() and time.time() < end:
+        time.sleep(0.5)
+    return enough()
+
+
+def test_silent_files_are_closed_and_a_restart_goes_on(spark, folder):
+    cols = "file_index long, t_ms long, here boolean, turned boolean, mar double, other_here boolean, other_mar double, speech boolean"
+    rows = [(f, 100 * k, True, False, 0.3, False, None, (k // 12 + f) % 2 == 0) for f in range(2) for k in range(60)]
+    whole = spark.createDataFrame(rows, cols)
+    want = sorted(map(tuple, enroll.capture_windows(whole).collect()))
+    path, out = str(folder / "seen"), str(folder / "out")
+
+    def start():
+        stream = spark.readStream.schema(whole.schema).parquet(path)
+        return jobs.capture_stream(stream, 20_000).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(folder / "cp2")).start()
+
+    got = lambda: sorted(map(tuple, spark.read.schema(CAPTURED).parquet(out).collect())) if list((folder / "out").glob("*.parquet")) else []
+    whole.where("t_ms < 3000").coalesce(1).write.parquet(path)
+    query = start()
+    assert _until(lambda: query.lastProgress is not None and query.lastProgress["batchId"] >= 0)
+    query.stop()
+    whole.where("t_ms >= 3000").coalesce(1).write.mode("append").parquet(path)
+    query = start()
+    try:
+        assert _until(lambda: len(got()) >= len(want)), query.exception()
+    finally:
+        query.stop()
+    assert got() == want and any(r[3] == "end" for r in want)
+
+
+def test_final_states_are_forgotten(spark, folder):
+    at = datetime(2024, 1, 1)
+    path = str(folder / "states")
+    put = lambda *rows: spark.createDataFrame([(s, x, at + timedelta(hours=k)) for s, x, k in rows], jobs.PROFILE).coalesce(1).write.mode("append").parquet(path)
+    put(("a", "queued", 0), ("a", "completed", 1), ("b", "queued", 0))
+    told = jobs.changes(spark.readStream.schema(jobs.PROFILE).parquet(path), 1000)
+    query = told.writeStream.format("memory").queryName("forgot").outputMode("append").start()
+    try:
+        n = lambda: spark.table("forgot").count()
+        assert _until(lambda: n() == 3)
+        time.sleep(3)
+        put(("a", "completed", 5), ("b", "queued", 5), ("c", "queued", 5))
+        assert _until(lambda: n() == 5)
+    finally:
+        query.stop()
+    assert sorted((r.session_id, r.state) for r in spark.table("forgot").where(F.col("updated_at") > at + timedelta(hours=2)).collect()) == [("a", "completed"), ("c", "queued")]
+
+
+def test_a_lost_version_raises_and_restarts_mark(spark, folder):
+    at = datetime(2024, 1, 1)
+    path = str(folder / "more")
+    put = lambda s, k: spark.createDataFrame([(s, "queued", at + timedelta(hours=k))], jobs.PROFILE).coalesce(1).write.mode("append").parquet(path)
+    run = lambda: jobs.keep_ledger(spark.readStream.schema(jobs.PROFILE).parquet(path), str(folder / "led"), str(folder / "cp3")).trigger(availableNow=True).start()
+    put("a", 0)
+    run().awaitTermination(60)
+    shutil.move(str(folder / "led" / "v=0"), str(folder / "gone"))
+    put("b", 1)
+    with pytest.raises(Exception, match="which is not there"):
+        run().awaitTermination(60)
+    rows = [("a", "active", at), ("b", "completed", at), ("c", "interrupted", at)]
+    got = jobs.mark_interrupted(spark.createDataFrame(rows, jobs.PROFILE), F.lit(at + timedelta(hours=1)).cast("timestamp")).collect()
+    assert {r.session_id: (r.state, r.updated_at == at) for r in got} == {"a": ("interrupted", False), "b": ("completed", True), "c": ("interrupted", True)}
