@@ -104,16 +104,61 @@ def read_segments(spark: SparkSession, path: str, expected: str) -> DataFrame:
     return segs.join(files, "file_index", "left")
 
 
-def read_log(spark: SparkSession, path: str, schema: str = "seq long, operation string, payload string, payload_sha256 string, prev_sha256 string, entry_sha256 string") -> DataFrame:
-    """Audit entries of JSON lines; blank lines are skipped, SourceError for a line that is not JSON or an empty file."""
+def read_log(spark: SparkSession, path: str, schema: str = "seq long, operation string, payload string, payload_sha256 string, prev_sha256 string, entry_sha256 string", expected: str | None = None) -> DataFrame:
+    """Audit entries of JSON lines; blank lines are skipped. SourceError for a line that is not JSON, an empty file, or an entry
+    whose own schema string is not the expected one."""
     lines = spark.read.text(path).where(F.trim("value") != "")
-    rows = lines.select(F.from_json("value", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r")).select("r.*")
+    rows = lines.select(F.from_json("value", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"), "value").select("r.*", "value")
     if rows.isEmpty():
         raise SourceError("the log is empty")
     bad = rows.where("_bad is not null").first()
     if bad:
         raise SourceError(f"not JSON: {bad._bad[:80]}")
-    return rows.drop("_bad")
+    if expected is not None:
+        odd = rows.select(F.get_json_object("value", "$.schema").alias("schema")).where(~F.col("schema").eqNullSafe(F.lit(expected))).first()
+        if odd:
+            raise SourceError(f"schema {odd.schema!r} is not {expected!r}")
+    return rows.drop("_bad", "value")
+
+
+_CLICKS = {"speaking": "$.speaking_click", "extra": "$.speaking_clicks", "anti": "$.anti_click"}
+
+
+def parse_clicks(docs: DataFrame, text: str = "value") -> DataFrame:
+    """Clicks of JSON documents as an operator leaves them: docs' other columns, role (speaking, extra or anti), place (from 0),
+    file_index, pts_ms, x, y, target_bearded and interviewer_bearded.
+
+    speaking_click is mandatory, anti_click (null or absent: none) and the list speaking_clicks are not; flags are false if absent.
+    SourceError if a document is not JSON, lacks the speaking click, has a click whose file_index or pts_ms is no whole number,
+    or whose x or y is no number, or a flag that is no boolean. Documents are taken apart as variants, row by row in Spark.
+    """
+    keep = [c for c in docs.columns if c != text]
+    v = F.try_parse_json(text)
+    rows = docs.select(*keep, v.alias("_v"))
+    kind = lambda x: F.regexp_replace(F.schema_of_variant(x), r"DECIMAL.*", "DECIMAL")
+    at = lambda x, p, t="variant": F.try_variant_get(x, p, t)
+    flags = {f: at(F.col("_v"), f"$.{f}") for f in ("target_bearded", "interviewer_bearded")}
+    bad = F.col("_v").isNull() | at(F.col("_v"), _CLICKS["speaking"]).isNull()
+    for x in flags.values():
+        bad = bad | F.coalesce(kind(x) != "BOOLEAN", F.lit(False))
+    one = lambda role: F.array(F.struct(F.lit(role).alias("role"), at(F.col("_v"), _CLICKS[role]).alias("click")))
+    extra = F.transform(F.coalesce(at(F.col("_v"), _CLICKS["extra"], "array<variant>"), F.array().cast("array<variant>")), lambda c: F.struct(F.lit("extra").alias("role"), c.alias("click")))
+    rows = rows.select(*keep, bad.alias("_bad"), *[F.coalesce(at(F.col("_v"), f"$.{f}", "boolean"), F.lit(False)).alias(f) for f in flags], F.posexplode(F.concat(one("speaking"), extra, one("anti"))).alias("_n", "_c"))
+    click = F.col("_c.click")
+    there = (click.isNotNull() & ~F.is_variant_null(click)) | (F.col("_c.role") != "anti")
+    rows = rows.where(there)
+    whole = lambda f: F.coalesce(kind(at(click, f"$.{f}")).isin("BIGINT", "INT", "SMALLINT", "TINYINT"), F.lit(False))
+    number = lambda f: at(click, f"$.{f}", "double").isNotNull()
+    wrong = rows.where(F.col("_bad") | ~whole("file_index") | ~whole("pts_ms") | ~number("x") | ~number("y")).select(*keep, "_c.role").first()
+    if wrong:
+        raise SourceError(f"clicks: a {wrong.role} click, or its document, is not as it must be ({', '.join(f'{c}={wrong[c]}' for c in keep)})")
+    n = F.when(F.col("_c.role") == "extra", F.col("_n") - 1).otherwise(0)
+    return rows.select(*keep, F.col("_c.role").alias("role"), n.alias("place"), *[at(click, f"$.{f}", t).alias(f) for f, t in (("file_index", "long"), ("pts_ms", "long"), ("x", "double"), ("y", "double"))], *flags)
+
+
+def read_operator_clicks(spark: SparkSession, path: str) -> DataFrame:
+    """parse_clicks() of whole files, with the file they come from."""
+    return parse_clicks(spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("file")))
 
 
 def read_clicks(spark: SparkSession, path: str) -> DataFrame:

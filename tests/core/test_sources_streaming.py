@@ -81,6 +81,21 @@ def test_labels_log_lists_and_listing(spark, folder):
     assert [tuple(r)[1:] for r in io.list_package(spark, str(folder / "pkg")).collect()] == [("mp4", 3)]
 
 
+def test_operator_clicks(spark, folder):
+    good = {"speaking_click": {"file_index": 0, "pts_ms": 5, "x": 1, "y": 2.5}, "speaking_clicks": [{"file_index": 1, "pts_ms": 7, "x": 1.0, "y": 2}], "anti_click": None, "target_bearded": True, "more": [1]}
+    (folder / "c.json").write_text(json.dumps(good, indent=2))
+    got = io.read_operator_clicks(spark, str(folder / "c.json")).drop("file").collect()
+    assert sorted(map(tuple, got)) == [("extra", 0, 1, 7, 1.0, 2.0, True, False), ("speaking", 0, 0, 5, 1.0, 2.5, True, False)]
+    click = good["speaking_click"]
+    for odd in ("{", {}, {"speaking_click": None}, {"speaking_click": {**click, "pts_ms": True}}, {"speaking_click": {**click, "pts_ms": 5.5}}, {"speaking_click": {**click, "file_index": "0"}}, {**good, "target_bearded": 1}, {**good, "anti_click": {"x": 1}}, {**good, "speaking_clicks": [{}]}):
+        text = odd if isinstance(odd, str) else json.dumps(odd)
+        with pytest.raises(io.SourceError):
+            io.parse_clicks(spark.createDataFrame([(text,)], "value string"))
+    (folder / "s.jsonl").write_text('{"schema": "a", "seq": 0}\n{"schema": "b", "seq": 1}\n')
+    with pytest.raises(io.SourceError, match="'b'"):
+        io.read_log(spark, str(folder / "s.jsonl"), "seq long", "a")
+
+
 def test_results(spark, folder):
     d = spark.createDataFrame([(0, 2, "b"), (0, 1, "a")], "file_index long, n long, x string")
     io.write_results(d, str(folder / "r"), ["n", "x"], ["file_index"])
