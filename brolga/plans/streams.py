@@ -91,12 +91,12 @@ def sliding_stream(spark, d):
     k = F.get_json_object("props", "$.k").cast("double") / 100
     rows = _event_stream(spark, d).select((F.col("user_id") % 10).alias("file_index"), "ts", k.alias("joint_confidence"), "value")
     out = jobs.drained(jobs.sliding(rows, "2 hours", "1 hour", "30 minutes"))
-    return rounded(out.select("file_index", F.unix_micros("start").alias("start_us"), "frame_count", "mean"))
+    return rounded(out.select("file_index", F.unix_micros("start").alias("start_us"), "frame_count", "mean"), 9)
 
 
 SLIDING = f"""with e as (select user_id % 10 as f, epoch_us(ts) as t, coalesce(json_extract_string(props, '$.k')::double / 100, 0) as w, value from events),
 w as (select *, unnest([t // 3600000000 * 3600000000, t // 3600000000 * 3600000000 - 3600000000]) as s from e)
-select f as file_index, s as start_us, count(*) as frame_count, {r("sum(w * value) / nullif(sum(case when value is not null then w end), 0)")} as mean from w
+select f as file_index, s as start_us, count(*) as frame_count, {r("sum(w * value) / nullif(sum(case when value is not null then w end), 0)", 9)} as mean from w
 group by 1, 2 having s + 7200000000 <= (select max(t) // 1000 * 1000 - 1800000000 from e)"""
 
 ALL = {
