@@ -35,12 +35,14 @@ def _cells(rows: DataFrame, by: list[str], value: str, counts: dict[str, Column]
     v = F.col(value).cast("double")
     known = rows.where(v.isNotNull() & ~F.isnan(v)).withColumn(value, v)
     each = known.groupBy(*by, value).agg(*[c.alias(n) for n, c in counts.items()])
-    ends = each.groupBy(*by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
-    return same_keys(each, ends, by).select(*each.columns, *_cell(F.col(value), F.col("_low"), F.col("_high")))
+    # the totals are wanted too, so both uses of the counts read the same columns and Spark shuffles them once
+    ends = each.groupBy(*by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), *[F.sum(n).alias(f"{n}_total") for n in counts])
+    return same_keys(each, ends, by).select(*each.columns, *[f"{n}_total" for n in counts], *_cell(F.col(value), F.col("_low"), F.col("_high")))
 
 
 def cumulated(rows: DataFrame, by: list[str], value: str, counts: dict[str, Column]) -> DataFrame:
-    """(by, value, counts, and <count>_before): a row for each different value, with sums over all smaller ones of its group.
+    """(by, value, counts, <count>_before, <count>_total): a row for each different value, with sums over all smaller ones of its
+    group, and over all of it.
 
     Null and NaN are no values. counts are aggregates by name, sums or counts.
     """
@@ -52,15 +54,16 @@ def cumulated(rows: DataFrame, by: list[str], value: str, counts: dict[str, Colu
     cells = each.groupBy(*keys).agg(*[F.sum(n).alias(f"_sum_{n}") for n in counts])
     cells = cells.select(*keys, *[zero(F.sum(f"_sum_{n}").over(below)).alias(f"_below_{n}") for n in counts])
     out = same_keys(each.withColumns({f"_in_{n}": zero(F.sum(n).over(inside)) for n in counts}), cells, keys)
-    return out.select(*by, value, *counts, *[(F.col(f"_below_{n}") + F.col(f"_in_{n}")).alias(f"{n}_before") for n in counts])
+    return out.select(*by, value, *counts, *[(F.col(f"_below_{n}") + F.col(f"_in_{n}")).alias(f"{n}_before") for n in counts], *[f"{n}_total" for n in counts])
 
 
 def average_ranks(rows: DataFrame, by: list[str], value: str, rank: str = "rank", size: str = "n") -> DataFrame:
     """rows with the rank of their value from 1 within the group, ties at their average, and the number of values there."""
     told = cumulated(rows, by, value, {"_c": F.count("*")}).withColumnRenamed(value, "_value")
-    told = told.select(*by, "_value", "_c", (F.col("_c_before") + (F.col("_c") + 1) / 2).alias(rank))
-    sizes = told.groupBy(*by).agg(F.sum("_c").alias(size))
-    return same_keys(same_keys(rows.withColumn("_value", F.col(value).cast("double")), told.drop("_c"), [*by, "_value"], "left"), sizes, by, "left").drop("_value")
+    told = told.select(*by, "_value", (F.col("_c_before") + (F.col("_c") + 1) / 2).alias(rank))
+    sizes = rows.groupBy(*by).agg(F.count(F.when(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")), 1)).alias(size))
+    sizes = sizes.where(F.col(size) > 0)
+    return same_keys(same_keys(rows.withColumn("_value", F.col(value).cast("double")), told, [*by, "_value"], "left"), sizes, by, "left").drop("_value")
 
 
 def pairs_won(rows: DataFrame, by: list[str], value: str, up: Column, down: Column) -> DataFrame:
@@ -79,13 +82,13 @@ def pairs_won(rows: DataFrame, by: list[str], value: str, up: Column, down: Colu
 def quantiles(rows: DataFrame, by: list[str], value: str, parts: dict[str, float]) -> DataFrame:
     """(by, and for each name of parts that quantile): exact, between two values in proportion; no row without a value."""
     each = cumulated(rows, by, value, {"_c": F.count("*")})
-    sizes = each.groupBy(*by).agg(F.sum("_c").alias("_n"))
-    each = same_keys(each, sizes, by)
-    holds = lambda at: (F.col("_c_before") <= at) & (at < F.col("_c_before") + F.col("_c"))
-    out = []
-    for name, p in parts.items():
-        at = F.lit(float(p)) * (F.col("_n") - 1)
-        low, high = F.max(F.when(holds(F.floor(at)), F.col(value))), F.max(F.when(holds(F.ceil(at)), F.col(value)))
-        out += [low.alias(f"_low_{name}"), high.alias(f"_high_{name}"), F.max(at - F.floor(at)).alias(f"_part_{name}")]
-    told = each.groupBy(*by).agg(*out)
-    return told.select(*by, *[F.when(F.col(f"_part_{n}") > 0, F.col(f"_low_{n}") + F.col(f"_part_{n}") * (F.col(f"_high_{n}") - F.col(f"_low_{n}"))).otherwise(F.col(f"_low_{n}")).alias(n) for n in parts])
+    return each.groupBy(*by).agg(*[quantile(value, "_c", p).alias(n) for n, p in parts.items()])
+
+
+def quantile(value: str, count: str, part: float) -> Column:
+    """Aggregate over the rows of cumulated(): that quantile of the values by their `count`, between two in proportion."""
+    n, before, total = F.col(count), F.col(f"{count}_before"), F.col(f"{count}_total")
+    at = F.lit(float(part)) * (total - 1)
+    holds = lambda k: F.when((n > 0) & (before <= k) & (k < before + n), F.col(value))
+    low, high, rest = F.max(holds(F.floor(at))), F.max(holds(F.ceil(at))), F.max(at - F.floor(at))
+    return F.when(rest > 0, low + rest * (high - low)).otherwise(low)

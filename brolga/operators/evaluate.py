@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from brolga.functions.exprs import island, percentile_rank
 from brolga.functions.intervals import overlap, overlap_join
-from brolga.functions.ranks import pairs_won, quantiles
+from brolga.functions.ranks import cumulated, pairs_won, quantile, quantiles
 
 ADEQUATE = 30
 HIGH = 0.60
@@ -69,11 +69,17 @@ def subject_scores(rows: DataFrame) -> DataFrame:
 
     Percentiles and centring are by clip, whose windows are one group; what is by subject is spread by value.
     """
-    rows = centred(within_clip_percentile(rows))
-    auc = rank_auc(rows, ["subject", "channel"], is_label("positive"), is_label("negative"), "pct")
-    mid = class_medians(rows, ["subject", "channel"], "centred", ("positive", "negative"))
-    way = mid.select("subject", "channel", direction(F.col("med_positive"), F.col("med_negative")).alias("dir"))
-    return auc.join(way, ["subject", "channel"], "left").na.fill(0, ["dir"])
+    rows = centred(within_clip_percentile(rows)).where(is_label("positive") | is_label("negative"))
+    both = F.explode(F.array(F.struct(F.lit("pct").alias("of"), F.col("pct").alias("x")), F.struct(F.lit("centred").alias("of"), F.col("centred").alias("x")))).alias("_s")
+    rows = rows.select("subject", "channel", "label", both).select("subject", "channel", "label", "_s.of", "_s.x")
+    told = cumulated(rows, ["subject", "channel", "of"], "x", {"up": F.count(F.when(is_label("positive"), 1)), "down": F.count(F.when(is_label("negative"), 1))})
+    won = F.sum(F.col("up") * (F.col("down_before") + F.col("down") / 2))
+    by = told.groupBy("subject", "channel", "of").agg(F.max("up_total").alias("n_pos"), F.max("down_total").alias("n_neg"), won.alias("won"), quantile("x", "up", 0.5).alias("pos"), quantile("x", "down", 0.5).alias("neg"))
+    of = lambda kind, c: F.max(F.when(F.col("of") == kind, F.col(c)))
+    out = by.groupBy("subject", "channel").agg(of("pct", "n_pos").alias("n_pos"), of("pct", "n_neg").alias("n_neg"), of("pct", "won").alias("won"), of("centred", "pos").alias("pos"), of("centred", "neg").alias("neg"))
+    enough = (F.col("n_pos") >= 3) & (F.col("n_neg") >= 3)
+    auc = F.when(enough, F.col("won") / F.col("n_pos") / F.col("n_neg"))
+    return out.select("subject", "channel", "n_pos", "n_neg", auc.alias("auc"), direction(F.col("pos"), F.col("neg")).alias("dir"))
 
 
 def class_medians(rows: DataFrame, by: list[str], value: str, labels: tuple[str, ...]) -> DataFrame:
@@ -82,10 +88,10 @@ def class_medians(rows: DataFrame, by: list[str], value: str, labels: tuple[str,
     return mid.groupBy(*by).agg(*[F.max(F.when(is_label(x), F.col("_m"))).alias(f"med_{x}") for x in labels])
 
 
-def verdicts(scores: DataFrame) -> DataFrame:
+def verdicts(scores: DataFrame, more: tuple[Column, ...] = ()) -> DataFrame:
     """By channel: whether its AUC is high in two thirds of the adequate subjects, and always in one direction.
 
-    scores: (subject, channel, n_pos, n_neg, auc, dir).
+    scores: (subject, channel, n_pos, n_neg, auc, dir); more: other aggregates by channel.
     """
     adequate = (F.col("n_pos") >= ADEQUATE) & (F.col("n_neg") >= ADEQUATE) & F.col("auc").isNotNull()
     n = F.count(F.when(adequate, 1))
@@ -94,6 +100,7 @@ def verdicts(scores: DataFrame) -> DataFrame:
         F.count(F.when(adequate & (F.col("auc") >= HIGH), 1)).alias("high"),
         F.count(F.when(adequate & (F.col("dir") > 0), 1)).alias("up"),
         F.count(F.when(adequate & (F.col("dir") < 0), 1)).alias("down"),
+        *more,
     )
     need = F.ceil(F.col("n_adequate") * 2 / 3)
     magnitude = F.col("high") >= need
@@ -110,9 +117,8 @@ def verdicts(scores: DataFrame) -> DataFrame:
 def scorecard(scores: DataFrame, subjects: list, tracked: list[str]) -> DataFrame:
     """A row for each channel, with auc_<subject> and dir_<subject>, in order: the tracked channels before others, then by
     verdict, then by name. place is that order; `tracked` names the channels that were to be followed, whatever they score."""
-    wide = scores.groupBy("channel").pivot("subject", subjects).agg(F.first("auc").alias("auc"), F.first("dir").alias("dir"))
-    wide = wide.select("channel", *[F.col(f"{s}_{k}").alias(f"{k}_{s}") for s in subjects for k in ("auc", "dir")])
-    rows = verdicts(scores).join(wide, "channel").withColumn("tracked", F.col("channel").isin(tracked) if tracked else F.lit(False))
+    wide = tuple(F.max(F.when(F.col("subject") == s, F.col(k))).alias(f"{k}_{s}") for s in subjects for k in ("auc", "dir"))
+    rows = verdicts(scores, wide).withColumn("tracked", F.col("channel").isin(tracked) if tracked else F.lit(False))
     order = W.partitionBy(F.lit(0)).orderBy(F.desc("tracked"), "verdict", "channel")  # a row for each channel, which are few
     return rows.withColumn("place", F.row_number().over(order)).orderBy("place")
 
