@@ -179,7 +179,7 @@ _SAID = """sp as (select label as file_index, vec_id * 10 as s, vec_id * 10 + 30
 
 
 def _with_profile(spark, d):
-    p = table(spark, d, "embeddings").where("vec_id = 0").select(F.col("embedding").alias("_profile"))
+    p = table(spark, d, "embeddings").where("vec_id = 0").limit(1).select(F.col("embedding").alias("_profile"))
     return _faces(spark, d).crossJoin(F.broadcast(p))
 
 
