@@ -67,7 +67,8 @@ def _by_group(rows: DataFrame, by: list[str], vector: str, summed) -> DataFrame:
                 yield put()
 
     parts = rows.select(*by, vector).mapInArrow(run, f"{kinds + ', ' if by else ''}_m array<double>")
-    return vector_sums(parts, by, "_m").select(*by, F.get("total", F.lit(0)).cast("long").alias("n"), F.col("total").alias("_t"))
+    # the summarizer keeps means, so a count of many parts comes back a hair below or above the whole number
+    return vector_sums(parts, by, "_m").select(*by, F.rint(F.get("total", F.lit(0))).cast("long").alias("n"), F.col("total").alias("_t"))
 
 
 def moments(rows: DataFrame, by: list[str], vector: str = "vector") -> DataFrame:
