@@ -3,6 +3,7 @@
 import pytest
 
 from brolga.functions.vectors import cross_moments
+from brolga.operators import calibrate
 
 
 @pytest.fixture
@@ -18,3 +19,10 @@ def test_moments_count_every_row_of_many_parts(spark, small_batches):
     rows = spark.range(10_000, numPartitions=1).selectExpr("pmod(xxhash64(id), 7) as g", "id % 13 / 3D as a", "id % 17 / 7D as b")
     got = {r.g: r.n for r in cross_moments(rows, ["g"], ["a", "b"]).collect()}
     assert got == {r.g: r["count"] for r in rows.groupBy("g").count().collect()}
+
+
+def test_magnitudes_equal_but_for_rounding_tie(spark):
+    rows = spark.createDataFrame([(0, 1, k, k * 1.0, k + 2.0, x) for k, x in enumerate([1.0, 0.1 + 0.2, 0.3, 2.0])], "recording_id long, file_index long, window_id long, start_time_ms double, end_time_ms double, deviation_magnitude double")
+    offsets = spark.createDataFrame([(0, 1, 0.0)], "recording_id long, file_index long, file_offset_ms double")
+    got = {r.clip_window_id: r.deviation_percentile for r in calibrate.assemble(rows, offsets).collect()}
+    assert got == {0: 3 / 4, 1: 1.5 / 4, 2: 1.5 / 4, 3: 1.0}
