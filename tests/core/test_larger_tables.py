@@ -3,7 +3,7 @@
 import pytest
 
 from brolga.functions.vectors import cross_moments
-from brolga.operators import calibrate
+from brolga.operators import calibrate, report
 
 
 @pytest.fixture
@@ -26,3 +26,8 @@ def test_magnitudes_equal_but_for_rounding_tie(spark):
     offsets = spark.createDataFrame([(0, 1, 0.0)], "recording_id long, file_index long, file_offset_ms double")
     got = {r.clip_window_id: r.deviation_percentile for r in calibrate.assemble(rows, offsets).collect()}
     assert got == {0: 3 / 4, 1: 1.5 / 4, 2: 1.5 / 4, 3: 1.0}
+
+
+def test_channels_equal_but_for_rounding_go_by_name(spark):
+    rows = spark.createDataFrame([(0, 0, 1.0, 0.3, 0.1 + 0.2)], "recording_id long, window_id long, deviation_percentile double, a double, b double")
+    assert [r.channel for r in report.flagged(rows, ["a", "b"], top=1).collect()] == ["a"]
