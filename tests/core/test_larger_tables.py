@@ -1,9 +1,12 @@
 """Faults that show only on larger tables, or with other settings of the session, on small ones."""
 
+import duckdb
 import pytest
 
 from brolga.functions.vectors import cross_moments
 from brolga.operators import calibrate, report
+from brolga.plans.registry import ORACLES, QUERIES
+from tests.sqlcheck import rows as told
 
 
 @pytest.fixture
@@ -31,3 +34,13 @@ def test_magnitudes_equal_but_for_rounding_tie(spark):
 def test_channels_equal_but_for_rounding_go_by_name(spark):
     rows = spark.createDataFrame([(0, 0, 1.0, 0.3, 0.1 + 0.2)], "recording_id long, window_id long, deviation_percentile double, a double, b double")
     assert [r.channel for r in report.flagged(rows, ["a", "b"], top=1).collect()] == ["a"]
+
+
+@pytest.mark.parametrize("name", ["clean_segments", "clean_segment_totals"])
+def test_an_overlap_inside_a_run_parts_it(spark, tmp_path, name):
+    """Short turns, so that overlap regions end within runs of HIGH blocks."""
+    db = duckdb.connect()
+    db.execute("create table conversations as select c as conv_id, t as turn, 'user' as role, repeat('x', ((c * 17 + t * 29 + c * t * 7) % 60)::int) as text from range(80) a(c), range(14) b(t)")
+    db.execute(f"copy conversations to '{tmp_path}/conversations.parquet'")
+    got, want = told(QUERIES[name](spark, str(tmp_path)).toPandas()), told(db.execute(ORACLES[name]).df())
+    assert got == want
