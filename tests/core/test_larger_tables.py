@@ -44,3 +44,8 @@ def test_an_overlap_inside_a_run_parts_it(spark, tmp_path, name):
     db.execute(f"copy conversations to '{tmp_path}/conversations.parquet'")
     got, want = told(QUERIES[name](spark, str(tmp_path)).toPandas()), told(db.execute(ORACLES[name]).df())
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["window_plan", "clean_segment_totals", "bridged_segments"])
+def test_cut_spans_are_not_sent_through_the_driver(spark, sf, name):
+    assert "Broadcast" not in QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
