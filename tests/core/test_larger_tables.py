@@ -49,3 +49,13 @@ def test_an_overlap_inside_a_run_parts_it(spark, tmp_path, name):
 @pytest.mark.parametrize("name", ["window_plan", "clean_segment_totals", "bridged_segments"])
 def test_cut_spans_are_not_sent_through_the_driver(spark, sf, name):
     assert "Broadcast" not in QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_a_clip_are_dealt_once(spark, sf):
+    plan = QUERIES["within_clip"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "REPARTITION_BY_NUM" in plan
+
+
+def test_turns_are_dealt_in_parts_of_their_own_before_they_are_cut(spark, sf):
+    for name in ("block_tiers", "tier_reasons", "stitched_chunks"):
+        assert "REPARTITION_BY_NUM" in QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
