@@ -334,7 +334,8 @@ def _folds(rows: DataFrame, channels: list[str], c: float, make=None, least: int
     from pyspark.ml.functions import vector_to_array
 
     rows = rows.where(F.col("label").isin("positive", "negative")).na.fill(0.0, channels).withColumn("y", is_label("positive").cast("double"))
-    rows = VectorAssembler(inputCols=channels, outputCol="_x").transform(rows)
+    # each fold reads them several times: written once to the shared folder, they are not centred anew for each pass
+    rows = VectorAssembler(inputCols=channels, outputCol="_x").transform(rows).select("subject", "clip", "window_id", "label", "y", "_x").checkpoint()
     n = {(r.subject, r.y): r["count"] for r in rows.groupBy("subject", "y").count().collect()}
     for s in sorted({k for k, _ in n}):
         train, test = rows.where(F.col("subject") != s), rows.where(F.col("subject") == s)

@@ -59,3 +59,7 @@ def test_rows_of_a_clip_are_dealt_once(spark, sf):
 def test_turns_are_dealt_in_parts_of_their_own_before_they_are_cut(spark, sf):
     for name in ("block_tiers", "tier_reasons", "stitched_chunks"):
         assert "REPARTITION_BY_NUM" in QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_folds_read_rows_that_were_worked_out_once(spark, sf):
+    assert "lineitem" not in QUERIES["loso_flags"](spark, sf)._jdf.queryExecution().executedPlan().toString()
