@@ -63,3 +63,26 @@ def test_turns_are_dealt_in_parts_of_their_own_before_they_are_cut(spark, sf):
 
 def test_folds_read_rows_that_were_worked_out_once(spark, sf):
     assert "lineitem" not in QUERIES["loso_flags"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def _lineitem(path, select):
+    db = duckdb.connect()
+    cols = "k as l_orderkey, 0::bigint as l_partkey, l_suppkey, 1 as l_linenumber, l_quantity, 1000e0 + k as l_extendedprice, l_discount, 0.04e0 as l_tax, 'A' as l_returnflag"
+    db.execute(f"create table lineitem as select {cols} from ({select})")
+    db.execute(f"copy lineitem to '{path}/lineitem.parquet'")
+    return db
+
+
+def test_a_window_at_the_least_weight_but_for_rounding_counts(spark, tmp_path):
+    """25 frames of weight 0.6 in sum, in any order: 14.999999999999995 in turn."""
+    db = _lineitem(tmp_path, "select k, 3::bigint as l_suppkey, 10e0 + k % 5 as l_quantity, 0.05e0 as l_discount from range(25) a(k)")
+    found = QUERIES["self_calibrated"](spark, str(tmp_path)).toPandas()
+    assert told(found) == told(db.execute(ORACLES["self_calibrated"]).df())
+    assert found.AU12_mean.tolist() == [pytest.approx(0.24)]
+
+
+def test_a_start_that_varies_by_rounding_only_does_not_vary(spark, tmp_path):
+    db = _lineitem(tmp_path, "select k, 3::bigint as l_suppkey, case when k < 290 then 19e0 else k % 50 + 0e0 end as l_quantity, (3 + k * k % 7) / 100e0 as l_discount from range(600) a(k)")
+    found = QUERIES["self_calibrated"](spark, str(tmp_path)).toPandas()
+    assert told(found) == told(db.execute(ORACLES["self_calibrated"]).df())
+    assert found.AU12_mean.isna().all() and found.gaze_x_mean.isna().all()
