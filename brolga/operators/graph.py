@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from math import gcd
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -27,26 +29,40 @@ def standardised(frames: DataFrame, channels: list[str], voice: tuple[str, ...]
     """(file_index, idx, channel): z and valid; z is 0 where it is not valid.
 
     A value is valid if it is there, and, for the channels of the voice node, the voice is active, for those of face nodes,
-    the face is sure enough (missing: not). Without a column is_audio_active, or face_confidence, that mask lets all pass. Statistics are
-    joined by recording and channel.
+    the face is sure enough (missing: not). Without a column is_audio_active, or face_confidence, that mask lets all pass. Statistics
+    are told to each clip, so that frames are joined, and their channels become rows, where the clip lies.
     """
     voiced = F.coalesce(F.col("is_audio_active") == 1, F.lit(False)) if "is_audio_active" in frames.columns else F.lit(True)
     seen = F.coalesce(F.col("face_confidence") >= sure, F.lit(False)) if "face_confidence" in frames.columns else F.lit(True)
     # what masks a channel is settled before the channels become rows
     kept = lambda c: F.col(c) if c not in (*voice, *face) else F.when(voiced if c in voice else seen, F.col(c))
-    whole = frames.select("recording_id", "file_index", "idx", *[F.col(c).cast("double").alias(f"_all_{c}") for c in channels], *[kept(c).cast("double").alias(c) for c in channels])
-    stats = feature_stats(whole.select("recording_id", *[F.col(f"_all_{c}").alias(c) for c in channels]).unpivot(["recording_id"], channels, "channel", "value"))
-    rows = whole.unpivot(["recording_id", "file_index", "idx"], channels, "channel", "value").join(stats, ["recording_id", "channel"])
-    valid = F.col("value").isNotNull()
-    return rows.select("file_index", "idx", "channel", valid.cast("int").alias("valid"), F.when(valid, (F.col("value") - F.col("mean")) / F.col("sd")).otherwise(0.0).alias("z"))
+    every = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).cast("double").alias("value")) for c in channels])).alias("_c")
+    stats = feature_stats(frames.select("recording_id", every).select("recording_id", "_c.channel", "_c.value"))
+    stats = stats.groupBy("recording_id").agg(F.map_from_entries(F.collect_list(F.struct("channel", F.struct("mean", "sd")))).alias("_stats"))
+    clips = frames.select("recording_id", "file_index").distinct().join(stats, "recording_id")
+    clips = clips.groupBy("file_index").agg(F.map_from_entries(F.collect_list(F.struct("recording_id", "_stats"))).alias("_of"))
+    rows = frames.select("recording_id", "file_index", "idx", *[kept(c).cast("double").alias(c) for c in channels]).join(clips, "file_index")
+    rows = rows.withColumn("_stats", F.col("_of")[F.col("recording_id")]).where("_stats is not null")
+    told = lambda c, s: F.struct(F.lit(c).alias("channel"), F.col(c).isNotNull().cast("int").alias("valid"), F.coalesce((F.col(c) - s["mean"]) / s["sd"], F.lit(0.0)).alias("z"))
+    each = F.explode(F.array(*[told(c, F.col("_stats")[c]) for c in channels])).alias("_c")
+    return rows.select("file_index", "idx", each).select("file_index", "idx", "_c.channel", "_c.valid", "_c.z")
+
+
+def _in_windows(long: DataFrame, by: list[str], rows: int, stride: int, *sums: Column) -> DataFrame:
+    """Sums (by, window) over the stretches that windows of `rows` frames every `stride` are made of: a row for each stretch and
+    window that holds it."""
+    width = gcd(rows, stride)
+    cells = long.groupBy(*by, F.floor(F.col("idx") / width).alias("_cell")).agg(*sums)
+    first = F.greatest(F.lit(0), F.floor((F.col("_cell") * width - rows) / stride) + 1)
+    return cells.withColumn("window", F.explode(F.sequence(first, F.floor(F.col("_cell") * width / stride)))).drop("_cell")
 
 
 def model_windows(long: DataFrame, rows: int = 90, stride: int = 15, least: float = 0.2) -> DataFrame:
     """(file_index, window): windows of so many frames of a clip whose values are valid often enough."""
-    last = long.groupBy("file_index").agg((F.max("idx") + 1).alias("n"), F.countDistinct("channel").alias("channels"))
-    first = F.greatest(F.lit(0), F.floor((F.col("idx") - rows) / stride) + 1)
-    at = long.join(last, "file_index").withColumn("window", F.explode(F.sequence(first, F.floor(F.col("idx") / stride))))
-    at = at.where(F.col("window") * stride + rows <= F.col("n"))
+    clip = W.partitionBy("file_index")
+    at = _in_windows(long, ["file_index", "channel"], rows, stride, F.sum("valid").alias("valid"), F.max("idx").alias("_last"))
+    at = at.withColumns({"_n": F.max("_last").over(clip) + 1, "channels": F.size(F.collect_set("channel").over(clip))})
+    at = at.where(F.col("window") * stride + rows <= F.col("_n"))
     return at.groupBy("file_index", "window", "channels").agg(F.sum("valid").alias("valid")).where(F.col("valid") >= least * rows * F.col("channels")).drop("channels")
 
 
@@ -167,11 +183,10 @@ def zero_reference(long: DataFrame, split: DataFrame, rows: int = 90, stride: in
     long: (file_index, idx, channel, z, valid); split: (file_index, window, train) of temporal_split. A frame counts once
     for each window that holds it.
     """
-    first = F.greatest(F.lit(0), F.floor((F.col("idx") - rows) / stride) + 1)
-    at = long.withColumn("window", F.explode(F.sequence(first, F.floor(F.col("idx") / stride))))
-    at = at.join(split.where(~F.col("train")).select("file_index", "window"), ["file_index", "window"])
     sq = F.when(F.col("valid") == 1, F.col("z") * F.col("z"))
-    return at.groupBy("file_index").agg((F.coalesce(F.sum(sq), F.lit(0.0)) / F.greatest(F.lit(1e-6), F.count(sq).cast("double"))).alias("loss"))
+    at = _in_windows(long, ["file_index"], rows, stride, F.sum(sq).alias("_sq"), F.count(sq).alias("_n"))
+    at = at.join(split.where(~F.col("train")).select("file_index", "window"), ["file_index", "window"])
+    return at.groupBy("file_index").agg((F.coalesce(F.sum("_sq"), F.lit(0.0)) / F.greatest(F.lit(1e-6), F.sum("_n").cast("double"))).alias("loss"))
 
 
 def prior_adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:

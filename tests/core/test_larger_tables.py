@@ -86,3 +86,11 @@ def test_a_start_that_varies_by_rounding_only_does_not_vary(spark, tmp_path):
     found = QUERIES["self_calibrated"](spark, str(tmp_path)).toPandas()
     assert told(found) == told(db.execute(ORACLES["self_calibrated"]).df())
     assert found.AU12_mean.isna().all() and found.gaze_x_mean.isna().all()
+
+
+@pytest.mark.parametrize("name", ["zero_reference", "residual_attribution", "model_windows"])
+def test_frames_are_not_dealt_again_by_channel(spark, sf, name):
+    """What holds a row for each frame stays where its clip is: its statistics come to it, and its channels become rows there."""
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert "Expand" not in plan and not any("idx#" in line or "value#" in line for line in dealt)
