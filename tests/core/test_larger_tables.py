@@ -1,10 +1,11 @@
 """Faults that show only on larger tables, or with other settings of the session, on small ones."""
 
 import duckdb
+import numpy as np
 import pytest
 
 from brolga.functions.vectors import cross_moments
-from brolga.operators import calibrate, report
+from brolga.operators import calibrate, report, windows
 from brolga.plans.registry import ORACLES, QUERIES
 from tests.sqlcheck import rows as told
 
@@ -94,3 +95,16 @@ def test_frames_are_not_dealt_again_by_channel(spark, sf, name):
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert "Expand" not in plan and not any("idx#" in line or "value#" in line for line in dealt)
+
+
+def test_windows_of_one_length_are_transformed_together(spark):
+    """As often as there are lengths, not windows; each as if it were alone, gaps included."""
+    rng = np.random.default_rng(42)
+    x = rng.normal(size=(40, 120))
+    x[rng.random(x.shape) < np.linspace(0, 0.6, 40)[:, None]] = np.nan
+    x[3, 50:80], x[4], x[5, :30], x[6, 40:], x[7] = np.nan, 1.0, np.nan, np.nan, np.nan
+    alone = np.vstack([windows.band_rows(v[None]) for v in x])
+    assert np.allclose(windows.band_rows(x), alone, equal_nan=True) and 0 < np.isnan(alone[:, 0]).sum() < 40
+    assert all(np.array_equal(a, windows.fill_gaps(v), equal_nan=True) for a, v in zip(windows.fill_gaps(x), x, strict=True))
+    told = windows.spectra(spark.range(3000).selectExpr("1L as recording_id", "2L as file_index", "id * 1000D / 30 as timestamp", "sin(id) as gaze_x"), ("gaze_x",)).toPandas()
+    assert len(told) == 100 and told.window_id.tolist() == list(range(100)) and told.gaze_x_tremor_peak.notna().all()
