@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,17 +24,39 @@ _FILES = (
 )
 
 
-def _anti_profiles(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A session's files in order, with the anti profile that gates a file's voices and the one after the file's own candidates."""
-    pdf = pdf.sort_values("file_index")
-    total, before, after = None, [], []
-    for clicked, own in zip(pdf.clicked, pdf.own):
-        for values, out in ((clicked, before), (own, after)):
+def _in_order(files: DataFrame, begin: Callable[[], Callable[[pd.Series], tuple]], schema: str) -> DataFrame:
+    """What a fold of its own makes of each session's files (session, file_index, ...) in order. Files pass in Arrow batches, so
+    that a worker holds a batch and what the fold keeps, however many files there are."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session = fold = None
+        for pdf in parts:
+            out = []
+            for _, row in pdf.iterrows():
+                if fold is None or row.session != session:
+                    session, fold = row.session, begin()
+                out.append(fold(row))
+            if out:
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return files.repartition("session").sortWithinPartitions("session", "file_index").mapInPandas(run, schema)
+
+
+def _anti_profiles() -> Callable[[pd.Series], tuple]:
+    """Fold over a session's files: the anti profile that gates a file's voices and the one after the file's own candidates."""
+    total = None
+
+    def step(row: pd.Series) -> tuple:
+        nonlocal total
+        out = []
+        for values in (row.clicked, row.own):
             if values is not None:
                 total = np.asarray(values, float) + (0 if total is None else total)
             size = 0.0 if total is None else np.sqrt(total @ total)
             out.append(None if total is None else total / (size or 1.0))
-    return pd.DataFrame({"session": pdf.session, "file_index": pdf.file_index, "anti_before": before, "anti_after": after})
+        return (row.session, row.file_index, *out)
+
+    return step
 
 
 def _spread(n: int, s: np.ndarray, m: np.ndarray) -> float:
@@ -69,10 +93,12 @@ class _Pool:
         return None if self.total is None else self.total / (np.sqrt(self.total @ self.total) or 1.0)
 
 
-def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A session's files in order, from what each file adds; a row says how the pools are after it."""
-    mine, other, halted, out, last = _Pool(), _Pool(), False, [], None
-    for _, row in pdf.sort_values("file_index").iterrows():
+def _fold() -> Callable[[pd.Series], tuple]:
+    """Fold over a session's files, from what each file adds; a row says how the pools are after it."""
+    mine, other, halted, last = _Pool(), _Pool(), False, None
+
+    def step(row: pd.Series) -> tuple:
+        nonlocal halted, last
         mine.take(row, "seed")
         mine.take(row, "first")
         other.take(row, "anti")
@@ -92,8 +118,9 @@ def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
             again = mine.take(row, "second")
             variance = mine.variance()
             now = state()
-        out.append((row.session, row.file_index, now, mine.ms, mine.n, variance, other.n, spread, widened, like, level, again, halted, variance > WIDE, mine.profile()))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in _FILES.split(", ")])
+        return (row.session, row.file_index, now, mine.ms, mine.n, variance, other.n, spread, widened, like, level, again, halted, variance > WIDE, mine.profile())
+
+    return step
 
 
 def enrol(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -112,7 +139,7 @@ def enrol(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Neither gate depends on what voices were let in, so both are worked out for all candidates at once; the anti profile
     follows from sums by file, and the pools from sums and moments by file and pass. Only rows of a session's files meet in
-    one group, never its candidates. A session without a seed lets nothing in and has no sim_seed. Null vectors, kinds,
+    one task, where they pass in order and are never held at once, and never its candidates. A session without a seed lets nothing in and has no sim_seed. Null vectors, kinds,
     sessions or file numbers take no part; an empty table gives two empty ones. Repeated rows count each time.
     """
     used = ["session", "file_index", "candidate_id", "kind", "vector", "duration_ms", "vad_coverage", "closed_share"]
@@ -126,7 +153,7 @@ def enrol(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     by = ["session", "file_index"]
     summed = lambda kind: vector_sums(rows.where(other & (F.col("kind") == kind)), by, weight=F.col("duration_ms"))
     held = files.join(summed("click").select(*by, F.col("total").alias("clicked")), by, "left").join(summed("anti").select(*by, F.col("total").alias("own")), by, "left")
-    profiles = held.groupBy("session").applyInPandas(_anti_profiles, "session string, file_index long, anti_before array<double>, anti_after array<double>")
+    profiles = _in_order(held, _anti_profiles, "session string, file_index long, anti_before array<double>, anti_after array<double>")
 
     rows = rows.join(profiles, by)
     likeness = lambda p: F.when(F.col(p).isNotNull(), cosine(F.col("vector"), F.col(p)))
@@ -144,7 +171,7 @@ def enrol(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     one = lambda c, kind: F.first(F.when(F.col("_part") == kind, F.col(c)), ignorenulls=True).alias(f"{c}_{kind}")
     wide = sums.groupBy(*by).agg(*[one(c, kind) for kind in ("seed", "first", "second", "anti") for c in ("n", "ms", "total", "units", "s", "m")])
     wide = files.join(wide, by, "left")
-    state = wide.groupBy("session").applyInPandas(_fold, _FILES)
+    state = _in_order(wide, _fold, _FILES)
 
     passed = F.when(F.col("_part") == "second", F.when(F.col("second_pass") > 0, 2)).when(F.col("_part") == "first", 1).when(F.col("_part").isNotNull(), 0)
     out = told.join(state.select(*by, "second_pass"), by).withColumn("accepted_in", passed)

@@ -108,3 +108,13 @@ def test_windows_of_one_length_are_transformed_together(spark):
     assert all(np.array_equal(a, windows.fill_gaps(v), equal_nan=True) for a, v in zip(windows.fill_gaps(x), x, strict=True))
     told = windows.spectra(spark.range(3000).selectExpr("1L as recording_id", "2L as file_index", "id * 1000D / 30 as timestamp", "sin(id) as gaze_x"), ("gaze_x",)).toPandas()
     assert len(told) == 100 and told.window_id.tolist() == list(range(100)) and told.gaze_x_tremor_peak.notna().all()
+
+
+def test_files_of_a_session_pass_in_batches(spark, sf, small_batches):
+    """A batch boundary inside a session changes nothing, and no session is handed to Python as a whole."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    query = QUERIES["enrolled_files"](spark, sf)
+    cut = told(query.toPandas())
+    assert "FlatMapGroups" not in query._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert len(cut[1]) > 12 and cut == told(QUERIES["enrolled_files"](spark, sf).toPandas())
