@@ -35,8 +35,9 @@ def _cells(rows: DataFrame, by: list[str], value: str, counts: dict[str, Column]
     v = F.col(value).cast("double")
     known = rows.where(v.isNotNull() & ~F.isnan(v)).withColumn(value, v)
     each = known.groupBy(*by, value).agg(*[c.alias(n) for n, c in counts.items()])
-    # the totals are wanted too, so both uses of the counts read the same columns and Spark shuffles them once
     ends = each.groupBy(*by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), *[F.sum(n).alias(f"{n}_total") for n in counts])
+    # always true, but it reads the totals: so every use of the counts reads the same columns and Spark works them out once
+    ends = ends.where(F.coalesce(*[F.col(f"{n}_total").cast("double") for n in counts], F.col("_low")).isNotNull())
     return same_keys(each, ends, by).select(*each.columns, *[f"{n}_total" for n in counts], *_cell(F.col(value), F.col("_low"), F.col("_high")))
 
 

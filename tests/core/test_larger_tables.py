@@ -118,3 +118,12 @@ def test_files_of_a_session_pass_in_batches(spark, sf, small_batches):
     assert "FlatMapGroups" not in query._jdf.queryExecution().executedPlan().toString()
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     assert len(cut[1]) > 12 and cut == told(QUERIES["enrolled_files"](spark, sf).toPandas())
+
+
+@pytest.mark.parametrize("name", ["subject_scores", "random_effects"])
+def test_counts_of_values_are_worked_out_once(spark, sf, name):
+    """Every branch of the plan that reads the table deals the same rows, so Spark keeps one of them."""
+    plan = QUERIES[name](spark, sf)
+    plan.collect()
+    final = plan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("FileScan parquet") == 1
