@@ -3,10 +3,12 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from brolga.functions.vectors import cross_moments
 from brolga.operators import calibrate, report, windows
 from brolga.plans.registry import ORACLES, QUERIES
+from brolga.sources import adapters
 from tests.sqlcheck import rows as told
 
 
@@ -62,6 +64,29 @@ def test_turns_are_dealt_in_parts_of_their_own_before_they_are_cut(spark, sf):
         assert "REPARTITION_BY_NUM" in QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
 
 
+def _largest(df):
+    return max(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+
+
+def test_parts_of_a_table_do_not_grow_with_it(spark, tmp_path):
+    """Files of under 4 MB, which Spark reads in as many parts whatever they hold."""
+    for n in (20_000, 80_000):
+        turns = spark.range(n, numPartitions=2).selectExpr("id div 5 as conv_id", "id % 5 as turn", "'user' as role", "repeat('x', 40) as text")
+        turns.write.parquet(f"{tmp_path}/{n}/conversations.parquet")
+        assert _largest(adapters.intervals(spark, f"{tmp_path}/{n}")) < 1.5 * adapters.PART_TURNS
+
+
+def test_rows_are_dealt_from_small_parts_of_a_file(spark, sf):
+    """A task that deals its rows to many parts holds all it has read."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    for given, then in (("134217728b", "24m"), ("1g", "24m"), ("16m", "16m"), ("4194304", "4194304")):
+        spark.conf.set(key, given)
+        adapters.frames(spark, sf)
+        assert spark.conf.get(key) == then
+    spark.conf.set(key, before)
+
+
 def test_folds_read_rows_that_were_worked_out_once(spark, sf):
     assert "lineitem" not in QUERIES["loso_flags"](spark, sf)._jdf.queryExecution().executedPlan().toString()
 
