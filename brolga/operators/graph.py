@@ -82,9 +82,12 @@ def check_windows(windows: DataFrame, by: list[str], least: int = 20) -> None:
         raise TooFewWindows(f"no windows, {least} are needed")
 
 
-def masked_error(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Mean square of predicted - z over the valid values (error), 0 without any; and how many are valid (n)."""
+def masked_error(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Mean square of predicted - z over the valid values (error), 0 without any; and how many are valid (n). Without by each row
+    is told by itself, as where a node has one channel: nothing is grouped."""
     sq = F.when(F.col("valid") == 1, (F.col("predicted") - F.col("z")) * (F.col("predicted") - F.col("z")))
+    if by is None:
+        return rows.withColumns({"error": F.coalesce(sq, F.lit(0.0)), "n": sq.isNotNull().cast("long")})
     return rows.groupBy(*by).agg((F.coalesce(F.sum(sq), F.lit(0.0)) / F.greatest(F.lit(1), F.count(sq))).alias("error"), F.count(sq).alias("n"))
 
 

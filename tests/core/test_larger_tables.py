@@ -1,12 +1,14 @@
 """Faults that show only on larger tables, or with other settings of the session, on small ones."""
 
+import re
+
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from brolga.functions.vectors import cross_moments
-from brolga.operators import calibrate, report, windows
+from brolga.operators import calibrate, graph, report, windows
 from brolga.plans.registry import ORACLES, QUERIES
 from brolga.sources import adapters
 from tests.sqlcheck import rows as told
@@ -122,6 +124,23 @@ def test_frames_are_not_dealt_again_by_channel(spark, sf, name):
     assert "Expand" not in plan and not any("idx#" in line or "value#" in line for line in dealt)
 
 
+def test_errors_of_single_values_are_not_grouped(spark, sf):
+    """A row for each value is no group of its own; and the first clip is found by what tells the clips, frames are not dealt for it."""
+    rows = spark.createDataFrame([(1, 0.5, 2.0), (1, None, 2.0), (0, 0.5, 2.0), (None, 0.5, 2.0), (1, 3.0, 3.0)], "valid int, z double, predicted double").withColumn("id", F.monotonically_increasing_id())
+    own, grouped = (sorted((r.id, r.error, r.n) for r in df.collect()) for df in (graph.masked_error(rows), graph.masked_error(rows, ["id"])))
+    assert own == grouped and [x[1:] for x in own] == [(2.25, 1), (0.0, 0), (0.0, 0), (0.0, 0), (0.0, 1)]
+    plan = QUERIES["residual_attribution"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert not any("Aggregate(keys=" in line and "idx#" in line.split("functions=")[0] for line in plan.splitlines())
+    assert len(set(re.findall(r"FileScan parquet (\[.*?\])", re.sub(r"#\d+L?", "", plan)))) == 3  # for windows, statistics and clips
+
+
+def test_first_clip_of_a_recording_is_the_baseline(spark, tmp_path):
+    """Also with clips of one window, one frame, and a recording of one clip; clips without a number are in none."""
+    db = _lineitem(tmp_path, "select k, case when k % 97 = 0 then null when k < 300 then 23 when k < 480 then 3 when k = 480 then 13 when k < 700 then 14 else 4 end::bigint as l_suppkey, k * k % 50 + 0e0 as l_quantity, (3 + k * k % 7) / 100e0 as l_discount from range(900) a(k)")
+    found = QUERIES["residual_attribution"](spark, str(tmp_path)).toPandas()
+    assert told(found) == told(db.execute(ORACLES["residual_attribution"]).df()) and sorted(set(found.file_index)) == [3, 4, 13, 14, 23]
+
+
 def test_windows_of_one_length_are_transformed_together(spark):
     """As often as there are lengths, not windows; each as if it were alone, gaps included."""
     rng = np.random.default_rng(42)
