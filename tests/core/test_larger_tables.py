@@ -1,6 +1,8 @@
 """Faults that show only on larger tables, or with other settings of the session, on small ones."""
 
 import re
+from functools import reduce
+from operator import add
 
 import duckdb
 import numpy as np
@@ -170,3 +172,33 @@ def test_counts_of_values_are_worked_out_once(spark, sf):
     plan.collect()
     final = plan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert final.count("Window [rank(") == 1
+
+
+@pytest.fixture
+def light_end(tmp_path):
+    """Two clips of a recording; the last window of the second has other values, and 25 frames of weight 0.6: in order of time
+    they add up to 14.999999999999995."""
+    db = duckdb.connect()
+    last = lambda then, other: f"case when c = 1 and k >= 570 then {then} else {other} end"
+    db.execute(f"""create table lineitem as select k as l_orderkey, 0::bigint as l_partkey, 3 + c * 10 as l_suppkey, (1 + k % 7)::int as l_linenumber, {last("49e0", "k * k % 50 + 0e0")} as l_quantity,
+      {last("90000e0", "1000e0 + k * 37 % 900")} as l_extendedprice, {last("0.05e0", "(3 + k * k % 7) / 100e0")} as l_discount, {last("0.08e0", "k * k * k % 8 / 100e0")} as l_tax, substr('ANR', (1 + k % 3)::int, 1) as l_returnflag
+      from range(2) a(c), range(595) b(k)""")
+    db.execute(f"copy lineitem to '{tmp_path}/lineitem.parquet'")
+    return str(tmp_path), db
+
+
+@pytest.mark.parametrize("name", ["recording_percentiles"])
+def test_weights_are_compared_as_in_the_sql(spark, light_end, name):
+    sf, db = light_end
+    assert told(QUERIES[name](spark, sf).toPandas()) == told(db.execute(ORACLES[name]).df())
+
+
+def test_weights_are_added_in_order_of_time(spark):
+    """In whatever order frames come, 14.999999999999995 and 15."""
+    cols = "recording_id long, file_index long, timestamp double, joint_confidence double, x double, emotion_label string, is_blinking int, is_audio_active double"
+    for weights, heavy in (([0.6] * 25, False), ([0.6, 0.72, 1.0, 0.96, 0.12, 0.84, 0.6, 0.72, 0.6, 0.96, 0.12, 1.0, 0.36, 0.96, 1.0, 0.36, 0.72, 0.36, 0.84, 0.72, 0.48, 0.96], True)):
+        f = [(0, 0, k * 1000 / 30, w, 0.1, "A", 0, 1.0) for k, w in enumerate(weights)]
+        for given in (f, f[::-1], f[1::2] + f[::2]):
+            (got,) = windows.window_table(spark.createDataFrame(given, cols).coalesce(1), windows.Sliding(channels=("x",))).collect()
+            assert got.cumulative_confidence == reduce(add, weights) and (got.x_mean is not None) == heavy
+        assert windows.window_table(spark.createDataFrame(f, cols), windows.Sliding(channels=("x",), digits=9)).first().x_mean is not None
