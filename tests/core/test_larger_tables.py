@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from brolga.functions.exprs import nearest
 from brolga.functions.vectors import cross_moments
 from brolga.operators import calibrate, graph, report, windows
 from brolga.plans.registry import ORACLES, QUERIES
@@ -187,7 +188,7 @@ def light_end(tmp_path):
     return str(tmp_path), db
 
 
-@pytest.mark.parametrize("name", ["recording_percentiles"])
+@pytest.mark.parametrize("name", ["recording_percentiles", "window_features"])
 def test_weights_are_compared_as_in_the_sql(spark, light_end, name):
     sf, db = light_end
     assert told(QUERIES[name](spark, sf).toPandas()) == told(db.execute(ORACLES[name]).df())
@@ -202,3 +203,32 @@ def test_weights_are_added_in_order_of_time(spark):
             (got,) = windows.window_table(spark.createDataFrame(given, cols).coalesce(1), windows.Sliding(channels=("x",))).collect()
             assert got.cumulative_confidence == reduce(add, weights) and (got.x_mean is not None) == heavy
         assert windows.window_table(spark.createDataFrame(f, cols), windows.Sliding(channels=("x",), digits=9)).first().x_mean is not None
+
+
+def exactly(df):
+    """Rows in any order, numbers to their last digit."""
+    return sorted("|".join(repr(v + 0.0) if isinstance(v, float) else str(v) for v in row) for row in df[sorted(df.columns)].itertuples(index=False))
+
+
+def test_halves_but_for_rounding_are_rounded_as_in_sql(spark, tmp_path):
+    x = [s * (k + 0.5) / 10.0**d for d in (6, 9) for k in range(0, 10**6, 997) for s in (1, -1)] + [0.0, -0.0, 1e300, -1e300, 1e-300, 4.5e15, float("inf"), float("nan"), None]
+    spark.createDataFrame([(v,) for v in x], "x double").write.parquet(f"{tmp_path}/x")
+    for d in (6, 9):
+        found = spark.read.parquet(f"{tmp_path}/x").select("x", (nearest(F.col("x"), d) + 0.0).alias("r"))
+        assert exactly(found.toPandas()) == exactly(duckdb.sql(f"select x, round(x, {d}) + 0e0 as r from '{tmp_path}/x/*.parquet'").df())
+
+
+@pytest.fixture
+def halves(tmp_path):
+    """A clip of one window for each of 60 means of AU12 that are a half in the seventh or the tenth digit, but for rounding."""
+    db = duckdb.connect()
+    db.execute("""create table lineitem as select k as l_orderkey, 0::bigint as l_partkey, c as l_suppkey, (1 + k % 7)::int as l_linenumber, 50 * (0.5e0 + (c * 77777 + 0.5e0) / case when c < 10 then 1e6 else 1e9 end) as l_quantity,
+      1000e0 + k * 37 % 900 as l_extendedprice, 0.1e0 as l_discount, k * k * k % 8 / 100e0 as l_tax, substr('ANR', (1 + k % 3)::int, 1) as l_returnflag from range(60) a(c), range(20) b(k)""")
+    db.execute(f"copy lineitem to '{tmp_path}/lineitem.parquet'")
+    return str(tmp_path), db
+
+
+@pytest.mark.parametrize("name", ["window_features"])
+def test_window_means_are_rounded_as_in_the_sql(spark, halves, name):
+    sf, db = halves
+    assert exactly(QUERIES[name](spark, sf).toPandas()) == exactly(db.execute(ORACLES[name]).df())
