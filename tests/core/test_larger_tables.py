@@ -188,7 +188,7 @@ def light_end(tmp_path):
     return str(tmp_path), db
 
 
-@pytest.mark.parametrize("name", ["recording_percentiles", "window_features", "window_indices"])
+@pytest.mark.parametrize("name", ["recording_percentiles", "window_features", "window_indices", "full_windows"])
 def test_weights_are_compared_as_in_the_sql(spark, light_end, name):
     sf, db = light_end
     assert told(QUERIES[name](spark, sf).toPandas()) == told(db.execute(ORACLES[name]).df())
@@ -228,7 +228,7 @@ def halves(tmp_path):
     return str(tmp_path), db
 
 
-@pytest.mark.parametrize("name", ["window_features", "window_indices"])
+@pytest.mark.parametrize("name", ["window_features", "window_indices", "full_windows"])
 def test_window_means_are_rounded_as_in_the_sql(spark, halves, name):
     sf, db = halves
     assert exactly(QUERIES[name](spark, sf).toPandas()) == exactly(db.execute(ORACLES[name]).df())
