@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from brolga.functions.exprs import nearest
+
 
 def coverage(rows: DataFrame, channels: list[str], by: str = "recording_id") -> DataFrame:
     """(by, channel): share of values present, and whether the channel is dead or low."""
@@ -25,7 +27,7 @@ def baseline_sanity(windows: DataFrame, channels: int) -> DataFrame:
 def flagged(windows: DataFrame, channels: list[str], least: float = 0.95, top: int = 5) -> DataFrame:
     """Windows at or over a percentile with their channels of largest |z| (to six digits, ties by name), largest first."""
     long = windows.where(F.col("deviation_percentile") >= least).unpivot(["recording_id", "window_id", "deviation_percentile"], channels, "channel", "z").where("z is not null")
-    n = F.row_number().over(W.partitionBy("recording_id", "window_id").orderBy(F.desc(F.round(F.abs("z"), 6)), "channel"))
+    n = F.row_number().over(W.partitionBy("recording_id", "window_id").orderBy(F.desc(nearest(F.abs("z"), 6)), "channel"))
     return long.withColumn("place", n).where(F.col("place") <= top)
 
 

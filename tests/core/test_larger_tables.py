@@ -188,7 +188,7 @@ def light_end(tmp_path):
     return str(tmp_path), db
 
 
-@pytest.mark.parametrize("name", ["recording_percentiles", "window_features", "window_indices", "full_windows"])
+@pytest.mark.parametrize("name", ["recording_percentiles", "window_features", "window_indices", "full_windows", "flagged_windows"])
 def test_weights_are_compared_as_in_the_sql(spark, light_end, name):
     sf, db = light_end
     assert told(QUERIES[name](spark, sf).toPandas()) == told(db.execute(ORACLES[name]).df())
@@ -232,3 +232,13 @@ def halves(tmp_path):
 def test_window_means_are_rounded_as_in_the_sql(spark, halves, name):
     sf, db = halves
     assert exactly(QUERIES[name](spark, sf).toPandas()) == exactly(db.execute(ORACLES[name]).df())
+
+
+def test_magnitudes_are_ranked_by_the_digits_of_the_sql(spark):
+    """0.5192125 is less than a half in the seventh digit, so it ties with 0.519212."""
+    rows = spark.createDataFrame([(0, 1, k, k * 1.0, k + 2.0, x) for k, x in enumerate([0.519212, 0.5192125, 0.519213])], "recording_id long, file_index long, window_id long, start_time_ms double, end_time_ms double, deviation_magnitude double")
+    offsets = spark.createDataFrame([(0, 1, 0.0)], "recording_id long, file_index long, file_offset_ms double")
+    got = {r.clip_window_id: r.deviation_percentile for r in calibrate.assemble(rows, offsets).collect()}
+    assert got == {0: 1.5 / 3, 1: 1.5 / 3, 2: 1.0} and duckdb.sql("select round(0.5192125e0, 6)").fetchall() == [(0.519212,)]
+    rows = spark.createDataFrame([(0, 0, 1.0, 0.5192125, 0.519213, 0.519212)], "recording_id long, window_id long, deviation_percentile double, c double, b double, d double")
+    assert [r.channel for r in report.flagged(rows, ["b", "c", "d"], top=3).orderBy("place").collect()] == ["b", "c", "d"]
