@@ -188,7 +188,7 @@ def light_end(tmp_path):
     return str(tmp_path), db
 
 
-@pytest.mark.parametrize("name", ["recording_percentiles", "window_features", "window_indices", "full_windows", "flagged_windows"])
+@pytest.mark.parametrize("name", ["recording_percentiles", "window_features", "window_indices", "full_windows", "flagged_windows", "deviation_ratio"])
 def test_weights_are_compared_as_in_the_sql(spark, light_end, name):
     sf, db = light_end
     assert told(QUERIES[name](spark, sf).toPandas()) == told(db.execute(ORACLES[name]).df())
